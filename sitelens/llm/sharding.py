@@ -22,7 +22,7 @@ from .shared import stored, table
 SHARDS = 40
 SEED = 20_240_607
 #: Bytes of records in a bucket, about.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes that a record counts for besides its text.
 RECORD_BYTES = 16
 
