@@ -47,7 +47,7 @@ FLUSH = 2_000_000
 BUCKET_KEYS = 1_000_000
 MAX_BUCKETS = 4096
 #: Ids in one file of context figures.
-RANGE = 1 << 22
+RANGE = 1 << 19
 #: Bytes of text for a token, about, to choose the number of buckets before tokens are counted.
 TOKEN_BYTES = 6
 
