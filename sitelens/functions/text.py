@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sitelens import constants as C
 
@@ -23,7 +24,7 @@ def fold_text(value: str | None) -> str | None:
     return " ".join(plain.split()).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(values: pd.Series) -> pd.Series:
     """Without accents, case and extra white space, for keys only."""
     return values.map(fold_text)

@@ -12,11 +12,12 @@ from urllib.parse import parse_qsl, quote, unquote, urlencode, urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sitelens import constants as C
 from sitelens.functions.text import fold_text
 
-CANONICAL = "url string, reason string, detail string"
+CANONICAL = StructType([StructField(n, StringType()) for n in ("url", "reason", "detail")])
 _TRACKED = frozenset(C.DROPPED_PARAMETERS)
 _HIGH_VALUE = re.compile(C.HIGH_VALUE_PATH)
 

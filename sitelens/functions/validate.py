@@ -43,22 +43,28 @@ def email(raw: Column) -> Column:
     return F.when(ok, _accepted(value, value, email_kind=email_kind(local)))
 
 
+def _by_code(values: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
 def phone(raw: Column, region: str) -> Column:
-    digits = F.regexp_replace(F.regexp_replace(F.trim(raw), r"[^0-9+]", ""), "^00", "+")
-    digits = F.when(F.trim(raw).rlike(r"^\(?[+0-9][0-9  .()/\-]*$"), digits)
-    out = F.lit(None).cast(VALIDATED)
-    for name, (code, trunk, form) in reversed(C.PHONE_REGIONS.items()):
-        if name == "CA" and region != "CA":
-            continue  # shares its code
-        national = F.regexp_extract(digits, rf"^\+{code}({form})$" if not trunk else rf"^\+{code}(?:{trunk})?({form})$", 1)
-        if name == region:
-            own = F.regexp_extract(digits, rf"^(?:{trunk})?({form})$" if trunk in ("", "1") else rf"^{trunk}({form})$", 1)
-            national = F.coalesce(F.nullif(national, F.lit("")), own)
-        kind = "FIXED_LINE_OR_MOBILE" if code == "1" else None
-        number_type = F.lit(kind) if kind else F.when(national.rlike("^" + C.MOBILE.get(name, "$^")), "MOBILE").otherwise("FIXED_LINE")
-        value = F.concat(F.lit("+" + code), national)
-        out = F.when(F.coalesce(national, F.lit("")) != "", _accepted(value, value, number_type=number_type)).otherwise(out)
-    return out
+    """One look-up by calling code instead of an arm for each region keeps the plan small."""
+    shown = F.trim(raw)
+    digits = F.regexp_replace(F.regexp_replace(shown, "[^0-9+]", ""), "^00", "+")
+    forms = {code: f"^(?:{trunk})?({form})$" if trunk else f"^({form})$" for code, trunk, form in C.PHONE_REGIONS.values()}
+    mobile = {C.PHONE_REGIONS[r][0]: f"^{start}" for r, start in C.MOBILE.items()}
+    code, trunk, form = C.PHONE_REGIONS.get(region, ("", "", "$^"))
+    abroad = F.regexp_extract(digits, rf"^\+({'|'.join(sorted(forms, key=len, reverse=True))})", 1)
+    at_home = ~digits.startswith("+")
+    of = F.when(at_home, F.lit(code)).otherwise(abroad)
+    home = rf"^{trunk}({form})$" if trunk == "0" else rf"^(?:{trunk})?({form})$"
+    national = F.when(at_home, F.regexp_extract(digits, home, 1)).otherwise(
+        F.call_function("regexp_extract", F.substring(digits, F.length(abroad) + 2, F.lit(20)), F.coalesce(F.try_element_at(_by_code(forms), abroad), F.lit("($^)")), F.lit(1))
+    )
+    is_mobile = F.coalesce(F.regexp(national, F.try_element_at(_by_code(mobile), of)), F.lit(False))
+    kind = F.when(of == "1", "FIXED_LINE_OR_MOBILE").when(is_mobile, "MOBILE").otherwise("FIXED_LINE")
+    value = F.concat(F.lit("+"), of, national)
+    return F.when(shown.rlike(r"^\(?[+0-9][0-9 \u00a0.()/\-]*$") & (national != ""), _accepted(value, value, number_type=kind))
 
 
 def postal_address(raw: Column) -> Column:
@@ -95,7 +101,7 @@ def french_vat_key_holds(body: Column) -> Column:
 
 
 def luhn_holds(digits: Column) -> Column:
-    return F.luhn_check(digits)
+    return F.call_function("luhn_check", digits)
 
 
 def company_identifier(raw: Column, metadata: Column) -> Column:
@@ -107,7 +113,7 @@ def company_identifier(raw: Column, metadata: Column) -> Column:
     vat_ok = F.regexp(body, form) & ((country != "FR") | french_vat_key_holds(body))
     hinted = F.coalesce(F.try_element_at(metadata, F.lit("scheme")), F.lit("")) == "rcs"
     scheme = F.when(F.length(compact) == 14, "siret").when((F.length(compact) == 9) & hinted, "rcs").when(F.length(compact) == 9, "siren")
-    french_ok = compact.rlike("^[0-9]+$") & scheme.isNotNull() & F.luhn_check(compact)
+    french_ok = compact.rlike("^[0-9]+$") & scheme.isNotNull() & F.call_function("luhn_check", compact)
     tagged = lambda s: _accepted(compact, F.concat_ws(":", s, compact), scheme=s)
     return F.when(is_vat, F.when(vat_ok, tagged(F.lit("vat_eu")))).when(french_ok, tagged(scheme))
 

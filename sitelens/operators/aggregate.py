@@ -9,6 +9,7 @@ from sitelens import constants as C
 from sitelens import dims
 from sitelens.functions import text as T
 from sitelens.functions import validate as V
+from sitelens.storage import stored
 
 #: Every key that an extractor or validator may set.
 METADATA_KEYS = ["email_kind", "number_type", "scheme", "platform", "role", "obfuscated_as", "source"]
@@ -43,13 +44,17 @@ def rejected(candidates: DataFrame, region: str = C.DEFAULT_REGION) -> DataFrame
     return policy.unionByName(invalid)
 
 
-def findings(accepted_rows: DataFrame) -> DataFrame:
+def findings(accepted_rows: DataFrame, store: bool = True) -> DataFrame:
     """One row for each (field, dedup_value).
 
+    Counts and provenance are two aggregations, so the accepted rows are stored first: pages are parsed once.
+
     Counts are exact. Provenance is cut to its first ten by rank before it is collected: Spark applies the limit on
     the map side too, so a value that is on a third of all pages sends ten rows from each task.
     """
     spark = accepted_rows.sparkSession
+    if store:
+        accepted_rows = stored(accepted_rows, "accepted")
     rows = accepted_rows.join(F.broadcast(dims.layers(spark)), "extraction_layer")
     order = F.struct("layer_ord", "source_url", "collected_at", "seq")
     keys = ["field", "dedup_value"]

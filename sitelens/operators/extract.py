@@ -104,8 +104,9 @@ def technology(parsed: DataFrame, found: DataFrame) -> DataFrame:
         "url", "fetched_at", "seq", F.col("value").alias("raw_value"), F.lit("meta:generator").alias("source")
     )
     wanted = F.array(*[F.lit(h) for h in C.TECHNOLOGY_HEADERS])
-    pairs = F.map_entries(F.map_filter("headers", lambda k, v: F.array_contains(wanted, F.lower(k)) & (F.trim(v) != "")))
-    headers = parsed.select("url", "fetched_at", F.posexplode(pairs).alias("seq", "pair")).select(
+    pairs = F.filter(F.map_entries("headers"), lambda e: F.array_contains(wanted, F.lower(e["key"])) & (F.trim(e["value"]) != ""))
+    ranked = F.array_sort(F.transform(pairs, lambda e: F.struct(F.array_position(wanted, F.lower(e["key"])).alias("rank"), e["key"].alias("key"), e["value"].alias("value"))))
+    headers = parsed.select("url", "fetched_at", F.posexplode(ranked).alias("seq", "pair")).select(
         "url", "fetched_at", "seq", F.trim("pair.value").alias("raw_value"), F.concat(F.lit("header:"), F.lower("pair.key")).alias("source")
     )
     rows = generator.unionByName(headers).withColumn("field", F.lit("technology")).withColumn("metadata", F.create_map(F.lit("source"), F.col("source")))
@@ -159,4 +160,12 @@ def candidates(pages: DataFrame, markup: str = "text") -> DataFrame:
     out = structured_data(found)
     for part in (semantic_html(found), technology(parsed, found), text_heuristics(text), deobfuscated(text)):
         out = out.unionByName(part)
-    return out.select(CANDIDATE)
+    return barrier(out.select(CANDIDATE))
+
+
+def barrier(rows: DataFrame) -> DataFrame:
+    """Keep Catalyst from copying what follows into every branch of the union below.
+
+    The partition id is nondeterministic to the optimizer, so neither projections nor filters pass it.
+    """
+    return rows.withColumn("_at", F.spark_partition_id()).where("_at >= 0").drop("_at")

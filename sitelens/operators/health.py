@@ -67,7 +67,7 @@ def request_starts(arrivals: DataFrame, interval: float, host: str = "host", arr
     start(i) = max(arrival(i), start(i - 1) + interval) = i * interval + max over j <= i of (arrival(j) - j * interval).
     """
     order = order or [arrival]
-    rows = arrivals.withColumn("_i", F.row_number().over(Window.partitionBy(host).orderBy(*order)))
+    rows = arrivals.withColumn("_i", F.row_number().over(Window.partitionBy(host).orderBy(*order)).cast("long"))
     lead = F.max(F.col(arrival) - F.col("_i") * F.lit(interval)).over(_running([host], ["_i"]))
     return rows.withColumn("start", lead + F.col("_i") * F.lit(interval)).drop("_i")
 
@@ -75,4 +75,5 @@ def request_starts(arrivals: DataFrame, interval: float, host: str = "host", arr
 def backoff(consecutive: Column, retry_after: Column, jitter: Column) -> Column:
     """Seconds to wait after a 429: as asked, at most the limit; else 2, 4, 8 with jitter."""
     base = F.element_at(F.array(*[F.lit(b) for b in C.BACKOFF]), F.least(F.greatest(consecutive, F.lit(1)), F.lit(len(C.BACKOFF))).cast("int"))
-    return F.coalesce(F.least(retry_after.cast("double"), F.lit(C.ABORT_RETRY_AFTER)), base * (1 + jitter * C.JITTER))
+    asked = F.when(retry_after.isNotNull(), F.least(retry_after.cast("double"), F.lit(C.ABORT_RETRY_AFTER)))
+    return F.coalesce(asked, base * (1 + jitter * C.JITTER))

@@ -8,11 +8,12 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from sitelens import constants as C
 from sitelens.functions import urls as U
 
-RULE = "allowed boolean, delay double"
+RULE = StructType([StructField("allowed", BooleanType()), StructField("delay", DoubleType())])
 
 
 def host_key(url: Column) -> Column:
