@@ -238,14 +238,14 @@ def normalize_key_url(url: Column) -> Column:
 
 
 def platform(url: Column) -> Column:
-    """Platform of a profile URL: first listed host that it is or is below of; null for none or a bare root."""
+    """Platform of a profile URL, by the listed host that it is or is below of; null for none or a bare root.
+
+    Every listed host has two labels, so the last two labels of the URL's host are the key of one look-up.
+    """
     u = F.trim(url)
-    h = F.regexp_replace(host(u), r"^www\.", "")
-    found = F.lit(None).cast("string")
-    for name, value in reversed(C.PLATFORMS.items()):
-        found = F.when((h == name) | h.endswith("." + name), value).otherwise(found)
-    ok = scheme(u).isin(*C.SCHEMES) & (F.trim(path(u), F.lit("/")) != "")
-    return F.when(ok, found)
+    names = F.create_map(*[F.lit(x) for pair in C.PLATFORMS.items() for x in pair])
+    found = F.try_element_at(names, F.substring_index(host(u), ".", -2))
+    return F.when(scheme(u).isin(*C.SCHEMES) & (F.trim(path(u), F.lit("/")) != ""), found)
 
 
 def effective_interval(*seconds: Column) -> Column:

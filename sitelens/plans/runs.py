@@ -31,20 +31,25 @@ def abort_consecutive_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("run_id").agg(F.max("consecutive_failures").alias("longest"))
 
 
-@query(f"""WITH {EVENTS} SELECT run_id, event_id, count(*) OVER w AS attempted, sum((status = 'http_error')::INT) OVER w::BIGINT AS failed FROM events_log
-WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""".replace("OVER w::BIGINT", "OVER w"))
+@query(f"""WITH {EVENTS} SELECT run_id, event_id, count(*) OVER w AS attempted, (sum((status = 'http_error')::INT) OVER w)::BIGINT AS failed FROM events_log
+WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING)""")
 def abort_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = health.health(event_log(spark, sf_dir), ["run_id"], ["ts", "event_id"])
     return rows.select("run_id", "event_id", "attempted", "failed")
 
 
-@query(f"""WITH {EVENTS}, r AS (SELECT run_id, event_id, count(*) OVER w AS n, sum((status = 'http_error')::INT) OVER w AS f, ts,
-  status = 'http_error' AND coalesce(lag(status, 1) OVER o, '') = 'http_error' AS two FROM events_log
-  WINDOW w AS (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY run_id ORDER BY seq))
-SELECT run_id, 'aborted_error_rate' AS outcome, min_by(event_id, (ts, event_id)) AS event_id FROM r WHERE n >= 20 AND f > 0.5 * n GROUP BY run_id""")
+_SICK = EVENTS.replace("event_type = 'error'", "event_type IN ('error', 'view', 'click')")
+
+
+@query(f"""WITH {_SICK}, islands AS (SELECT *, sum((status <> 'http_error')::INT) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM events_log),
+r AS (SELECT run_id, seq, event_id, sum((status = 'http_error')::INT) OVER (PARTITION BY run_id, island ORDER BY seq ROWS UNBOUNDED PRECEDING) AS n,
+  seq AS attempted, sum((status = 'http_error')::INT) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS failed FROM islands),
+armed AS (SELECT *, CASE WHEN n >= 10 THEN 'aborted_host_unhealthy' WHEN attempted >= 20 AND failed > 0.5 * attempted THEN 'aborted_error_rate' END AS outcome FROM r)
+SELECT run_id, min_by(outcome, seq) AS outcome, min_by(event_id, seq) AS event_id FROM armed WHERE outcome IS NOT NULL GROUP BY run_id""")
 def abort_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first abort that each run arms; runs of these tables have no ten failures in a row."""
-    rows = health.first_abort(event_log(spark, sf_dir), ["run_id"], ["ts", "event_id"])
+    """The first abort that each run arms, when three of five kinds of events count as failures."""
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "ts", "event_id", F.when(F.col("event_type").isin("error", "view", "click"), "http_error").otherwise("ok").alias("status"))
+    rows = health.first_abort(log, ["run_id"], ["ts", "event_id"])
     return rows.select("run_id", "outcome", F.col("at.event_id").alias("event_id"))
 
 
