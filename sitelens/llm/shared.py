@@ -1,20 +1,17 @@
-"""What several operators of this subpackage need: shared storage, words, hashes."""
+"""What several operators of this subpackage need: words, their hashes, and the library's shared storage."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
 
-#: Directory that holds the package, for Python workers.
-ROOT = str(Path(__file__).resolve().parents[2])
+from sitelens.storage import shared_dir, ship, stored, table
+
+__all__ = ["LOWER", "LOWER_ALNUM", "WordHashes", "as_bytes", "chunks", "flat_words", "shared_dir", "shingle_hashes", "ship", "stored", "table"]
+
 #: Bytes of text that a Python worker breaks into words at once.
 CHUNK_BYTES = 4 << 20
 #: Words whose hashes a worker keeps; the table starts anew beyond it.
@@ -27,39 +24,6 @@ LOWER_ALNUM = bytes(
 )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests on one machine), a temporary folder of this machine is taken.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), f"sitelens-checkpoints-{os.getuid()}")
-        os.makedirs(base, exist_ok=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/sitelens-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}-{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if ROOT not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, paths) if x)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 class WordHashes(dict):
     """XXH64 of each word, computed once for as long as it is kept."""
 
