@@ -110,7 +110,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
     return posterior
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0, rounds: int = 15) -> tuple[np.ndarray, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.2, rounds: int = 15) -> tuple[np.ndarray, float]:
     """Weights and bias by Newton steps; y may be soft."""
     x1 = np.concatenate([x, np.ones((len(x), 1))], 1).astype(float)
     w = np.zeros(x1.shape[1])
