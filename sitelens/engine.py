@@ -61,7 +61,7 @@ def report(
     own = parsed.join(reached, "url", "left_semi")
     known = U.canonical("/.well-known/security.txt", target.url)[0]
     documents = snapshot.fetched(routes, ["text/plain"]).where((F.col("url") == known) & F.col("status").isNull())
-    found = _candidates(own).unionByName(discovery.security_txt(documents.select("url", "text", "fetched_at")))
+    found = extract.all_extractors(own).unionByName(discovery.security_txt(documents.select("url", "text", "fetched_at")))
     accepted = stored(aggregate.accepted(found, settings.phone_region), "accepted")
     counts = accepted.groupBy(F.col("source_url").alias("url")).agg(F.count("*").cast("int").alias("n"))
     log = log.join(counts, "url", "left").join(pages.select("url", "status_code", "content_type"), "url", "left")
@@ -78,22 +78,13 @@ def report(
     return Report(head, stored(aggregate.findings(accepted, store=False), "findings"), stored(page_log, "page_log"))
 
 
-def _candidates(parsed: DataFrame) -> DataFrame:
-    found = extract.facts(parsed)
-    text = parsed.select("url", "fetched_at", F.col("parsed.visible_text").alias("visible_text"))
-    out = extract.structured_data(found)
-    for part in (extract.semantic_html(found), extract.technology(parsed, found), extract.text_heuristics(text), extract.deobfuscated(text)):
-        out = out.unionByName(part)
-    return extract.barrier(out.select(extract.CANDIDATE))
-
-
 def corpus_findings(pages: DataFrame, region: str = C.DEFAULT_REGION) -> DataFrame:
     """Findings of every site of a corpus of pages (schemas.FETCHED_PAGE): one row for each (site, field, dedup_value).
 
     The parse is stored once, as six extractors read it; sites never meet in one task.
     """
     parsed = stored(extract.parse_pages(pages), "parsed")
-    rows = aggregate.accepted(_candidates(parsed), region)
+    rows = aggregate.accepted(extract.all_extractors(parsed), region)
     return aggregate.findings(rows.withColumn("dedup_value", F.concat_ws("\n", U.scope_host(F.col("source_url")), "dedup_value"))).select(
         F.split_part("dedup_value", F.lit("\n"), F.lit(1)).alias("site"), *[c for c in ("field", "value", "extraction_confidence", "page_support", "occurrence_count", "first_seen_url", "metadata", "provenance")]
     )

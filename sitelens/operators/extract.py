@@ -14,6 +14,7 @@ from sitelens import dims
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
 from sitelens.functions.html import with_parsed
+from sitelens.storage import stored
 
 _EMPTY = "CAST(map() AS map<string,string>)"
 CANDIDATE = ["field", "raw_value", "source_url", "collected_at", "extraction_layer", "metadata", "seq"]
@@ -113,27 +114,49 @@ def technology(parsed: DataFrame, found: DataFrame) -> DataFrame:
     return _stamped(rows, "semantic_html", 2 << 20)
 
 
-def _matches(rows: DataFrame, text: str, field: str, pattern: str, group: int, offset: int, metadata: Column | None = None) -> DataFrame:
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))
-    out = rows.where(F.col(text).isNotNull()).select("url", "fetched_at", F.posexplode(found).alias("at", "raw_value"))
-    return out.select("url", "fetched_at", (F.col("at") + offset).alias("seq"), F.lit(field).alias("field"), "raw_value", (F.expr(_EMPTY) if metadata is None else metadata).alias("metadata"))
+_MATCH = "array<struct<seq int, field string, raw_value string, metadata map<string,string>>>"
+#: Once inside a run of address characters that no address begins, later starts in the run cannot match either, so
+#: matching starts at the run's first character or where the last match ended, and never gives a character back.
+_START = rf"(?:\G|(?<!{C.LOCAL_PART[:-1]}))"
+
+
+def _from_run_start(pattern: str) -> str:
+    """The same matches as `pattern`, which begins with a local part, found in linear time."""
+    return _START + C.LOCAL_PART + "+" + pattern.removeprefix(C.LOCAL_PART)
+
+
+def _found(text: Column, field: str, pattern: str, group: int, offset: int, metadata: Column | None = None, only_if: Column | None = None) -> Column:
+    """All matches of a pattern as structs; where only_if is false there are none, and none are looked for."""
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if only_if is not None:
+        values = F.when(only_if, values).otherwise(F.array().cast("array<string>"))
+    of = F.expr(_EMPTY) if metadata is None else metadata
+    return F.transform(values, lambda x, i: F.struct((i + offset).alias("seq"), F.lit(field).alias("field"), x.alias("raw_value"), of.alias("metadata"))).cast(_MATCH)
 
 
 def text_heuristics(rows: DataFrame, text: str = "visible_text") -> DataFrame:
-    """What prose may yield because it validates itself: emails, phones, company identifiers."""
-    block = 1 << 16
+    """What prose may yield because it validates itself: emails, phones, company identifiers. One pass over the text."""
+    block, t = 1 << 16, F.col(text)
     parts = [
-        _matches(rows, text, "email", C.EMAIL, 0, 0),
-        _matches(rows, text, "phone", C.PHONE, 0, block),
-        _matches(rows, text, "company_identifier", C.RCS, 1, 2 * block, F.create_map(F.lit("scheme"), F.lit("rcs"))),
-        _matches(rows, text, "company_identifier", C.SIRET, 0, 3 * block),
-        _matches(rows, text, "company_identifier", C.SIREN, 0, 4 * block),
-        _matches(rows, text, "company_identifier", C.VAT, 0, 5 * block),
+        _found(t, "email", _from_run_start(C.EMAIL), 0, 0, only_if=t.contains("@")),
+        _found(t, "phone", C.PHONE, 0, block, only_if=t.rlike("[0-9]")),
+        _found(t, "company_identifier", C.RCS, 1, 2 * block, F.create_map(F.lit("scheme"), F.lit("rcs")), only_if=t.rlike("(?i)rcs")),
+        _found(t, "company_identifier", C.SIRET, 0, 3 * block, only_if=t.rlike("[0-9]{3}")),
+        _found(t, "company_identifier", C.SIREN, 0, 4 * block, only_if=t.rlike("[0-9]{3}")),
+        _found(t, "company_identifier", C.VAT, 0, 5 * block),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return _stamped(out, "text_heuristic", 3 << 20)
+    return _exploded(rows, parts, text, "text_heuristic", 3 << 20)
+
+
+def emails_in_text(rows: DataFrame, text: str = "visible_text") -> DataFrame:
+    """The emails of text_heuristics() alone."""
+    return _exploded(rows, [_found(F.col(text), "email", _from_run_start(C.EMAIL), 0, 0)], text, "text_heuristic", 3 << 20, F.col(text).contains("@"))
+
+
+def _exploded(rows: DataFrame, parts: list[Column], text: str, layer: str, offset: int, where: Column | None = None) -> DataFrame:
+    found = rows.where(F.col(text).isNotNull() if where is None else where)
+    found = found.select("url", "fetched_at", F.explode(F.concat(*parts)).alias("m")).select("url", "fetched_at", "m.*")
+    return _stamped(found, layer, offset)
 
 
 def deobfuscate(candidate: Column) -> Column:
@@ -146,15 +169,16 @@ def deobfuscate(candidate: Column) -> Column:
 
 
 def deobfuscated(rows: DataFrame, text: str = "visible_text") -> DataFrame:
-    found = _matches(rows, text, "email", C.OBFUSCATED, 0, 0)
+    t = F.col(text)
+    spelled = t.rlike(r"(?i:[\[(]\s*at\s*[\])])|\sAT\s|[＠﹫]")
+    found = rows.where(spelled).select("url", "fetched_at", F.explode(_found(t, "email", _from_run_start(C.OBFUSCATED), 0, 0)).alias("m")).select("url", "fetched_at", "m.*")
     found = found.withColumn("metadata", F.create_map(F.lit("obfuscated_as"), F.left(F.trim("raw_value"), F.lit(C.MAX_RAW))))
     found = found.withColumn("raw_value", deobfuscate(F.col("raw_value"))).where("raw_value IS NOT NULL")
     return _stamped(found, "text_heuristic_deobfuscated", 4 << 20)
 
 
-def candidates(pages: DataFrame, markup: str = "text") -> DataFrame:
-    """All candidates of pages (url, text, fetched_at, headers): UNION ALL of the six extractors over one parse."""
-    parsed = parse_pages(pages, markup)
+def all_extractors(parsed: DataFrame) -> DataFrame:
+    """UNION ALL of the six extractors over one parse, which callers have stored: every branch reads it again."""
     found = facts(parsed)
     text = parsed.select("url", "fetched_at", F.col("parsed.visible_text").alias("visible_text"))
     out = structured_data(found)
@@ -163,6 +187,11 @@ def candidates(pages: DataFrame, markup: str = "text") -> DataFrame:
     return barrier(out.select(CANDIDATE))
 
 
+def candidates(pages: DataFrame, markup: str = "text") -> DataFrame:
+    """All candidates of pages (url, text, fetched_at, headers). Pages are parsed once; the parse is stored."""
+    return all_extractors(stored(parse_pages(pages, markup), "parsed"))
+
+
 def barrier(rows: DataFrame) -> DataFrame:
     """Keep Catalyst from copying what follows into every branch of the union below.
 
