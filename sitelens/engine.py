@@ -55,7 +55,8 @@ def report(
     links = parsed.select(F.col("url").alias("src"), F.posexplode("parsed.links").alias("at", "raw")).withColumn("to", U.canonicalize(F.col("raw"), F.col("src")))
     links = stored(links.select("src", "at", "raw", F.col("to.url").alias("dst"), F.col("to.reason").alias("reason"), F.col("to.detail").alias("detail")), "links")
     statuses = pages.where("status IS NOT NULL").select("url", "status").unionByName(parsed.select("url", "status"))
-    run = crawl.exact(links, statuses, target, settings)
+    documents, discovered = _discovery(routes, policy, target, settings)
+    run = crawl.exact(links, statuses, target, settings, documents=documents, discovered=discovered)
     log = spark.createDataFrame([(*r, i) for i, r in enumerate(run.log)], "url string, depth int, status string, detail string, seq int")
     reached = log.where(F.col("status").isin(*C.FETCHED)).select("url")
     own = parsed.join(reached, "url", "left_semi")
@@ -78,6 +79,30 @@ def report(
     return Report(head, stored(aggregate.findings(accepted, store=False), "findings"), stored(page_log, "page_log"))
 
 
+def _discovery(routes: DataFrame, policy: DataFrame | None, target: Target, settings: Settings) -> tuple[list[tuple[str, str]], list[tuple[str, str | None]]]:
+    """Discovery documents with their status, and gated URLs of sitemaps: at most five documents of 500 URLs."""
+    spark = routes.sparkSession
+    site = U.canonical("/", target.url)[0].rstrip("/")
+    declared: list[str] = []
+    if policy is not None:
+        rows = policy.where(F.col("host_key") == site).select(robots.sitemaps(F.col("body").cast("string")).alias("s")).limit(1).collect()
+        declared = [u for r in rows for u in r["s"] or []]
+    seeds = discovery.seeds(target.url, declared)
+    wanted = [u for u, kind in seeds if kind == "security_txt" or settings.follow_sitemap]
+    plain = snapshot.fetched(routes, ["text/plain"]).where(F.col("url") == seeds[0][0])
+    security = plain.select("url", F.coalesce("status", discovery.security_txt_status(F.col("text")), F.lit("ok")).alias("status"))
+    xml = snapshot.fetched(routes, ["application/xml", "text/xml", "text/plain"], C.MAX_SITEMAP)
+    read = stored(discovery.sitemap_locations(xml.where("status IS NULL").select("url", "text")).select("url", "text", "kind", "status"), "sitemaps")
+    listed = spark.createDataFrame([(u, i) for i, u in enumerate(wanted[1:])], "url string, at int") if settings.follow_sitemap else None
+    status = {r["url"]: r["status"] for r in security.collect()}
+    if listed is None:
+        return [(u, status.get(u, "http_error")) for u in wanted], []
+    status |= {r["url"]: r["status"] or "no_findings" for r in read.join(F.broadcast(listed), "url", "left_semi").select("url", "status").collect()}
+    urls = discovery.sitemap_urls(listed, read.select("url", "text")).select(U.canonicalize(F.col("url"), F.lit(target.url)).alias("c"))
+    gated = urls.select(F.col("c.url").alias("url"), crawl.gate(F.col("c.url"), F.col("c.reason"), F.lit(C.SITEMAP_DEPTH), target, settings).alias("gate"))
+    return [(u, status.get(u, "http_error")) for u in wanted[: C.MAX_SITEMAPS + 1]], [(r["url"], r["gate"]) for r in gated.distinct().orderBy("url").collect()]
+
+
 def corpus_findings(pages: DataFrame, region: str = C.DEFAULT_REGION) -> DataFrame:
     """Findings of every site of a corpus of pages (schemas.FETCHED_PAGE): one row for each (site, field, dedup_value).
 

@@ -9,6 +9,7 @@ link table in batches of the next URLs in the queue.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,11 +167,16 @@ class Crawl:
     request_slots: int = 0
 
 
-def exact(links: DataFrame, statuses: DataFrame, target: Target, settings: Settings, robots_denied: frozenset[str] = frozenset()) -> Crawl:
+def exact(
+    links: DataFrame, statuses: DataFrame, target: Target, settings: Settings, robots_denied: frozenset[str] = frozenset(), documents: list[tuple[str, str]] | None = None,
+    discovered: list[tuple[str, str | None]] | None = None, cancelled: Callable[[], bool] = lambda: False,
+) -> Crawl:
     """The log of a one-worker crawl in claim order.
 
     statuses: (url, status) of what fetching each URL of the snapshot gives; a URL without row is a transport error.
-    High-value paths go to the front of the queue. Aborts follow health.py's rules.
+    documents: (url, status) of security.txt and sitemaps, asked for after the seed, each for one unit of the budget.
+    discovered: (url, gate) that sitemaps list, queued at depth one. High-value paths go to the front of the queue.
+    Aborts follow health.py's rules; cancelled() is asked between pages.
     """
     gated = links.select("src", "at", "dst", "detail", gate(F.col("dst"), F.col("reason"), F.lit(-1), target, settings).alias("gate"))
     known: dict[str, tuple[str, list[tuple]]] = {}
@@ -187,6 +193,21 @@ def exact(links: DataFrame, statuses: DataFrame, target: Target, settings: Setti
             logged.add(url)
             crawl.log.append((url, depth, status, detail))
 
+    def enqueue(out: list[tuple], depth: int) -> None:
+        nonlocal depth_limited, budget_hit
+        for dst, stop, detail in out:
+            if stop == "drop" or stop is None and (dst in visited or dst in queued):
+                continue
+            if stop is None and depth > settings.max_depth:
+                stop, depth_limited = "skipped_depth", True
+            if stop is None and crawl.request_slots >= settings.max_pages:
+                stop, budget_hit = "skipped_budget", True
+            if stop is not None:
+                record(dst, depth, stop, detail)
+            else:
+                queued.add(dst)
+                (queue.appendleft if U.is_high_value_url(dst) else queue.append)((dst, depth))
+
     def load() -> None:
         wanted = [u for u, _ in list(queue)[:BATCH] if u not in known]
         for u in wanted:
@@ -197,6 +218,9 @@ def exact(links: DataFrame, statuses: DataFrame, target: Target, settings: Setti
             known[r["src"]][1].append((r["dst"], r["gate"], r["detail"]))
 
     while queue:
+        if cancelled():
+            crawl.outcome = "stopped_by_operator"
+            return crawl
         if crawl.request_slots >= settings.max_pages:
             budget_hit = True
             break
@@ -227,20 +251,20 @@ def exact(links: DataFrame, statuses: DataFrame, target: Target, settings: Setti
                 crawl.outcome = "aborted_error_rate"
             if crawl.outcome != "completed":
                 return crawl
-        if status not in C.FETCHED:
-            continue
-        for dst, stop, detail in out:
-            if stop == "drop" or stop is None and (dst in visited or dst in queued):
-                continue
-            if stop is None and depth + 1 > settings.max_depth:
-                stop, depth_limited = "skipped_depth", True
-            if stop is None and crawl.request_slots >= settings.max_pages:
-                stop, budget_hit = "skipped_budget", True
-            if stop is not None:
-                record(dst, depth + 1, stop, detail)
-            else:
-                queued.add(dst)
-                (queue.appendleft if U.is_high_value_url(dst) else queue.append)((dst, depth + 1))
+        if status in C.FETCHED:
+            enqueue(out, depth + 1)
+        if url == target.url and depth == 0:
+            for document, found in documents or []:
+                if document in visited:
+                    continue
+                if crawl.request_slots >= settings.max_pages:
+                    record(document, 0, "skipped_budget")
+                    budget_hit = True
+                    continue
+                visited.add(document)
+                crawl.request_slots += 1
+                record(document, 0, found)
+            enqueue([(u, g, None) for u, g in discovered or []], C.SITEMAP_DEPTH)
     if budget_hit:
         crawl.outcome = "budget_exhausted"
         for url, depth in queue:

@@ -22,6 +22,8 @@ ROUTES = [
     (BASE + "/team", "<div class='h-card'><span class='p-name'>Zoé Martin</span></div> info@mini.example".encode(), 200, HTML),
     (BASE + "/private/x", b"<p>secret@mini.example</p>", 200, HTML),
     (BASE + "/data", b'{"json": true}', 200, HTML),
+    (BASE + "/map.xml", b"<urlset><loc>https://mini.example/hidden</loc><loc>https://else.example/</loc></urlset>", 200, "application/xml"),
+    (BASE + "/hidden", b"<p>hidden@mini.example</p>", 200, HTML),
     (BASE + "/.well-known/security.txt", b"Contact: mailto:sec@mini.example\n", 200, "text/plain"),
 ]
 
@@ -29,13 +31,14 @@ ROUTES = [
 @pytest.fixture(scope="module")
 def made(spark):
     routes = spark.createDataFrame([(u, b, s, t, None, {"Server": "nginx"}) for u, b, s, t in ROUTES], schemas.ROUTE).withColumn("fetched_at", F.lit(AT))
-    policy = spark.createDataFrame([(BASE, 200, b"User-agent: *\nDisallow: /private\n", None, AT)], schemas.ROBOTS)
+    policy = spark.createDataFrame([(BASE, 200, b"User-agent: *\nDisallow: /private\nSitemap: https://mini.example/map.xml\n", None, AT)], schemas.ROBOTS)
     return engine.report(routes, policy, Target("mini.example"), Settings(), Purpose("self_audit"), "me@e.org", now=AT.replace(tzinfo=datetime.UTC), run_id="r-1")
 
 
 def test_run(made):
     log = {r["url"].removeprefix(BASE): (r["depth"], r["status"], r["findings_count"]) for r in made.pages.collect()}
-    assert log == {"/": (0, "ok", 3), "/contact": (1, "ok", 3), "/team": (1, "ok", 3), "/private/x": (1, "skipped_robots", 0), "https://github.com/mini": (1, "skipped_off_scope", 0), "/doc.pdf": (1, "skipped_extension", 0), "/data": (1, "parse_error", 0)}
+    assert log == {"/": (0, "ok", 3), "/contact": (1, "ok", 3), "/team": (1, "ok", 3), "/private/x": (1, "skipped_robots", 0), "https://github.com/mini": (1, "skipped_off_scope", 0), "/doc.pdf": (1, "skipped_extension", 0), "/data": (1, "parse_error", 0),
+                   "/.well-known/security.txt": (0, "ok", 1), "/map.xml": (0, "no_findings", 0), "/hidden": (1, "ok", 2), "https://else.example/": (1, "skipped_off_scope", 0)}
     got = {(r["field"], r["value"]): (r["extraction_confidence"], r["page_support"], r["occurrence_count"]) for r in made.findings.collect()}
     assert got["email", "info@mini.example"] == (0.75, 2, 3) and got["email", "sec@mini.example"] == (0.95, 1, 1)
     assert got["person_name", "Zoé Martin"] == (0.75, 1, 1) and ("social_profile", "https://github.com/mini") in got and ("technology", "Gen") in got
@@ -68,7 +71,7 @@ def test_views(spark, made):
     assert rows["info@mini.example"]["extraction"] == "semantic_html" and "Seen on 2 page(s), 3 observation(s)" in rows["info@mini.example"]["tooltip"] and "email_kind: role" in rows["info@mini.example"]["tooltip"]
     pages = views.page_rows(health.numbered(made.pages, order=["depth", "url"])).orderBy("number").collect()
     assert pages[0]["url"] == BASE + "/" and {p["severity"] for p in pages} == {"info", "warning", "error"}
-    assert views.summary(made.pages, "r-1", 7, 5).first()[0] == "Run r-1 · 7 findings · 3 pages fetched, 3 skipped, 1 failed · 5 requests"
+    assert views.summary(made.pages, "r-1", 7, 5).first()[0] == "Run r-1 · 7 findings · 6 pages fetched, 4 skipped, 1 failed · 5 requests"
     one = spark.range(1)
     line = lambda s, n: one.select(views.status_line(F.lit(s), F.lit(3), F.lit(9), F.lit(n))).first()[0]
     assert [line("idle", 0), line("running", 0), line("done", 1), line("done", 2)] == ["Idle", "Crawling: 3/9 pages", "Completed: 1 finding", "Completed: 2 findings"]
