@@ -228,10 +228,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return fit_trees(rows[names].to_numpy(float), y, list(FEATURES.values()))
 
 
-def score_quality(docs: DataFrame, model: Trees | None, keep_at: float = KEEP_AT) -> DataFrame:
-    """Add the statistics, base_failed, quality (probability) and kept to every row; other columns stay."""
+def score_quality(docs: DataFrame, model: Trees | None, keep_at: float = KEEP_AT, prefix: str = "") -> DataFrame:
+    """Add the statistics, base_failed, quality (probability) and kept to every row, their names after the prefix.
+
+    Columns that have such a name are replaced; all others stay.
+    """
     ship(docs.sparkSession)
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
+    new = [prefix + n for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")]
     clash = [c for c in docs.columns if c.lower() in new]
     docs = docs.drop(*clash)
     kinds = ["long"] * 5 + ["boolean", "double", "boolean"]
@@ -253,8 +256,8 @@ def score_quality(docs: DataFrame, model: Trees | None, keep_at: float = KEEP_AT
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents that the rules keep, with their own columns."""
-    return score_quality(docs, fit(docs, labels)).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that the rules keep, with their own columns and values."""
+    return score_quality(docs, fit(docs, labels), prefix="__").where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

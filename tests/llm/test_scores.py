@@ -79,7 +79,7 @@ def test_quality_defined_cases(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, quality int")
     assert quality.fit(docs, labels) is None
     kept = quality.quality_filter(docs, labels)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and all(r["kept"] for r in kept.where("doc_id IS NOT NULL").collect())
 
 
 def auc(score, label):

@@ -250,3 +250,35 @@ def test_pipeline_stages_take_effect(spark, sf_dir):
     assert sizes[0] > sizes[1] >= sizes[2] > sizes[3] >= sizes[4] > 0
     packed = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_every_stage_takes_odd_tables(spark, sf_dir):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns; then no rows at all."""
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(1, None, None, None, None, 1), (2, "", "en", "s", 0, 2), (3, long, "en", "s", len(long), 3), (3, long, "en", "s", len(long), 3), (4, long + " end", None, "t", 5, 4), (None, long, "en", None, None, 5), (None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept long, n_lines long, bin_id long, shard long".rsplit(", ", 3)[0]
+    docs = spark.createDataFrame(rows, schema)
+    for start in (docs, docs.limit(0)):
+        out = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, sf_dir)
+            assert out.columns == docs.columns, name
+        left = sorted((r["doc_id"] or 0, r["kept"]) for r in out.collect())
+        assert left == ([(0, 5), (3, 3)] if start is docs else [])
+        packed = corpus_pipeline.STAGES[-1][1](spark, out, sf_dir)
+        assert packed.agg({"n_tokens": "sum"}).first()[0] == (2 * 40_001 if start is docs else None)
+
+
+def test_every_query_takes_odd_documents(spark, tmp_path):
+    from sitelens.llm import queries
+
+    rows = [(1, None, None, None), (2, "", "en", "s"), (None, "one two three four five six seven eight nine ten eleven", None, None), (4, "same text here", "en", "s"), (4, "same text here", "en", "s")]
+    for k, kept in enumerate((rows, [])):
+        at = f"{tmp_path}/{k}"
+        spark.createDataFrame(kept, "doc_id long, text string, lang string, source string").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(r[0], None, None) for r in kept], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(r[0], r[1]) for r in kept], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+        spark.createDataFrame([(r[0], r[2], r[1]) for r in kept], "page_id long, url string, html string").write.parquet(f"{at}/pages.parquet")
+        for name, query in queries.QUERIES.items():
+            n = query(spark, at).count()
+            assert n == len(kept) or name.startswith("op6"), name
