@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """n_chars follows the text. A document that was boilerplate alone is left with an empty text and stays."""
     columns = docs.columns
-    kept = drop_lines(docs)
+    kept = drop_lines(docs, counts=False)
     if "n_chars" in columns:
         kept = kept.selectExpr(*[f"CAST(length(text) AS {docs.schema['n_chars'].dataType.simpleString()}) AS n_chars" if c == "n_chars" else f"`{c}`" for c in columns])
     return kept.select(*[f"`{c}`" for c in columns])
