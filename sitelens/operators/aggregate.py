@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens import constants as C
@@ -20,11 +22,17 @@ def layer_policy(candidates: DataFrame) -> DataFrame:
     return candidates.join(F.broadcast(dims.allowed(candidates.sparkSession)), ["field", "extraction_layer"], "left_semi")
 
 
-def validate(candidates: DataFrame, region: str = C.DEFAULT_REGION) -> DataFrame:
-    """Adds struct `validated`, null where the value is rejected; only names pass through fold()."""
+def validate(candidates: DataFrame, region: str = C.DEFAULT_REGION, more: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Adds struct `validated`, null where the value is rejected; only names pass through fold().
+
+    more: validators of other fields or in place of the built-in ones, from the raw value to validate.VALIDATED.
+    """
     names = F.when(F.col("field").isin("person_name", "organization_name"), F.col("raw_value"))
     rows = candidates.withColumn("_folded", T.fold(names))
-    return rows.withColumn("validated", V.validated(F.col("field"), F.col("raw_value"), F.col("metadata"), F.col("_folded"), region)).drop("_folded")
+    result = V.validated(F.col("field"), F.col("raw_value"), F.col("metadata"), F.col("_folded"), region)
+    for field, validator in (more or {}).items():
+        result = F.when(F.col("field") == field, validator(F.col("raw_value"))).otherwise(result)
+    return rows.withColumn("validated", result).drop("_folded")
 
 
 def accepted(candidates: DataFrame, region: str = C.DEFAULT_REGION) -> DataFrame:

@@ -6,6 +6,8 @@ text, rewritten text. `seq` carries it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,13 +179,18 @@ def deobfuscated(rows: DataFrame, text: str = "visible_text") -> DataFrame:
     return _stamped(found, "text_heuristic_deobfuscated", 4 << 20)
 
 
-def all_extractors(parsed: DataFrame) -> DataFrame:
-    """UNION ALL of the six extractors over one parse, which callers have stored: every branch reads it again."""
+def all_extractors(parsed: DataFrame, more: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
+    """UNION ALL of the six extractors over one parse, which callers have stored: every branch reads it again.
+
+    more: further extractors, functions from the parse to candidates (schemas.CANDIDATE).
+    """
     found = facts(parsed)
     text = parsed.select("url", "fetched_at", F.col("parsed.visible_text").alias("visible_text"))
     out = structured_data(found)
     for part in (semantic_html(found), technology(parsed, found), text_heuristics(text), deobfuscated(text)):
         out = out.unionByName(part)
+    for extractor in more:
+        out = out.unionByName(extractor(parsed).select(CANDIDATE))
     return barrier(out.select(CANDIDATE))
 
 

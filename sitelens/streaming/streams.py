@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -107,6 +107,11 @@ def spacing(requests: DataFrame, interval: float) -> DataFrame:
     return rows.groupBy("host").applyInPandasWithState(step, "host string, seq long, arrival double, start double", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
+def observed(frontier: DataFrame, name: str | Observation) -> DataFrame:
+    """The rows as they are, with the size and the deepest depth of the frontier as metrics of each batch or run."""
+    return frontier.observe(name, F.count(F.lit(1)).alias("queued"), F.max("depth").alias("deepest"))
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str = "append", **options: str) -> DataFrame:
     """Everything that is available now, through a memory sink; for checks and small live tables."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).options(**options).trigger(availableNow=True).start()

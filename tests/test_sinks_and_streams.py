@@ -8,6 +8,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sitelens import constants as C
@@ -170,3 +171,13 @@ def test_stream_findings_and_dedup(spark, tmp_path):
     assert got == want
     once = streams.run_to_memory(streams.once(streamed(spark, tmp_path / "d", accepted), ["source_url"]), "once")
     assert once.count() == 5
+
+
+def test_frontier_metrics_and_extensions(spark):
+    seen = Observation("frontier")
+    streams.observed(spark.createDataFrame([("a", 1), ("b", 3)], "url string, depth int"), seen).count()
+    assert seen.get == {"queued": 2, "deepest": 3}
+    rows = spark.createDataFrame([("email", "x", "https://e.org/", AT, "text_heuristic", {}, 0), ("email", "yy", "https://e.org/", AT, "text_heuristic", {}, 1)], schemas.CANDIDATE)
+    short = lambda c: F.when(F.length(c) == 1, F.struct(c.alias("value"), c.alias("dedup_value"), F.expr("CAST(map() AS map<string,string>)").alias("metadata")))
+    got = aggregate.validate(rows, more={"email": short}).orderBy("seq").collect()
+    assert [r["validated"] and r["validated"]["value"] for r in got] == ["x", None]
