@@ -59,7 +59,7 @@ _ARRIVALS = "a AS (SELECT user_id AS host, event_id, epoch_us(ts) AS arrival, ro
 @query(f"WITH {_ARRIVALS} SELECT host, event_id, max(arrival - i * 60000000) OVER (PARTITION BY host ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 60000000 AS start FROM a")
 def request_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each request may begin if a host wants a minute between two, in microseconds."""
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), "ts", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("arrival"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), "ts", "event_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("arrival"))
     return health.request_starts(rows, 60_000_000, order=["ts", "event_id"]).select("host", "event_id", "start")
 
 
@@ -172,5 +172,5 @@ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS U
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def extra_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extra: session windows."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id", F.session_window(F.col("ts").cast("timestamp"), "30 minutes").alias("w")).agg(F.count("*").alias("n"))
-    return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    rows = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return rows.select("user_id", F.col("w.start").alias("start"), "n")
