@@ -3,8 +3,9 @@
 Documents are grouped by host. A line's ratio is the number of the host's pages that contain it over the host's
 page total; lines above a boilerplate ratio are dropped from every page of that host.
 
-Copies of one page are one page: pages of a host whose longest lines are equal count once, in both numbers. Else a
-page copied a thousand times would make boilerplate of its own content, and deleting it would lose the content.
+Copies of one page are one page: pages of a host with the same set of lines count once, in both numbers. Else a
+page copied a thousand times would make boilerplate of its own content, and deleting it would lose the content. Pages
+that differ in any line are different pages, however long the lines they share.
 
 Only (host, line hash, page hash) triples are shuffled, made distinct before the shuffle; texts never move. The lines
 to drop are at most lines-per-page / max_ratio for each host. While they are few they are broadcast, one array for a
@@ -41,9 +42,8 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_r
     pages = docs.select(F.col(host).alias("host"), F.expr(_lines(f"`{text}`")).alias("lines")).where("size(lines) > 0")
     pages = pages.select(
         "host",
-        F.expr("array_distinct(transform(lines, x -> xxhash64(x)))").alias("hashes"),
-        F.expr("xxhash64(array_max(transform(lines, x -> struct(length(x) AS n, x AS line))).line)").alias("page"),
-    )
+        F.expr("array_sort(array_distinct(transform(lines, x -> xxhash64(x))))").alias("hashes"),
+    ).withColumn("page", F.expr("xxhash64(hashes)"))
     host_pages = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
     seen = pages.select("host", "page", F.explode("hashes").alias("line_hash")).distinct()
     counts = seen.groupBy("host", "line_hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)

@@ -185,3 +185,12 @@ def test_line_dedup_defined_cases(spark, broadcast_rows):
     assert got[100]["text"] == rows[14][1] and got[100]["n_dropped"] == 0
     empty = line_dedup.drop_lines(frame(spark, []))
     assert empty.count() == 0 and empty.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_a_common_line_that_is_the_longest_of_its_pages_is_dropped(spark):
+    licence = prose(1, 60)
+    rows = [(i, f"Own sentence {i}.\n{licence}\nmenu", "a") for i in range(40)]
+    got = line_dedup.drop_lines(frame(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in got) == [(i, f"Own sentence {i}.", 2) for i in range(40)]
+    counted = line_dedup.boilerplate(frame(spark, rows)).collect()
+    assert sorted((r["pages"], r["host_pages"]) for r in counted) == [(40, 40), (40, 40)]
