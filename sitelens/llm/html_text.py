@@ -7,8 +7,8 @@ footers, sidebars, notices, adverts, forms, scripts, styles or reader comments.
 <main>, else the body) is the text: a line for each block, white space in it made one space.
 
 Paragraphs, headings and list items of an article are content even if other pages have them too; in there only boxes
-(div, section, list, table and so on) can be templates. Copies of one page count once: pages of a host whose longest
-blocks are equal are one page.
+(div, section, list, table and so on) can be templates. Copies of one page count once: pages of a host whose blocks
+are all equal are one page; pages that differ in any block are different pages, however long the blocks they share.
 
 Only (host, subtree hash, page hash) triples are shuffled, made distinct before. The templates of a host are at most
 its elements-per-page / min_share. While all templates are few they are broadcast, one array for a host; beyond that
@@ -254,7 +254,7 @@ def site_templates(pages: DataFrame, html_column: str = "html", url: str = "url"
                 parts: list[list[str]] = [[]]
                 for main in mains:
                     blocks(main, marked, set(), parts)
-                page = xxhash.xxh64_intdigest(max(joined(parts), key=lambda x: (len(x), x), default="")) >> 1
+                page = xxhash.xxh64_intdigest("\n".join(joined(parts))) >> 1
                 may = set(hash_subtrees(root, mains if marked else []))
                 may.add(0)  # stands for the page itself
                 hashes += may

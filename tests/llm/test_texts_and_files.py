@@ -129,6 +129,14 @@ def test_recurring_subtrees_are_removed(spark, broadcast_rows):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_a_box_longer_than_the_rest_of_its_pages_is_removed(spark):
+    box = "<div id='x7'><p>" + "terms and conditions apply to all of this " * 10 + "</p></div>"
+    rows = [(i, f"http://short.example.com/{i}", f"<body>{box}<p>own {i}</p><div>see also</div></body>") for i in range(20)]
+    rows += [(100 + i, f"http://articles.example.com/{i}", f"<article><p>own {i}</p>{box}</article>") for i in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {(r["page_id"], r["text"]) for r in html_text.extract_text(pages).collect()} == {(i, f"own {i % 100}") for i, *_ in rows}
+
+
 def test_page_text_equals_the_articles_of_the_data(spark, sf_dir):
     for r in html_text.op5_html_extraction(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = r["html"].partition("<article>")[2].partition("</article>")[0]
