@@ -10,9 +10,12 @@ Paragraphs, headings and list items of an article are content even if other page
 (div, section, list, table and so on) can be templates. Copies of one page count once: pages of a host whose blocks
 are all equal are one page; pages that differ in any block are different pages, however long the blocks they share.
 
-Only (host, subtree hash, page hash) triples are shuffled, made distinct before. The templates of a host are at most
-its elements-per-page / min_share. While all templates are few they are broadcast, one array for a host; beyond that
-they meet the pages in a join on (host, salt).
+A subtree is a template if it is on min_pages pages of its host and either on min_share of them or on min_support: a
+section of a large host has templates of its own, which are on many pages and yet on a small share of them.
+
+Only (host, subtree hash, page hash) triples are shuffled, made distinct before. The templates of a host may be many.
+While all are few they are broadcast, one set for a host that each Python worker keeps; beyond that they meet the pages
+in a join on (host, salt), and of a host's array only what is on the page itself goes on with it.
 
 Defined cases: null and empty html give an empty text; text outside any element counts as body; a null or odd url has
 the host ''; an unfinished tag at the end is dropped; an unknown character reference stays as it is; repeated rows
@@ -23,7 +26,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 import xxhash
@@ -32,9 +36,11 @@ from pyspark.sql import functions as F
 
 from .shared import ship, stored, table
 
-#: An element is a template if it is on at least so many pages of the host and on this share of them.
+#: An element is a template if it is on at least so many pages of the host and on this share of them ...
 MIN_PAGES = 5
 MIN_SHARE = 0.2
+#: ... or on so many pages, whatever their share. It decides on hosts of over MIN_SUPPORT / MIN_SHARE = 250 pages.
+MIN_SUPPORT = 50
 #: (host, hash) rows that are broadcast at most: about 3 MB.
 BROADCAST_ROWS = 200_000
 SALTS = 32
@@ -154,7 +160,7 @@ def parse(text: str) -> Element:
     return root
 
 
-def blocks(element: Element, inside: bool, dropped: set[int], out: list[list[str]]) -> None:
+def blocks(element: Element, inside: bool, dropped: Set[int], out: list[list[str]]) -> None:
     """Append the text of an element, its blocks apart. No recursion deeper than the stack allows: it walks a list."""
     todo: list[tuple[Element | str | None, bool]] = [(element, inside)]
     while todo:
@@ -224,7 +230,7 @@ def hash_subtrees(root: Element, inside_of: list[Element]) -> list[int]:
     return may
 
 
-def main_text(source: str, dropped: set[int]) -> str:
+def main_text(source: str, dropped: Set[int]) -> str:
     root = parse(source)
     mains, marked = articles(root)
     if dropped:
@@ -241,7 +247,7 @@ def host_of(url: str) -> str:
     return f"lower(coalesce(regexp_extract(`{url}`, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''))"
 
 
-def site_templates(pages: DataFrame, html_column: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, html_column: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_support: int = MIN_SUPPORT) -> DataFrame:
     """(host, subtree, pages, host_pages) of the subtrees that recur."""
     ship(pages.sparkSession)
 
@@ -266,35 +272,55 @@ def site_templates(pages: DataFrame, html_column: str = "html", url: str = "url"
     counts = stored(rows.distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(f"subtree = 0 OR pages >= {min_pages}"), "subtrees")
     totals = counts.where("subtree = 0").select(F.col("host").alias("_host"), F.col("pages").alias("host_pages"))
     found = counts.where("subtree <> 0").join(totals, F.col("host") == F.col("_host"))
-    return found.where(F.col("pages") >= min_share * F.col("host_pages")).select("host", "subtree", "pages", "host_pages")
+    return found.where((F.col("pages") >= min_share * F.col("host_pages")) | (F.col("pages") >= min_support)).select("host", "subtree", "pages", "host_pages")
 
 
-def extract_text(pages: DataFrame, html_column: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract_text(
+    pages: DataFrame, html_column: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+    broadcast_rows: int = BROADCAST_ROWS, min_support: int = MIN_SUPPORT,
+) -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
     ship(pages.sparkSession)
-    found = stored(site_templates(pages, html_column, url, min_pages, min_share), "templates")
+    found = stored(site_templates(pages, html_column, url, min_pages, min_share, min_support), "templates")
     few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
-    sets = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("subtree").alias("_subtrees"))
     rows = pages.selectExpr("page_id", f"`{url}` AS url", f"`{html_column}` AS html", f"{host_of(url)} AS host")
     if few:
-        rows = rows.join(F.broadcast(sets), F.col("host") == F.col("_host"), "left")
+        sets = defaultdict(set)
+        for r in found.select("host", "subtree").toLocalIterator():
+            sets[r["host"]].add(r["subtree"])
+        kept = pages.sparkSession.sparkContext.broadcast(dict(sets))
+        rows = rows.select("page_id", "url", "html", "host")
     else:
+        kept = None
+        sets = found.groupBy(F.col("host").alias("_host")).agg(F.collect_set("subtree").alias("_subtrees"))
         salted = sets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.mapInArrow(_own_subtrees, "page_id long, url string, html string, host string, _own array<long>")
         rows = rows.withColumn("_of", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
         rows = rows.join(salted, (F.col("host") == F.col("_host")) & (F.col("_of") == F.col("_salt")), "left")
+        rows = rows.select("page_id", "url", "html", F.array_intersect("_own", "_subtrees").alias("_dropped"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[list[int] | None, set[int]] = (None, set())
         for batch in batches:
             texts = []
-            for source, subtrees in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if subtrees != last[0]:
-                    last = (subtrees, set(subtrees or ()))
-                texts.append(main_text(source or "", last[1]))
+            for source, of in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                dropped = kept.value.get(of, frozenset()) if kept else set(of or ())
+                texts.append(main_text(source or "", dropped))
             lengths = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), lengths], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "_subtrees").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+
+
+def _own_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the hashes of what may be a template in each."""
+    for batch in batches:
+        own = []
+        for source in batch.column(2).to_pylist():
+            root = parse(source or "")
+            mains, marked = articles(root)
+            own.append(hash_subtrees(root, mains if marked else []))
+        columns = [batch.column(0).cast(pa.int64()), *batch.columns[1:], pa.array(own, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "html", "host", "_own"])
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,6 +137,14 @@ def test_a_box_longer_than_the_rest_of_its_pages_is_removed(spark):
     assert {(r["page_id"], r["text"]) for r in html_text.extract_text(pages).collect()} == {(i, f"own {i % 100}") for i, *_ in rows}
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1000])
+def test_templates_of_one_section_of_a_large_host_are_removed(spark, broadcast_rows):
+    rows = [(i, f"http://hot.example.com/{i % 6}/{i}", f"<body><div>sidebar of section {i % 6}</div><p>own {i}</p></body>") for i in range(360)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_text.extract_text(pages, broadcast_rows=broadcast_rows).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == [(i, f"own {i}") for i in range(360)]
+
+
 def test_page_text_equals_the_articles_of_the_data(spark, sf_dir):
     for r in html_text.op5_html_extraction(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = r["html"].partition("<article>")[2].partition("</article>")[0]
