@@ -3,7 +3,8 @@
 Patterns find assignments, access keys and long hexadecimal runs. Candidates that claim to hold an encoded key are
 decoded from base64 or hex and parsed before they are reported: DER private keys by their nested lengths and
 version fields, OpenSSH keys by their magic and length-prefixed strings, signed tokens by their JSON header and claims,
-PEM blocks by what their body decodes to. Unconfirmed candidates add nothing; the patterns' own spans always stay.
+PEM blocks by what their body decodes to. Line ends may be escaped, as in JSON; base64 that is wrapped in lines of one
+length is joined before it is decoded, outside PEM blocks too. Unconfirmed candidates add nothing; the patterns' own spans always stay.
 
 Spans are in code points, ends exclusive. Each text is scanned whole, on its own; nothing is shuffled or collected.
 
@@ -36,6 +37,10 @@ ENCODED_HEX = re.compile(rb"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){32,}(?![0-9A-Za-z])|
 ENCODED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
 TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+ESCAPED_END = re.compile(rb"(?<!\\)\\++[rn]")
+#: A line end, as such or escaped, with the white space around it; and lines of base64 in a row.
+BREAK = re.compile(rb"[\x20\t]*+(?:\r?\n|(?:\\++r)?\\++n)[\x20\t]*+")
+WRAPPED = re.compile(rb"(?:(?<![A-Za-z0-9+/_\\-])|(?<=\\n))[A-Za-z0-9+/_-]{32,}+(?:" + BREAK.pattern + rb"[A-Za-z0-9+/_-]++)++={0,2}")
 #: No encoded candidate is shorter than this many bytes without white space.
 SHORTEST = 17
 OPENSSH = b"openssh-key-v1\0"
@@ -126,6 +131,30 @@ def is_token(header: bytes, claims: bytes) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
+def wrapped_keys(run: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of the keys in lines of base64: lines of one length, then perhaps a shorter one."""
+    lines, at = [], 0
+    for m in BREAK.finditer(run):
+        lines.append((at, m.start()))
+        at = m.end()
+    lines.append((at, len(run)))
+    first = 0
+    while first < len(lines):
+        width = lines[first][1] - lines[first][0]
+        after = first + 1
+        while after < len(lines) and lines[after][1] - lines[after][0] == width:
+            after += 1
+        ends = [after]
+        if after < len(lines) and lines[after][1] - lines[after][0] < width:
+            ends.insert(0, after + 1)
+        for end in ends:
+            if end - first > 1 and is_key(decoded(b"".join(run[a:b] for a, b in lines[first:end]))):
+                yield lines[first][0], lines[end - 1][1]
+                after = end
+                break
+        first = after
+
+
 def scan(raw: bytes) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of all spans in bytes, sorted."""
     spans: set[tuple[int, int, int]] = set()
@@ -136,17 +165,24 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
         spans |= {(m.start(), 1, m.end()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= 16}
     if b"PRIVATE KEY-----" in raw:
         for m in PEM.finditer(raw):
-            body = b"".join(line for line in m[2].split() if b":" not in line)
+            lines = ESCAPED_END.sub(b"\n", m[2]).replace(b"\\/", b"/").split()
+            body = b"".join(line for line in lines if b":" not in line)
             if is_key(decoded(body)):
                 spans.add((m.start(), 3, m.end()))
     if max(map(len, raw.split()), default=0) >= SHORTEST:
         spans |= {(m.start(), 2, m.end()) for m in HEX.finditer(raw) if m.end() - m.start() >= 32} if _long_hex(raw) else set()
-        for m in TOKEN.finditer(raw) if raw.count(b".") > 1 and b"eyJ" in raw else ():
+        for m in TOKEN.finditer(raw) if raw.count(b".") > 1 else ():
             if is_token(m[1], m[2]):
                 spans.add((m.start(), 4, m.end()))
         for m in ENCODED.finditer(raw):
             if is_key(decoded(m[0])):
                 spans.add((m.start(), 5, m.end()))
+        blocks = [(a, b) for a, k, b in spans if k == 3]
+        for m in WRAPPED.finditer(raw):
+            for a, b in wrapped_keys(m[0]):
+                a, b = m.start() + a, m.start() + b
+                if not any(x <= a and b <= y for x, y in blocks):
+                    spans.add((a, 5, b))
         for m in ENCODED_HEX.finditer(raw):
             if is_key(bytes.fromhex(m[0].decode())):
                 spans.add((m.start(), 5, m.end()))

@@ -74,6 +74,26 @@ def test_structures_are_confirmed():
     assert not any(x.startswith("token:") for x in found(f"x {token({'typ': 'JWT'})}"))
 
 
+def test_tokens_with_white_space_and_wrapped_or_escaped_keys_are_found():
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for head in (b'{ "alg": "none"}', b'{\n "alg": "none"}'):
+        t = f"{part(head)}.{part(b'{ }  ')}.c2ln"
+        assert f"token:{t}" in found(f"a {t} b")
+    for key in (RSA, PKCS8, EC, ssh()):
+        for width in (64, 76):
+            shown = base64.b64encode(key).decode()
+            lines = [shown[i : i + width] for i in range(0, len(shown), width)]
+            for end in ("\n", "\r\n", "\\n", "\\r\\n", "\n  "):
+                body = end.join(lines)
+                pem = f"-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----"
+                assert f"pem:{pem}" in found(f"é {pem}\n")
+                if len(lines) > 1:
+                    assert not any(x.startswith("key:") for x in found(f"é {pem}\n"))
+                    assert f"key:{body}" in found(f"é key {body}\nend")
+                    assert f"key:{body}" in found(f"'\\\\n{body}'")
+                    assert not any(x.startswith("key:") for x in found(f"é key {body[:10]}!{body[11:]}\nend"))
+
+
 def test_secret_scan_base_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
     r = random.Random(2)
