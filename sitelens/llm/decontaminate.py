@@ -16,8 +16,10 @@ Items go to the workers in blocks of at most `block_shingles` shingles, a proven
 block is searched in all documents. Documents are never shuffled, cut or held in groups.
 
 Defined cases: null and empty texts have no shingles, are never found and find nothing; equal items each find;
-a repeated document row gives a repeated result row; an empty table on either side gives no rows; other columns are
-ignored.
+an item without an id is searched as any other and its rows have a null item_id; an item of fewer than five words is
+found only in a document of the same words; a repeated document row gives a repeated result row; an empty table on
+either side gives no rows; other columns are ignored. Documents are dropped by doc_id: one without an id always stays,
+and rows that share an id go together.
 """
 
 from __future__ import annotations
@@ -121,7 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = MIN_CONTA
     """(doc_id, item_id, n_shared, n_item, containment) of every item that is found in a document."""
     ship(docs.sparkSession)
     schema = "doc_id long, item_id long, n_shared long, n_item long, containment double"
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     result = docs.sparkSession.createDataFrame([], schema)
     docs = docs.select("doc_id", "text")
     for block in _blocks(items, block_shingles):

@@ -154,6 +154,14 @@ def test_contamination_of_scattered_and_altered_items(spark, block):
     assert sorted(x["doc_id"] for x in left.collect()) == sorted(d for d, *_ in docs if d not in found)
 
 
+def test_items_without_an_id_are_searched(spark):
+    items = spark.createDataFrame([(None, prose(100, 20)), (1, prose(101, 20))], "item_id long, text string")
+    docs = frame(spark, [(1, f"{prose(1, 50)} {prose(100, 20)}", "s"), (2, f"{prose(2, 50)} {prose(101, 20)}", "s"), (3, prose(3, 50), "s")])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items, block_shingles=1).collect()}
+    assert got == {(1, None), (2, 1)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()] == [3]
+
+
 def test_contamination_of_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(frame(spark, [(1, "a b c d e f", "s")]), items).count() == 0
