@@ -3,51 +3,74 @@
 Documents are grouped by host. A line's ratio is the number of the host's pages that contain it over the host's
 page total; lines above a boilerplate ratio are dropped from every page of that host.
 
+A line is dropped if it is on more than `max_ratio` of the host's pages and on at least `min_pages` of them. Where a
+host has too few pages for that many, a higher ratio decides: a line on at least `few_pages` pages is dropped if these are
+over `few_ratio` of the host's.
+
 Copies of one page are one page: pages of a host with the same set of lines count once, in both numbers. Else a
 page copied a thousand times would make boilerplate of its own content, and deleting it would lose the content. Pages
 that differ in any line are different pages, however long the lines they share.
 
-Only (host, line hash, page hash) triples are shuffled, made distinct before the shuffle; texts never move. The lines
-to drop are at most lines-per-page / max_ratio for each host. While they are few they are broadcast, one array for a
-host; beyond `broadcast_rows` they meet the documents in a join on (host, salt), so a hot host is spread.
+Only (host, line hash, page hash) triples are shuffled, made distinct before the shuffle. The lines to drop are at
+most lines-per-page / max_ratio for each host. While they are few they are broadcast, a hash set for a host that each
+Python worker keeps, and texts never move. Beyond `broadcast_rows` they are joined with the triples by (host, line
+hash), where Spark splits a line that is on very many pages, and each page meets the lines that it has itself.
 
 Defined cases: a null text stays null and has no lines; a null host is a host of its own; lines of white space alone
-are kept and never counted; an empty table gives no rows; repeated rows are one page; other columns stay as they are.
+are kept and never counted; an empty table gives no rows; repeated rows are one page; other columns stay as they are,
+whatever their names; columns n_lines and n_dropped are replaced where counts are wanted.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
-from .shared import stored, table
+from .shared import as_bytes, aside, renamed, ship, stored, table
 
 #: A line is boilerplate on a host if over this share of its pages contain it ...
-MAX_RATIO = 0.01
-#: ... and at least so many pages.
+MAX_RATIO = 0.05
+#: ... and at least so many pages; or, on a small host, so many pages that are over this share.
 MIN_PAGES = 5
+FEW_PAGES = 3
+FEW_RATIO = 0.5
 #: (host, line) rows that are broadcast at most: about 2 MB.
 BROADCAST_ROWS = 200_000
-SALTS = 32
+#: XXH64 of a line, as Spark computes it.
+SEED = 42
 #: White space alone makes a blank line; backslashes are doubled for the SQL text.
 _BLANK = r"^[\\x20\\x09-\\x0D]*$"
 
 
-def _lines(text: str) -> str:
-    return f"filter(split({text}, '\\n', -1), x -> NOT x RLIKE '{_BLANK}')"
+def _pages(docs: DataFrame, host: str, text: str) -> DataFrame:
+    """(host, hashes, page): a document's distinct line hashes, and their own hash, which knows the page."""
+    lines = f"filter(split(`{text}`, '\\n', -1), x -> NOT x RLIKE '{_BLANK}')"
+    pages = docs.select(F.col(f"`{host}`").alias("host"), F.expr(lines).alias("lines")).where("size(lines) > 0")
+    hashes = F.expr("array_sort(array_distinct(transform(lines, x -> xxhash64(x))))").alias("hashes")
+    return pages.select("host", hashes).withColumn("page", F.expr("xxhash64(hashes)"))
+
 
+def _seen(pages: DataFrame) -> DataFrame:
+    return pages.select("host", "page", F.explode("hashes").alias("line_hash")).distinct()
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+
+def boilerplate(
+    docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+    few_pages: int = FEW_PAGES, few_ratio: float = FEW_RATIO,
+) -> DataFrame:
     """(host, line_hash, pages, host_pages) of the lines to drop."""
-    pages = docs.select(F.col(host).alias("host"), F.expr(_lines(f"`{text}`")).alias("lines")).where("size(lines) > 0")
-    pages = pages.select(
-        "host",
-        F.expr("array_sort(array_distinct(transform(lines, x -> xxhash64(x))))").alias("hashes"),
-    ).withColumn("page", F.expr("xxhash64(hashes)"))
+    pages = _pages(docs, host, text)
     host_pages = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    seen = pages.select("host", "page", F.explode("hashes").alias("line_hash")).distinct()
-    counts = seen.groupBy("host", "line_hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    return counts.join(host_pages, counts["host"].eqNullSafe(host_pages["host"])).where(F.col("pages") > max_ratio * F.col("host_pages")).select(counts["host"], "line_hash", "pages", "host_pages")
+    counts = _seen(pages).groupBy("host", "line_hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= min(min_pages, few_pages))
+    n, all_pages = F.col("pages"), F.col("host_pages")
+    enough = (n >= min_pages) & (n > max_ratio * all_pages) | (n >= few_pages) & (n > few_ratio * all_pages)
+    return counts.join(host_pages, counts["host"].eqNullSafe(host_pages["host"])).where(enough).select(counts["host"], "line_hash", "pages", "host_pages")
 
 
 def drop_lines(
@@ -55,29 +78,54 @@ def drop_lines(
     broadcast_rows: int = BROADCAST_ROWS, counts: bool = True,
 ) -> DataFrame:
     """The documents with their boilerplate lines dropped, and n_lines and n_dropped added if counts are wanted."""
+    spark = docs.sparkSession
+    ship(spark)
     if counts:
         docs = docs.drop("n_lines", "n_dropped")
+    docs, names = aside(docs)
+    host, text = names[host], names[text]
     found = stored(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
-    few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
-    names = [f"`{c}`" for c in docs.columns]
-    hot = found.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line_hash").alias("_hot"))
-    if few:
-        joined = docs.join(F.broadcast(hot), F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
+    columns = list(names.values())
+    of = columns.index(text)
+    if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        sets = defaultdict(set)
+        for r in found.select("host", "line_hash").toLocalIterator():
+            sets[r["host"]].add(r["line_hash"])
+        kept = spark.sparkContext.broadcast(dict(sets))
+        rows = docs.select(*columns, F.col(host).alias("own"))
     else:
-        salted = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        docs = docs.withColumn("_of", F.pmod(F.xxhash64(*[F.col(x) for x in names]), F.lit(SALTS)).cast("int"))
-        joined = docs.join(salted, F.col(f"`{host}`").eqNullSafe(F.col("_host")) & (F.col("_of") == F.col("_salt")), "left")
-    lines = f"split(`{text}`, '\\n', -1)"
-    kept = f"filter({lines}, x -> x RLIKE '{_BLANK}' OR NOT array_contains(_hot, xxhash64(x)))"
-    joined = joined.withColumn("_kept", F.expr(f"CASE WHEN _hot IS NULL THEN {lines} ELSE {kept} END"))
-    columns = [F.expr("array_join(_kept, '\\n')").alias(text) if c == f"`{text}`" else F.col(c) for c in names]
-    if not counts:
-        return joined.select(*columns)
-    return joined.select(
-        *columns,
-        F.expr(f"coalesce(size({lines}), 0)").cast("long").alias("n_lines"),
-        F.expr(f"coalesce(size({lines}) - size(_kept), 0)").cast("long").alias("n_dropped"),
-    )
+        kept = None
+        own = _seen(_pages(docs, host, text)).join(found.select(F.col("host").alias("of_host"), F.col("line_hash").alias("hot")), F.col("host").eqNullSafe(F.col("of_host")) & (F.col("line_hash") == F.col("hot")))
+        own = own.groupBy("host", "page").agg(F.collect_list("line_hash").alias("own")).select(F.col("host").alias("of_host"), F.col("page").alias("of_page"), "own")
+        lines = f"filter(split({text}, '\\n', -1), x -> NOT x RLIKE '{_BLANK}')"
+        page = F.expr(f"xxhash64(array_sort(array_distinct(transform({lines}, x -> xxhash64(x)))))")
+        rows = docs.withColumn("page", page).join(own, F.col(host).eqNullSafe(F.col("of_host")) & (F.col("page") == F.col("of_page")), "left").select(*columns, "own")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            texts, of_lines, dropped = [], [], []
+            for raw, mark in zip(as_bytes(batch.column(of)), batch.column(len(columns)).to_pylist(), strict=True):
+                lines = [] if raw is None else raw.split(b"\n")
+                hot = kept.value.get(mark, ()) if kept else set(mark or ())
+                left = [x for x in lines if _signed(digest(x, SEED)) not in hot or not x.strip(_SPACES)] if hot else lines
+                texts.append(raw if len(left) == len(lines) else b"\n".join(left))
+                of_lines.append(len(lines))
+                dropped.append(len(lines) - len(left))
+            arrays = [*batch.columns[: len(columns)], pa.array(of_lines, pa.int64()), pa.array(dropped, pa.int64())]
+            arrays[of] = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, "n_lines", "n_dropped"])
+
+    schema = StructType([f if f.name != text else type(f)(text, StringType()) for f in docs.schema.fields]).add("n_lines", LongType()).add("n_dropped", LongType())
+    cleaned = rows.mapInArrow(apply, schema)
+    return cleaned.select(*renamed(names), *(["n_lines", "n_dropped"] if counts else []))
+
+
+_SPACES = b" \t\n\x0b\x0c\r"
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,16 +137,14 @@ WITH split AS (
   SELECT source, list_filter(string_split(text, chr(10)), lambda x: NOT regexp_full_match(x, '[\\x20\\x09-\\x0D]*')) AS lines
   FROM documents WHERE text IS NOT NULL
 ), pages AS (
-  SELECT source, lines, list_sort(list_transform(lines, lambda x: struct_pack(n := length(x), line := x)), 'DESC')[1].line AS page
-  FROM split WHERE len(lines) > 0
+  SELECT DISTINCT source, list_sort(list_distinct(lines)) AS lines FROM split WHERE len(lines) > 0
 ), totals AS (
-  SELECT source, count(DISTINCT page) AS host_pages FROM pages GROUP BY source
+  SELECT source, count(*) AS host_pages FROM pages GROUP BY source
 ), hot AS (
-  SELECT p.source, line, count(DISTINCT page) AS n
-  FROM (SELECT source, page, unnest(lines) AS line FROM pages) p GROUP BY p.source, line
+  SELECT p.source, line, count(*) AS n FROM (SELECT source, unnest(lines) AS line FROM pages) p GROUP BY p.source, line
 ), dropped AS (
   SELECT hot.source, list(line) AS lines FROM hot JOIN totals ON hot.source IS NOT DISTINCT FROM totals.source
-  WHERE n >= 5 AND n > 0.01 * host_pages GROUP BY hot.source
+  WHERE n >= 5 AND n > 0.05 * host_pages OR n >= 3 AND n > 0.5 * host_pages GROUP BY hot.source
 ), result AS (
   SELECT doc_id, string_split(d.text, chr(10)) AS all_lines,
     list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(dropped.lines, []), x)) AS kept

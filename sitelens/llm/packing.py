@@ -12,14 +12,15 @@ used, and finally every bin is downsized to the smallest permitted length that h
 these results is taken.
 
 Defined cases: null and empty texts have length one (the end token); repeated rows are packed each; a null doc_id is
-packed like any; ties go by (length, doc_id, row hash); an empty table gives no rows; other columns are ignored.
+packed like any, and ids keep all their 64 bits beside it; ties go by (length, doc_id, row hash); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,25 +122,27 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, gr
         (F.col("n_tokens") % largest).cast("int").alias("n"),
         F.pmod(F.xxhash64("row_hash", "row"), F.lit(groups)).cast("int").alias("grp"),
     ).where("n > 0")
-    names = whole.columns
 
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", "doc_id", "row_hash"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-        lengths = rows["n"].tolist()
+    kinds = {"doc_id": pa.int64(), "piece": pa.int64(), "first_token": pa.int64(), "n_tokens": pa.int64(), "bin_id": pa.string()}
+    kinds |= {"capacity": pa.int32(), "first_slot": pa.int64(), "bin_tokens": pa.int64(), "bin_pieces": pa.int32()}
+
+    def fill(rows: pa.Table) -> pa.Table:
+        """Ids stay Arrow columns from end to end: no 64-bit value goes through a float."""
+        rows = rows.take(pc.sort_indices(rows, [("n", "descending"), ("doc_id", "ascending"), ("row_hash", "ascending")], null_placement="at_end"))
+        lengths = rows["n"].to_pylist()
         bins, sized = pack(lengths, capacities, cost)
-        out: list[tuple] = []
+        group = rows["grp"][0].as_py()
+        placed: list[tuple] = [()] * len(lengths)
         for k, (b, c) in enumerate(zip(bins, sized, strict=True)):
             used, at = sum(lengths[i] for i in b), 0
             for i in b:
-                out.append((i, f"g{key[0]}-{k}", c, at, used, len(b)))
+                placed[i] = (f"g{group}-{k}", c, at, used, len(b))
                 at += lengths[i]
-        placed = pd.DataFrame(out, columns=["i", "bin_id", "capacity", "first_slot", "bin_tokens", "bin_pieces"]).set_index("i").sort_index()
-        both = pd.concat([rows, placed], axis=1)
-        both["first_token"] = both["piece"] * largest
-        return both.rename(columns={"n": "n_tokens"})[names]
+        bin_id, capacity, first_slot, bin_tokens, bin_pieces = zip(*placed, strict=True)
+        columns = [rows["doc_id"], rows["piece"], pc.multiply(rows["piece"], largest), rows["n"], bin_id, capacity, first_slot, bin_tokens, bin_pieces]
+        return pa.table([c.cast(k) if isinstance(c, pa.ChunkedArray) else pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
-    packed = rest.groupBy("grp").applyInPandas(fill, whole.schema)
-    return whole.unionByName(packed)
+    return whole.unionByName(rest.groupBy("grp").applyInArrow(fill, whole.schema))
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

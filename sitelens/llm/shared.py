@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from sitelens.storage import shared_dir, ship, stored, table
 
-__all__ = ["LOWER", "LOWER_ALNUM", "WordHashes", "as_bytes", "chunks", "flat_words", "shared_dir", "shingle_hashes", "ship", "stored", "table"]
+__all__ = ["LOWER", "LOWER_ALNUM", "WordHashes", "as_bytes", "aside", "chunks", "flat_words", "renamed", "shared_dir", "shingle_hashes", "ship", "stored", "table"]
 
 #: Bytes of text that a Python worker breaks into words at once.
 CHUNK_BYTES = 4 << 20
@@ -24,6 +26,17 @@ LOWER_ALNUM = bytes(
 )
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named c0, c1 and so on, so that no column of an operator's own can clash; and the new name of each."""
+    new = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new
+
+
+def renamed(names: dict[str, str]) -> list[Column]:
+    """Columns that give `aside` its names back."""
+    return [F.col(new).alias(old) for old, new in names.items()]
+
+
 class WordHashes(dict):
     """XXH64 of each word, computed once for as long as it is kept."""
 
