@@ -318,3 +318,96 @@ def test_every_query_takes_odd_documents(spark, tmp_path):
         for name, query in queries.QUERIES.items():
             n = query(spark, at).count()
             assert n == len(kept) or name.startswith("op6"), name
+
+
+def test_many_equal_records_share_no_bucket(spark):
+    docs = spark.range(5000).selectExpr("CAST(1 AS BIGINT) AS doc_id", "repeat('same ', 20) AS text", "CAST(2 AS INT) AS _hash", "3 AS _k", "4 AS _bucket", "5 AS place")
+    out = sharding.shuffle_into_shards(docs, shards=7, bucket_bytes=4000, equal_rows=100)
+    assert out.columns == ["doc_id", "text", "_hash", "_k", "_bucket", "place", "bucket", "shard", "slot"]
+    rows = out.collect()
+    assert {(r["_hash"], r["_k"], r["_bucket"], r["place"]) for r in rows} == {(2, 3, 4, 5)}
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["bucket"]] += 1
+    assert max(sizes.values()) < 100
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, k) for s in range(7) for k in range((s + 1) * 5000 // 7 - s * 5000 // 7)]
+
+
+def test_permutations_are_made_where_their_buckets_are(spark, sf_dir):
+    """The running sums see counts by bucket only, and no permutation is made in the one task that sums ranges."""
+    starts = sharding._starts(spark.range(9).selectExpr("CAST(id AS INT) AS bucket", "id + 1 AS n"))
+    assert sorted((r["bucket"], r["first"]) for r in starts.collect()) == [(k, k * (k + 1) // 2) for k in range(9)]
+    small = sharding.SUMMED_BUCKETS
+    try:
+        sharding.SUMMED_BUCKETS = 2
+        starts = sharding._starts(spark.range(9).selectExpr("CAST(id AS INT) AS bucket", "id + 1 AS n"))
+        assert sorted((r["bucket"], r["first"]) for r in starts.collect()) == [(k, k * (k + 1) // 2) for k in range(9)]
+    finally:
+        sharding.SUMMED_BUCKETS = small
+    plan = sharding.op8_two_pass_sharding(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "shuffle(" not in plan
+
+
+def test_packing_keeps_all_bits_of_ids(spark):
+    big = 9007199254740993
+    docs = spark.createDataFrame([(big, "a b"), (None, "c"), (big + 2, None)], "doc_id long, text string")
+    out = packing.pack_documents(docs).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in out) == [(0, 2), (big, 3), (big + 2, 1)]
+
+
+def plain_pack(lengths):
+    """Every smallest size for new bins, each by looking at every open bin; the least cost of them."""
+    best = None
+    for smallest in packing.CAPACITIES:
+        bins, left = [], sum(lengths)
+        for n in sorted(lengths, reverse=True):
+            fitting = [b for b in bins if b[0] - sum(b[1]) >= n]
+            if fitting:
+                room = min(b[0] - sum(b[1]) for b in fitting)
+                [b for b in fitting if b[0] - sum(b[1]) == room][-1][1].append(n)
+            else:
+                sizes = [c for c in packing.CAPACITIES if c >= max(n, smallest)]
+                bins.append((min(sizes, key=lambda c: (packing.sequence_cost(c) / min(c, left), c)), [n]))
+            left -= n
+        total = sum(packing.sequence_cost(min(c for c in packing.CAPACITIES if c >= sum(b))) for _, b in bins)
+        best = total if best is None else min(best, total)
+    return best
+
+
+def least_cost(lengths):
+    """The true optimum, by trying every partition into bins."""
+    cost = lambda b: packing.sequence_cost(min(c for c in packing.CAPACITIES if c >= sum(b)))
+    best = [float("inf")]
+
+    def place(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(map(cost, bins)))
+            return
+        for b in bins:
+            if sum(b) + lengths[k] <= packing.CAPACITIES[-1]:
+                b.append(lengths[k])
+                place(k + 1, bins)
+                b.pop()
+        bins.append([lengths[k]])
+        place(k + 1, bins)
+        bins.pop()
+
+    place(0, [])
+    return best[0]
+
+
+def test_joint_sizes_equal_a_plain_choice_and_are_near_the_optimum(spark):
+    r = random.Random(11)
+    for n, most in ((60, 4096), (60, 700), (7, 4096), (7, 2000)):
+        for _ in range(8):
+            lengths = [r.randint(1, most) for _ in range(n)]
+            bins, sized = packing.pack(lengths)
+            total = sum(map(packing.sequence_cost, sized))
+            assert total == pytest.approx(plain_pack(lengths), rel=0.02)
+            if n == 7:
+                assert least_cost(lengths) <= total <= 1.25 * least_cost(lengths)
+    # the whole query: all rows in one group
+    docs = spark.createDataFrame([(i, "w " * r.randint(0, 1500)) for i in range(40)], "doc_id long, text string")
+    out = packing.pack_documents(docs).collect()
+    bins = {x["bin_id"]: x["capacity"] for x in out}
+    assert sum(map(packing.sequence_cost, bins.values())) == pytest.approx(plain_pack([x["n_tokens"] for x in out]), rel=0.02)
