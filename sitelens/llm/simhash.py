@@ -11,8 +11,9 @@ bits: 16 probes a segment on average instead of 32, and no link is lost. The row
 on all 64 bits.
 
 A key's rows are linked by a spanning forest, not by all pairs, so the links grow with the rows however large a
-group of copies is. Large keys are cut by bytes of the other segment (values at most three bits apart share one of
-four bytes), and compared block against block, in bounded memory.
+group of copies is. A segment value that over `HOT` fingerprints have is cut by the bytes of the other segment: values at
+most three bits apart share one of four bytes, so each such key becomes 1,024 smaller ones on as many tasks. Within a task,
+large keys are cut so once more and compared block against block, in bounded memory.
 
 Components: alternating large-star and small-star steps on the links between distinct fingerprints, each written to the
 shared folder, until nothing changes. Copies with equal fingerprints only meet in the last join, whose skew Spark
@@ -32,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, chunks, ship, stored, table
+from .shared import LOWER, aside, chunks, renamed, ship, stored, table
 
 MAX_DISTANCE = 3
 SEED = 42
 WORDS = 3
 #: Rows of a key that are compared directly; more are cut by bytes first.
 DIRECT = 2048
+#: Fingerprints of one segment value beyond which its keys are dealt over many tasks.
+HOT = 20_000
 #: Rows that a search task gets, about.
 TASK_ROWS = 1_000_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
@@ -59,17 +62,19 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp as a signed long."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """(doc_id, fp), and key where a column is named for it: fp as a signed long."""
     ship(docs.sparkSession)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in chunks(batch, text):
+            for part, texts in chunks(batch):
                 fps = np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+                columns = [part.column(0).cast(pa.int64()), pa.array(fps), *part.columns[2:]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "key"][: len(columns)])
 
-    return docs.select("doc_id", text).mapInArrow(apply, "doc_id long, fp long")
+    columns = ["doc_id", F.col(f"`{text}`").alias("text")] + ([F.col(f"`{key}`").alias("key")] if key else [])
+    return docs.select(*columns).mapInArrow(apply, "doc_id long, fp long" + (", key long" if key else ""))
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -118,25 +123,42 @@ def link(fps: np.ndarray, most: int = MAX_DISTANCE, direct: int = DIRECT) -> np.
     return parent
 
 
-def links(distinct: DataFrame, n: int) -> DataFrame:
+def _probes(own: str, mark: str) -> str:
+    """The key of a segment value, and those of the values with one set bit cleared."""
+    cleared = f"filter(sequence(0, 31), i -> (shiftrightunsigned({own}, i) & 1L) = 1L)"
+    return f"concat(array({own} + {mark}), transform({cleared}, i -> {own} - shiftleft(1L, i) + {mark}))"
+
+
+#: Each segment's value, the mark that keeps the segments' keys apart, and the other segment's value.
+_SEGMENTS = [("(shiftrightunsigned(fp, 32) & 4294967295L)", "0L", "(fp & 4294967295L)"), ("(fp & 4294967295L)", "4294967296L", "(shiftrightunsigned(fp, 32) & 4294967295L)")]
+
+
+def _keyed(distinct: DataFrame, hot: int) -> DataFrame:
+    """(fp, key, part): a row for each key of a fingerprint; a hot key's rows four times, once for each byte of the other segment."""
+    parts = [distinct.selectExpr("fp", f"{other} AS other", f"explode({_probes(own, mark)}) AS key") for own, mark, other in _SEGMENTS]
+    keyed = parts[0].union(parts[1])
+    values = [distinct.selectExpr(f"{own} AS own").groupBy("own").count().where(F.col("count") > hot).selectExpr(f"explode({_probes('own', mark)}) AS hot") for own, mark, _ in _SEGMENTS]
+    found = stored(values[0].union(values[1]).distinct(), "hot")
+    if found.isEmpty():
+        return keyed.selectExpr("fp", "key", "-1 AS part")
+    octets = ", ".join(f"{256 * k} + CAST(shiftrightunsigned(other, {8 * k}) & 255L AS INT)" for k in range(4))
+    joined = keyed.join(found, F.col("key") == F.col("hot"), "left")
+    return joined.selectExpr("fp", "key", f"explode(CASE WHEN hot IS NULL THEN array(-1) ELSE array({octets}) END) AS part")
+
+
+def links(distinct: DataFrame, n: int, hot: int = HOT) -> DataFrame:
     """(a, b), a < b as signed longs: a forest that connects all fingerprints within MAX_DISTANCE of each other."""
     ship(distinct.sparkSession)
-    keys = []
-    for half, mark in (("shiftrightunsigned(fp, 32)", "0L"), ("(fp & 4294967295L)", "4294967296L")):
-        own = f"({half} & 4294967295L)"
-        cleared = f"filter(sequence(0, 31), i -> (shiftrightunsigned({own}, i) & 1L) = 1L)"
-        keys += [f"array({own} + {mark})", f"transform({cleared}, i -> {own} - shiftleft(1L, i) + {mark})"]
-    keyed = distinct.selectExpr("fp", f"explode(concat({', '.join(keys)})) AS key")
-    dealt = keyed.repartition(max(1, -(-34 * n // TASK_ROWS)), "key")
+    dealt = _keyed(distinct, hot).repartition(max(1, -(-34 * n // TASK_ROWS)), "key", "part")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
         if not parts:
             return
-        fp, key = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((fp, key))
-        fp, key = fp[order], key[order]
-        ends = np.flatnonzero(np.diff(key)) + 1
+        fp, key, part = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((fp, part, key))
+        fp, key, part = fp[order], key[order], part[order]
+        ends = np.flatnonzero((np.diff(key) != 0) | (np.diff(part) != 0)) + 1
         starts = np.concatenate([[0], ends])
         sizes = np.diff(np.concatenate([starts, [len(key)]]))
         a, b = [], []
@@ -177,27 +199,36 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _classes(marks: DataFrame) -> DataFrame:
+    """(_fp, least): for each fingerprint, the first row of its component as (no id, doc_id, key)."""
+    distinct = stored(marks.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "key")).alias("least")), "distinct")
+    root = components(links(distinct.select("fp"), distinct.count()))
+    of = stored(distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    firsts = of.groupBy("root").agg(F.min("least").alias("first"))
+    return of.join(firsts, "root").select(F.col("fp").alias("_fp"), F.col("first").alias("least"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
-    marks = stored(fingerprints(docs, text), "fingerprints")
-    distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    n = distinct.count()
-    root = components(links(distinct, n))
-    of = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    of = stored(of, "roots")
-    ids = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    final = of.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marks.join(final, F.col("fp") == F.col("_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    marks = stored(fingerprints(docs, text).withColumn("key", F.lit(0).cast("long")), "fingerprints")
+    joined = marks.join(_classes(marks), F.col("fp") == F.col("_fp"))
+    return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents of which one stays of each component: the smallest doc_id, and of its repeated rows one.
+    """The documents of which one row stays of each component: the smallest doc_id (none last), then the smallest row hash.
 
-    Rows without doc_id cannot be told apart, so they all stay.
+    Rows are told apart by all their columns, not by doc_id alone: different texts that share an id are different rows,
+    and rows without an id are copies like any. Of equal rows one stays.
     """
-    found = near_duplicates(docs, text).where("doc_id = component_id").select("doc_id")
-    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    rows, names = aside(docs)
+    columns = list(names.values())
+    rows = rows.withColumn("key", F.xxhash64(*columns))
+    ident = F.col(names["doc_id"]).cast("long").alias("doc_id") if "doc_id" in names else F.lit(None).cast("long").alias("doc_id")
+    marks = stored(fingerprints(rows.select(ident, F.col(names[text]).alias("text"), "key"), key="key"), "fingerprints")
+    firsts = _classes(marks).select("least").distinct().select(F.col("least.key").alias("of_key"), F.col("least.doc_id").alias("of_id"))
+    kept = rows.withColumn("of", ident).join(firsts, (F.col("key") == F.col("of_key")) & F.col("of").eqNullSafe(F.col("of_id")), "left_semi")
+    return kept.dropDuplicates(["key", "of"]).select(*renamed(names))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

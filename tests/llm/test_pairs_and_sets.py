@@ -108,7 +108,25 @@ def test_near_duplicates_defined_cases(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     kept = simhash.keep_one(frame(spark, rows))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 5]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 3, 5]
+
+
+def test_keep_one_tells_rows_apart_by_all_columns(spark):
+    rows = [(1, prose(1, 40), "s", 1), (1, prose(2, 40), "s", 2), (None, prose(3, 40), "s", 3), (None, prose(3, 40), "s", 4), (None, prose(4, 40), "t", 5), (7, prose(4, 40), "t", 6), (8, prose(5, 40), "s", 7), (8, prose(5, 40), "s", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key int")
+    kept = sorted((r["text"], r["doc_id"] or 0, r["key"]) for r in simhash.keep_one(docs).collect())
+    assert [(t, d) for t, d, _ in kept] == sorted([(prose(1, 40), 1), (prose(2, 40), 1), (prose(3, 40), 0), (prose(4, 40), 7), (prose(5, 40), 8)])
+
+
+def test_hot_segment_values_are_dealt_over_many_keys(spark):
+    """Thousands of fingerprints share one segment: the same classes come out, however the keys are cut."""
+    r = np.random.default_rng(4)
+    fps = np.unique(np.concatenate([np.uint64(0xABCDEF01 << 32) | r.integers(0, 1 << 32, 600, np.uint64), np.uint64(0xABCDEF01) | r.integers(0, 1 << 32, 300, np.uint64) << np.uint64(32)]))
+    fps = np.unique(np.concatenate([fps, fps[:200] ^ np.uint64(0b1011), fps[200:300] ^ np.uint64(1 << 40)]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    found = [{(x["node"], x["root"]) for x in simhash.components(simhash.links(df, len(fps), hot)).collect()} for hot in (50, 10**9)]
+    assert found[0] == found[1] and len(found[0]) >= 300
+    assert simhash._keyed(df, 50).groupBy("key", "part").count().agg({"count": "max"}).first()[0] < 100
 
 
 def shingles(text: str | None) -> set[str]:
