@@ -25,7 +25,6 @@ columns that are not needed are ignored.
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, WordHashes, chunks, shared_dir, ship, table
+from .shared import LOWER, WordHashes, chunks, mounted, save, shared_dir, ship, table
 
 #: Hash of the end token: a newline is no word.
 END = xxhash.xxh64_intdigest(b"\n")
@@ -89,14 +88,6 @@ def _bucket(hashes: np.ndarray, power: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - power)).astype(np.int64) if power else np.zeros(len(hashes), np.int64)
 
 
-def _save(folder: str, name: str, values: np.ndarray) -> None:
-    os.makedirs(folder, exist_ok=True)
-    own = f"{folder}/.{name}-{uuid.uuid4().hex}"
-    with open(own, "wb") as f:
-        np.save(f, values)
-    os.replace(own, f"{folder}/{name}.npy")
-
-
 def _small(values: np.ndarray) -> np.ndarray:
     """In the smallest unsigned type that holds them."""
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
@@ -248,14 +239,6 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return d if all(0 < x < k + 1 for k, x in enumerate(d)) else fallback
 
 
-def _mounted(path: str) -> str:
-    if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    if "://" in path:
-        raise ValueError(f"arrays are memory-mapped, so spark.checkpoint.dir must be a mounted folder, not {path}")
-    return path
-
-
 def _count_of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in range(1, 5)]
 
@@ -283,8 +266,8 @@ def _vocabulary(train: DataFrame, folder: str, power: int) -> Vocabulary:
         b = int(rows["bucket"].iloc[0])
         parts = [np.cumsum(_unpacked([x], np.uint64), dtype=np.uint64) for x in rows["words"]]
         words, counts = _summed(np.concatenate(parts), _unpacked(rows["counts"], np.uint32).astype(np.int64))
-        _save(folder, f"words-{b}", words)
-        _save(folder, f"counts-{b}", _small(counts))
+        save(folder, f"words-{b}", words)
+        save(folder, f"counts-{b}", _small(counts))
         return pd.DataFrame({"bucket": [b], "n": [len(words)], "tokens": [int(counts.sum())]})
 
     parts = train.mapInArrow(count, "bucket long, words binary, counts binary")
@@ -299,7 +282,7 @@ def train_model(train: DataFrame, text: str = "text") -> KneserNey:
     """Count the bigrams of all rows and write the model's arrays to the shared folder."""
     spark = train.sparkSession
     ship(spark)
-    folder = _mounted(shared_dir(spark)) + "-language-model"
+    folder = mounted(shared_dir(spark)) + "-language-model"
     os.makedirs(folder, exist_ok=True)
     train = train.select(F.col(text).alias("text"))
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -343,8 +326,8 @@ def train_model(train: DataFrame, text: str = "text") -> KneserNey:
         keys, counts = _summed(keys, _unpacked(rows["counts"], np.uint32).astype(np.int64))
         mixed = _mixed(keys)
         order = np.argsort(mixed)
-        _save(folder, f"pairs-{b}", mixed[order])
-        _save(folder, f"pair_counts-{b}", _small(counts[order]))
+        save(folder, f"pairs-{b}", mixed[order])
+        save(folder, f"pair_counts-{b}", _small(counts[order]))
         context, word = (keys >> np.uint64(32)).astype(np.int64), np.sort((keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
         starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         figures = [counts, counts == 1, counts == 2, counts >= 3]
@@ -371,7 +354,7 @@ def train_model(train: DataFrame, text: str = "text") -> KneserNey:
             for name, x in zip(("total", "n1", "n2", "n3") if kind == 0 else ("follows",), values, strict=True):
                 dense[name][ids] += x
         for name, x in dense.items():
-            _save(folder, f"{name}-{r}", _small(x))
+            save(folder, f"{name}-{r}", _small(x))
         follows = dense["follows"]
         return pd.DataFrame([(*(int(rows[f"c{k}"].sum()) for k in range(1, 5)), *_count_of_counts(follows), int((follows >= 3).sum()), int(follows.sum()))], columns=SUMS)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sitelens.storage import shared_dir, ship, stored, table
 
-__all__ = ["LOWER", "LOWER_ALNUM", "WordHashes", "as_bytes", "aside", "chunks", "flat_words", "renamed", "shared_dir", "shingle_hashes", "ship", "stored", "table"]
+__all__ = ["LOWER", "LOWER_ALNUM", "WordHashes", "as_bytes", "aside", "chunks", "flat_words", "mounted", "renamed", "save", "shared_dir", "shingle_hashes", "ship", "stored", "table"]
 
 #: Bytes of text that a Python worker breaks into words at once.
 CHUNK_BYTES = 4 << 20
@@ -37,6 +39,24 @@ def renamed(names: dict[str, str]) -> list[Column]:
     return [F.col(new).alias(old) for old, new in names.items()]
 
 
+def mounted(path: str) -> str:
+    """The path of a folder that workers can map files of."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        raise ValueError(f"arrays are memory-mapped, so spark.checkpoint.dir must be a mounted folder, not {path}")
+    return path
+
+
+def save(folder: str, name: str, values: np.ndarray) -> None:
+    """Write an array under a name of its own, then rename it: a task that runs again replaces the file by an equal one."""
+    os.makedirs(folder, exist_ok=True)
+    own = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    with open(own, "wb") as f:
+        np.save(f, values)
+    os.replace(own, f"{folder}/{name}.npy")
+
+
 class WordHashes(dict):
     """XXH64 of each word, computed once for as long as it is kept."""
 

@@ -172,6 +172,28 @@ def test_contamination_of_scattered_and_altered_items(spark, block):
     assert sorted(x["doc_id"] for x in left.collect()) == sorted(d for d, *_ in docs if d not in found)
 
 
+def test_documents_are_dropped_row_by_row(spark):
+    item = prose(100, 30)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, prose(1, 50)), (1, f"{prose(2, 50)} {item}"), (None, f"{prose(3, 50)} {item}"), (None, prose(4, 50)), (None, None), (5, "")]
+    left = decontaminate.drop_contaminated(frame(spark, [(d, t, "s") for d, t in rows]), items).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted([(1, prose(1, 50)), (0, prose(4, 50)), (0, ""), (5, "")])
+
+
+def test_sketches_lose_no_contained_item_and_prune_the_rest():
+    """The threshold of sketch hits holds for every way to miss a fifth of an item; texts that share a few shingles are no candidates."""
+    r = np.random.default_rng(3)
+    for n in (1, 2, 4, 5, 9, 15, 16, 31, 40, 200):
+        p = decontaminate.size_partition(n)
+        k = min(decontaminate.sketch_length(p, 0.8), n)
+        need = int(decontaminate.needed(np.array(n), 0.8))
+        assert 1 <= k - (n - need) <= k
+        for _ in range(50):
+            missing = r.choice(n, n - need, replace=False)
+            assert k - np.isin(missing, np.arange(k)).sum() >= k - (n - need)
+    assert decontaminate.sketch_length(5, 0.8) < decontaminate.sketch_length(6, 0.8)
+
+
 def test_items_without_an_id_are_searched(spark):
     items = spark.createDataFrame([(None, prose(100, 20)), (1, prose(101, 20))], "item_id long, text string")
     docs = frame(spark, [(1, f"{prose(1, 50)} {prose(100, 20)}", "s"), (2, f"{prose(2, 50)} {prose(101, 20)}", "s"), (3, prose(3, 50), "s")])
