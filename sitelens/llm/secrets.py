@@ -9,13 +9,15 @@ length is joined before it is decoded, outside PEM blocks too. Unconfirmed candi
 Spans are in code points, ends exclusive. Each text is scanned whole, on its own; nothing is shuffled or collected.
 
 Defined cases: null and empty texts have no spans; equal starts are ordered by kind as in KINDS; repeated rows repeat
-results; an empty table gives no rows; columns that are not needed are ignored.
+results; an empty table gives no rows; columns that are not needed are ignored; a long text takes time in proportion to
+its length, whatever is in it.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -33,10 +35,14 @@ WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
-ENCODED_HEX = re.compile(rb"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){32,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){32,}(?![0-9A-Za-z])")
+ENCODED_HEX = re.compile(rb"(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{2}){32,}+(?![0-9A-Za-z])")
 ENCODED = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}")
-TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-PEM = re.compile(rb"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----(.*?)-----END \1-----", re.DOTALL)
+#: The shortest header is {"alg":""} and the shortest claims {}, which are 14 and 3 characters of base64.
+TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{14,}+)\.([A-Za-z0-9_-]{3,}+)\.([A-Za-z0-9_-]*+)")
+PEM_MARK = re.compile(rb"-----(BEGIN|END) ((?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY)-----")
+#: A header line of a PEM block, and the headers of an encrypted one.
+PEM_HEADER = re.compile(rb"[A-Za-z][A-Za-z0-9-]*:")
+PEM_CIPHER = re.compile(rb"DEK-Info:[\x20\t]*[A-Z0-9-]+,(?:[0-9A-Fa-f]{2}){8,}")
 ESCAPED_END = re.compile(rb"(?<!\\)\\++[rn]")
 #: A line end, as such or escaped, with the white space around it; and lines of base64 in a row.
 BREAK = re.compile(rb"[\x20\t]*+(?:\r?\n|(?:\\++r)?\\++n)[\x20\t]*+")
@@ -155,6 +161,27 @@ def wrapped_keys(run: bytes) -> Iterator[tuple[int, int]]:
         first = after
 
 
+def is_pem_body(body: bytes) -> bool:
+    """A key in base64 under header lines, or whole cipher blocks where the headers say that it is encrypted."""
+    lines = [x.strip() for x in ESCAPED_END.sub(b"\n", body).replace(b"\\/", b"/").splitlines()]
+    data = decoded(b"".join(b"".join(x for x in lines if not PEM_HEADER.match(x)).split()))
+    if any(PEM_CIPHER.match(x) for x in lines):
+        return len(data) >= 32 and len(data) % 8 == 0
+    return is_key(data)
+
+
+def pem_blocks(raw: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of confirmed blocks: an END mark closes the last BEGIN mark before it, if that has its label."""
+    last = None
+    for m in PEM_MARK.finditer(raw):
+        if m[1] == b"BEGIN":
+            last = m
+        elif last and last[2] == m[2]:
+            if is_pem_body(raw[last.end() : m.start()]):
+                yield last.start(), m.end()
+            last = None
+
+
 def scan(raw: bytes) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of all spans in bytes, sorted."""
     spans: set[tuple[int, int, int]] = set()
@@ -164,28 +191,20 @@ def scan(raw: bytes) -> list[tuple[int, int, int]]:
     if b"AKIA" in raw:
         spans |= {(m.start(), 1, m.end()) for m in ACCESS.finditer(raw) if m.end() - m.start() >= 16}
     if b"PRIVATE KEY-----" in raw:
-        for m in PEM.finditer(raw):
-            lines = ESCAPED_END.sub(b"\n", m[2]).replace(b"\\/", b"/").split()
-            body = b"".join(line for line in lines if b":" not in line)
-            if is_key(decoded(body)):
-                spans.add((m.start(), 3, m.end()))
+        spans |= {(a, 3, b) for a, b in pem_blocks(raw)}
     if max(map(len, raw.split()), default=0) >= SHORTEST:
         spans |= {(m.start(), 2, m.end()) for m in HEX.finditer(raw) if m.end() - m.start() >= 32} if _long_hex(raw) else set()
         for m in TOKEN.finditer(raw) if raw.count(b".") > 1 else ():
             if is_token(m[1], m[2]):
                 spans.add((m.start(), 4, m.end()))
-        for m in ENCODED.finditer(raw):
-            if is_key(decoded(m[0])):
-                spans.add((m.start(), 5, m.end()))
-        blocks = [(a, b) for a, k, b in spans if k == 3]
-        for m in WRAPPED.finditer(raw):
-            for a, b in wrapped_keys(m[0]):
-                a, b = m.start() + a, m.start() + b
-                if not any(x <= a and b <= y for x, y in blocks):
-                    spans.add((a, 5, b))
-        for m in ENCODED_HEX.finditer(raw):
-            if is_key(bytes.fromhex(m[0].decode())):
-                spans.add((m.start(), 5, m.end()))
+        keys = [m.span() for m in ENCODED.finditer(raw) if is_key(decoded(m[0]))]
+        keys += [m.span() for m in ENCODED_HEX.finditer(raw) if is_key(bytes.fromhex(m[0].decode()))]
+        keys += [(m.start() + a, m.start() + b) for m in WRAPPED.finditer(raw) for a, b in wrapped_keys(m[0])]
+        blocks = sorted((a, b) for a, k, b in spans if k == 3)
+        for a, b in keys:
+            k = bisect.bisect_right(blocks, (a, len(raw))) - 1  # blocks lie apart
+            if k < 0 or blocks[k][1] < b:  # a block's own key is told by the block
+                spans.add((a, 5, b))
     return sorted(spans)
 
 
@@ -197,9 +216,14 @@ def _long_hex(raw: bytes) -> bool:
 
 
 def in_code_points(raw: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The same spans counted in code points, in one pass over the text."""
     if not spans or raw.isascii():
         return spans
-    return [(len(raw[:a].decode("utf-8", "replace")), k, len(raw[:b].decode("utf-8", "replace"))) for a, k, b in spans]
+    at, seen, places = 0, 0, {}
+    for place in sorted({x for a, _, b in spans for x in (a, b)}):
+        seen += len(raw[at:place].decode("utf-8", "replace"))
+        at, places[place] = place, seen
+    return [(places[a], k, places[b]) for a, k, b in spans]
 
 
 def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
