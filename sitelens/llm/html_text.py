@@ -2,16 +2,23 @@
 
 Each page is parsed into elements (end tags may lack). Every element outside the article gets a hash of
 its tag and contents; Spark counts, for each host, on how many pages each hash occurs, and elements that recur on many
-pages of their host are deleted, as are elements that say by tag, role, class or id that they are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or reader comments. What is left of the article (<article>, else
-<main>, else the body) is the text: a line for each block, white space in it made one space.
+pages of their host are deleted first of all: where they are needs no name. What they cannot show, as it is on one page or
+differs from page to page, is deleted by tag, role, class or id: menus, headers, footers, sidebars, notices, adverts,
+forms, scripts, styles and reader comments. What is left of the article (<article>, else <main>, else the body) is
+the text: a line for each block, white space in it made one space.
+
+A class or id says that an element is no content if one of its names is such a word (comments), or is made of such words
+and words of layout (site-footer, left-sidebar-2); other names that merely contain one (social-science) say nothing. A
+form that holds an article, or most of the page's paragraphs, is the page's frame and no form.
 
 Paragraphs, headings and list items of an article are content even if other pages have them too; in there only boxes
-(div, section, list, table and so on) can be templates. Copies of one page count once: pages of a host whose blocks
+(div, section, list, table and so on) can be templates. Of several articles the longest is never a template; a
+teaser that recurs is. Copies of one page count once: pages of a host whose blocks
 are all equal are one page; pages that differ in any block are different pages, however long the blocks they share.
 
 A subtree is a template if it is on min_pages pages of its host and either on min_share of them or on min_support: a
-section of a large host has templates of its own, which are on many pages and yet on a small share of them.
+section of a large host has templates of its own, which are on many pages and yet on a small share of them. On a host of
+too few pages for that, it is one if it is on few_pages pages that are over half of the host's.
 
 Only (host, subtree hash, page hash) triples are shuffled, made distinct before. The templates of a host may be many.
 While all are few they are broadcast, one set for a host that each Python worker keeps; beyond that they meet the pages
@@ -19,7 +26,8 @@ in a join on (host, salt), and of a host's array only what is on the page itself
 
 Defined cases: null and empty html give an empty text; text outside any element counts as body; a null or odd url has
 the host ''; an unfinished tag at the end is dropped; an unknown character reference stays as it is; repeated rows
-repeat results; an empty table gives no rows; columns that are not needed are ignored.
+repeat results; an empty table gives no rows; columns that are not needed are ignored; a long page takes time in
+proportion to its length, however its tags nest or fail to.
 """
 
 from __future__ import annotations
@@ -41,6 +49,8 @@ MIN_PAGES = 5
 MIN_SHARE = 0.2
 #: ... or on so many pages, whatever their share. It decides on hosts of over MIN_SUPPORT / MIN_SHARE = 250 pages.
 MIN_SUPPORT = 50
+#: ... or, on a small host, on so many pages that are over half of its pages.
+FEW_PAGES = 3
 #: (host, hash) rows that are broadcast at most: about 3 MB.
 BROADCAST_ROWS = 200_000
 SALTS = 32
@@ -71,6 +81,13 @@ DROP_WORDS = set(
     "comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe signup login widget "
     "pagination pager toolbar skip".split()
 )
+#: Words that say where or how an element lies, beside one of the words above.
+LAYOUT = set(
+    "site page main global top bottom left right inner outer first second primary secondary box block bar list area section "
+    "wrapper wrap container content col column row module item group region panel slot unit zone post entry article text links link title message strip".split()
+)
+#: With header, only these: an entry-header is an article's own.
+LAYOUT_OF_HEADER = set("site page main global top bottom wrapper wrap container bar".split())
 #: Boxes that may be templates even inside an article.
 BOXES = set("div section ul ol dl table figure details fieldset center".split())
 
@@ -80,14 +97,14 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/"']|$)""", re.IGNORECASE)
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_]+")
 
 
 class Element:
-    __slots__ = ("attributes", "children", "hash", "tag")
+    __slots__ = ("attributes", "children", "frame", "hash", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.attributes, self.children, self.hash = tag, attributes, [], 0
+        self.tag, self.attributes, self.children, self.hash, self.frame = tag, attributes, [], 0, False
 
     def marked(self) -> dict[str, str]:
         if not self.attributes:
@@ -96,52 +113,59 @@ class Element:
 
     def no_content(self, inside: bool) -> bool:
         """Whether it says of itself that it is no content; an article may have a header of its own."""
-        if self.tag in DROP_TAGS or self.tag == "header" and not inside:
+        if self.tag in DROP_TAGS and not self.frame or self.tag == "header" and not inside:
             return True
         marks = self.marked()
         if not marks or self.tag in ("html", "body", "article", "main") and "comment" not in marks.get("class", ""):
             return False
-        words = set(_WORD.findall(marks.get("class", "") + " " + marks.get("id", "")))
-        if inside:
-            words -= {"header"}
-        return bool(words & DROP_WORDS) or marks.get("role", "") in DROP_ROLES or "hidden" in marks or marks.get("aria-hidden") == "true"
+        names = (marks.get("class", "") + " " + marks.get("id", "")).split()
+        return any(tells(x, inside) for x in names) or marks.get("role", "") in DROP_ROLES or "hidden" in marks or marks.get("aria-hidden") == "true"
+
+
+def tells(name: str, inside: bool) -> bool:
+    """Whether a class or id says that its element is no content."""
+    parts = [x for x in _PART.split(name) if x and not x.isdigit()]
+    told = [x for x in parts if x.rstrip("0123456789") in DROP_WORDS]
+    if not told or inside and set(told) == {"header"}:
+        return False
+    layout = LAYOUT_OF_HEADER if set(told) <= {"header", "masthead"} else LAYOUT
+    return all(x in layout for x in parts if x not in told)
 
 
 def parse(text: str) -> Element:
     root = Element("#root")
     stack = [root]
-    at = 0
+    #: Places in the stack of the open elements of each tag, so that none is looked for in vain.
+    places: dict[str, list[int]] = defaultdict(list)
+
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
+
+    at, last = 0, text.rfind(">") + 1  # no tag ends beyond the last >
     while True:
-        m = _TOKEN.search(text, at)
+        m = _TOKEN.search(text, at, last)
         if not m:
             break
         if m.start() > at:
             stack[-1].children.append(text[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and not m[0].endswith("-->") or m[0].startswith("<![CDATA[") and not m[0].endswith("]]>"):
+            at = len(text)  # never closed
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if places[tag]:
+                close(places[tag][-1])
             continue
-        if tag in BLOCK:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+        if tag in BLOCK and places["p"]:  # a block ends an open paragraph, which is always the innermost open block
+            close(places["p"][-1])
         if tag in CLOSED_BY:
             ends, bounds = CLOSED_BY[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in bounds:
-                    break
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
+            end = max((places[x][-1] for x in ends if places[x]), default=0)
+            if end > max((places[x][-1] for x in bounds if places[x]), default=0):
+                close(end)
         element = Element(tag, m[3])
         stack[-1].children.append(element)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
@@ -151,16 +175,40 @@ def parse(text: str) -> Element:
             element.children.append(text[at : end.start() if end else len(text)])
             at = end.end() if end else len(text)
             continue
+        places[tag].append(len(stack))
         stack.append(element)
     rest = text[at:]
-    if unfinished := re.search(r"<(?:[A-Za-z/!?][^>]*)?\Z", rest):
-        rest = rest[: unfinished.start()]
+    if unfinished := re.search(r"<(?:[A-Za-z/!?]|\Z)", rest[rest.rfind(">") + 1 :]):
+        rest = rest[: rest.rfind(">") + 1 + unfinished.start()]
     if rest:
         stack[-1].children.append(rest)
+    find_frames(root)
     return root
 
 
-def blocks(element: Element, inside: bool, dropped: Set[int], out: list[list[str]]) -> None:
+def find_frames(root: Element) -> None:
+    """Mark the forms that hold an article, or whose paragraphs are over half of the page's text."""
+    order: list[tuple[Element, bool]] = []
+    todo = [(root, False)]
+    while todo:
+        node, in_p = todo.pop()
+        order.append((node, in_p))
+        todo += [(c, in_p or node.tag == "p") for c in node.children if isinstance(c, Element)]
+    if not any(node.tag == "form" for node, _ in order):
+        return
+    sums: dict[int, tuple[int, int, bool]] = {}
+    for node, in_p in reversed(order):  # children before parents
+        of = [sums[id(c)] for c in node.children if isinstance(c, Element)]
+        own = 0 if node.tag in RAW else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        in_paragraphs = sum(x[1] for x in of) + (own if in_p or node.tag == "p" else 0)
+        sums[id(node)] = own + sum(x[0] for x in of), in_paragraphs, node.tag in ("article", "main") or any(x[2] for x in of)
+    for node, _ in order:
+        if node.tag == "form":
+            _, in_paragraphs, main = sums[id(node)]
+            node.frame = main or 2 * in_paragraphs > sums[id(root)][0]
+
+
+def blocks(element: Element, inside: bool, out: list[list[str]]) -> None:
     """Append the text of an element, its blocks apart. No recursion deeper than the stack allows: it walks a list."""
     todo: list[tuple[Element | str | None, bool]] = [(element, inside)]
     while todo:
@@ -169,7 +217,7 @@ def blocks(element: Element, inside: bool, dropped: Set[int], out: list[list[str
             out.append([])
         elif isinstance(node, str):
             out[-1].append(node)
-        elif node is not element and (node.no_content(inside) or node.hash in dropped):
+        elif node is not element and node.no_content(inside):
             if node.tag in BLOCK:
                 out.append([])
             else:
@@ -208,46 +256,106 @@ def articles(root: Element) -> tuple[list[Element], bool]:
     return (found["main"], True) if found["main"] else ([root], False)
 
 
-def hash_subtrees(root: Element, inside_of: list[Element]) -> list[int]:
-    """Set the hash of every element with text, return those that may be templates."""
-    mains = {id(x) for x in inside_of}
+def hash_subtrees(root: Element, mains: list[Element]) -> list[int]:
+    """Set the hash of every element with text that may be a template, and return these; mains are the page's articles."""
+    inside_of = {id(x) for x in mains}
     order: list[tuple[Element, bool]] = []
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
         order.append((node, inside))
-        inside = inside or id(node) in mains
+        inside = inside or id(node) in inside_of
         todo += [(c, inside) for c in node.children if isinstance(c, Element)]
-    may = []
+    may, hashes, sizes = [], {}, {}
     for node, inside in reversed(order):  # children before parents
-        parts = [f"{c.hash:x}" if isinstance(c, Element) else " ".join(c.split()) for c in node.children]
-        filled = [p for p in parts if p and p != "0"]
+        parts = [hashes.get(id(c), "") if isinstance(c, Element) else " ".join(c.split()) for c in node.children]
+        filled = [p for p in parts if p]
         if not filled:
             continue
-        node.hash = xxhash.xxh64_intdigest(f"{node.tag}({'|'.join(filled)})") >> 1
-        if id(node) not in mains and node.tag in BLOCK and node.tag not in ("html", "body", "head", "title") and (not inside or node.tag in BOXES):
+        value = xxhash.xxh64_intdigest(f"{node.tag}({'|'.join(filled)})") >> 1 or 1
+        hashes[id(node)] = f"{value:x}"
+        sizes[id(node)] = sum(sizes.get(id(c), 0) if isinstance(c, Element) else len(c) for c in node.children)
+        if node.tag in BLOCK and node.tag not in ("html", "body", "head", "title") and (not inside or node.tag in BOXES):
+            node.hash = value
+    longest = max(mains, key=lambda x: sizes.get(id(x), 0), default=None)
+    holds = _holding(root, longest) if longest is not None else set()
+    for node, _ in order:
+        if id(node) in holds:
+            node.hash = 0
+        elif node.hash:
             may.append(node.hash)
     return may
 
 
-def main_text(source: str, dropped: Set[int]) -> str:
+def _holding(root: Element, inner: Element) -> set[int]:
+    """The element and those that it lies in."""
+    above: dict[int, Element] = {}
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if node is inner:
+            break
+        for c in node.children:
+            if isinstance(c, Element):
+                above[id(c)] = node
+                todo.append(c)
+    found = {id(inner)}
+    while id(inner) in above:
+        inner = above[id(inner)]
+        found.add(id(inner))
+    return found
+
+
+def hashed(source: str) -> tuple[Element, list[int], str]:
+    """A page's tree, the hashes of what may be a template in it, and the text that tells it from other pages."""
+    root = parse(source)
+    mains, marked = articles(root)
+    parts: list[list[str]] = [[]]
+    for main in mains:
+        blocks(main, marked, parts)
+    return root, hash_subtrees(root, mains if marked else []), "\n".join(joined(parts))
+
+
+def main_text(source: str, dropped: Set[int]) -> tuple[str, int]:
+    """The text without the templates, and how many elements were deleted as templates."""
     root = parse(source)
     mains, marked = articles(root)
+    deleted = 0
     if dropped:
-        keep = set(hash_subtrees(root, mains if marked else []))
-        dropped = dropped & keep
+        hash_subtrees(root, mains if marked else [])
+        deleted = delete(root, dropped)
+        mains, marked = articles(root)
     parts: list[list[str]] = [[]]
     for main in mains:
-        blocks(main, marked, dropped, parts)
+        blocks(main, marked, parts)
         parts.append([])
-    return "\n".join(joined(parts))
+    return "\n".join(joined(parts)), deleted
+
+
+def delete(root: Element, dropped: Set[int]) -> int:
+    """Put nothing in the place of each outermost element whose hash is dropped."""
+    deleted, todo = 0, [root]
+    while todo:
+        node = todo.pop()
+        for k, c in enumerate(node.children):
+            if isinstance(c, Element):
+                if c.hash in dropped:
+                    node.children[k] = GONE
+                    deleted += 1
+                elif c is not GONE:
+                    todo.append(c)
+    return deleted
+
+
+#: What stands for a deleted block: it still parts its neighbours.
+GONE = Element("div")
 
 
 def host_of(url: str) -> str:
     return f"lower(coalesce(regexp_extract(`{url}`, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), ''))"
 
 
-def site_templates(pages: DataFrame, html_column: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_support: int = MIN_SUPPORT) -> DataFrame:
+def site_templates(pages: DataFrame, html_column: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, min_support: int = MIN_SUPPORT, few_pages: int = FEW_PAGES) -> DataFrame:
     """(host, subtree, pages, host_pages) of the subtrees that recur."""
     ship(pages.sparkSession)
 
@@ -255,13 +363,8 @@ def site_templates(pages: DataFrame, html_column: str = "html", url: str = "url"
         for batch in batches:
             hosts, pages_of, hashes = [], [], []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root = parse(source or "")
-                mains, marked = articles(root)
-                parts: list[list[str]] = [[]]
-                for main in mains:
-                    blocks(main, marked, set(), parts)
-                page = xxhash.xxh64_intdigest("\n".join(joined(parts))) >> 1
-                may = set(hash_subtrees(root, mains if marked else []))
+                _, own, told = hashed(source or "")
+                page, may = xxhash.xxh64_intdigest(told) >> 1, set(own)
                 may.add(0)  # stands for the page itself
                 hashes += may
                 hosts += [host] * len(may)
@@ -269,17 +372,19 @@ def site_templates(pages: DataFrame, html_column: str = "html", url: str = "url"
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(pages_of, pa.int64())], ["host", "subtree", "page"])
 
     rows = pages.selectExpr(f"{host_of(url)} AS host", f"`{html_column}` AS html").mapInArrow(subtrees, "host string, subtree long, page long")
-    counts = stored(rows.distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(f"subtree = 0 OR pages >= {min_pages}"), "subtrees")
+    counts = stored(rows.distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages")).where(f"subtree = 0 OR pages >= {min(min_pages, few_pages)}"), "subtrees")
     totals = counts.where("subtree = 0").select(F.col("host").alias("_host"), F.col("pages").alias("host_pages"))
     found = counts.where("subtree <> 0").join(totals, F.col("host") == F.col("_host"))
-    return found.where((F.col("pages") >= min_share * F.col("host_pages")) | (F.col("pages") >= min_support)).select("host", "subtree", "pages", "host_pages")
+    n, of = F.col("pages"), F.col("host_pages")
+    enough = (n >= min_pages) & ((n >= min_share * of) | (n >= min_support)) | (n >= few_pages) & (2 * n > of)
+    return found.where(enough).select("host", "subtree", "pages", "host_pages")
 
 
 def extract_text(
     pages: DataFrame, html_column: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
     broadcast_rows: int = BROADCAST_ROWS, min_support: int = MIN_SUPPORT,
 ) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row."""
+    """(page_id, url, text, n_chars, n_templates) of every row; n_templates counts the elements deleted as templates."""
     ship(pages.sparkSession)
     found = stored(site_templates(pages, html_column, url, min_pages, min_share, min_support), "templates")
     few = found.limit(broadcast_rows + 1).count() <= broadcast_rows
@@ -301,14 +406,16 @@ def extract_text(
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            texts, deleted = [], []
             for source, of in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 dropped = kept.value.get(of, frozenset()) if kept else set(of or ())
-                texts.append(main_text(source or "", dropped))
+                text, n = main_text(source or "", dropped)
+                texts.append(text)
+                deleted.append(n)
             lengths = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), lengths], ["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(texts, pa.string()), lengths, pa.array(deleted, pa.int64())], ["page_id", "url", "text", "n_chars", "n_templates"])
 
-    return rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long, n_templates long")
 
 
 def _own_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,9 +423,7 @@ def _own_subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         own = []
         for source in batch.column(2).to_pylist():
-            root = parse(source or "")
-            mains, marked = articles(root)
-            own.append(hash_subtrees(root, mains if marked else []))
+            own.append(hashed(source or "")[1])
         columns = [batch.column(0).cast(pa.int64()), *batch.columns[1:], pa.array(own, pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "html", "host", "_own"])
 

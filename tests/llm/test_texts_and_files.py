@@ -156,7 +156,7 @@ def page(body: str, menu: str = "<li><a href='/a'>Start</a></li>") -> str:
 
 
 def text_of(source: str, dropped=frozenset()) -> str:
-    return html_text.main_text(source, set(dropped))
+    return html_text.main_text(source, set(dropped))[0]
 
 
 def test_page_text():
@@ -210,6 +210,41 @@ def test_templates_of_one_section_of_a_large_host_are_removed(spark, broadcast_r
     assert sorted((r["page_id"], r["text"]) for r in got) == [(i, f"own {i}") for i in range(360)]
 
 
+def test_templates_are_found_without_any_names(spark):
+    """No article, no telling tag, class or id: what recurs goes, what is a page's own stays."""
+    r = random.Random(5)
+    own = [" ".join(r.choice("abcdefgh") * r.randint(1, 6) for _ in range(40)) for _ in range(30)]
+    head = "<div class='x1'><div><a href='/'>Home</a> <a href='/b'>Prices</a></div></div>"
+    foot = "<table><tr><td>All rights are ours</td></tr></table>"
+    rows = [(i, f"http://plain.example.com/{i}", f"<body>{head}<div class='x2'><p>{own[i]}</p><div>Read this too</div></div>{foot}</body>") for i in range(30)]
+    rows += [(100 + i, f"http://small.example.com/{i}", f"<body>{head}<p>{own[i]}</p>{foot}</body>") for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x["page_id"]: x for x in html_text.extract_text(pages).collect()}
+    assert {i: x["text"] for i, x in got.items()} == {i: own[i % 100] for i, *_ in rows}
+    assert all(x["n_templates"] == (3 if i < 100 else 2) for i, x in got.items())
+
+
+def test_names_are_whole_and_forms_may_be_frames():
+    article = "<article><p>yes</p></article>"
+    for body in ("<div class='social-science'><p>yes</p></div>", "<div id='notice-period'><p>yes</p></div>", f"<form id='f'>{article}<input></form>", "<article><div class='social-science' id='notice-period'><p>yes</p></div></article>"):
+        assert text_of(page(body).replace("&copy; x", "")) == "yes", body
+    assert text_of(page("<form id='aspnet'><input><p>yes, and much more of it</p></form>")) == "yes, and much more of it"
+    for name in ("site-footer", "left-sidebar-2", "comments", "post-comments", "cookie_notice", "ad-slot-1", "ads2"):
+        assert text_of(page(f"<div class='a {name}'>no</div>{article}")) == "yes"
+        assert text_of(f"<div class='{name}'>no</div><p>yes</p>") == "yes", name
+    assert text_of("<article><div class='entry-header'><h1>T</h1></div><p>yes</p></article>") == "T\nyes"
+    assert text_of("<p>yes and more</p><form><p>no</p></form>") == "yes and more"
+    assert text_of("<article>a</article><form><p>no</p></form>") == "a"
+
+
+@pytest.mark.parametrize("part", ["<div></b>", "<b>", "<li><b>", "<table><tr><td>", "</1", "<a <a ", "<p><b>", "<ul><li><b></li>", "&amp;&", "<!--", "<x y='", "<form><p>a", "<dt><dd><i>"])
+def test_long_pages_are_read_in_time(part):
+    source = part * (300_000 // len(part))
+    start = time.process_time()
+    html_text.main_text(source, {1})
+    assert time.process_time() - start < 8
+
+
 def test_page_text_equals_the_articles_of_the_data(spark, sf_dir):
     for r in html_text.op5_html_extraction(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = r["html"].partition("<article>")[2].partition("</article>")[0]
