@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import WordHashes, chunks, flat_words, ship, shingle_hashes, table
+from .shared import WordHashes, aside, chunks, flat_words, renamed, shingle_hashes, ship, stored, table
 
 #: Labelled rows that the trees are fitted on, at most (those with the smallest hashes of doc_id).
 MAX_LABELLED = 20_000
@@ -194,16 +194,19 @@ def fit_trees(
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, condition=None) -> DataFrame:
-    """Texts of at most `most` labelled rows, those with the smallest hashes of doc_id: (doc_id, text, label).
+    """At most `most` labelled rows, those with the smallest hashes of doc_id: (doc_id, text, label).
 
-    The chosen ids are bounded by `most`, so they are broadcast and no text is shuffled.
+    The chosen ids are bounded by `most`, so they are broadcast; of rows that share an id one is taken, the one with the
+    smallest hash of its text, so the rows have that bound too. They are stored, so that documents are read once.
     """
     picked = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if condition is not None:
         picked = picked.where(condition)
     picked = picked.groupBy("doc_id").agg(F.max(label).alias("label"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    first = rows.groupBy("doc_id").agg(F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), "text")).alias("row"))
+    return stored(first.select("doc_id", "row.text", "row.label"), "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Trees | None:
@@ -228,13 +231,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return fit_trees(rows[names].to_numpy(float), y, list(FEATURES.values()))
 
 
-def score_quality(docs: DataFrame, model: Trees | None, keep_at: float = KEEP_AT, prefix: str = "") -> DataFrame:
-    """Add the statistics, base_failed, quality (probability) and kept to every row, their names after the prefix.
+def score_quality(docs: DataFrame, model: Trees | None, keep_at: float = KEEP_AT, text: str = "text") -> DataFrame:
+    """Add the statistics, base_failed, quality (probability) and kept to every row.
 
     Columns that have such a name are replaced; all others stay.
     """
     ship(docs.sparkSession)
-    new = [prefix + n for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept")]
+    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept"]
     clash = [c for c in docs.columns if c.lower() in new]
     docs = docs.drop(*clash)
     kinds = ["long"] * 5 + ["boolean", "double", "boolean"]
@@ -242,7 +245,7 @@ def score_quality(docs: DataFrame, model: Trees | None, keep_at: float = KEEP_AT
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for part, texts in chunks(batch):
+            for part, texts in chunks(batch, text):
                 counts, inputs = statistics(texts, hashes)
                 failed = base_failed(counts)
                 good = model.score(inputs) if model else np.ones(len(texts))
@@ -257,7 +260,8 @@ def score_quality(docs: DataFrame, model: Trees | None, keep_at: float = KEEP_AT
 
 def quality_filter(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that the rules keep, with their own columns and values."""
-    return score_quality(docs, fit(docs, labels), prefix="__").where("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, names = aside(docs)
+    return score_quality(rows, fit(docs, labels), text=names["text"]).where("kept").select(*renamed(names))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,14 +102,83 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_label_model_discounts_copies_of_a_voter():
+    """Labels are not shown to it, and it finds the classes that three good voters agree on, not what twelve copies of one say."""
     r = np.random.default_rng(8)
     y = (r.random(4000) < 0.3).astype(float)
     good = (r.random((4000, 3)) < np.where(y[:, None] > 0, 0.7, 0.02)).astype(float)
     noise = (r.random((4000, 1)) < np.where(y[:, None] > 0, 0.35, 0.25)).astype(float)
     votes = np.concatenate([good, np.repeat(noise, 12, 1)], 1)
-    labels = np.where(r.random(4000) < 0.9, y, 1 - y)
-    posterior = toxicity.label_model(votes, labels)
+    labels = np.where(r.random(4000) < 0.9, y, 1 - y) > 0
+    model = toxicity.label_model(votes, toxicity.Beliefs.of_labels(votes, labels))
+    posterior = model.posterior(votes)
     assert ((posterior > 0.5) == (y > 0)).mean() > 0.95
+    assert ((posterior > 0.5) != labels).mean() > 0.05  # it turns the labels that are wrong
+    assert model.weight[3:].max() < 0.2 < model.weight[:3].min()
+    told = np.log(model.says[1] / model.says[0]) * model.weight
+    assert told[:3].min() > told[3:].sum()  # each good voter outweighs the copies together
+
+
+def plain_label_model(votes, beliefs, rounds):
+    """The same expectation maximisation, text by text and voter by voter."""
+    n, v = len(votes), len(votes[0])
+    says, denies, weight, post = beliefs.says.tolist(), beliefs.denies.tolist(), beliefs.weight.tolist(), [0.0] * n
+
+    def expect():
+        for i in range(n):
+            odds = math.log(beliefs.share / (1 - beliefs.share))
+            for j in range(v):
+                rates = [{1: says[c][j], -1: denies[c][j], 0: min(max(1 - says[c][j] - denies[c][j], 1e-6), 1)}[int(votes[i][j])] for c in (0, 1)]
+                odds += weight[j] * math.log(rates[1] / rates[0]) * (toxicity.ABSTAIN if votes[i][j] == 0 else 1)
+            post[i] = 1 / (1 + math.exp(-min(max(odds, -30), 30)))
+
+    for _ in range(rounds):
+        expect()
+        of = [[1 - p for p in post], post]
+        mean = [[sum(of[c][i] * votes[i][j] for i in range(n)) / max(sum(of[c]), 1e-9) for j in range(v)] for c in (0, 1)]
+        left = [[votes[i][j] - sum(of[c][i] * mean[c][j] for c in (0, 1)) for j in range(v)] for i in range(n)]
+        for c in (0, 1):
+            worth = toxicity.BELIEF * n * (beliefs.share if c else 1 - beliefs.share)
+            for kind, sign, prior in ((says, 1, beliefs.says), (denies, -1, beliefs.denies)):
+                for j in range(v):
+                    kind[c][j] = (sum(of[c][i] for i in range(n) if votes[i][j] == sign) + worth * prior[c][j]) / (sum(of[c]) + worth)
+        spread = [math.sqrt(sum(x[j] ** 2 for x in left) / n) + 1e-6 for j in range(v)]
+        for j in range(v):
+            others = [sum(x[j] * x[k] for x in left) / n / spread[j] / spread[k] for k in range(v) if k != j]
+            weight[j] = 1 / (1 + sum(x for x in others if x > 0.1))
+    expect()
+    return post
+
+
+def test_label_model_equals_a_plain_one():
+    r = np.random.default_rng(2)
+    votes = r.choice([-1.0, 0.0, 1.0], (60, 5), p=[0.2, 0.5, 0.3])
+    votes[:, 4] = np.abs(votes[:, 3])
+    for beliefs in (toxicity.Beliefs.of_votes(votes), toxicity.Beliefs.of_labels(votes, r.random(60) < 0.3)):
+        got = toxicity.label_model(votes, beliefs, rounds=7).posterior(votes)
+        assert got == pytest.approx(plain_label_model(votes.tolist(), beliefs, 7), abs=1e-9)
+
+
+def test_toxicity_without_labels_and_with_copies(spark):
+    """The lexicon alone finds its insults; a text copied many times makes no voters of its words."""
+    r = np.random.default_rng(5)
+    words = ["".join(r.choice(list("bdgklmnprst"), 5)) for _ in range(300)]
+    rows = []
+    for i in range(400):
+        text = list(r.choice(words, 40))
+        if i % 8 == 0:
+            text[3:3] = ["you", "pathetic"]
+            text[9:9] = ["idiot", "scum"]
+        rows.append((i, " ".join(text)))
+    copied = " ".join(r.choice(words, 40)) + " zzzzzzz idiot scum moron"
+    rows += [(1000 + i, copied) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score_toxicity(docs, model).collect()}
+    assert all(got[i] == (i % 8 == 0) for i in range(400)) and all(got[1000 + i] for i in range(200))
+    labels = spark.createDataFrame([(i, int(i % 8 == 0 or i >= 1000)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert not any(b"zzzz" in v for v in model.voters[0])
+    assert model.flips[0] < 450 and model.flips[1] == model.flips[0]
 
 
 def test_toxicity_defined_cases(spark):
