@@ -12,8 +12,8 @@ page copied a thousand times would make boilerplate of its own content, and dele
 that differ in any line are different pages, however long the lines they share.
 
 Only (host, line hash, page hash) triples are shuffled, made distinct before the shuffle. The lines to drop are at
-most lines-per-page / max_ratio for each host. While they are few they are broadcast, a hash set for a host that each
-Python worker keeps, and texts never move. Beyond `broadcast_rows` they are joined with the triples by (host, line
+most lines-per-page / max_ratio for each host. While they are few they are broadcast, an array for a host, which is
+intersected by hash with a document's own lines once; texts never move. Beyond `broadcast_rows` they are joined with the triples by (host, line
 hash), where Spark splits a line that is on very many pages, and each page meets the lines that it has itself.
 
 Defined cases: a null text stays null and has no lines; a null host is a host of its own; lines of white space alone
@@ -23,16 +23,10 @@ whatever their names; columns n_lines and n_dropped are replaced where counts ar
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructType
 
-from .shared import as_bytes, aside, renamed, ship, stored, table
+from .shared import aside, stored, table
 
 #: A line is boilerplate on a host if over this share of its pages contain it ...
 MAX_RATIO = 0.05
@@ -42,16 +36,17 @@ FEW_PAGES = 3
 FEW_RATIO = 0.5
 #: (host, line) rows that are broadcast at most: about 2 MB.
 BROADCAST_ROWS = 200_000
-#: XXH64 of a line, as Spark computes it.
-SEED = 42
 #: White space alone makes a blank line; backslashes are doubled for the SQL text.
 _BLANK = r"^[\\x20\\x09-\\x0D]*$"
 
 
+def _lines(text: str) -> str:
+    return f"filter(split(`{text}`, '\\n', -1), x -> NOT x RLIKE '{_BLANK}')"
+
+
 def _pages(docs: DataFrame, host: str, text: str) -> DataFrame:
     """(host, hashes, page): a document's distinct line hashes, and their own hash, which knows the page."""
-    lines = f"filter(split(`{text}`, '\\n', -1), x -> NOT x RLIKE '{_BLANK}')"
-    pages = docs.select(F.col(f"`{host}`").alias("host"), F.expr(lines).alias("lines")).where("size(lines) > 0")
+    pages = docs.select(F.col(f"`{host}`").alias("host"), F.expr(_lines(text)).alias("lines")).where("size(lines) > 0")
     hashes = F.expr("array_sort(array_distinct(transform(lines, x -> xxhash64(x))))").alias("hashes")
     return pages.select("host", hashes).withColumn("page", F.expr("xxhash64(hashes)"))
 
@@ -78,54 +73,27 @@ def drop_lines(
     broadcast_rows: int = BROADCAST_ROWS, counts: bool = True,
 ) -> DataFrame:
     """The documents with their boilerplate lines dropped, and n_lines and n_dropped added if counts are wanted."""
-    spark = docs.sparkSession
-    ship(spark)
     if counts:
         docs = docs.drop("n_lines", "n_dropped")
     docs, names = aside(docs)
     host, text = names[host], names[text]
-    found = stored(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
-    columns = list(names.values())
-    of = columns.index(text)
+    found = stored(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate").select(F.col("host").alias("of_host"), F.col("line_hash").alias("hot"))
+    hashes = f"transform({_lines(text)}, x -> xxhash64(x))"
     if found.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        sets = defaultdict(set)
-        for r in found.select("host", "line_hash").toLocalIterator():
-            sets[r["host"]].add(r["line_hash"])
-        kept = spark.sparkContext.broadcast(dict(sets))
-        rows = docs.select(*columns, F.col(host).alias("own"))
+        hot = found.groupBy("of_host").agg(F.collect_list("hot").alias("all_hot"))
+        rows = docs.join(F.broadcast(hot), F.col(host).eqNullSafe(F.col("of_host")), "left")
+        rows = rows.withColumn("own", F.expr(f"array_intersect({hashes}, all_hot)"))
     else:
-        kept = None
-        own = _seen(_pages(docs, host, text)).join(found.select(F.col("host").alias("of_host"), F.col("line_hash").alias("hot")), F.col("host").eqNullSafe(F.col("of_host")) & (F.col("line_hash") == F.col("hot")))
-        own = own.groupBy("host", "page").agg(F.collect_list("line_hash").alias("own")).select(F.col("host").alias("of_host"), F.col("page").alias("of_page"), "own")
-        lines = f"filter(split({text}, '\\n', -1), x -> NOT x RLIKE '{_BLANK}')"
-        page = F.expr(f"xxhash64(array_sort(array_distinct(transform({lines}, x -> xxhash64(x)))))")
-        rows = docs.withColumn("page", page).join(own, F.col(host).eqNullSafe(F.col("of_host")) & (F.col("page") == F.col("of_page")), "left").select(*columns, "own")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            texts, of_lines, dropped = [], [], []
-            for raw, mark in zip(as_bytes(batch.column(of)), batch.column(len(columns)).to_pylist(), strict=True):
-                lines = [] if raw is None else raw.split(b"\n")
-                hot = kept.value.get(mark, ()) if kept else set(mark or ())
-                left = [x for x in lines if _signed(digest(x, SEED)) not in hot or not x.strip(_SPACES)] if hot else lines
-                texts.append(raw if len(left) == len(lines) else b"\n".join(left))
-                of_lines.append(len(lines))
-                dropped.append(len(lines) - len(left))
-            arrays = [*batch.columns[: len(columns)], pa.array(of_lines, pa.int64()), pa.array(dropped, pa.int64())]
-            arrays[of] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, "n_lines", "n_dropped"])
-
-    schema = StructType([f if f.name != text else type(f)(text, StringType()) for f in docs.schema.fields]).add("n_lines", LongType()).add("n_dropped", LongType())
-    cleaned = rows.mapInArrow(apply, schema)
-    return cleaned.select(*renamed(names), *(["n_lines", "n_dropped"] if counts else []))
-
-
-_SPACES = b" \t\n\x0b\x0c\r"
-
-
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+        seen = _seen(_pages(docs, host, text)).join(found, F.col("host").eqNullSafe(F.col("of_host")) & (F.col("line_hash") == F.col("hot")))
+        own = seen.groupBy("host", "page").agg(F.collect_list("line_hash").alias("own")).select(F.col("host").alias("of_host"), F.col("page").alias("of_page"), "own")
+        page = F.expr(f"xxhash64(array_sort(array_distinct({hashes})))")
+        rows = docs.withColumn("page", page).join(own, F.col(host).eqNullSafe(F.col("of_host")) & (F.col("page") == F.col("of_page")), "left")
+    lines = f"split({text}, '\n', -1)"
+    left = f"filter({lines}, x -> x RLIKE '{_BLANK}' OR NOT array_contains(own, xxhash64(x)))"
+    rows = rows.withColumn("left", F.expr(f"CASE WHEN coalesce(size(own), 0) = 0 THEN {lines} ELSE {left} END"))
+    cleaned = rows.withColumn("n_lines", F.expr(f"CAST(coalesce(size({lines}), 0) AS BIGINT)")).withColumn("n_dropped", F.expr("n_lines - coalesce(size(left), 0)"))
+    columns = [F.expr("array_join(left, '\n')").alias(old) if new == text else F.col(new).alias(old) for old, new in names.items()]
+    return cleaned.select(*columns, *(["n_lines", "n_dropped"] if counts else []))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
