@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str | None = None) ->
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "key"][: len(columns)])
 
     columns = ["doc_id", F.col(f"`{text}`").alias("text")] + ([F.col(f"`{key}`").alias("key")] if key else [])
-    return docs.select(*columns).mapInArrow(apply, "doc_id long, fp long" + (", key long" if key else ""))
+    return docs.select(*columns).mapInArrow(apply, "doc_id long, fp long" + (", key struct<a:long,b:long>" if key else ""))
 
 
 def _roots(parent: np.ndarray) -> np.ndarray:
@@ -210,7 +210,7 @@ def _classes(marks: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs."""
-    marks = stored(fingerprints(docs, text).withColumn("key", F.lit(0).cast("long")), "fingerprints")
+    marks = stored(fingerprints(docs, text).withColumn("key", F.lit(0)), "fingerprints")
     joined = marks.join(_classes(marks), F.col("fp") == F.col("_fp"))
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least.doc_id").alias("component_id"))
 
@@ -223,12 +223,12 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows, names = aside(docs)
     columns = list(names.values())
-    rows = rows.withColumn("key", F.xxhash64(*columns))
+    rows = rows.withColumn("key", F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(SEED), *columns).alias("b")))
     ident = F.col(names["doc_id"]).cast("long").alias("doc_id") if "doc_id" in names else F.lit(None).cast("long").alias("doc_id")
     marks = stored(fingerprints(rows.select(ident, F.col(names[text]).alias("text"), "key"), key="key"), "fingerprints")
-    firsts = _classes(marks).select("least").distinct().select(F.col("least.key").alias("of_key"), F.col("least.doc_id").alias("of_id"))
-    kept = rows.withColumn("of", ident).join(firsts, (F.col("key") == F.col("of_key")) & F.col("of").eqNullSafe(F.col("of_id")), "left_semi")
-    return kept.dropDuplicates(["key", "of"]).select(*renamed(names))
+    firsts = _classes(marks).select("least.key").distinct().select(F.col("key").alias("of_key"))
+    # the join and the removal of equal rows go by the same key, so rows move once
+    return rows.join(firsts, F.col("key") == F.col("of_key"), "left_semi").dropDuplicates(["key"]).select(*renamed(names))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
