@@ -77,7 +77,8 @@ def tsv_line(columns: list[Column]) -> Column:
 
 
 def rfc3339(c: Column) -> Column:
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """In UTC, whatever the time zone of the session."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def parse_rfc3339(c: Column) -> Column:

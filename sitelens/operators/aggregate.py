@@ -35,9 +35,9 @@ def validate(candidates: DataFrame, region: str = C.DEFAULT_REGION, more: Mappin
     return rows.withColumn("validated", result).drop("_folded")
 
 
-def accepted(candidates: DataFrame, region: str = C.DEFAULT_REGION) -> DataFrame:
+def accepted(candidates: DataFrame, region: str = C.DEFAULT_REGION, more: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Candidates that policy and validator accept, with value, dedup_value and merged metadata."""
-    rows = validate(layer_policy(candidates), region).where("validated IS NOT NULL")
+    rows = validate(layer_policy(candidates), region, more).where("validated IS NOT NULL")
     kept = F.map_filter("metadata", lambda k, v: ~F.map_contains_key("validated.metadata", k))
     return rows.select(
         "field", F.col("validated.value").alias("value"), F.col("validated.dedup_value").alias("dedup_value"), "source_url", "collected_at",
@@ -96,6 +96,24 @@ def flatten(found: DataFrame) -> DataFrame:
     return found.select("field", "value", "extraction_confidence", "page_support", "occurrence_count", "first_seen_url", "metadata", F.inline("provenance"))
 
 
+def provenance_fault(found: DataFrame) -> Column:
+    """What makes a finding unattributable, else null: no provenance, more than is kept, or an entry without URL or time."""
+    n = F.coalesce(F.size("provenance"), F.lit(0))
+    return (
+        F.when(n < 1, "no provenance")
+        .when(n > C.MAX_PROVENANCE, "too many provenance entries")
+        .when(F.exists("provenance", lambda p: F.coalesce(F.trim(p["source_url"]), F.lit("")) == ""), "no source URL")
+        .when(F.exists("provenance", lambda p: p["collected_at"].isNull()), "no time")
+    )
+
+
+def audited(found: DataFrame) -> DataFrame:
+    """The findings as they are; one that nobody could attribute fails the job that reads it."""
+    fault = provenance_fault(found)
+    error = F.raise_error(F.concat_ws(": ", F.lit("unattributable finding"), "field", "value", fault))
+    return found.withColumn("provenance", F.when(fault.isNull(), F.col("provenance")).otherwise(error.cast(found.schema["provenance"].dataType)))
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """Live table against a snapshot, keyed by (field, dedup_value): appended, updated, unchanged or kept."""
     keys = ["field", "dedup_value"]

@@ -12,8 +12,10 @@ from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sitelens import constants as C
 from sitelens.functions import urls as U
@@ -55,35 +57,56 @@ def error_status(kind: Column) -> Column:
 
 def retry_after(value: Column, now: Column) -> Column:
     """Seconds of a Retry-After header: a number, or an HTTP date; never negative."""
-    date = F.unix_timestamp(F.try_to_timestamp(F.substring(F.trim(value), 6, 20), F.lit("dd MMM yyyy HH:mm:ss"))) - F.unix_timestamp(now)
+    at = F.concat(F.substring(F.trim(value), 6, 20), F.lit(" +0000"))  # HTTP dates are GMT, whatever the session's zone
+    date = F.unix_timestamp(F.try_to_timestamp(at, F.lit("dd MMM yyyy HH:mm:ss Z"))) - F.unix_timestamp(now)
     return F.greatest(F.coalesce(F.trim(value).try_cast("int").cast("long"), date), F.lit(0)).cast("double")
 
 
 def decode_body(body: Column, charset: Column) -> Column:
-    """Declared charset unless it is ISO-8859-1, else strict UTF-8, else ISO-8859-1."""
-    declared = F.upper(F.coalesce(charset, F.lit("")))
+    """Declared charset unless it is ISO-8859-1 or unknown, else strict UTF-8, else ISO-8859-1.
+
+    Undeclared, UTF-8 and ISO-8859-1 bodies never leave the JVM; only others go to a Python codec.
+    """
+    declared = F.lower(F.trim(F.coalesce(charset, F.lit(""))))
     fallback = F.coalesce(F.try_validate_utf8(body.cast("string")), F.decode(body, "ISO-8859-1"))
-    return F.when(declared == "US-ASCII", F.decode(body, "US-ASCII")).when(declared.startswith("UTF-16"), F.decode(body, "UTF-16")).otherwise(fallback)
+    usual = declared.isin("", "utf-8", "utf8", "iso-8859-1", "latin-1", "latin1")
+    return F.coalesce(by_codec(F.when(~usual, body), declared), fallback)
+
+
+@F.pandas_udf(StringType())
+def by_codec(body: pd.Series, charset: pd.Series) -> pd.Series:
+    """The text of each body in its charset, undecodable bytes replaced; null without body or for an unknown charset."""
+    texts = []
+    for raw, name in zip(body, charset, strict=True):
+        try:
+            texts.append(None if raw is None else bytes(raw).decode(name, "replace"))
+        except (LookupError, ValueError):
+            texts.append(None)
+    return pd.Series(texts, dtype=object)
 
 
-def resolve_redirects(requests: DataFrame, routes: DataFrame, target: Target, hops: int = C.MAX_REDIRECTS) -> DataFrame:
+def resolve_redirects(requests: DataFrame, routes: DataFrame, target: Target, hops: int = C.MAX_REDIRECTS, denied: DataFrame | None = None) -> DataFrame:
     """(url, final_url, hops, error): where each requested URL ends, over at most `hops` joins with the routes.
 
-    Every hop is canonicalized and scope-checked; a missing location is a transport error.
+    Every hop is canonicalized and scope-checked; a missing location is a transport error. denied: URLs (url) that
+    robots.txt forbids: a hop that comes to one ends there.
     """
     table = routes.select(F.col("url").alias("_at"), F.col("status").alias("_status"), F.col("location").alias("_location"))
+    stop = (routes.sparkSession.createDataFrame([], "url string") if denied is None else denied).select(F.col("url").alias("_denied")).distinct()
     rows = requests.select("url", F.col("url").alias("final_url"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("error"))
     for hop in range(hops + 1):
         moved = F.col("_status").isin(*C.REDIRECT_CODES) & F.col("error").isNull()
         rows = rows.join(table, F.col("final_url") == F.col("_at"), "left")
         rows = rows.withColumn("_moved", F.coalesce(moved, F.lit(False)))
         rows = rows.withColumn("_next", U.canonicalize(F.when(F.col("_moved"), F.col("_location")), F.col("final_url")))
+        rows = rows.join(stop, F.col("_next.url") == F.col("_denied"), "left")
         inside = U.in_scope(F.col("_next.url"), target.scope_host, target.include_subdomains, F.lit(target.scope_port).cast("int"))
         error = (
             F.when(~F.col("_moved"), F.col("error"))
             .when(F.lit(hop == hops), "redirects")
             .when(F.coalesce(F.trim("_location"), F.lit("")) == "", "transport")
             .when(F.col("_next.reason").isNotNull() | ~inside, "off_scope")
+            .when(F.col("_denied").isNotNull(), "robots")
         )
         step = F.col("_moved") & error.isNull()
         rows = rows.select("url", F.when(step, F.col("_next.url")).otherwise(F.col("final_url")).alias("final_url"), (F.col("hops") + step.cast("int")).alias("hops"), error.alias("error"))

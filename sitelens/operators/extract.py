@@ -194,9 +194,9 @@ def all_extractors(parsed: DataFrame, more: Sequence[Callable[[DataFrame], DataF
     return barrier(out.select(CANDIDATE))
 
 
-def candidates(pages: DataFrame, markup: str = "text") -> DataFrame:
+def candidates(pages: DataFrame, markup: str = "text", more: Sequence[Callable[[DataFrame], DataFrame]] = ()) -> DataFrame:
     """All candidates of pages (url, text, fetched_at, headers). Pages are parsed once; the parse is stored."""
-    return all_extractors(stored(parse_pages(pages, markup), "parsed"))
+    return all_extractors(stored(parse_pages(pages, markup), "parsed"), more)
 
 
 def barrier(rows: DataFrame) -> DataFrame:

@@ -56,9 +56,10 @@ def running_depth(log: DataFrame, key: list[str] | None = None) -> DataFrame:
     return log.withColumn("deepest", F.max("depth").over(_running(key or ["run_id"], ["seq"])))
 
 
-def numbered(log: DataFrame, first: int = 1, order: list[str] | None = None) -> DataFrame:
-    """Page log rows with their display numbers, from an offset."""
-    return log.withColumn("number", F.row_number().over(Window.orderBy(*(order or ["seq"]))) + F.lit(first - 1))
+def numbered(log: DataFrame, first: int = 1, order: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
+    """Page log rows with their display numbers within their run, from an offset. A log without run_id is one run's."""
+    key = [c for c in (key or ["run_id"]) if c in log.columns] or [F.lit(0)]
+    return log.withColumn("number", F.row_number().over(Window.partitionBy(*key).orderBy(*(order or ["seq"]))) + F.lit(first - 1))
 
 
 def request_starts(arrivals: DataFrame, interval: float, host: str = "host", arrival: str = "arrival", order: list[str] | None = None) -> DataFrame:

@@ -71,6 +71,11 @@ def decide(urls: DataFrame, robots: DataFrame, token: str = C.PRODUCT_TOKEN, url
     robots: (host_key, status_code, body, error, fetched_at), a row for each host, of which answers older than a day
     count as absent transport. A host without row was not reached: denied.
     """
+    # of several answers of a host the newest counts, so a table may be added to as answers are asked for anew
+    newest = F.max_by(F.struct(*[F.col(c) for c in robots.columns]), F.col("fetched_at")) if "fetched_at" in robots.columns else None
+    if newest is not None:
+        dated = robots.withColumn("fetched_at", F.coalesce("fetched_at", F.lit("1970-01-01 00:00:00").cast("timestamp")))
+        robots = dated.groupBy(F.col("host_key").alias("_host")).agg(newest.alias("r")).select("r.*")
     if now is not None:
         robots = robots.where(F.col("fetched_at") > now - F.expr(f"INTERVAL {C.ROBOTS_TTL_HOURS} HOURS"))
     policy = robots.select("host_key", status_decision(F.col("status_code"), F.col("error"), F.col("body")).alias("_by_status"), F.col("body").cast("string").alias("_body"))

@@ -35,18 +35,21 @@ def sitemap_locations(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def sitemap_urls(declared: DataFrame, documents: DataFrame) -> DataFrame:
-    """(url, via): what declared sitemaps list. An index is followed one level; at most five documents are read.
+    """(url, via), and site: what declared sitemaps list. An index is followed one level; at most five documents of a site are read.
 
-    declared: (url, at) in order; documents: (url, text). Second-level indexes list nothing.
+    declared: (url, at) in order, and site where several sites are read at once; documents: (url, text). Second-level
+    indexes list nothing.
     """
+    several = "site" in declared.columns
+    declared = declared if several else declared.withColumn("site", F.lit(""))
     read = sitemap_locations(documents).where("status IS NULL").select(F.col("url").alias("_doc"), "kind", "locations")
-    first = declared.join(read, F.col("url") == F.col("_doc")).select(F.lit(0).alias("level"), F.col("at").cast("long").alias("at"), "_doc", "kind", "locations")
-    below = first.where("kind = 'sitemapindex'").select("at", F.posexplode("locations").alias("k", "_next"))
-    second = below.join(read, F.col("_next") == F.col("_doc")).select(F.lit(1).alias("level"), (F.col("at") * C.MAX_LOCATIONS + F.col("k")).alias("at"), "_doc", "kind", "locations")
+    first = declared.join(read, F.col("url") == F.col("_doc")).select("site", F.lit(0).alias("level"), F.col("at").cast("long").alias("at"), "_doc", "kind", "locations")
+    below = first.where("kind = 'sitemapindex'").select("site", "at", F.posexplode("locations").alias("k", "_next"))
+    second = below.join(read, F.col("_next") == F.col("_doc")).select("site", F.lit(1).alias("level"), (F.col("at") * C.MAX_LOCATIONS + F.col("k")).alias("at"), "_doc", "kind", "locations")
     both = first.unionByName(second)
-    once = both.withColumn("_k", F.row_number().over(Window.partitionBy("_doc").orderBy("level", "at"))).where("_k = 1")
-    read_ones = once.orderBy("level", "at").limit(C.MAX_SITEMAPS)
-    return read_ones.where("kind = 'urlset'").select(F.col("_doc").alias("via"), F.explode("locations").alias("url")).select("url", "via")
+    once = both.withColumn("_k", F.row_number().over(Window.partitionBy("site", "_doc").orderBy("level", "at"))).where("_k = 1")
+    read_ones = once.withColumn("_k", F.row_number().over(Window.partitionBy("site").orderBy("level", "at", "_doc"))).where(F.col("_k") <= C.MAX_SITEMAPS)
+    return read_ones.where("kind = 'urlset'").select("site", F.col("_doc").alias("via"), F.explode("locations").alias("url")).select("url", "via", *(["site"] if several else []))
 
 
 def security_txt(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -16,10 +16,13 @@ ROOT = str(Path(__file__).resolve().parents[1])
 def shared_dir(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine), a temporary folder of this machine is taken.
+    Only where that setting is absent and Spark runs on this machine alone, a temporary folder of it is taken; on a
+    cluster the setting must be there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), f"sitelens-checkpoints-{os.getuid()}")
         os.makedirs(base, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", base)

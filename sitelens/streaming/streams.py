@@ -6,11 +6,12 @@ applyInPandasWithState; their batch forms are windows in operators.health, and t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sitelens import constants as C
@@ -20,13 +21,13 @@ from sitelens import dims
 def live_findings(accepted: DataFrame) -> DataFrame:
     """Running findings by (field, dedup_value), for output mode update or complete.
 
-    Support is exact for the documents' keys that arrive once; a stream counts distinct pages approximately, which a batch never does.
+    Support is exact: the state of a finding keeps the pages it was seen on, of which a run has at most 2,000.
     """
     rows = accepted.join(F.broadcast(dims.layers(accepted.sparkSession)), "extraction_layer")
     return rows.groupBy("field", "dedup_value").agg(
         F.min_by("value", F.struct("layer_ord", "source_url", "value")).alias("value"),
         F.max("confidence").alias("extraction_confidence"),
-        F.approx_count_distinct("source_url").cast("int").alias("page_support"),
+        F.size(F.collect_set("source_url")).alias("page_support"),
         F.count("*").cast("int").alias("occurrence_count"),
         F.min("source_url").alias("first_seen_url"),
     )
@@ -120,3 +121,49 @@ def run_to_memory(stream: DataFrame, name: str, mode: str = "append", **options:
     finally:
         query.stop()
     return stream.sparkSession.table(name)
+
+
+def run_to_files(stream: DataFrame, path: str, mode: str = "append", **options: str) -> DataFrame:
+    """Everything that is available now, written by the executors below a new path, and read back.
+
+    append: a file sink. complete: each batch holds the whole result, and the last one's files are read.
+    """
+    writer = stream.writeStream.options(**options).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True)
+    batches: list[int] = []
+    if mode == "append":
+        query = writer.format("parquet").option("path", path).outputMode("append").start()
+    else:
+
+        def write(rows: DataFrame, batch: int) -> None:
+            rows.write.mode("overwrite").parquet(f"{path}/{batch}")
+            batches.append(batch)
+
+        query = writer.outputMode(mode).foreachBatch(write).start()
+    try:
+        query.awaitTermination()
+    finally:
+        query.stop()
+    spark = stream.sparkSession
+    if mode != "append":
+        return spark.read.schema(stream.schema).parquet(f"{path}/{max(batches)}") if batches else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def deliver(stream: DataFrame, observer: Callable[[list[Row]], None], checkpoint: str, rows: int = C.OBSERVED_ROWS, every: str = C.OBSERVED_EVERY, mode: str = "append", now: bool = False) -> StreamingQuery:
+    """Hand a stream's rows to an observer in lists of at most `rows`, as often as `every` allows, and what is left at the end.
+
+    For one run's page log or findings table, whose rows a run bounds.
+    """
+
+    def batch(found: DataFrame, _: int) -> None:
+        held: list[Row] = []
+        for row in found.toLocalIterator():
+            held.append(row)
+            if len(held) == rows:
+                observer(held)
+                held = []
+        if held:
+            observer(held)
+
+    trigger = {"availableNow": True} if now else {"processingTime": every}
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode(mode).trigger(**trigger).start()

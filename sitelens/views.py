@@ -84,3 +84,13 @@ def sorted_by(rows: DataFrame, column: str, descending: bool = False) -> DataFra
     kind = rows.schema[column].dataType.simpleString()
     key = F.lower(column) if kind == "string" else F.col(column)
     return rows.orderBy(key.desc() if descending else key.asc(), column)
+
+
+def statuses_seen(log: DataFrame) -> DataFrame:
+    """(status): those that a page log has so far, sorted."""
+    return log.select("status").where("status IS NOT NULL").distinct().orderBy("status")
+
+
+def of_status(rows: DataFrame, status: str | None) -> DataFrame:
+    """Page log rows of one status; of every status where none is chosen."""
+    return rows if status is None else rows.where(F.col("status") == status)
