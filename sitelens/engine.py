@@ -7,6 +7,8 @@ page's host being its site, with no budget and no queue.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,28 +44,40 @@ def pages_with_status(routes: DataFrame, policy: DataFrame | None, now: Column |
 
 def report(
     routes: DataFrame, policy: DataFrame | None, target: Target, settings: Settings, purpose: Purpose, contact: str, now: datetime | None = None, run_id: str | None = None,
-    version: str = "0.1", project_url: str = "https://example.org/sitelens",
+    version: str = "0.1", project_url: str = "https://example.org/sitelens", extractors: Sequence[Callable[[DataFrame], DataFrame]] = (),
+    validators: Mapping[str, Callable[[Column], Column]] | None = None,
 ) -> Report:
-    """Crawl the snapshot from the target and report, whatever the outcome; a refused seed raises before anything is written."""
+    """Crawl the snapshot from the target and report, whatever the outcome; a refused seed raises before anything is written.
+
+    Redirects are followed over the stored responses, every hop checked for scope and robots.txt; a page's findings name the URL
+    that it was read at. extractors and validators are further ones, as extract.all_extractors and aggregate.validate take them.
+    """
     spark = routes.sparkSession
     now = now or datetime.now(UTC)
     agent = T.user_agent(C.PRODUCT_TOKEN, version, project_url, contact)
     pages = stored(pages_with_status(routes, policy), "pages")
-    usable = pages.where("status IS NULL")
+    ends = redirect_ends(routes, pages, target)
+    usable = pages.where("status IS NULL").join(ends.select("url"), "url", "left_anti")
     parsed = extract.parse_pages(usable)
     parsed = stored(parsed.withColumn("status", F.when(F.col("parsed.n_elements") == 0, "parse_error").otherwise("ok")), "parsed")
     links = parsed.select(F.col("url").alias("src"), F.posexplode("parsed.links").alias("at", "raw")).withColumn("to", U.canonicalize(F.col("raw"), F.col("src")))
     links = stored(links.select("src", "at", "raw", F.col("to.url").alias("dst"), F.col("to.reason").alias("reason"), F.col("to.detail").alias("detail")), "links")
     statuses = pages.where("status IS NOT NULL").select("url", "status").unionByName(parsed.select("url", "status"))
+    arrived = ends.join(statuses.withColumnRenamed("url", "final_url"), "final_url", "left")
+    arrived = arrived.select("url", F.coalesce("error", "status", F.lit("transport_error")).alias("status"))
+    statuses = statuses.join(ends.select("url"), "url", "left_anti").unionByName(arrived)
+    through = links.join(ends.where("error IS NULL").select("url", F.col("final_url").alias("src")), "src")
+    links = links.unionByName(through.select(F.col("url").alias("src"), "at", "raw", "dst", "reason", "detail"))
     documents, discovered = _discovery(routes, policy, target, settings)
     run = crawl.exact(links, statuses, target, settings, documents=documents, discovered=discovered)
     log = spark.createDataFrame([(*r, i) for i, r in enumerate(run.log)], "url string, depth int, status string, detail string, seq int")
-    reached = log.where(F.col("status").isin(*C.FETCHED)).select("url")
+    reached = log.where(F.col("status").isin(*C.FETCHED)).select("url").join(ends.select("url", "final_url"), "url", "left")
+    reached = reached.select(F.coalesce("final_url", "url").alias("url")).distinct()
     own = parsed.join(reached, "url", "left_semi")
     known = U.canonical("/.well-known/security.txt", target.url)[0]
     documents = snapshot.fetched(routes, ["text/plain"]).where((F.col("url") == known) & F.col("status").isNull())
-    found = extract.all_extractors(own).unionByName(discovery.security_txt(documents.select("url", "text", "fetched_at")))
-    accepted = stored(aggregate.accepted(found, settings.phone_region), "accepted")
+    found = extract.all_extractors(own, extractors).unionByName(discovery.security_txt(documents.select("url", "text", "fetched_at")))
+    accepted = stored(aggregate.accepted(found, settings.phone_region, validators), "accepted")
     counts = accepted.groupBy(F.col("source_url").alias("url")).agg(F.count("*").cast("int").alias("n"))
     log = log.join(counts, "url", "left").join(pages.select("url", "status_code", "content_type"), "url", "left")
     status = F.when((F.col("status") == "ok") & F.col("n").isNull(), "no_findings").otherwise(F.col("status"))
@@ -76,7 +90,17 @@ def report(
         "request_interval_seconds": float(settings.request_interval_seconds), "concurrent_requests": settings.concurrent_requests, "follow_sitemap": settings.follow_sitemap,
         "phone_region": settings.phone_region, "requests_made": run.request_slots,
     }
-    return Report(head, stored(aggregate.findings(accepted, store=False), "findings"), stored(page_log, "page_log"))
+    return Report(head, stored(aggregate.audited(aggregate.findings(accepted, store=False)), "findings"), stored(page_log, "page_log"))
+
+
+def redirect_ends(routes: DataFrame, pages: DataFrame, target: Target) -> DataFrame:
+    """(url, final_url, error): where the redirects among the stored responses end, or the status of what stops them."""
+    at = U.canonicalize(F.col("url"), F.lit(None).cast("string"))["url"].alias("url")
+    table = routes.select(at, "status", "location" if "location" in routes.columns else F.lit(None).cast("string").alias("location"))
+    moved = table.where(F.col("status").isin(*C.REDIRECT_CODES)).select("url").distinct()
+    denied = pages.where("status = 'skipped_robots'").select("url")
+    ends = crawl.resolve_redirects(moved.join(denied, "url", "left_anti"), table, target, denied=denied)
+    return stored(ends.select("url", "final_url", F.when(F.col("error").isNotNull(), crawl.error_status(F.col("error"))).alias("error")), "redirects")
 
 
 def _discovery(routes: DataFrame, policy: DataFrame | None, target: Target, settings: Settings) -> tuple[list[tuple[str, str]], list[tuple[str, str | None]]]:
@@ -103,16 +127,45 @@ def _discovery(routes: DataFrame, policy: DataFrame | None, target: Target, sett
     return [(u, status.get(u, "http_error")) for u in wanted[: C.MAX_SITEMAPS + 1]], [(r["url"], r["gate"]) for r in gated.distinct().orderBy("url").collect()]
 
 
-def corpus_findings(pages: DataFrame, region: str = C.DEFAULT_REGION) -> DataFrame:
+def corpus_findings(
+    pages: DataFrame, region: str = C.DEFAULT_REGION, extractors: Sequence[Callable[[DataFrame], DataFrame]] = (), validators: Mapping[str, Callable[[Column], Column]] | None = None
+) -> DataFrame:
     """Findings of every site of a corpus of pages (schemas.FETCHED_PAGE): one row for each (site, field, dedup_value).
 
     The parse is stored once, as six extractors read it; sites never meet in one task.
     """
     parsed = stored(extract.parse_pages(pages), "parsed")
-    rows = aggregate.accepted(extract.all_extractors(parsed), region)
+    rows = aggregate.accepted(extract.all_extractors(parsed, extractors), region, validators)
     return aggregate.findings(rows.withColumn("dedup_value", F.concat_ws("\n", U.scope_host(F.col("source_url")), "dedup_value"))).select(
         F.split_part("dedup_value", F.lit("\n"), F.lit(1)).alias("site"), *[c for c in ("field", "value", "extraction_confidence", "page_support", "occurrence_count", "first_seen_url", "metadata", "provenance")]
     )
 
 
 FINDING = schemas.FINDING
+
+
+class Background:
+    """Work off the caller's thread: exports, listings, erasures. Spark takes jobs from several threads; leaving drains them."""
+
+    def __init__(self, threads: int = 4) -> None:
+        self._pool = ThreadPoolExecutor(threads)
+
+    def run(self, work: Callable[[], object], on_success: Callable[[object], None] = lambda _: None, on_failure: Callable[[BaseException], None] = lambda _: None) -> Future:
+        """Start work; one of the two is called with its result or its error, on the worker's thread."""
+
+        def done(f: Future) -> None:
+            error = f.exception()
+            if error is None:
+                on_success(f.result())
+            else:
+                on_failure(error)
+
+        future = self._pool.submit(work)
+        future.add_done_callback(done)
+        return future
+
+    def __enter__(self) -> Background:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._pool.shutdown(wait=True)

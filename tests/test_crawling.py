@@ -205,3 +205,29 @@ def test_backoff_depth_numbers(spark):
     assert crawl.first_log_row(twice).count() == 2 and crawl.collapse_final(twice).count() == 1
     pages = log_of(spark, ["ok", "no_findings", "skipped_robots", "skipped_depth", "http_error", "too_large"])
     assert tuple(crawl.page_counts(pages).first()) == (2, 2, 2, 1)
+
+
+def test_declared_charsets(spark):
+    rows = [("日本".encode("shift_jis"), "Shift_JIS", "日本"), ("мир".encode("cp1251"), "windows-1251", "мир"), ("é".encode(), None, "é"), ("é".encode("latin-1"), None, "é"), ("é".encode("latin-1"), "iso-8859-1", "é"), (b"a\xff", "utf-8", "aÿ"), (b"x", "no-such", "x"), ("z".encode("utf-16"), "UTF-16", "z")]
+    got = spark.createDataFrame(rows, "body binary, charset string, want string").select(crawl.decode_body(F.col("body"), F.col("charset")).alias("got"), "want").collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_do_not_depend_on_the_zone_of_the_session(spark, zone):
+    from sitelens.functions import text as T
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        row = spark.range(1).select(T.rfc3339(F.timestamp_seconds(F.lit(0))).alias("at"), crawl.retry_after(F.lit("Thu, 01 Jan 1970 00:02:00 GMT"), F.timestamp_seconds(F.lit(0))).alias("wait")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert tuple(row) == ("1970-01-01T00:00:00Z", 120.0)
+
+
+def test_sitemap_limit_holds_for_each_site(spark):
+    documents = spark.createDataFrame([(f"https://s{s}.example/{k}.xml", f"<urlset><loc>https://s{s}.example/p{k}</loc></urlset>") for s in (1, 2) for k in range(7)], "url string, text string")
+    declared = spark.createDataFrame([(f"https://s{s}.example/{k}.xml", k, f"s{s}") for s in (1, 2) for k in range(7)], "url string, at int, site string")
+    got = discovery.sitemap_urls(declared, documents).groupBy("site").count().collect()
+    assert sorted(map(tuple, got)) == [("s1", 5), ("s2", 5)]

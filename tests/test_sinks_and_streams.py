@@ -181,3 +181,33 @@ def test_frontier_metrics_and_extensions(spark):
     short = lambda c: F.when(F.length(c) == 1, F.struct(c.alias("value"), c.alias("dedup_value"), F.expr("CAST(map() AS map<string,string>)").alias("metadata")))
     got = aggregate.validate(rows, more={"email": short}).orderBy("seq").collect()
     assert [r["validated"] and r["validated"]["value"] for r in got] == ["x", None]
+
+
+def test_run_directory_and_ledger_line(spark, made, tmp_path):
+    written = report.export_run(made, tmp_path, ["md"], now=datetime.datetime(2024, 5, 6, tzinfo=datetime.UTC))
+    assert sorted(str(p.relative_to(tmp_path)) for p in written) == ["r-00000001/report.json", "r-00000001/report.md"]
+    row = ledger.scan(spark, tmp_path).first()
+    assert (row["run_id"], row["target_host"], row["findings_count"], row["files"]) == ("r-00000001", "e.org", 3, ["report.json", "report.md"])
+    assert ledger.erase(spark, tmp_path, {"r-00000001"})[1] == ["r-00000001"] and not (tmp_path / "r-00000001").exists()
+
+
+def test_unattributable_findings_fail(spark, made):
+    assert aggregate.audited(made.findings).count() == 3 and {r["value"] for r in aggregate.audited(made.findings).collect()}
+    for change, why in ((F.expr("filter(provenance, p -> false)"), "no provenance"), (F.transform("provenance", lambda p: p.withField("source_url", F.lit(" "))), "no source URL"), (F.transform("provenance", lambda p: p.withField("collected_at", F.lit(None).cast("timestamp"))), "no time")):
+        with pytest.raises(Exception, match=why):
+            aggregate.audited(made.findings.withColumn("provenance", change)).collect()
+
+
+def test_observer_gets_small_lists(spark, tmp_path):
+    rows = spark.range(60).selectExpr("id AS seq")
+    got = []
+    query = streams.deliver(streamed(spark, tmp_path / "in", rows, 2), got.append, str(tmp_path / "progress"), now=True)
+    query.awaitTermination()
+    assert sorted(map(len, got)) == [5, 5, 25, 25] and sorted(r["seq"] for x in got for r in x) == list(range(60))
+
+
+def test_streams_to_files(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id AS seq", "id % 4 AS k")
+    assert streams.run_to_files(streamed(spark, tmp_path / "a", rows), str(tmp_path / "out-a")).count() == 40
+    counted = streams.run_to_files(streamed(spark, tmp_path / "b", rows).groupBy("k").count(), str(tmp_path / "out-b"), "complete")
+    assert sorted(map(tuple, counted.collect())) == [(k, 10) for k in range(4)]
