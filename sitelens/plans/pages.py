@@ -157,12 +157,6 @@ def page_visible_text_len(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.length("p.visible_text").alias("visible_chars"), F.col("p.n_elements").alias("n_elements"))
 
 
-@query("SELECT page_id, octet_length(encode(html)) AS bytes, octet_length(encode(html)) > 20000 AS too_large FROM pages")
-def page_byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.octet_length("html").cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", size.alias("bytes"), (size > 20000).alias("too_large"))
-
-
 @query(f"""{LINKS}, edges AS (SELECT DISTINCT src, dst FROM links), seeds AS (SELECT DISTINCT src AS url FROM links)
 SELECT url, min(depth) AS depth FROM (
   SELECT url, 0 AS depth FROM seeds UNION ALL SELECT dst, 1 FROM edges

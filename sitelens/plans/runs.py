@@ -10,7 +10,7 @@ from sitelens.functions import text as T
 from sitelens.operators import health, robots
 from sitelens.plans.registry import query
 from sitelens.sinks import ledger, report
-from sitelens.storage import stored, table
+from sitelens.storage import shared_dir, table
 from sitelens.streaming import streams
 
 NOW = "1999-06-01 12:00:00"
@@ -95,13 +95,6 @@ def retention_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", T.is_expired(created, days, now).alias("expired"), T.days_remaining(created, days, now).alias("days_remaining"))
 
 
-@query("SELECT o_orderstatus, count(*) AS kept FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') GROUP BY o_orderstatus")
-def ledger_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger without the runs of some ids."""
-    ids = table(spark, sf_dir, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").join(ids, "o_custkey", "left_anti").groupBy("o_orderstatus").agg(F.count("*").alias("kept"))
-
-
 @query("SELECT o_orderstatus AS target_host, count(*) AS runs, sum(o_orderkey)::BIGINT AS findings FROM orders WHERE o_orderstatus = 'F' GROUP BY 1".replace("::BIGINT", "::BIGINT"))
 def ledger_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("target_host"), F.col("o_orderkey").alias("run_id"), F.col("o_orderkey").alias("findings_count"))
@@ -140,24 +133,10 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, name: str, step, mode: str) -> DataFrame:
-    """Read a table as a file stream, run the step to the end, give its result as a stored table."""
+    """Read a table as a file stream, run the step to the end; its result is written by the executors and read back."""
     schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(_folder(spark, sf_dir))
-    view = f"{name}_{abs(hash(sf_dir)) % 10**8}"
-    out = streams.run_to_memory(step(source), view, mode)
-    try:
-        return stored(out, name)
-    finally:
-        spark.catalog.dropTempView(view)
-
-
-def _folder(spark: SparkSession, sf_dir: str) -> str:
-    """File streams read folders: a copy of the table as one, in the shared folder."""
-    from sitelens.storage import shared_dir
-
-    path = shared_dir(spark) + "-stream"
-    table(spark, sf_dir, "events").write.parquet(path)
-    return path
+    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return streams.run_to_files(step(source), f"{shared_dir(spark)}-{name}", mode)
 
 
 @query("SELECT r_name, n_name, count(*) AS n, grouping(r_name) + grouping(n_name) AS level FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
