@@ -113,7 +113,7 @@ def report_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
     with zipfile.ZipFile(folder / "report.xlsx") as z:
         sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet2.xml"))
     rows = []
-    for row in sheet.iter("{*}row"):
+    for row in sheet.findall(".//{*}row"):
         cells = {re.sub(r"\d", "", c.get("r")): ("".join(c.itertext()), c.get("t")) for c in row}
         rows.append([cells.get(report._column(k), ("", None)) for k in range(len(C.FINDING_COLUMNS))])
     at = {n: i for i, n in enumerate(C.FINDING_COLUMNS)}
@@ -229,7 +229,7 @@ def _site(spark: SparkSession, sf_dir: str, limits: Settings | None = None, **mo
     nations = [tuple(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()]
     html = "text/html; charset=utf-8"
     at = lambda k, region: f"/private/n{k}" if region == 2 else f"/n{k}"
-    body = {"/": "".join(f"<a href='{at(k, r)}'>n</a>" for k, r in nations) + "<a href='/moved'>m</a><a href='/x.pdf'>p</a><a href='https://else.example/'>e</a><a href='https://u:p@mini.example/'>c</a>", "/far1": "<a href='/far2'>f</a>", "/far2": "<a href='/far3'>f</a>", "/far3": "<a href='/far4'>f</a>"}
+    body = {"/": "".join(f"<a href='{at(k, r)}'>n</a>" for k, r in nations) + "<a href='/moved'>m</a><a href='/x.pdf'>p</a><a href='https://else.example/'>e</a><a href='https://u:p@mini.example/secret'>c</a>", "/far1": "<a href='/far2'>f</a>", "/far2": "<a href='/far3'>f</a>", "/far3": "<a href='/far4'>f</a>"}
     body |= {at(k, r): f"<p>mail{k}@mini.example</p>" + ("<a href='/far1'>f</a>" if k == 0 else "") for k, r in nations}
     rows = [(BASE + p, b.encode(), 500 if p == "/n7" else 200, html, None, {}) for p, b in body.items()] + [(BASE + "/moved", b"", 301, html, "/n1", {})]
     routes = spark.createDataFrame(rows, schemas.ROUTE).withColumn("fetched_at", F.expr("TIMESTAMP '2024-01-01 00:00:00'"))
