@@ -1,32 +1,38 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped.
+"""Interpolated modified Kneser-Ney n-gram model of any order: counted in Spark, kept as sorted hash arrays, memory-mapped.
 
-Training is three rounds of count, shuffle and merge. Words are counted by their 64-bit hash; a word's id is its rank
-among the sorted hashes. Bigrams are counted by the exact pair of ids. Then what the formula needs of each word
-is summed: how often it is a context, with how many successors seen once, twice and more often, and how many
-different words it follows.
+Training first counts words by their 64-bit hash; a word's id is its rank among the sorted hashes. Then n-grams of the
+highest order are counted by their ids, and from each order the counts of the next lower one follow: the number of different
+words before it, or for an n-gram at a text's start, which has none, how often it is there. Each order is one round
+of count, shuffle and merge.
 
 Workers count in numpy over a few million tokens at a time and send one compressed array for each bucket instead of a
-row for each n-gram. Buckets are cut by hash, so a frequent word's bigrams are spread over all of them. A bucket's
-merged arrays are written to the shared folder by the task that merges it: under a name of its own first, then
+row for each n-gram. An n-gram's bucket is cut from the hash of its context, so the figures of a context (how often it
+occurs, with how many successors seen once, twice and more often) are complete where its n-grams are merged, and no
+task gathers them from others; a context has at most as many n-grams as there are words. Only the counts of single words come
+from all buckets: they are summed for ranges of ids in two steps, about a square root of the buckets in each. The number of
+buckets grows with the text, so that a bucket does not.
+
+A merged bucket is written to the shared folder by the task that merges it: under a name of its own first, then
 renamed, so a task that runs again replaces the file by an equal one. Scoring maps these files and searches them;
 nothing of the model's size is broadcast, collected or loaded. The folder of spark.checkpoint.dir must therefore be
 mounted on all machines (a file: path), as on any cluster with a shared file system.
 
-Tokens: A-Z lower-cased, words are runs of characters other than ASCII white space, then one end token. The context of
-the first token is a start mark. Discounts come from counts of counts by the usual formulas, or 0.5, 1 and 1.5
-where these give no value in range. The distribution of continuations is interpolated with 1 / (V + 1) each, which is
+Tokens: A-Z lower-cased, words are runs of characters other than ASCII white space, then one end token. Before a text stand
+start marks. Discounts of each order come from its counts of counts by the usual formulas, or 0.5, 1 and 1.5
+where these give no value in range. The distribution of single words is interpolated with 1 / (V + 1) each, which is
 what an unknown word gets.
 
 Defined cases: null and empty texts are an end token alone; repeated rows count each time; without training text every
 token has probability one over (0 + 1); rows with null doc_id are learned from; an empty table gives no rows;
-columns that are not needed are ignored.
+columns that are not needed are ignored; ids take 32 bits while they fit, else 64.
 """
 
 from __future__ import annotations
 
 import os
+from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -36,26 +42,31 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, WordHashes, chunks, mounted, save, shared_dir, ship, table
+from .shared import LOWER, WordHashes, chunks, mounted, save, shared_dir, ship, stored, table
 
+#: Words in the longest n-grams.
+ORDER = 3
 #: Hash of the end token: a newline is no word.
 END = xxhash.xxh64_intdigest(b"\n")
 #: Tokens that a worker counts before it sends arrays on: some 100 MB of memory at the peak.
 FLUSH = 2_000_000
-#: Keys in a bucket, about, and buckets at most.
+#: Keys in a bucket, about.
 BUCKET_KEYS = 1_000_000
-MAX_BUCKETS = 4096
-#: Ids in one file of context figures.
+#: Bits of a key that come from the context and may choose the bucket: up to a million buckets.
+CONTEXT_BITS = 20
+#: Ids of single words whose counts one task sums.
 RANGE = 1 << 19
 #: Bytes of text for a token, about, to choose the number of buckets before tokens are counted.
 TOKEN_BYTES = 6
+#: Files that a worker keeps mapped.
+MAPS = 4096
 
 
 def _packed(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
 
 
-def _unpacked(blobs: pd.Series, kind: type) -> np.ndarray:
+def _unpacked(blobs: pd.Series | list, kind: str | type) -> np.ndarray:
     reader = zstandard.ZstdDecompressor()
     return np.concatenate([np.frombuffer(reader.decompress(b), kind) for b in blobs])
 
@@ -72,16 +83,26 @@ def _mixed(keys: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[starts], np.add.reduceat(counts, starts)
+def _chained(key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The key of a sequence of ids with one more id after it."""
+    with np.errstate(over="ignore"):
+        return _mixed(key * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64) + np.uint64(1))
+
+
+_HIGH = np.uint64(((1 << CONTEXT_BITS) - 1) << (64 - CONTEXT_BITS))
+
+
+def keys_of(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(context key, n-gram key) of n-grams given as a column for each place; both begin with the same CONTEXT_BITS bits."""
+    context = np.zeros(len(ids[0]), np.uint64)
+    for x in ids[:-1]:
+        context = _chained(context, x)
+    return context, context & _HIGH | _chained(context, ids[-1]) & ~_HIGH
 
 
 def _power(n: float) -> int:
     """The exponent of two for about n / BUCKET_KEYS buckets."""
-    return int(np.clip(np.ceil(np.log2(max(n / BUCKET_KEYS, 1))), 0, np.log2(MAX_BUCKETS)))
+    return int(np.clip(np.ceil(np.log2(max(n / BUCKET_KEYS, 1))), 0, CONTEXT_BITS))
 
 
 def _bucket(hashes: np.ndarray, power: int) -> np.ndarray:
@@ -93,21 +114,55 @@ def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, sums, the place of one row of each)."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[starts], np.add.reduceat(counts[order], starts), order[starts]
+
+
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    if len(values):
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1])
+        for start, end in zip(starts, [*starts[1:], len(values)], strict=True):
+            yield int(values[start]), int(start), int(end)
+
+
 class Mapped:
-    """Arrays of a folder by name, mapped when first used."""
+    """Arrays of a folder by name, mapped when first used; None for a bucket that got nothing."""
 
     def __init__(self, folder: str) -> None:
-        self.folder, self.open = folder, {}
+        self.folder, self.open = folder, OrderedDict()
 
-    def __call__(self, name: str) -> np.ndarray:
+    def __call__(self, name: str) -> np.ndarray | None:
         if name not in self.open:
-            self.open[name] = np.load(f"{self.folder}/{name}.npy", mmap_mode="r")
+            path = f"{self.folder}/{name}.npy"
+            self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            if len(self.open) > MAPS:
+                self.open.popitem(last=False)
+        self.open.move_to_end(name)
         return self.open[name]
 
+    def look_up(self, table: str, columns: tuple[str, ...], keys: np.ndarray, power: int) -> list[np.ndarray]:
+        """The columns of a table of sorted keys for each key, zero where it is not there."""
+        keys, inverse = np.unique(keys, return_inverse=True)
+        out = [np.zeros(len(keys), np.int64) for _ in columns]
+        for b, start, end in _runs(_bucket(keys, power)):
+            own = self(f"{table}-keys-{b}")
+            if own is None or not len(own):
+                continue
+            place = np.minimum(np.searchsorted(own, keys[start:end]), len(own) - 1)
+            hit = own[place] == keys[start:end]
+            for x, name in zip(out, columns, strict=True):
+                x[start:end] = np.where(hit, self(f"{table}-{name}-{b}")[place], 0)
+        return [x[inverse] for x in out]
+
 
 @dataclass
 class Vocabulary:
-    """Ids and counts of words in files of sorted hashes; len() is V."""
+    """Ids and counts of words in files of sorted hashes; len() is V. Ids V and V + 1 are the unknown word and the start mark."""
 
     folder: str
     power: int
@@ -117,11 +172,14 @@ class Vocabulary:
     def __len__(self) -> int:
         return int(self.firsts[-1])
 
+    @property
+    def kind(self) -> type:
+        return np.uint32 if len(self) + 2 < 1 << 32 else np.uint64
+
     def look_up(self, arrays: Mapped, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(id, count) of sorted hashes; an unknown word has the id V and count 0."""
         ids, counts = np.full(len(hashes), len(self), np.int64), np.zeros(len(hashes), np.int64)
-        buckets = _bucket(hashes, self.power)
-        for b, start, end in _runs(buckets):
+        for b, start, end in _runs(_bucket(hashes, self.power)):
             if self.firsts[b] == self.firsts[b + 1]:
                 continue
             words = arrays(f"words-{b}")
@@ -132,14 +190,6 @@ class Vocabulary:
         return ids, counts
 
 
-def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(value, start, end) of each run of equal values."""
-    if len(values):
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1])
-        for start, end in zip(starts, [*starts[1:], len(values)], strict=True):
-            yield int(values[start]), int(start), int(end)
-
-
 def token_hashes(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, an end token after each text, and where each text begins and the last ends."""
     end = np.array([END], np.uint64)
@@ -151,43 +201,54 @@ def token_hashes(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np
     return np.concatenate(parts), starts
 
 
+def windows(ids: np.ndarray, starts: np.ndarray, order: int, mark: int) -> list[np.ndarray]:
+    """A column for each place of the n-grams that end at each token, start marks where the text has not begun."""
+    at = np.arange(len(ids)) - np.repeat(starts[:-1], np.diff(starts))  # place in the text
+    columns = []
+    for back in range(order - 1, 0, -1):
+        shifted = np.empty_like(ids)
+        shifted[back:] = ids[:-back] if back < len(ids) else ids[:0]
+        shifted[at < back] = mark
+        columns.append(shifted)
+    return [*columns, ids]
+
+
+Discounts = tuple[float, float, float]
+
+
 @dataclass
 class KneserNey:
     """A trained model: where its arrays are, and a few numbers."""
 
     words: Vocabulary
-    power: int
-    discounts: tuple[float, float, float]
-    word_discounts: tuple[float, float, float]
-    continuations: int
-    word_rest: float  # share of the continuation distribution that goes to 1 / (V + 1)
+    order: int
+    powers: dict[int, int] = field(default_factory=dict)  # of each order's buckets
+    discounts: dict[int, Discounts] = field(default_factory=dict)
+    continuations: int = 0
+    span: int = RANGE  # ids whose counts are in one file
+    word_rest: float = 1.0  # share of the distribution of single words that goes to 1 / (V + 1)
 
     def score(self, arrays: Mapped, hashes: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         """Figures of each text from the hashes of its tokens."""
         v = len(self.words)
         distinct, inverse = np.unique(hashes, return_inverse=True)
         ids, seen = self.words.look_up(arrays, distinct)
-        known = ids < v
-        total, n1, n2, n3, follows = (self._of(arrays, name, ids, known) for name in ("total", "n1", "n2", "n3", "follows"))
-        uniform = 1 / (v + 1)
-        lower = (follows - _discount(follows, self.word_discounts)) / max(self.continuations, 1) + self.word_rest * uniform
-        id_of = ids[inverse]
-        context = np.empty_like(id_of)
-        context[1:] = id_of[:-1]
-        context[starts[:-1]] = v  # the start mark
-        first = np.zeros(len(id_of), bool)
-        first[starts[:-1]] = True
-        before = np.empty_like(inverse)
-        before[1:] = inverse[:-1]
-        before[0] = 0
-        start = [self._of(arrays, name, np.array([v]), np.array([True]))[0] for name in ("total", "n1", "n2", "n3")] if self.words.tokens else [0] * 4
-        of_context = [np.where(first, s, x[before]) for s, x in zip(start, (total, n1, n2, n3), strict=True)]
-        count = self._counts(arrays, context, id_of, (first | known[before]) & known[inverse])
-        sum_of, c1, c2, c3 = of_context
-        d1, d2, d3 = self.discounts
-        some = sum_of > 0
-        rest = np.where(some, d1 * c1 + d2 * c2 + d3 * c3, 1) / np.where(some, sum_of, 1)
-        p = np.where(some, (count - _discount(count, self.discounts)) / np.where(some, sum_of, 1), 0) + rest * lower[inverse]
+        follows = np.zeros(len(ids))
+        if self.words.tokens:
+            known = np.flatnonzero(ids < v)
+            known = known[np.argsort(ids[known], kind="stable")]
+            for r, i, j in _runs(ids[known] // self.span):
+                follows[known[i:j]] = arrays(f"follows-{r}")[ids[known[i:j]] % self.span]
+        lower = (follows - _discount(follows, self.discounts.get(1, FALLBACK))) / max(self.continuations, 1) + self.word_rest / (v + 1)
+        p = lower[inverse]
+        grams = windows(ids[inverse], starts, self.order, v + 1)
+        for n in range(2, self.order + 1) if self.words.tokens else ():
+            d = self.discounts[n]
+            context, key = keys_of(grams[-n:])
+            total, n1, n2, n3 = arrays.look_up(f"contexts{n}", ("total", "n1", "n2", "n3"), context, self.powers[n])
+            (count,) = arrays.look_up(f"grams{n}", ("counts",), key, self.powers[n])
+            some = np.where(total > 0, total, 1)
+            p = np.where(total > 0, (count - _discount(count, d)) / some + (d[0] * n1 + d[1] * n2 + d[2] * n3) / some * p, p)
         base = np.log10((seen + 1) / (self.words.tokens + v + 1))
         at = starts[:-1]
         return {
@@ -197,46 +258,21 @@ class KneserNey:
             "score": np.add.reduceat(np.log10(p), at),
         }
 
-    def _of(self, arrays: Mapped, name: str, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids))
-        if not self.words.tokens:
-            return out
-        at = np.flatnonzero(known)
-        at = at[np.argsort(ids[at], kind="stable")]
-        for r, start, end in _runs(ids[at] // RANGE):
-            rows = at[start:end]
-            out[rows] = arrays(f"{name}-{r}")[ids[rows] % RANGE]
-        return out
-
-    def _counts(self, arrays: Mapped, context: np.ndarray, word: np.ndarray, known: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(word))
-        at = np.flatnonzero(known)
-        if not len(at) or not self.words.tokens:
-            return out
-        keys, inverse = np.unique(_mixed(context[at].astype(np.uint64) << np.uint64(32) | word[at].astype(np.uint64)), return_inverse=True)
-        found = np.zeros(len(keys))
-        for b, start, end in _runs(_bucket(keys, self.power)):
-            if not os.path.exists(f"{arrays.folder}/pairs-{b}.npy"):
-                continue
-            pairs = arrays(f"pairs-{b}")
-            place = np.minimum(np.searchsorted(pairs, keys[start:end]), len(pairs) - 1)
-            found[start:end] = np.where(pairs[place] == keys[start:end], arrays(f"pair_counts-{b}")[place], 0)
-        out[at] = found[inverse]
-        return out
-
 
-def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+def _discount(counts: np.ndarray, d: Discounts) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
 
 
-def discounts(n: list[int]) -> tuple[float, float, float]:
+FALLBACK: Discounts = (0.5, 1.0, 1.5)
+
+
+def discounts(n: list[int]) -> Discounts:
     """D1, D2, D3+ from how many n-grams have the counts one to four."""
-    fallback = (0.5, 1.0, 1.5)
     if not all(n):
-        return fallback
+        return FALLBACK
     y = n[0] / (n[0] + 2 * n[1])
     d = tuple(k + 1 - (k + 2) * y * n[k + 1] / n[k] for k in range(3))
-    return d if all(0 < x < k + 1 for k, x in enumerate(d)) else fallback
+    return d if all(0 < x < k + 1 for k, x in enumerate(d)) else FALLBACK
 
 
 def _count_of_counts(counts: np.ndarray) -> list[int]:
@@ -265,7 +301,7 @@ def _vocabulary(train: DataFrame, folder: str, power: int) -> Vocabulary:
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         b = int(rows["bucket"].iloc[0])
         parts = [np.cumsum(_unpacked([x], np.uint64), dtype=np.uint64) for x in rows["words"]]
-        words, counts = _summed(np.concatenate(parts), _unpacked(rows["counts"], np.uint32).astype(np.int64))
+        words, counts, _ = _summed(np.concatenate(parts), _unpacked(rows["counts"], np.uint32).astype(np.int64))
         save(folder, f"words-{b}", words)
         save(folder, f"counts-{b}", _small(counts))
         return pd.DataFrame({"bucket": [b], "n": [len(words)], "tokens": [int(counts.sum())]})
@@ -278,8 +314,79 @@ def _vocabulary(train: DataFrame, folder: str, power: int) -> Vocabulary:
     return Vocabulary(folder, power, np.concatenate([[0], np.cumsum(sizes)]), sum(r["tokens"] for r in merged))
 
 
-def train_model(train: DataFrame, text: str = "text") -> KneserNey:
-    """Count the bigrams of all rows and write the model's arrays to the shared folder."""
+#: What counting sends: n-grams of one bucket as a column for each place, in one array, and their counts.
+SENT = "bucket long, n long, grams binary, counts binary, c1 long, c2 long, c3 long, c4 long"
+NAMES = [x.split()[0] for x in SENT.split(", ")]
+
+
+def _sent(columns: list[np.ndarray], counts: np.ndarray, power: int, kind: type, told: list[int]) -> list[tuple]:
+    """Rows of SENT for n-grams whose keys rise; each bucket's are sorted by their context, which packs well. `told` goes with the first row."""
+    context, _ = keys_of(columns)
+    bucket = _bucket(context, power)
+    order = np.lexsort((columns[-1], *([columns[-2]] if len(columns) > 1 else []), columns[0], bucket))
+    columns, counts, bucket = [c[order].astype(kind) for c in columns], counts[order], bucket[order]
+    rows = []
+    for b, i, j in _runs(bucket):
+        grams = np.concatenate([_steps(columns[0][i:j]), *(c[i:j] for c in columns[1:])])
+        rows.append((b, j - i, _packed(grams), _packed(_small(counts[i:j]).astype(np.uint32) if counts[i:j].max() < 1 << 32 else counts[i:j].astype(np.uint64)), *told))
+        told = [0] * 4
+    return rows
+
+
+def _received(rows: pd.DataFrame, order: int, kind: type) -> tuple[list[np.ndarray], np.ndarray]:
+    columns: list[list[np.ndarray]] = [[] for _ in range(order)]
+    counts = []
+    for n, grams, sizes in zip(rows["n"], rows["grams"], rows["counts"], strict=True):
+        if not n:
+            continue
+        ids = _unpacked([grams], kind).reshape(order, n)
+        columns[0].append(np.cumsum(ids[0], dtype=kind))
+        for k in range(1, order):
+            columns[k].append(ids[k])
+        raw = zstandard.ZstdDecompressor().decompress(sizes)
+        counts.append(np.frombuffer(raw, np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.int64))
+    return [np.concatenate(c) for c in columns], np.concatenate(counts)
+
+
+def _merge(folder: str, order: int, power: int, next_power: int, kind: type, mark: int, span: int):
+    """Sum a bucket of n-grams, save them and their contexts' figures, and send on what they say of the next lower order."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        b = int(rows["bucket"].iloc[0])
+        columns, counts = _received(rows, order, kind)
+        context, key = keys_of(columns)
+        key, counts, at = _summed(key, counts)
+        columns, context = [c[at] for c in columns], context[at]
+        save(folder, f"grams{order}-keys-{b}", key)
+        save(folder, f"grams{order}-counts-{b}", _small(counts))
+        by = np.argsort(context, kind="stable")
+        sorted_context, of = context[by], counts[by]
+        starts = np.flatnonzero(np.concatenate([[True], sorted_context[1:] != sorted_context[:-1]]))
+        save(folder, f"contexts{order}-keys-{b}", sorted_context[starts])
+        for name, x in (("total", of), ("n1", of == 1), ("n2", of == 2), ("n3", of >= 3)):
+            save(folder, f"contexts{order}-{name}-{b}", _small(np.add.reduceat(x.astype(np.int64), starts)))
+        # the n-gram without its first word: one more word before it, or at a text's start as often as it is there
+        worth = np.where(columns[1] == mark, counts, 1) if order > 2 else np.ones(len(counts), np.int64)
+        shorter = columns[1:]
+        own, sums, at = _summed(keys_of(shorter)[1], worth)
+        told = _count_of_counts(counts)
+        if order > 2:
+            out = _sent([c[at] for c in shorter], sums, next_power, kind, told)
+        else:
+            ids = shorter[0][at]
+            by = np.argsort(ids)
+            ids, sums = ids[by], sums[by]
+            out = [(r, j - i, _packed(_steps(ids[i:j])), _packed(sums[i:j].astype(np.uint64)), *(told if not i else [0] * 4)) for r, i, j in _runs((ids // kind(span)).astype(np.int64))]
+        out = [(*x, b) for x in out]
+        return pd.DataFrame(out, columns=[*NAMES, "source"])
+
+    return merge
+
+
+def train_model(train: DataFrame, text: str = "text", order: int = ORDER) -> KneserNey:
+    """Count the n-grams of all rows and write the model's arrays to the shared folder."""
+    if order < 2:
+        raise ValueError("the order is at least two")
     spark = train.sparkSession
     ship(spark)
     folder = mounted(shared_dir(spark)) + "-language-model"
@@ -287,84 +394,67 @@ def train_model(train: DataFrame, text: str = "text") -> KneserNey:
     train = train.select(F.col(text).alias("text"))
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     words = _vocabulary(train, folder, _power(size / TOKEN_BYTES / 8))
-    v, power = len(words), _power(words.tokens)
-    if v >= 1 << 32:
-        raise ValueError("ids of over 32 bits are not supported")
+    span = RANGE
+    model = KneserNey(words, order, span=span)
+    if not words.tokens:
+        return model
+    v, kind, mark = len(words), words.kind, len(words) + 1
+    powers = model.powers = {n: _power(words.tokens) for n in range(2, order + 1)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, arrays = WordHashes(), Mapped(folder)
-        held: list[np.ndarray] = []
+        held: list[list[np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
-            bucket = _bucket(_mixed(keys), power)
-            order = np.argsort(bucket, kind="stable")
-            keys, counts = keys[order], counts[order].astype(np.uint32)
-            context, word = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
-            rows = [(b, _packed(_steps(context[i:j])), _packed(word[i:j]), _packed(counts[i:j])) for b, i, j in _runs(bucket[order])]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), *[pa.binary()] * 3), strict=True)], ["bucket", "contexts", "words", "counts"])
+            _, at, counts = np.unique(keys_of(columns)[1], return_index=True, return_counts=True)
+            rows = _sent([c[at] for c in columns], counts, powers[order], kind, [0] * 4)
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], NAMES)
 
         for batch in batches:
             for _, texts in chunks(batch):
                 tokens, starts = token_hashes(texts, hashes)
                 distinct, inverse = np.unique(tokens, return_inverse=True)
-                ids = words.look_up(arrays, distinct)[0][inverse]
-                context = np.empty_like(ids)
-                context[1:] = ids[:-1]
-                context[starts[:-1]] = v
-                held.append(context.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64))
-                if sum(map(len, held)) >= FLUSH:
+                ids = words.look_up(arrays, distinct)[0].astype(kind)[inverse]
+                held.append(windows(ids, starts, order, mark))
+                if sum(len(x[0]) for x in held) >= FLUSH:
                     yield flush()
         if held:
             yield flush()
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        b = int(rows["bucket"].iloc[0])
-        context = np.concatenate([np.cumsum(_unpacked([x], np.uint32), dtype=np.uint32) for x in rows["contexts"]])
-        keys = context.astype(np.uint64) << np.uint64(32) | _unpacked(rows["words"], np.uint32).astype(np.uint64)
-        keys, counts = _summed(keys, _unpacked(rows["counts"], np.uint32).astype(np.int64))
-        mixed = _mixed(keys)
-        order = np.argsort(mixed)
-        save(folder, f"pairs-{b}", mixed[order])
-        save(folder, f"pair_counts-{b}", _small(counts[order]))
-        context, word = (keys >> np.uint64(32)).astype(np.int64), np.sort((keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
-        starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        figures = [counts, counts == 1, counts == 2, counts >= 3]
-        of_context = [np.add.reduceat(x.astype(np.int64), starts) for x in figures]
-        context = context[starts]
-        follower, follows = np.unique(word, return_counts=True)
-        n = _count_of_counts(counts)
-        out = []
-        for r, i, j in _runs(context // RANGE):
-            out.append((r, 0, _packed(_steps(context[i:j].astype(np.uint32))), _packed(np.stack([x[i:j] for x in of_context]).astype(np.uint32)), *n))
-            n = [0] * 4
-        for r, i, j in _runs(follower // RANGE):
-            out.append((r, 1, _packed(_steps(follower[i:j].astype(np.uint32))), _packed(follows[i:j].astype(np.uint32)), *n))
-            n = [0] * 4
-        return pd.DataFrame(out, columns=["id_range", "kind", "ids", "figures", "c1", "c2", "c3", "c4"])
+    def part(rows: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+        r = int(rows["bucket"].iloc[0])
+        dense = np.zeros(min(span, v - r * span), np.int64)
+        for ids, sums in zip(rows["grams"], rows["counts"], strict=True):
+            dense[(np.cumsum(_unpacked([ids], kind), dtype=kind) % kind(span)).astype(np.int64)] += _unpacked([sums], np.uint64).astype(np.int64)
+        return r, dense, np.array([[rows[f"c{k}"].sum() for k in range(1, 5)]], np.int64)
+
+    def halfway(rows: pd.DataFrame) -> pd.DataFrame:
+        r, dense, told = part(rows)
+        ids = np.flatnonzero(dense)
+        return pd.DataFrame([(r, len(ids), _packed(_steps((ids + r * span).astype(kind))), _packed(dense[ids].astype(np.uint64)), *told[0])], columns=NAMES)
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        r = int(rows["id_range"].iloc[0])
-        width = min(RANGE, v + 1 - r * RANGE)
-        dense = {name: np.zeros(width, np.int64) for name in ("total", "n1", "n2", "n3", "follows")}
-        for kind, packed_ids, figures in zip(rows["kind"], rows["ids"], rows["figures"], strict=True):
-            ids = np.cumsum(_unpacked([packed_ids], np.uint32), dtype=np.uint32).astype(np.int64) % RANGE
-            values = _unpacked([figures], np.uint32).astype(np.int64).reshape(-1, len(ids))
-            for name, x in zip(("total", "n1", "n2", "n3") if kind == 0 else ("follows",), values, strict=True):
-                dense[name][ids] += x
-        for name, x in dense.items():
-            save(folder, f"{name}-{r}", _small(x))
-        follows = dense["follows"]
-        return pd.DataFrame([(*(int(rows[f"c{k}"].sum()) for k in range(1, 5)), *_count_of_counts(follows), int((follows >= 3).sum()), int(follows.sum()))], columns=SUMS)
-
-    pairs = train.mapInArrow(count, "bucket long, contexts binary, words binary, counts binary")
-    figures = pairs.groupBy("bucket").applyInPandas(merge, "id_range long, kind int, ids binary, figures binary, c1 long, c2 long, c3 long, c4 long")
-    sums = figures.groupBy("id_range").applyInPandas(gather, ", ".join(f"{x} long" for x in SUMS)).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in SUMS]).first()
-    of_words = discounts([sums[f"w{k}"] for k in range(1, 5)])
-    total = sums["total"]
-    rest = (of_words[0] * sums["w1"] + of_words[1] * sums["w2"] + of_words[2] * sums["w3_up"]) / total if total else 1.0
-    return KneserNey(words, power, discounts([sums[f"c{k}"] for k in range(1, 5)]), of_words, total, rest)
+        r, follows, told = part(rows)
+        save(folder, f"follows-{r}", _small(follows))
+        return pd.DataFrame([(*told[0], *_count_of_counts(follows), int((follows >= 3).sum()), int(follows.sum()))], columns=SUMS)
+
+    sent = train.mapInArrow(count, SENT)
+    for n in range(order, 1, -1):
+        sent = sent.groupBy("bucket").applyInPandas(_merge(folder, n, powers[n], powers.get(n - 1, 0), kind, mark, span), SENT + ", source long")
+        if n > 2:  # stored, as its counts of counts are wanted as well as its n-grams
+            sent = stored(sent, f"grams{n}")
+            model.discounts[n] = discounts(list(sent.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(1, 5)]).first()))
+    salt = max(1, int(np.sqrt(1 << powers[2])))
+    half = sent.withColumn("salt", F.col("source") % salt).groupBy("bucket", "salt").applyInPandas(halfway, SENT)
+    sums = half.groupBy("bucket").applyInPandas(gather, ", ".join(f"{x} long" for x in SUMS)).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in SUMS]).first()
+    model.discounts[2] = discounts([sums[f"c{k}"] for k in range(1, 5)])
+    d = model.discounts[1] = discounts([sums[f"w{k}"] for k in range(1, 5)])
+    model.continuations = sums["total"]
+    model.word_rest = (d[0] * sums["w1"] + d[1] * sums["w2"] + d[2] * sums["w3_up"]) / sums["total"]
+    return model
 
 
 SUMS = ["c1", "c2", "c3", "c4", "w1", "w2", "w3", "w4", "w3_up", "total"]

@@ -190,41 +190,52 @@ def test_toxicity_defined_cases(spark):
     assert toxicity.score_toxicity(docs.limit(0), model).count() == 0
 
 
-def plain_model(train):
-    """Interpolated modified Kneser-Ney bigrams by dictionaries."""
-    pairs, words = Counter(), Counter()
+def plain_model(train, order):
+    """Interpolated modified Kneser-Ney by dictionaries, order by order."""
+    tokens_of = lambda text: [*WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")), "\n"]
+    words, counts = Counter(), {order: Counter()}
     for text in train:
-        tokens = [*WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")), "\n"]
+        tokens = tokens_of(text)
         words.update(tokens)
-        pairs.update(zip(["<s>", *tokens], tokens, strict=False))
-
-    def d_of(counts):
-        n = [sum(c == k for c in counts) for k in range(1, 5)]
+        padded = ["<s>"] * (order - 1) + tokens
+        counts[order].update(tuple(padded[i : i + order]) for i in range(len(tokens)))
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter()
+        for gram, c in counts[n + 1].items():
+            counts[n][gram[1:]] += c if gram[1] == "<s>" else 1
+
+    def d_of(values):
+        n = [sum(c == k for c in values) for k in range(1, 5)]
         if not all(n):
             return (0.5, 1.0, 1.5)
         y = n[0] / (n[0] + 2 * n[1])
         d = tuple(k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3))
         return d if all(0 < x < k for k, x in enumerate(d, 1)) else (0.5, 1.0, 1.5)
 
-    follows = Counter(w for _, w in pairs)
-    d2, d1 = d_of(pairs.values()), d_of(follows.values())
-    of = lambda d, c: 0 if c == 0 else d[min(c, 3) - 1]
+    d = {n: d_of(c.values()) for n, c in counts.items()}
+    of = lambda n, c: 0 if c == 0 else d[n][min(c, 3) - 1]
     total, rest = Counter(), defaultdict(float)
-    for (h, _), c in pairs.items():
-        total[h] += c
-        rest[h] += of(d2, c)
-    v, n, kinds = len(words), sum(words.values()), len(pairs)
-    spare = sum(of(d1, c) for c in follows.values()) / kinds if kinds else 1.0
+    for n in range(2, order + 1):
+        for gram, c in counts[n].items():
+            total[gram[:-1]] += c
+            rest[gram[:-1]] += of(n, c)
+    v, kinds = len(words), sum(counts[1].values())
+    spare = sum(of(1, c) for c in counts[1].values()) / kinds if kinds else 1.0
 
-    def lower(w):
-        return (follows[w] - of(d1, follows[w])) / max(kinds, 1) + spare / (v + 1)
+    def p(gram):
+        n = len(gram)
+        c = counts[n][gram]
+        if n == 1:
+            return (c - of(1, c)) / max(kinds, 1) + spare / (v + 1)
+        lower = p(gram[1:])
+        return (c - of(n, c) + rest[gram[:-1]] * lower) / total[gram[:-1]] if total[gram[:-1]] else lower
 
-    def p(h, w):
-        if not total[h]:
-            return lower(w)
-        return (pairs[h, w] - of(d2, pairs[h, w]) + rest[h] * lower(w)) / total[h]
+    def score(text):
+        tokens = tokens_of(text)
+        padded = ["<s>"] * (order - 1) + tokens
+        return sum(math.log10(p(tuple(padded[i : i + order]))) for i in range(len(tokens)))
 
-    return words, n, v, p
+    return words, sum(words.values()), v, score
 
 
 @pytest.mark.parametrize("many", [False, True])
@@ -233,7 +244,7 @@ def test_language_model_equals_brute_force(spark, sf_dir, many, monkeypatch):
         monkeypatch.setattr(language_model, "BUCKET_KEYS", 300)
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2 for r in rows}
-    words, n, v, p = plain_model([r["text"] for r in rows if not held[r["doc_id"]]])
+    words, n, v, score = plain_model([r["text"] for r in rows if not held[r["doc_id"]]], language_model.ORDER)
     got = {r["doc_id"]: r for r in language_model.op2_kneser_ney_scoring(spark, sf_dir).collect()}
     assert len(got) == len(rows)
     for r in rows:
@@ -241,10 +252,26 @@ def test_language_model_equals_brute_force(spark, sf_dir, many, monkeypatch):
         x = got[r["doc_id"]]
         assert (x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"]) == (held[r["doc_id"]], len(tokens), sum(words[w] > 0 for w in tokens), n)
         assert x["base_score"] == pytest.approx(sum(math.log10((words[w] + 1) / (n + v + 1)) for w in tokens), rel=1e-9)
-        assert x["score"] == pytest.approx(sum(math.log10(p(h, w)) for h, w in zip(["<s>", *tokens], tokens, strict=False)), rel=1e-9)
+        assert x["score"] == pytest.approx(score(r["text"]), rel=1e-9)
         assert x["perplexity"] == pytest.approx(10 ** (-x["score"] / len(tokens)))
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_any_order_equals_brute_force(spark, order, monkeypatch):
+    """Several buckets, several ranges of ids, repeated and empty texts."""
+    monkeypatch.setattr(language_model, "BUCKET_KEYS", 50)
+    monkeypatch.setattr(language_model, "RANGE", 16)
+    r = np.random.default_rng(order)
+    texts = [" ".join(f"w{min(k, 59)}" for k in r.zipf(1.4, r.integers(0, 30))) for _ in range(80)]
+    texts += ["", None, texts[0], texts[0], "w1", "w1 w2"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    *_, score = plain_model(texts, order)
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(["w1 w2 unseen w3 w1", "unseen", *texts[:20]])], "doc_id long, text string")
+    model = language_model.train_model(docs, order=order)
+    for x in language_model.score_texts(docs.union(more), model).join(docs.union(more), "doc_id").collect():
+        assert x["score"] == pytest.approx(score(x["text"]), rel=1e-9), x["text"]
+
+
 def test_language_model_sums_to_one(spark):
     texts = ["a b a c", "a b", "c c a b d", "", None, "b d"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
