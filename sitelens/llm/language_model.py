@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LOWER, WordHashes, chunks, mounted, save, shared_dir, ship, stored, table
+from .shared import LOWER, WordHashes, chunks, mounted, save, shared_dir, ship, table
 
 #: Words in the longest n-grams.
 ORDER = 3
@@ -63,12 +63,15 @@ MAPS = 4096
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+    """Compressed by planes of bytes: the high bytes of small numbers are nearly nothing."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def _unpacked(blobs: pd.Series | list, kind: str | type) -> np.ndarray:
-    reader = zstandard.ZstdDecompressor()
-    return np.concatenate([np.frombuffer(reader.decompress(b), kind) for b in blobs])
+    reader, size = zstandard.ZstdDecompressor(), np.dtype(kind).itemsize
+    planes = (np.frombuffer(reader.decompress(b), np.uint8).reshape(size, -1) for b in blobs)
+    return np.concatenate([np.ascontiguousarray(x.T).reshape(-1).view(kind) for x in planes])
 
 
 def _steps(values: np.ndarray) -> np.ndarray:
@@ -116,12 +119,40 @@ def _small(values: np.ndarray) -> np.ndarray:
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys, sums, the place of one row of each)."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[starts], np.add.reduceat(counts[order], starts), order[starts]
 
 
+def save_keys(folder: str, name: str, keys: np.ndarray, power: int) -> None:
+    """Save a bucket's sorted keys in half their size: where each block of keys begins, and 32 bits of each key in its block.
+
+    The bits before those choose the bucket and the block, of about sixteen keys. What is left out of a key are its last bits: 48 and
+    the buckets' bits stay for a bucket of a million, so two of n n-grams fall together about once in 2^9 / buckets models.
+    """
+    bits = int(np.clip(len(keys).bit_length() - 4, 1, 24))
+    rest = keys << np.uint64(power)
+    index = np.searchsorted(rest >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    save(folder, f"{name}-index", index.astype(np.uint32 if len(keys) < 1 << 32 else np.uint64))
+    save(folder, f"{name}-low", (rest >> np.uint64(32 - bits)).astype(np.uint32))
+
+
+def find_keys(index: np.ndarray, low: np.ndarray, keys: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each key in a saved bucket, by halving its block."""
+    bits = (len(index) - 1).bit_length() - 1
+    rest = keys << np.uint64(power)
+    block = (rest >> np.uint64(64 - bits)).astype(np.int64)
+    want = (rest >> np.uint64(32 - bits)).astype(np.uint32)
+    at, end = index[block].astype(np.int64), index[block + 1].astype(np.int64)
+    last, top = end, len(low) - 1
+    for _ in range(int((end - at).max(initial=0)).bit_length()):
+        mid = (at + last) >> 1
+        less = (low[np.minimum(mid, top)] < want) & (mid < last)
+        at, last = np.where(less, mid + 1, at), np.where(less, last, mid)
+    return np.minimum(at, top), (at < end) & (low[np.minimum(at, top)] == want)
+
+
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(value, start, end) of each run of equal values."""
     if len(values):
@@ -146,17 +177,16 @@ class Mapped:
         return self.open[name]
 
     def look_up(self, table: str, columns: tuple[str, ...], keys: np.ndarray, power: int) -> list[np.ndarray]:
-        """The columns of a table of sorted keys for each key, zero where it is not there."""
+        """Whether each key is in a table, and its columns there, else zero."""
         keys, inverse = np.unique(keys, return_inverse=True)
-        out = [np.zeros(len(keys), np.int64) for _ in columns]
+        out = [np.zeros(len(keys), np.int64) for _ in range(1 + len(columns))]
         for b, start, end in _runs(_bucket(keys, power)):
-            own = self(f"{table}-keys-{b}")
-            if own is None or not len(own):
+            index = self(f"{table}-{b}-index")
+            if index is None or not (low := self(f"{table}-{b}-low")).size:
                 continue
-            place = np.minimum(np.searchsorted(own, keys[start:end]), len(own) - 1)
-            hit = own[place] == keys[start:end]
-            for x, name in zip(out, columns, strict=True):
-                x[start:end] = np.where(hit, self(f"{table}-{name}-{b}")[place], 0)
+            place, out[0][start:end] = find_keys(index, low, keys[start:end], power)
+            for x, name in zip(out[1:], columns, strict=True):
+                x[start:end] = np.where(out[0][start:end], self(f"{table}-{b}-{name}")[place], 0)
         return [x[inverse] for x in out]
 
 
@@ -245,8 +275,10 @@ class KneserNey:
         for n in range(2, self.order + 1) if self.words.tokens else ():
             d = self.discounts[n]
             context, key = keys_of(grams[-n:])
-            total, n1, n2, n3 = arrays.look_up(f"contexts{n}", ("total", "n1", "n2", "n3"), context, self.powers[n])
-            (count,) = arrays.look_up(f"grams{n}", ("counts",), key, self.powers[n])
+            _, total, n1, n2, n3 = arrays.look_up(f"contexts{n}", ("total", "n1", "n2", "n3"), context, self.powers[n])
+            (once,) = arrays.look_up(f"once{n}", (), context, self.powers[n])
+            total, n1 = total + once, n1 + once
+            _, count = arrays.look_up(f"grams{n}", ("counts",), key, self.powers[n])
             some = np.where(total > 0, total, 1)
             p = np.where(total > 0, (count - _discount(count, d)) / some + (d[0] * n1 + d[1] * n2 + d[2] * n3) / some * p, p)
         base = np.log10((seen + 1) / (self.words.tokens + v + 1))
@@ -315,70 +347,73 @@ def _vocabulary(train: DataFrame, folder: str, power: int) -> Vocabulary:
 
 
 #: What counting sends: n-grams of one bucket as a column for each place, in one array, and their counts.
-SENT = "bucket long, n long, grams binary, counts binary, c1 long, c2 long, c3 long, c4 long"
-NAMES = [x.split()[0] for x in SENT.split(", ")]
+SENT = "bucket long, n long, grams binary, counts binary"
 
 
-def _sent(columns: list[np.ndarray], counts: np.ndarray, power: int, kind: type, told: list[int]) -> list[tuple]:
-    """Rows of SENT for n-grams whose keys rise; each bucket's are sorted by their context, which packs well. `told` goes with the first row."""
-    context, _ = keys_of(columns)
-    bucket = _bucket(context, power)
-    order = np.lexsort((columns[-1], *([columns[-2]] if len(columns) > 1 else []), columns[0], bucket))
-    columns, counts, bucket = [c[order].astype(kind) for c in columns], counts[order], bucket[order]
-    rows = []
-    for b, i, j in _runs(bucket):
-        grams = np.concatenate([_steps(columns[0][i:j]), *(c[i:j] for c in columns[1:])])
-        rows.append((b, j - i, _packed(grams), _packed(_small(counts[i:j]).astype(np.uint32) if counts[i:j].max() < 1 << 32 else counts[i:j].astype(np.uint64)), *told))
-        told = [0] * 4
-    return rows
+def _sent(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray, kind: type) -> list[tuple]:
+    """Rows of SENT for n-grams in the order of their buckets."""
+    columns = [c.astype(kind) for c in columns]
+    size = np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64
+    return [(b, j - i, _packed(np.concatenate([c[i:j] for c in columns])), _packed(counts[i:j].astype(size))) for b, i, j in _runs(bucket)]
 
 
 def _received(rows: pd.DataFrame, order: int, kind: type) -> tuple[list[np.ndarray], np.ndarray]:
     columns: list[list[np.ndarray]] = [[] for _ in range(order)]
     counts = []
     for n, grams, sizes in zip(rows["n"], rows["grams"], rows["counts"], strict=True):
-        if not n:
-            continue
-        ids = _unpacked([grams], kind).reshape(order, n)
-        columns[0].append(np.cumsum(ids[0], dtype=kind))
-        for k in range(1, order):
-            columns[k].append(ids[k])
-        raw = zstandard.ZstdDecompressor().decompress(sizes)
-        counts.append(np.frombuffer(raw, np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.int64))
+        if n:
+            for column, x in zip(columns, _unpacked([grams], kind).reshape(order, n), strict=True):
+                column.append(x)
+            counts.append(_counts(sizes, n))
     return [np.concatenate(c) for c in columns], np.concatenate(counts)
 
 
-def _merge(folder: str, order: int, power: int, next_power: int, kind: type, mark: int, span: int):
+def _counts(blob: bytes, n: int) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    return _unpacked([blob], np.uint32 if len(raw) == 4 * n else np.uint64).astype(np.int64)
+
+
+def _told(order: int) -> list[str]:
+    """Columns for the counts of counts of all orders above the one that a row is of."""
+    return [f"o{n}c{k}" for n in range(2, order + 1) for k in range(1, 5)]
+
+
+def _merge(folder: str, order: int, top: int, power: int, next_power: int, kind: type, mark: int, span: int):
     """Sum a bucket of n-grams, save them and their contexts' figures, and send on what they say of the next lower order."""
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         b = int(rows["bucket"].iloc[0])
+        told = {x: int(rows[x].sum()) if x in rows else 0 for x in _told(top)}
         columns, counts = _received(rows, order, kind)
         context, key = keys_of(columns)
         key, counts, at = _summed(key, counts)
         columns, context = [c[at] for c in columns], context[at]
-        save(folder, f"grams{order}-keys-{b}", key)
-        save(folder, f"grams{order}-counts-{b}", _small(counts))
-        by = np.argsort(context, kind="stable")
+        save_keys(folder, f"grams{order}-{b}", key, power)
+        save(folder, f"grams{order}-{b}-counts", _small(counts))
+        by = np.argsort(context)
         sorted_context, of = context[by], counts[by]
         starts = np.flatnonzero(np.concatenate([[True], sorted_context[1:] != sorted_context[:-1]]))
-        save(folder, f"contexts{order}-keys-{b}", sorted_context[starts])
-        for name, x in (("total", of), ("n1", of == 1), ("n2", of == 2), ("n3", of >= 3)):
-            save(folder, f"contexts{order}-{name}-{b}", _small(np.add.reduceat(x.astype(np.int64), starts)))
+        figures = [np.add.reduceat(x.astype(np.int64), starts) for x in (of, of == 1, of == 2, of >= 3)]
+        often = figures[0] > 1  # most contexts occur once: of these the key says all
+        save_keys(folder, f"once{order}-{b}", sorted_context[starts][~often], power)
+        save_keys(folder, f"contexts{order}-{b}", sorted_context[starts][often], power)
+        for name, x in zip(("total", "n1", "n2", "n3"), figures, strict=True):
+            save(folder, f"contexts{order}-{b}-{name}", _small(x[often]))
+        told |= {f"o{order}c{k}": n for k, n in enumerate(_count_of_counts(counts), 1)}
         # the n-gram without its first word: one more word before it, or at a text's start as often as it is there
         worth = np.where(columns[1] == mark, counts, 1) if order > 2 else np.ones(len(counts), np.int64)
         shorter = columns[1:]
-        own, sums, at = _summed(keys_of(shorter)[1], worth)
-        told = _count_of_counts(counts)
         if order > 2:
-            out = _sent([c[at] for c in shorter], sums, next_power, kind, told)
+            keys, sums, at = _summed(keys_of(shorter)[1], worth)
+            out = _sent([c[at] for c in shorter], sums, _bucket(keys, next_power), kind)
         else:
-            ids = shorter[0][at]
-            by = np.argsort(ids)
-            ids, sums = ids[by], sums[by]
-            out = [(r, j - i, _packed(_steps(ids[i:j])), _packed(sums[i:j].astype(np.uint64)), *(told if not i else [0] * 4)) for r, i, j in _runs((ids // kind(span)).astype(np.int64))]
-        out = [(*x, b) for x in out]
-        return pd.DataFrame(out, columns=[*NAMES, "source"])
+            ids, sums, _ = _summed(shorter[0], worth)
+            out = [(r, j - i, _packed(_steps(ids[i:j])), _packed(sums[i:j].astype(np.uint64))) for r, i, j in _runs((ids // kind(span)).astype(np.int64))]
+        frame = pd.DataFrame(out, columns=["bucket", "n", "grams", "counts"])
+        for x, n in told.items():  # they go with the first row
+            frame[x] = [n] + [0] * (len(out) - 1)
+        frame["source"] = b
+        return frame
 
     return merge
 
@@ -408,10 +443,10 @@ def train_model(train: DataFrame, text: str = "text", order: int = ORDER) -> Kne
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
-            _, at, counts = np.unique(keys_of(columns)[1], return_index=True, return_counts=True)
-            rows = _sent([c[at] for c in columns], counts, powers[order], kind, [0] * 4)
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], NAMES)
+            keys, counts, at = _summed(keys_of(columns)[1], np.ones(len(columns[0]), np.int64))
+            rows = _sent([c[at] for c in columns], counts, _bucket(keys, powers[order]), kind)
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["bucket", "n", "grams", "counts"])
 
         for batch in batches:
             for _, texts in chunks(batch):
@@ -424,40 +459,42 @@ def train_model(train: DataFrame, text: str = "text", order: int = ORDER) -> Kne
         if held:
             yield flush()
 
-    def part(rows: pd.DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    names = _told(order)
+
+    def part(rows: pd.DataFrame) -> tuple[int, np.ndarray, list[int]]:
         r = int(rows["bucket"].iloc[0])
         dense = np.zeros(min(span, v - r * span), np.int64)
         for ids, sums in zip(rows["grams"], rows["counts"], strict=True):
             dense[(np.cumsum(_unpacked([ids], kind), dtype=kind) % kind(span)).astype(np.int64)] += _unpacked([sums], np.uint64).astype(np.int64)
-        return r, dense, np.array([[rows[f"c{k}"].sum() for k in range(1, 5)]], np.int64)
+        return r, dense, [int(rows[x].sum()) for x in names]
 
     def halfway(rows: pd.DataFrame) -> pd.DataFrame:
         r, dense, told = part(rows)
         ids = np.flatnonzero(dense)
-        return pd.DataFrame([(r, len(ids), _packed(_steps((ids + r * span).astype(kind))), _packed(dense[ids].astype(np.uint64)), *told[0])], columns=NAMES)
+        return pd.DataFrame([(r, len(ids), _packed(_steps((ids + r * span).astype(kind))), _packed(dense[ids].astype(np.uint64)), *told)], columns=["bucket", "n", "grams", "counts", *names])
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
         r, follows, told = part(rows)
         save(folder, f"follows-{r}", _small(follows))
-        return pd.DataFrame([(*told[0], *_count_of_counts(follows), int((follows >= 3).sum()), int(follows.sum()))], columns=SUMS)
+        return pd.DataFrame([(*told, *_count_of_counts(follows), int((follows >= 3).sum()), int(follows.sum()))], columns=[*names, *SUMS])
 
+    told_too = SENT + "".join(f", {x} long" for x in names)
     sent = train.mapInArrow(count, SENT)
     for n in range(order, 1, -1):
-        sent = sent.groupBy("bucket").applyInPandas(_merge(folder, n, powers[n], powers.get(n - 1, 0), kind, mark, span), SENT + ", source long")
-        if n > 2:  # stored, as its counts of counts are wanted as well as its n-grams
-            sent = stored(sent, f"grams{n}")
-            model.discounts[n] = discounts(list(sent.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(1, 5)]).first()))
+        sent = sent.groupBy("bucket").applyInPandas(_merge(folder, n, order, powers[n], powers.get(n - 1, 0), kind, mark, span), told_too + ", source long")
     salt = max(1, int(np.sqrt(1 << powers[2])))
-    half = sent.withColumn("salt", F.col("source") % salt).groupBy("bucket", "salt").applyInPandas(halfway, SENT)
-    sums = half.groupBy("bucket").applyInPandas(gather, ", ".join(f"{x} long" for x in SUMS)).agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in SUMS]).first()
-    model.discounts[2] = discounts([sums[f"c{k}"] for k in range(1, 5)])
+    half = sent.withColumn("salt", F.col("source") % salt).groupBy("bucket", "salt").applyInPandas(halfway, told_too)
+    found = half.groupBy("bucket").applyInPandas(gather, ", ".join(f"{x} long" for x in [*names, *SUMS]))
+    sums = found.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in [*names, *SUMS]]).first()
+    for n in range(2, order + 1):
+        model.discounts[n] = discounts([sums[f"o{n}c{k}"] for k in range(1, 5)])
     d = model.discounts[1] = discounts([sums[f"w{k}"] for k in range(1, 5)])
     model.continuations = sums["total"]
     model.word_rest = (d[0] * sums["w1"] + d[1] * sums["w2"] + d[2] * sums["w3_up"]) / sums["total"]
     return model
 
 
-SUMS = ["c1", "c2", "c3", "c4", "w1", "w2", "w3", "w4", "w3_up", "total"]
+SUMS = ["w1", "w2", "w3", "w4", "w3_up", "total"]
 
 
 def score_texts(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFrame:
