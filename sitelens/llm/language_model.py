@@ -128,8 +128,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def save_keys(folder: str, name: str, keys: np.ndarray, power: int) -> None:
     """Save a bucket's sorted keys in half their size: where each block of keys begins, and 32 bits of each key in its block.
 
-    The bits before those choose the bucket and the block, of about sixteen keys. What is left out of a key are its last bits: 48 and
-    the buckets' bits stay for a bucket of a million, so two of n n-grams fall together about once in 2^9 / buckets models.
+    The bits before those choose the bucket and the block, of about sixteen keys. The last bits of a key are left out: with
+    buckets of a million, 2^p of them, 48 + p bits stay, so that some 2^p / 500 pairs of n-grams have one key.
     """
     bits = int(np.clip(len(keys).bit_length() - 4, 1, 24))
     rest = keys << np.uint64(power)
@@ -138,6 +138,17 @@ def save_keys(folder: str, name: str, keys: np.ndarray, power: int) -> None:
     save(folder, f"{name}-low", (rest >> np.uint64(32 - bits)).astype(np.uint32))
 
 
+#: The byte that stands for a count that is told apart.
+MANY = 255
+
+
+def save_counts(folder: str, name: str, counts: np.ndarray) -> None:
+    """Save counts as bytes, and those of 255 and over with their places."""
+    large = np.flatnonzero(counts >= MANY)
+    save(folder, f"{name}-counts", np.minimum(counts, MANY).astype(np.uint8))
+    save(folder, f"{name}-most", np.stack([large, counts[large]]))
+
+
 def find_keys(index: np.ndarray, low: np.ndarray, keys: np.ndarray, power: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, whether it is there) of each key in a saved bucket, by halving its block."""
     bits = (len(index) - 1).bit_length() - 1
@@ -186,7 +197,11 @@ class Mapped:
                 continue
             place, out[0][start:end] = find_keys(index, low, keys[start:end], power)
             for x, name in zip(out[1:], columns, strict=True):
-                x[start:end] = np.where(out[0][start:end], self(f"{table}-{b}-{name}")[place], 0)
+                if name == "most":
+                    own, values = self(f"{table}-{b}-most")
+                    x[start:end] = values[np.minimum(np.searchsorted(own, place), len(own) - 1)] if len(own) else 0
+                else:
+                    x[start:end] = np.where(out[0][start:end], self(f"{table}-{b}-{name}")[place], 0)
         return [x[inverse] for x in out]
 
 
@@ -278,7 +293,8 @@ class KneserNey:
             _, total, n1, n2, n3 = arrays.look_up(f"contexts{n}", ("total", "n1", "n2", "n3"), context, self.powers[n])
             (once,) = arrays.look_up(f"once{n}", (), context, self.powers[n])
             total, n1 = total + once, n1 + once
-            _, count = arrays.look_up(f"grams{n}", ("counts",), key, self.powers[n])
+            _, count, most = arrays.look_up(f"grams{n}", ("counts", "most"), key, self.powers[n])
+            count = np.where(count == MANY, most, count)
             some = np.where(total > 0, total, 1)
             p = np.where(total > 0, (count - _discount(count, d)) / some + (d[0] * n1 + d[1] * n2 + d[2] * n3) / some * p, p)
         base = np.log10((seen + 1) / (self.words.tokens + v + 1))
@@ -351,10 +367,11 @@ SENT = "bucket long, n long, grams binary, counts binary"
 
 
 def _sent(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray, kind: type) -> list[tuple]:
-    """Rows of SENT for n-grams in the order of their buckets."""
-    columns = [c.astype(kind) for c in columns]
+    """Rows of SENT; the n-grams of a bucket go by their first word, of which only the steps are sent."""
+    order = np.argsort(bucket.astype(np.uint64) << np.uint64(64 - CONTEXT_BITS) | columns[0].astype(np.uint64))
+    columns, counts, bucket = [c[order].astype(kind) for c in columns], counts[order], bucket[order]
     size = np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64
-    return [(b, j - i, _packed(np.concatenate([c[i:j] for c in columns])), _packed(counts[i:j].astype(size))) for b, i, j in _runs(bucket)]
+    return [(b, j - i, _packed(np.concatenate([_steps(columns[0][i:j]), *(c[i:j] for c in columns[1:])])), _packed(counts[i:j].astype(size))) for b, i, j in _runs(bucket)]
 
 
 def _received(rows: pd.DataFrame, order: int, kind: type) -> tuple[list[np.ndarray], np.ndarray]:
@@ -362,7 +379,8 @@ def _received(rows: pd.DataFrame, order: int, kind: type) -> tuple[list[np.ndarr
     counts = []
     for n, grams, sizes in zip(rows["n"], rows["grams"], rows["counts"], strict=True):
         if n:
-            for column, x in zip(columns, _unpacked([grams], kind).reshape(order, n), strict=True):
+            first, *others = _unpacked([grams], kind).reshape(order, n)
+            for column, x in zip(columns, [np.cumsum(first, dtype=kind), *others], strict=True):
                 column.append(x)
             counts.append(_counts(sizes, n))
     return [np.concatenate(c) for c in columns], np.concatenate(counts)
@@ -389,7 +407,7 @@ def _merge(folder: str, order: int, top: int, power: int, next_power: int, kind:
         key, counts, at = _summed(key, counts)
         columns, context = [c[at] for c in columns], context[at]
         save_keys(folder, f"grams{order}-{b}", key, power)
-        save(folder, f"grams{order}-{b}-counts", _small(counts))
+        save_counts(folder, f"grams{order}-{b}", counts)
         by = np.argsort(context)
         sorted_context, of = context[by], counts[by]
         starts = np.flatnonzero(np.concatenate([[True], sorted_context[1:] != sorted_context[:-1]]))

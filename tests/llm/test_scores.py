@@ -263,7 +263,7 @@ def test_language_model_of_any_order_equals_brute_force(spark, order, monkeypatc
     monkeypatch.setattr(language_model, "RANGE", 16)
     r = np.random.default_rng(order)
     texts = [" ".join(f"w{min(k, 59)}" for k in r.zipf(1.4, r.integers(0, 30))) for _ in range(80)]
-    texts += ["", None, texts[0], texts[0], "w1", "w1 w2"]
+    texts += ["", None, texts[0], texts[0], "w1", "w1 w2", "w5 w6 w7 " * 400]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     *_, score = plain_model(texts, order)
     more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(["w1 w2 unseen w3 w1", "unseen", *texts[:20]])], "doc_id long, text string")
