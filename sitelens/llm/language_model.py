@@ -138,14 +138,15 @@ def save_keys(folder: str, name: str, keys: np.ndarray, power: int) -> None:
     save(folder, f"{name}-low", (rest >> np.uint64(32 - bits)).astype(np.uint32))
 
 
-#: The byte that stands for a count that is told apart.
-MANY = 255
-
-
-def save_counts(folder: str, name: str, counts: np.ndarray) -> None:
-    """Save counts as bytes, and those of 255 and over with their places."""
-    large = np.flatnonzero(counts >= MANY)
-    save(folder, f"{name}-counts", np.minimum(counts, MANY).astype(np.uint8))
+def save_counts(folder: str, name: str, counts: np.ndarray, bits: int = 8) -> None:
+    """Save counts in a byte or half a byte each; those that do not fit are marked by the largest, and told with their places."""
+    many = (1 << bits) - 1
+    large = np.flatnonzero(counts >= many)
+    small = np.minimum(counts, many).astype(np.uint8)
+    if bits == 4:
+        small = np.append(small, np.zeros(len(small) % 2, np.uint8))
+        small = small[::2] | small[1::2] << 4
+    save(folder, name, small)
     save(folder, f"{name}-most", np.stack([large, counts[large]]))
 
 
@@ -187,6 +188,18 @@ class Mapped:
         self.open.move_to_end(name)
         return self.open[name]
 
+    def counts(self, name: str, place: np.ndarray, bits: int = 8) -> np.ndarray:
+        """Saved counts at these places."""
+        if bits == 4:
+            found = (self(name)[place >> 1] >> (place % 2 * 4).astype(np.uint8) & 15).astype(np.int64)
+        else:
+            found = self(name)[place].astype(np.int64)
+        many = np.flatnonzero(found == (1 << bits) - 1)
+        if len(many):
+            own, values = self(f"{name}-most")
+            found[many] = values[np.searchsorted(own, place[many])]
+        return found
+
     def look_up(self, table: str, columns: tuple[str, ...], keys: np.ndarray, power: int) -> list[np.ndarray]:
         """Whether each key is in a table, and its columns there, else zero."""
         keys, inverse = np.unique(keys, return_inverse=True)
@@ -196,12 +209,9 @@ class Mapped:
             if index is None or not (low := self(f"{table}-{b}-low")).size:
                 continue
             place, out[0][start:end] = find_keys(index, low, keys[start:end], power)
+            found = out[0][start:end] > 0
             for x, name in zip(out[1:], columns, strict=True):
-                if name == "most":
-                    own, values = self(f"{table}-{b}-most")
-                    x[start:end] = values[np.minimum(np.searchsorted(own, place), len(own) - 1)] if len(own) else 0
-                else:
-                    x[start:end] = np.where(out[0][start:end], self(f"{table}-{b}-{name}")[place], 0)
+                x[start:end] = np.where(found, self.counts(f"{table}-{b}-{name}", place, 4 if name == "counts" else 8), 0)
         return [x[inverse] for x in out]
 
 
@@ -231,7 +241,7 @@ class Vocabulary:
             place = np.minimum(np.searchsorted(words, hashes[start:end]), len(words) - 1)
             hit = words[place] == hashes[start:end]
             ids[start:end] = np.where(hit, self.firsts[b] + place, len(self))
-            counts[start:end] = np.where(hit, arrays(f"counts-{b}")[place], 0)
+            counts[start:end] = np.where(hit, arrays.counts(f"counts-{b}", place), 0)
         return ids, counts
 
 
@@ -293,8 +303,7 @@ class KneserNey:
             _, total, n1, n2, n3 = arrays.look_up(f"contexts{n}", ("total", "n1", "n2", "n3"), context, self.powers[n])
             (once,) = arrays.look_up(f"once{n}", (), context, self.powers[n])
             total, n1 = total + once, n1 + once
-            _, count, most = arrays.look_up(f"grams{n}", ("counts", "most"), key, self.powers[n])
-            count = np.where(count == MANY, most, count)
+            _, count = arrays.look_up(f"grams{n}", ("counts",), key, self.powers[n])
             some = np.where(total > 0, total, 1)
             p = np.where(total > 0, (count - _discount(count, d)) / some + (d[0] * n1 + d[1] * n2 + d[2] * n3) / some * p, p)
         base = np.log10((seen + 1) / (self.words.tokens + v + 1))
@@ -351,7 +360,7 @@ def _vocabulary(train: DataFrame, folder: str, power: int) -> Vocabulary:
         parts = [np.cumsum(_unpacked([x], np.uint64), dtype=np.uint64) for x in rows["words"]]
         words, counts, _ = _summed(np.concatenate(parts), _unpacked(rows["counts"], np.uint32).astype(np.int64))
         save(folder, f"words-{b}", words)
-        save(folder, f"counts-{b}", _small(counts))
+        save_counts(folder, f"counts-{b}", counts)
         return pd.DataFrame({"bucket": [b], "n": [len(words)], "tokens": [int(counts.sum())]})
 
     parts = train.mapInArrow(count, "bucket long, words binary, counts binary")
@@ -407,7 +416,7 @@ def _merge(folder: str, order: int, top: int, power: int, next_power: int, kind:
         key, counts, at = _summed(key, counts)
         columns, context = [c[at] for c in columns], context[at]
         save_keys(folder, f"grams{order}-{b}", key, power)
-        save_counts(folder, f"grams{order}-{b}", counts)
+        save_counts(folder, f"grams{order}-{b}-counts", counts, 4)
         by = np.argsort(context)
         sorted_context, of = context[by], counts[by]
         starts = np.flatnonzero(np.concatenate([[True], sorted_context[1:] != sorted_context[:-1]]))
@@ -416,7 +425,7 @@ def _merge(folder: str, order: int, top: int, power: int, next_power: int, kind:
         save_keys(folder, f"once{order}-{b}", sorted_context[starts][~often], power)
         save_keys(folder, f"contexts{order}-{b}", sorted_context[starts][often], power)
         for name, x in zip(("total", "n1", "n2", "n3"), figures, strict=True):
-            save(folder, f"contexts{order}-{b}-{name}", _small(x[often]))
+            save_counts(folder, f"contexts{order}-{b}-{name}", x[often])
         told |= {f"o{order}c{k}": n for k, n in enumerate(_count_of_counts(counts), 1)}
         # the n-gram without its first word: one more word before it, or at a text's start as often as it is there
         worth = np.where(columns[1] == mark, counts, 1) if order > 2 else np.ones(len(counts), np.int64)
