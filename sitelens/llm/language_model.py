@@ -158,11 +158,12 @@ def find_keys(index: np.ndarray, low: np.ndarray, keys: np.ndarray, power: int)
     want = (rest >> np.uint64(32 - bits)).astype(np.uint32)
     at, end = index[block].astype(np.int64), index[block + 1].astype(np.int64)
     last, top = end, len(low) - 1
-    for _ in range(int((end - at).max(initial=0)).bit_length()):
-        mid = (at + last) >> 1
-        less = (low[np.minimum(mid, top)] < want) & (mid < last)
-        at, last = np.where(less, mid + 1, at), np.where(less, last, mid)
-    return np.minimum(at, top), (at < end) & (low[np.minimum(at, top)] == want)
+    wide = int((end - at).max(initial=0))
+    for step in (1 << k for k in reversed(range(wide.bit_length()))):  # the largest steps that stay before a key not less
+        ahead = at + step
+        at = np.where((ahead <= last) & (low[np.minimum(ahead, len(low)) - 1] < want), ahead, at)
+    place = np.minimum(at, top)
+    return place, (at < end) & (low[place] == want)
 
 
 def _runs(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -182,7 +183,7 @@ class Mapped:
     def __call__(self, name: str) -> np.ndarray | None:
         if name not in self.open:
             path = f"{self.folder}/{name}.npy"
-            self.open[name] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            self.open[name] = np.asarray(np.load(path, mmap_mode="r")) if os.path.exists(path) else None
             if len(self.open) > MAPS:
                 self.open.popitem(last=False)
         self.open.move_to_end(name)
@@ -200,19 +201,22 @@ class Mapped:
             found[many] = values[np.searchsorted(own, place[many])]
         return found
 
-    def look_up(self, table: str, columns: tuple[str, ...], keys: np.ndarray, power: int) -> list[np.ndarray]:
-        """Whether each key is in a table, and its columns there, else zero."""
+    def look_up(self, tables: list[tuple[str, tuple[str, ...]]], keys: np.ndarray, power: int) -> list[np.ndarray]:
+        """For each table in turn, whether each key is in it and in none before, and its columns there, else zero."""
         keys, inverse = np.unique(keys, return_inverse=True)
-        out = [np.zeros(len(keys), np.int64) for _ in range(1 + len(columns))]
+        out = [[np.zeros(len(keys), np.int64) for _ in range(1 + len(columns))] for _, columns in tables]
         for b, start, end in _runs(_bucket(keys, power)):
-            index = self(f"{table}-{b}-index")
-            if index is None or not (low := self(f"{table}-{b}-low")).size:
-                continue
-            place, out[0][start:end] = find_keys(index, low, keys[start:end], power)
-            found = out[0][start:end] > 0
-            for x, name in zip(out[1:], columns, strict=True):
-                x[start:end] = np.where(found, self.counts(f"{table}-{b}-{name}", place, 4 if name == "counts" else 8), 0)
-        return [x[inverse] for x in out]
+            left = np.arange(start, end)
+            for (table, columns), (hits, *values) in zip(tables, out, strict=True):
+                index = self(f"{table}-{b}-index")
+                if index is None or not len(left) or not (low := self(f"{table}-{b}-low")).size:
+                    continue
+                place, hit = find_keys(index, low, keys[left], power)
+                found, place, left = left[hit], place[hit], left[~hit]
+                hits[found] = 1
+                for x, name in zip(values, columns, strict=True):
+                    x[found] = self.counts(f"{table}-{b}-{name}", place, 4 if name == "counts" else 8)
+        return [x[inverse] for of in out for x in of]
 
 
 @dataclass
@@ -300,10 +304,9 @@ class KneserNey:
         for n in range(2, self.order + 1) if self.words.tokens else ():
             d = self.discounts[n]
             context, key = keys_of(grams[-n:])
-            _, total, n1, n2, n3 = arrays.look_up(f"contexts{n}", ("total", "n1", "n2", "n3"), context, self.powers[n])
-            (once,) = arrays.look_up(f"once{n}", (), context, self.powers[n])
+            _, total, n1, n2, n3, once = arrays.look_up([(f"contexts{n}", ("total", "n1", "n2", "n3")), (f"once{n}", ())], context, self.powers[n])
             total, n1 = total + once, n1 + once
-            _, count = arrays.look_up(f"grams{n}", ("counts",), key, self.powers[n])
+            _, count = arrays.look_up([(f"grams{n}", ("counts",))], key, self.powers[n])
             some = np.where(total > 0, total, 1)
             p = np.where(total > 0, (count - _discount(count, d)) / some + (d[0] * n1 + d[1] * n2 + d[2] * n3) / some * p, p)
         base = np.log10((seen + 1) / (self.words.tokens + v + 1))
