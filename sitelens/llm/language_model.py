@@ -50,14 +50,16 @@ ORDER = 3
 END = xxhash.xxh64_intdigest(b"\n")
 #: Tokens that a worker counts before it sends arrays on: some 100 MB of memory at the peak.
 FLUSH = 2_000_000
-#: Keys in a bucket, about.
-BUCKET_KEYS = 1_000_000
+#: Tokens for a bucket, about: its distinct n-grams are fewer.
+BUCKET_KEYS = 2_000_000
 #: Bits of a key that come from the context and may choose the bucket: up to a million buckets.
 CONTEXT_BITS = 20
 #: Ids of single words whose counts one task sums.
 RANGE = 1 << 19
 #: Bytes of text for a token, about, to choose the number of buckets before tokens are counted.
 TOKEN_BYTES = 6
+#: Bytes of text that are scored at once: each lot is looked up in all buckets, so larger lots cost less.
+SCORED_BYTES = 8 << 20
 #: Files that a worker keeps mapped.
 MAPS = 4096
 
@@ -535,7 +537,7 @@ def score_texts(docs: DataFrame, model: KneserNey, text: str = "text") -> DataFr
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, arrays = WordHashes(), Mapped(model.words.folder)
         for batch in batches:
-            for part, texts in chunks(batch, text):
+            for part, texts in chunks(batch, text, SCORED_BYTES):
                 found = model.score(arrays, *token_hashes(texts, hashes))
                 perplexity = 10 ** np.minimum(-found["score"] / found["n_tokens"], 300)
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(found[x]) for x in names[1:5]), pa.array(perplexity)], names)
