@@ -227,9 +227,7 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     ident = F.col(names["doc_id"]).cast("long").alias("doc_id") if "doc_id" in names else F.lit(None).cast("long").alias("doc_id")
     marks = stored(fingerprints(rows.select(ident, F.col(names[text]).alias("text"), "key"), key="key"), "fingerprints")
     firsts = _classes(marks).select("least.key").distinct().select(F.col("key").alias("of_key"))
-    # equal rows are removed first, in each task before the shuffle too, so that a row that is there very often meets no task
-    # as often; the join then finds the rows where they are, so texts move once (an inner one: Spark would put a semi join
-    # below the removal, and move them twice)
+    # equal rows are removed first, in each task before the shuffle too, so that a row that is there very often meets no task as often
     return rows.dropDuplicates(["key"]).join(firsts, F.col("key") == F.col("of_key")).select(*renamed(names))
 
 
