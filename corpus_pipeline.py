@@ -48,8 +48,8 @@ STAGES = [
     ("decontamination", decontamination),
     ("packing", packing),
 ]
-#: A boosted tree ensemble and fingerprints cannot be written in SQL; tests check columns, falling row counts and the
-#: documents that are left, and do not hold the run against brute force.
+#: A boosted tree ensemble and fingerprints cannot be written in SQL; a test holds the run against plain Python, over what the
+#: quality rules keep.
 ORACLE_SQL = None
 
 
