@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_benchmark_decontamination
 from .html_text import op5_html_extraction
+from .jaccard import op11_ngram_jaccard_join
 from .language_model import op2_kneser_ney_scoring
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .packing import op1_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES = {
         op8_two_pass_sharding,
         op9_quality_rules,
         op10_line_dedup,
+        op11_ngram_jaccard_join,
     )
 }
 ORACLE_SQL = {"op10_line_dedup": OP10_SQL}
