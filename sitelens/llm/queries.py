@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op13_cross_tokenizer_alignment
 from .decontaminate import op6_benchmark_decontamination
 from .html_text import op5_html_extraction
 from .jaccard import op11_ngram_jaccard_join
@@ -13,6 +14,7 @@ from .secrets import op4_secret_scan
 from .sharding import op8_two_pass_sharding
 from .simhash import op7_simhash_near_dedup
 from .toxicity import op3_toxicity
+from .whitening import op12_embedding_whitening
 
 QUERIES = {
     f.__name__: f
@@ -28,6 +30,8 @@ QUERIES = {
         op9_quality_rules,
         op10_line_dedup,
         op11_ngram_jaccard_join,
+        op12_embedding_whitening,
+        op13_cross_tokenizer_alignment,
     )
 }
 ORACLE_SQL = {"op10_line_dedup": OP10_SQL}
