@@ -12,8 +12,8 @@ each as a 64-bit hash; fewer words: the whole sequence as one. Documents with eq
 3. The global order of tokens is (how many sets hold it, in steps of half a power of two; hash). It is cut into `FRAGMENTS` of about
    equal weight, and a set into its segments, one row each.
 4. Linked sets share a token among the first n - ceil(0.8 n) + 1 of the order. In rounds, every set is tried against one pivot of those
-   that it shares such tokens with, and linked sets become one component. When a round finds nothing new or few pairs are left,
-   all pairs that are left between different components are tried, in slices of about `PAIRS` a set; of a pair of one component nothing is left to find.
+   that it shares such tokens with, and linked sets become one component. When a round finds nothing new, or sets
+   of different components meet at few tokens only, all pairs that are left between components are tried, in slices of about `PAIRS` meetings a set; of a pair of one component nothing is left to find.
 5. A pair is tried by counting the partial overlaps of its segments, fragment by fragment, and summing them: exact. Pairs whose overlap within
    the first tokens leaves too little are not tried.
 
@@ -50,9 +50,9 @@ HOT_SHARE = 1000
 #: Fewer sets than this never make a token hot.
 HOT_LEAST = 1000
 FRAGMENTS = 8
-#: Pairs a set that are tried at once; more are tried in slices.
-PAIRS = 4
-LEAST_PAIRS = 10_000
+#: Meetings of two sets of different components at a token, for each set, that are listed at once; more are listed in slices.
+PAIRS = 50
+LEAST_PAIRS = 100_000
 ROUNDS = 6
 #: Bits of a token in the global order; above them stands its frequency.
 TOKEN_BITS = 57
