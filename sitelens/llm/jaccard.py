@@ -12,8 +12,8 @@ each as a 64-bit hash; fewer words: the whole sequence as one. Documents with eq
 3. The global order of tokens is (how many sets hold it, in steps of half a power of two; hash). It is cut into `FRAGMENTS` of about
    equal weight, and a set into its segments, one row each.
 4. Linked sets share a token among the first n - ceil(0.8 n) + 1 of the order. In rounds, every set is tried against one pivot of those
-   that it shares such tokens with, and linked sets become one component. When a round finds nothing new, or sets
-   of different components meet at few tokens only, all pairs that are left between components are tried, in slices of about `PAIRS` meetings a set; of a pair of one component nothing is left to find.
+   that it shares such tokens with, and linked sets get one label. When a round finds little that is new, all pairs of sets with different
+   labels that share such a token are tried, in slices of about `PAIRS` meetings a set; a pair of one label is linked already, if by others.
 5. A pair is tried by counting the partial overlaps of its segments, fragment by fragment, and summing them: exact. Pairs whose overlap within
    the first tokens leaves too little are not tried.
 
@@ -291,73 +291,77 @@ def segments(sets: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
 
 
 def verified(pairs: DataFrame, cut: DataFrame) -> DataFrame:
-    """Of the pairs (a, b, na, nb), the links: overlaps are counted for each fragment and summed for each pair."""
+    """Of the pairs (a, b, na, nb and their labels ca, cb), the links: overlaps are counted for each fragment and summed for each pair."""
     left = pairs.join(cut.select(F.col("h").alias("a"), "f", F.col("tokens").alias("left")), "a")
     both = left.join(cut.select(F.col("h").alias("b"), "f", F.col("tokens").alias("right")), ["b", "f"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("left", "right")).cast("long").alias("shared"))
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared")).where("180 * shared >= 80 * (na + nb)").select("a", "b")
+    partial = both.select("a", "b", "na", "nb", "ca", "cb", F.size(F.array_intersect("left", "right")).cast("long").alias("shared"))
+    return partial.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.sum("shared").alias("shared")).where("180 * shared >= 80 * (na + nb)").select("a", "b", "ca", "cb")
 
 
 def links(sets: DataFrame, pairs_a_set: float = PAIRS, rounds: int = ROUNDS) -> DataFrame:
-    """(h, root) for all sets with a link: the component of each."""
+    """(h, root) for all sets with a link: the component of each.
+
+    While pairs are tried, a set's label `c` only says that it is linked with all sets of that label; components are made of all links at the end.
+    """
     spark = sets.sparkSession
     count = sets.count()
     if not count:
         return spark.createDataFrame([], "h long, root long")
     cut = stored(segments(sets), "segments")
     first = "size(tokens) - (4 * n + 4) div 5 + 1"
-    heads = stored(sets.selectExpr("h", "n", f"explode(slice(tokens, 1, CAST({first} AS INT))) AS token"), "heads")
+    heads = sets.selectExpr("h", "n", "h AS c", f"explode(slice(tokens, 1, CAST({first} AS INT))) AS token")
     limit = max(LEAST_PAIRS, int(pairs_a_set * count))
-    found, roots = None, spark.createDataFrame([], "h long, root long")
-
-    def labelled() -> tuple[DataFrame, int]:
-        """The first tokens of sets of several components, with the component; and how many pairs of different ones share a token."""
-        own = heads.join(roots, "h", "left").select("token", "h", "n", F.coalesce("root", "h").alias("c"))
-        by = own.groupBy("token", "c").count().groupBy("token").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        left = by.selectExpr("token AS open", "k", "(k * k - same) div 2 AS pairs").where("pairs > 0")
-        kept = stored(own.join(left, F.col("token") == F.col("open")).select("token", "h", "n", "c", "k", "pairs"), "open")
-        n = kept.select((F.col("pairs") / F.col("k")).alias("p")).agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0]
-        return kept, round(n)
-
-    def take(pairs: DataFrame) -> int:
-        nonlocal found, roots
+    found: list[DataFrame] = []
+
+    def still_open(rows: DataFrame) -> tuple[DataFrame, int]:
+        """The rows of tokens at which sets of several labels meet, and how many pairs of sets of different labels meet there."""
+        by = rows.groupBy("token", "c").count().groupBy("token").agg(F.sum("count").alias("k"), F.sum(F.col("count") * F.col("count")).alias("same"))
+        left = by.selectExpr("token AS open", "(k * k - same) div 2 AS pairs", "k").where("pairs > 0")
+        kept = stored(rows.join(left, F.col("token") == F.col("open")).select("token", "h", "n", "c", (F.col("pairs") / F.col("k")).alias("share")), "open")
+        return kept.drop("share"), round(kept.agg(F.coalesce(F.sum("share"), F.lit(0.0))).first()[0])
+
+    def take(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Try pairs (a, b, na, nb, ca, cb); returns the links that there are, with their labels, and their number."""
         fresh = stored(verified(pairs, cut), "links")
-        n = fresh.count()
-        if n:
-            found = fresh if found is None else found.union(fresh)
-            roots = components(found).select(F.col("node").alias("h"), "root")
-            found = roots.select(F.col("h").alias("a"), F.col("root").alias("b"))
-        return n
-
-    for k in range(rounds + 1):
-        own, left = labelled()
-        if not left:
-            return roots
-        if left <= limit or k == rounds:
+        found.append(fresh.select("a", "b"))
+        return fresh, fresh.count()
+
+    def merged(rows: DataFrame, fresh: DataFrame) -> DataFrame:
+        """The rows with labels joined as far as two steps along the fresh links go."""
+        both = fresh.select(F.col("ca").alias("u"), F.col("cb").alias("v")).union(fresh.select(F.col("cb").alias("u"), F.col("ca").alias("v")))
+        up = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("v"))
+        up = up.join(up.select(F.col("u").alias("w"), F.col("v").alias("x")), F.col("v") == F.col("w")).select(F.col("u").alias("old"), F.least("v", "x").alias("new"))
+        return rows.join(up, F.col("c") == F.col("old"), "left").select("token", "h", "n", F.coalesce("new", "c").alias("c"))
+
+    own, left = still_open(heads)
+    fruitful = True
+    for k in range(rounds):
+        if not left or not fruitful:
             break
         pivots = own.groupBy("token").agg(F.min(F.struct(F.xxhash64("h", F.lit(k)), "h", "n", "c")).alias("p"))
-        tried = own.join(pivots, "token").where("c <> p.c AND 5 * least(n, p.n) >= 4 * greatest(n, p.n)").groupBy("h", "n", "p").count()
-        best = tried.groupBy("h", "n").agg(F.max(F.struct("count", "p")).alias("best"))
-        if not take(best.selectExpr("h AS a", "best.p.h AS b", "n AS na", "best.p.n AS nb")):
-            break
+        tried = own.join(pivots, "token").where("c <> p.c AND 5 * least(n, p.n) >= 4 * greatest(n, p.n)").groupBy("h", "n", "c", "p").count()
+        best = tried.groupBy("h", "n", "c").agg(F.max(F.struct("count", "p")).alias("best"))
+        fresh, n = take(best.selectExpr("h AS a", "best.p.h AS b", "n AS na", "best.p.n AS nb", "c AS ca", "best.p.c AS cb"))
+        fruitful = n * 100 > count
+        if n:
+            own, left = still_open(merged(own, fresh))
     # what is left, all of it: in slices by the set that looks for partners
     slices = -(-left // limit)
     for i in range(slices):
-        if i:
-            own, left = labelled()
-            if not left:
-                break
-        own = own.select("token", "h", "n", "c")
-        a, b = own.where(F.pmod(F.xxhash64("token", "h"), F.lit(slices)) == i), own
-        met = a.alias("a").join(b.alias("b"), F.expr("a.token = b.token AND a.c <> b.c AND a.h < b.h AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"))
-        if slices > 1:
-            # a slice knows only some of the first tokens that a pair shares, so all of its pairs are tried
-            pairs = met.selectExpr("a.h AS a", "b.h AS b", "a.n AS na", "b.n AS nb").distinct()
-        else:
-            least = "count + greatest((4 * na + 4) div 5, (4 * nb + 4) div 5) - 1 >= (4 * (na + nb) + 8) div 9"
-            pairs = met.selectExpr("a.h AS a", "b.h AS b", "a.n AS na", "b.n AS nb").groupBy("a", "b", "na", "nb").count().where(least).drop("count")
-        take(pairs)
-    return roots
+        a = own.where(F.pmod(F.xxhash64("token", "h"), F.lit(slices)) == i)
+        met = a.alias("a").join(own.alias("b"), F.expr("a.token = b.token AND a.c <> b.c AND a.h < b.h AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"))
+        met = met.selectExpr("a.h AS a", "b.h AS b", "a.n AS na", "b.n AS nb", "a.c AS ca", "b.c AS cb").groupBy("a", "b", "na", "nb", "ca", "cb").count()
+        if slices == 1:  # one of several slices knows only some of the first tokens that a pair shares, so it tries all of its pairs
+            met = met.where("count + greatest((4 * na + 4) div 5, (4 * nb + 4) div 5) - 1 >= (4 * (na + nb) + 8) div 9")
+        fresh, n = take(met.drop("count"))
+        if n and i + 1 < slices:
+            own = stored(merged(own, fresh), "open")
+    if not found:
+        return spark.createDataFrame([], "h long, root long")
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.union(more)
+    return components(edges).select(F.col("node").alias("h"), "root")
 
 
 def jaccard_components(docs: DataFrame, pairs_a_set: float = PAIRS, rounds: int = ROUNDS, hot_share: int = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
