@@ -20,6 +20,7 @@ from pyspark.sql.types import StringType
 from sitelens import constants as C
 from sitelens.functions import urls as U
 from sitelens.functions.html import parsed as parse_udf
+from sitelens.operators.health import Tally
 from sitelens.operators.settings import Settings, Target
 from sitelens.storage import stored
 
@@ -209,7 +210,7 @@ def exact(
     logged: set[str] = set()
     queued = {target.url}
     depth_limited = budget_hit = False
-    failures = limits = failed = attempted = 0
+    tally = Tally()
 
     def record(url: str, depth: int, status: str, detail: str | None = None) -> None:
         if url not in logged:
@@ -261,19 +262,9 @@ def exact(
         if depth == 0 and status in C.REFUSED_SEED:
             raise ValueError(f"the run does not start: {url} is {status}")
         record(url, depth, status)
-        if status in C.ATTEMPTED:
-            attempted += 1
-            failed += status in C.FAILED
-            limits = limits + 1 if status == "rate_limited" else 0
-            failures = failures + 1 if status in C.UNHEALTHY else 0
-            if limits >= C.ABORT_RATE_LIMITS:
-                crawl.outcome = "aborted_rate_limited"
-            elif failures >= C.ABORT_FAILURES:
-                crawl.outcome = "aborted_host_unhealthy"
-            elif attempted >= C.ABORT_MIN_FETCHES and failed / attempted > C.ABORT_ERROR_RATE:
-                crawl.outcome = "aborted_error_rate"
-            if crawl.outcome != "completed":
-                return crawl
+        if armed := tally.step(status):
+            crawl.outcome = armed
+            return crawl
         if status in C.FETCHED:
             enqueue(out, depth + 1)
         if url == target.url and depth == 0:

@@ -138,8 +138,13 @@ def _found(text: Column, field: str, pattern: str, group: int, offset: int, meta
 
 def text_heuristics(rows: DataFrame, text: str = "visible_text") -> DataFrame:
     """What prose may yield because it validates itself: emails, phones, company identifiers. One pass over the text."""
-    block, t = 1 << 16, F.col(text)
-    parts = [
+    return _exploded(rows, text_matches(F.col(text)), text, "text_heuristic", 3 << 20)
+
+
+def text_matches(t: Column) -> list[Column]:
+    """The arrays of text_heuristics(), one for each pattern."""
+    block = 1 << 16
+    return [
         _found(t, "email", _from_run_start(C.EMAIL), 0, 0, only_if=t.contains("@")),
         _found(t, "phone", C.PHONE, 0, block, only_if=t.rlike("[0-9]")),
         _found(t, "company_identifier", C.RCS, 1, 2 * block, F.create_map(F.lit("scheme"), F.lit("rcs")), only_if=t.rlike("(?i)rcs")),
@@ -147,7 +152,6 @@ def text_heuristics(rows: DataFrame, text: str = "visible_text") -> DataFrame:
         _found(t, "company_identifier", C.SIREN, 0, 4 * block, only_if=t.rlike("[0-9]{3}")),
         _found(t, "company_identifier", C.VAT, 0, 5 * block),
     ]
-    return _exploded(rows, parts, text, "text_heuristic", 3 << 20)
 
 
 def emails_in_text(rows: DataFrame, text: str = "visible_text") -> DataFrame:
@@ -170,9 +174,19 @@ def deobfuscate(candidate: Column) -> Column:
     return F.when(ok, plain)
 
 
+_SPELLED = r"(?i:[\[(]\s*at\s*[\])])|\sAT\s|[＠﹫]"
+
+
+def spelled_matches(t: Column) -> Column:
+    """The addresses that a text spells out, with how it does, as one array."""
+    found = _found(t, "email", _from_run_start(C.OBFUSCATED), 0, 0, only_if=t.rlike(_SPELLED))
+    plain = F.transform(found, lambda m: F.struct(m["seq"].alias("seq"), m["field"].alias("field"), deobfuscate(m["raw_value"]).alias("raw_value"), F.create_map(F.lit("obfuscated_as"), F.left(F.trim(m["raw_value"]), F.lit(C.MAX_RAW))).alias("metadata")))
+    return F.filter(plain, lambda m: m["raw_value"].isNotNull())
+
+
 def deobfuscated(rows: DataFrame, text: str = "visible_text") -> DataFrame:
     t = F.col(text)
-    spelled = t.rlike(r"(?i:[\[(]\s*at\s*[\])])|\sAT\s|[＠﹫]")
+    spelled = t.rlike(_SPELLED)
     found = rows.where(spelled).select("url", "fetched_at", F.explode(_found(t, "email", _from_run_start(C.OBFUSCATED), 0, 0)).alias("m")).select("url", "fetched_at", "m.*")
     found = found.withColumn("metadata", F.create_map(F.lit("obfuscated_as"), F.left(F.trim("raw_value"), F.lit(C.MAX_RAW))))
     found = found.withColumn("raw_value", deobfuscate(F.col("raw_value"))).where("raw_value IS NOT NULL")

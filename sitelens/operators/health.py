@@ -5,12 +5,41 @@ All are windows over one run or one host in the order of `seq`; a run has at mos
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens import constants as C
 
 
+@dataclass
+class Tally:
+    """The same figures, one row after the other: what streams, SQL and the sequential crawl keep of a run."""
+
+    limits: int = 0
+    failures: int = 0
+    failed: int = 0
+    attempted: int = 0
+
+    def step(self, status: str, retry_after: float | None = None) -> str | None:
+        """Take a row in; the abort that it arms, if any."""
+        if status not in C.ATTEMPTED:
+            return None
+        self.attempted += 1
+        self.failed += status in C.FAILED
+        self.limits = self.limits + 1 if status == "rate_limited" else 0
+        self.failures = self.failures + 1 if status in C.UNHEALTHY else 0
+        asked = retry_after if status == "rate_limited" and retry_after is not None and retry_after == retry_after else 0
+        if asked > C.ABORT_RETRY_AFTER or self.limits >= C.ABORT_RATE_LIMITS:
+            return "aborted_rate_limited"
+        if self.failures >= C.ABORT_FAILURES:
+            return "aborted_host_unhealthy"
+        if self.attempted >= C.ABORT_MIN_FETCHES and self.failed / self.attempted > C.ABORT_ERROR_RATE:
+            return "aborted_error_rate"
+        return None
+
+
 def _running(key: list[str], order: list[str]):
     return Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 

@@ -80,10 +80,20 @@ def decide(urls: DataFrame, robots: DataFrame, token: str = C.PRODUCT_TOKEN, url
         robots = robots.where(F.col("fetched_at") > now - F.expr(f"INTERVAL {C.ROBOTS_TTL_HOURS} HOURS"))
     policy = robots.select("host_key", status_decision(F.col("status_code"), F.col("error"), F.col("body")).alias("_by_status"), F.col("body").cast("string").alias("_body"))
     rows = urls.withColumn("_key", host_key(F.col(url))).join(policy, F.col("_key") == F.col("host_key"), "left")
-    body = F.when(F.col("host_key").isNotNull() & F.col("_by_status").isNull(), F.col("_body"))
+    return _judged(rows, urls.columns, F.col("host_key").isNull(), token, url)
+
+
+def judge(asked: DataFrame, token: str = C.PRODUCT_TOKEN, url: str = "url") -> DataFrame:
+    """As decide(), for rows that carry their host's answer themselves (status_code, body, error); works on streams."""
+    kept = [c for c in asked.columns if c not in ("status_code", "body", "error")]
+    rows = asked.withColumn("_by_status", status_decision(F.col("status_code"), F.col("error"), F.col("body"))).withColumn("_body", F.col("body").cast("string"))
+    return _judged(rows, kept, F.lit(False), token, url)
+
+
+def _judged(rows: DataFrame, kept: list[str], unreached: Column, token: str, url: str) -> DataFrame:
+    body = F.when(~unreached & F.col("_by_status").isNull(), F.col("_body"))
     rows = rows.withColumn("_rule", rule(body, F.col(url), F.lit(token)))
-    unreached = F.col("host_key").isNull()
     allowed = F.when(unreached, False).otherwise(F.coalesce("_by_status.allowed", "_rule.allowed", F.lit(False)))
     by_rule = F.when(F.col("_rule.allowed"), "robots_allow_rule").otherwise("robots_disallow")
     reason = F.when(unreached, "robots_unreachable_transport").otherwise(F.coalesce("_by_status.reason", by_rule))
-    return rows.select(*[F.col(c) for c in urls.columns], allowed.alias("robots_allowed"), reason.alias("robots_reason"), F.col("_rule.delay").alias("robots_delay"), U.robots_url(F.col(url)).alias("robots_url"))
+    return rows.select(*[F.col(c) for c in kept], allowed.alias("robots_allowed"), reason.alias("robots_reason"), F.col("_rule.delay").alias("robots_delay"), U.robots_url(F.col(url)).alias("robots_url"))

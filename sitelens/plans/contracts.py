@@ -21,7 +21,7 @@ from sitelens.plans.rendered import SUPPLIERS, _flat, _html, as_pages, suppliers
 from sitelens.sinks import ledger, report
 from sitelens.sources import config, discovery
 from sitelens.storage import shared_dir, stored, table
-from sitelens.streaming import streams
+from sitelens.streaming import state, streams
 
 AT = datetime(2024, 1, 1, tzinfo=UTC)
 RUN = {
@@ -347,8 +347,8 @@ def stream_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live findings of a stream of events, run to its end: support is exact."""
     source = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     rows = source.select(F.lit("email").alias("field"), F.col("user_id").cast("string").alias("dedup_value"), F.col("event_type").alias("value"), F.concat(F.lit("https://e/"), (F.col("event_id") % 11).cast("string")).alias("source_url"), F.lit("text_heuristic").alias("extraction_layer"))
-    found = streams.run_to_files(streams.live_findings(rows), f"{shared_dir(spark)}-findings", "complete")
-    return found.select("dedup_value", "page_support", "occurrence_count", "first_seen_url")
+    found = streams.run_to_files(state.live_findings(rows), f"{shared_dir(spark)}-findings", "update", ["field", "dedup_value"])
+    return found.select("dedup_value", F.col("page_support").cast("int").alias("page_support"), F.col("occurrence_count").cast("int").alias("occurrence_count"), "first_seen_url")
 
 
 @query(f"SELECT count(*) AS n, true AS small, {C.OBSERVED_ROWS}::BIGINT AS largest, true AS counted FROM nation".replace(f"{C.OBSERVED_ROWS}::BIGINT", f"least(count(*), {C.OBSERVED_ROWS})"))

@@ -11,7 +11,7 @@ from sitelens.operators import health, robots
 from sitelens.plans.registry import query
 from sitelens.sinks import ledger, report
 from sitelens.storage import shared_dir, table
-from sitelens.streaming import streams
+from sitelens.streaming import state, streams
 
 NOW = "1999-06-01 12:00:00"
 EVENTS = "events_log AS (SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE WHEN event_type = 'error' THEN 'http_error' ELSE 'ok' END AS status, ts, event_id FROM events)"
@@ -132,6 +132,36 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query(f"""WITH {_SICK}, islands AS (SELECT *, sum((status <> 'http_error')::INT) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM events_log),
+r AS (SELECT run_id, seq, ts, sum((status = 'http_error')::INT) OVER (PARTITION BY run_id, island ORDER BY seq ROWS UNBOUNDED PRECEDING) AS n,
+  seq AS attempted, sum((status = 'http_error')::INT) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS failed FROM islands),
+armed AS (SELECT *, CASE WHEN n >= 10 THEN 'aborted_host_unhealthy' WHEN attempted >= 20 AND failed > 0.5 * attempted THEN 'aborted_error_rate' END AS outcome FROM r)
+SELECT run_id::VARCHAR AS run_id, min_by(outcome, seq) AS outcome, min(epoch_us(ts)) AS seq FROM armed WHERE outcome IS NOT NULL GROUP BY run_id""")
+def stream_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first abort of each run from a stream of its log, with state for each run."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    status = F.when(F.col("event_type").isin("error", "view", "click"), "http_error").otherwise("ok")
+    return _streamed(spark, sf_dir, "health", lambda e: state.health(e.select(F.col("user_id").alias("run_id"), micros.alias("seq"), status.alias("status"), F.lit(None).cast("double").alias("retry_after"))), "append")
+
+
+_HOST = "lower(regexp_extract(url, '^[a-z]+://[^/?#]+', 0))"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, length({_HOST}) % 4 AS kind, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT url, CASE kind WHEN 0 THEN path NOT LIKE '/a%' WHEN 1 THEN true ELSE false END AS robots_allowed,
+  CASE kind WHEN 0 THEN CASE WHEN path LIKE '/a%' THEN 'robots_disallow' ELSE 'robots_allow_rule' END WHEN 1 THEN 'robots_absent_404' WHEN 2 THEN 'robots_refused_403' ELSE 'robots_unreachable_5xx' END AS robots_reason FROM p""")
+def stream_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page asked for while its host's robots.txt comes in on another stream: each is decided once, by its host's answer."""
+    source = spark.readStream.schema(table(spark, sf_dir, "pages").schema).parquet(f"{sf_dir}/pages.parquet*")
+    key = robots.host_key(F.col("url"))
+    kind = F.length(key) % 4
+    asked = source.select("url", F.expr("timestamp_seconds(1700000000 + page_id)").alias("at"))
+    body = F.when(kind == 0, F.lit("User-agent: *\nDisallow: /a\n").cast("binary"))
+    answers = source.select(key.alias("host_key"), F.when(kind == 0, 200).when(kind == 1, 404).when(kind == 2, 403).otherwise(503).alias("status_code"), body.alias("body"), F.lit(None).cast("string").alias("error"), F.expr("timestamp_seconds(1700000000)").alias("fetched_at"))
+    made = streams.run_to_files(state.robots_decisions(asked, answers, ttl_hours=24 * 365), f"{shared_dir(spark)}-robots")
+    return made.select("url", "robots_allowed", "robots_reason")
+
+
 def _streamed(spark: SparkSession, sf_dir: str, name: str, step, mode: str) -> DataFrame:
     """Read a table as a file stream, run the step to the end; its result is written by the executors and read back."""
     schema = table(spark, sf_dir, "events").schema

@@ -1,7 +1,7 @@
-"""A run as streams: live findings, progress, deduplication, health and request spacing.
+"""A run as streams: progress, deduplication, windows and request spacing; and where a stream's rows go.
 
-Findings, progress and dedup are built-in stateful operators. Health and spacing keep a few numbers for each run or host in
-applyInPandasWithState; their batch forms are windows in operators.health, and tests hold one against the other.
+Progress and dedup are built-in stateful operators. Spacing keeps a number for each host; its batch form is a window in operators.health.
+Live findings, health and the robots cache keep state of their own: see streaming.state.
 """
 
 from __future__ import annotations
@@ -13,24 +13,9 @@ from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sitelens import constants as C
-from sitelens import dims
-
-
-def live_findings(accepted: DataFrame) -> DataFrame:
-    """Running findings by (field, dedup_value), for output mode update or complete.
-
-    Support is exact: the state of a finding keeps the pages it was seen on, of which a run has at most 2,000.
-    """
-    rows = accepted.join(F.broadcast(dims.layers(accepted.sparkSession)), "extraction_layer")
-    return rows.groupBy("field", "dedup_value").agg(
-        F.min_by("value", F.struct("layer_ord", "source_url", "value")).alias("value"),
-        F.max("confidence").alias("extraction_confidence"),
-        F.size(F.collect_set("source_url")).alias("page_support"),
-        F.count("*").cast("int").alias("occurrence_count"),
-        F.min("source_url").alias("first_seen_url"),
-    )
 
 
 def progress(log: DataFrame) -> DataFrame:
@@ -54,43 +39,6 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str, slide: s
     return events.withWatermark(time, late).groupBy(F.window(time, width, slide or width), key).agg(F.count("*").alias("n")).select("window.start", "window.end", key, "n")
 
 
-def health(log: DataFrame) -> DataFrame:
-    """(run_id, outcome, seq): the first abort that each run arms, emitted once.
-
-    log: run_id, seq, status, retry_after. Rows of a run must arrive in the order of seq between batches.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        limits, failures, failed, attempted, done = state.get if state.exists else (0, 0, 0, 0, False)
-        out = []
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for r in rows.itertuples():
-            if done or r.status not in C.ATTEMPTED:
-                continue
-            attempted += 1
-            failed += r.status in C.FAILED
-            limits = limits + 1 if r.status == "rate_limited" else 0
-            failures = failures + 1 if r.status in C.UNHEALTHY else 0
-            asked = r.retry_after if r.status == "rate_limited" and pd.notna(r.retry_after) else 0
-            outcome = None
-            if asked > C.ABORT_RETRY_AFTER or limits >= C.ABORT_RATE_LIMITS:
-                outcome = "aborted_rate_limited"
-            elif failures >= C.ABORT_FAILURES:
-                outcome = "aborted_host_unhealthy"
-            elif attempted >= C.ABORT_MIN_FETCHES and failed / attempted > C.ABORT_ERROR_RATE:
-                outcome = "aborted_error_rate"
-            if outcome:
-                done = True
-                out.append((key[0], outcome, int(r.seq)))
-        state.update((limits, failures, failed, attempted, done))
-        yield pd.DataFrame(out, columns=["run_id", "outcome", "seq"])
-
-    rows = log.select("run_id", F.col("seq").cast("long").alias("seq"), "status", F.col("retry_after").cast("double").alias("retry_after"))
-    return rows.groupBy("run_id").applyInPandasWithState(
-        step, "run_id string, outcome string, seq long", "limits int, failures int, failed int, attempted int, done boolean", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def spacing(requests: DataFrame, interval: float) -> DataFrame:
     """(host, seq, arrival, start): each host's requests at least `interval` seconds apart."""
 
@@ -113,20 +61,11 @@ def observed(frontier: DataFrame, name: str | Observation) -> DataFrame:
     return frontier.observe(name, F.count(F.lit(1)).alias("queued"), F.max("depth").alias("deepest"))
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "append", **options: str) -> DataFrame:
-    """Everything that is available now, through a memory sink; for checks and small live tables."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).options(**options).trigger(availableNow=True).start()
-    try:
-        query.awaitTermination()
-    finally:
-        query.stop()
-    return stream.sparkSession.table(name)
-
-
-def run_to_files(stream: DataFrame, path: str, mode: str = "append", **options: str) -> DataFrame:
+def run_to_files(stream: DataFrame, path: str, mode: str = "append", keys: list[str] | None = None, **options: str) -> DataFrame:
     """Everything that is available now, written by the executors below a new path, and read back.
 
-    append: a file sink. complete: each batch holds the whole result, and the last one's files are read.
+    append: a file sink. complete: each batch holds the whole result, and the last one's files are read. update: each batch holds what it changed, and
+    the last row of each of `keys` is read. A batch that runs again replaces its files.
     """
     writer = stream.writeStream.options(**options).option("checkpointLocation", f"{path}-progress").trigger(availableNow=True)
     batches: list[int] = []
@@ -135,7 +74,7 @@ def run_to_files(stream: DataFrame, path: str, mode: str = "append", **options:
     else:
 
         def write(rows: DataFrame, batch: int) -> None:
-            rows.write.mode("overwrite").parquet(f"{path}/{batch}")
+            rows.write.mode("overwrite").parquet(f"{path}/{batch}" if mode == "complete" else f"{path}/batch={batch}")
             batches.append(batch)
 
         query = writer.outputMode(mode).foreachBatch(write).start()
@@ -144,9 +83,14 @@ def run_to_files(stream: DataFrame, path: str, mode: str = "append", **options:
     finally:
         query.stop()
     spark = stream.sparkSession
-    if mode != "append":
-        return spark.read.schema(stream.schema).parquet(f"{path}/{max(batches)}") if batches else spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(path)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(path)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/{max(batches)}")
+    changes = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("_last")).select(*keys, "_last.*").select(stream.columns)
 
 
 def deliver(stream: DataFrame, observer: Callable[[list[Row]], None], checkpoint: str, rows: int = C.OBSERVED_ROWS, every: str = C.OBSERVED_EVERY, mode: str = "append", now: bool = False) -> StreamingQuery:

@@ -16,7 +16,7 @@ from sitelens import schemas
 from sitelens.operators import aggregate, health
 from sitelens.sinks import ledger, report
 from sitelens.sources import config
-from sitelens.streaming import streams
+from sitelens.streaming import state, streams
 
 AT = datetime.datetime(2024, 1, 2, 3, 4, 5)
 RUN = {
@@ -148,7 +148,7 @@ def test_stream_health_equals_batch(spark, tmp_path):
     log = spark.createDataFrame(rows, "run_id string, seq long, status string, retry_after double")
     log.orderBy("seq").coalesce(1).write.parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
-    got = {(r["run_id"], r["outcome"], r["seq"]) for r in streams.run_to_memory(streams.health(stream), "health").collect()}
+    got = {(r["run_id"], r["outcome"], r["seq"]) for r in streams.run_to_files(state.health(stream), str(tmp_path / "out")).collect()}
     want = {(r["run_id"], r["outcome"], r["at"]["seq"]) for r in health.first_abort(log).collect()}
     assert got == want and want
 
@@ -157,7 +157,7 @@ def test_stream_spacing_equals_batch(spark, tmp_path):
     rows = spark.createDataFrame([(f"h{i % 3}", i, (i * 37 % 11) + i * 0.2) for i in range(90)], "host string, seq long, arrival double")
     rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "rows"))
-    got = {(r["host"], r["seq"]): r["start"] for r in streams.run_to_memory(streams.spacing(stream, 0.5), "spacing").collect()}
+    got = {(r["host"], r["seq"]): r["start"] for r in streams.run_to_files(streams.spacing(stream, 0.5), str(tmp_path / "out")).collect()}
     want = {(r["host"], r["seq"]): r["start"] for r in health.request_starts(rows, 0.5, order=["seq"]).collect()}
     assert got == pytest.approx(want)
 
@@ -166,10 +166,10 @@ def test_stream_findings_and_dedup(spark, tmp_path):
     rows = [("email", f"{i % 4}@e.org", f"https://e.org/{i % 5}", AT, "text_heuristic", {}, i) for i in range(60)]
     accepted = aggregate.accepted(spark.createDataFrame(rows, schemas.CANDIDATE))
     stream = streamed(spark, tmp_path / "f", accepted)
-    got = {r["dedup_value"]: (r["occurrence_count"], r["first_seen_url"], r["page_support"]) for r in streams.run_to_memory(streams.live_findings(stream), "live", "complete").collect()}
+    got = {r["dedup_value"]: (r["occurrence_count"], r["first_seen_url"], r["page_support"]) for r in streams.run_to_files(state.live_findings(stream), str(tmp_path / "live"), "update", ["field", "dedup_value"]).collect()}
     want = {r["dedup_value"]: (r["occurrence_count"], r["first_seen_url"], r["page_support"]) for r in aggregate.findings(accepted).collect()}
     assert got == want
-    once = streams.run_to_memory(streams.once(streamed(spark, tmp_path / "d", accepted), ["source_url"]), "once")
+    once = streams.run_to_files(streams.once(streamed(spark, tmp_path / "d", accepted), ["source_url"]), str(tmp_path / "once"))
     assert once.count() == 5
 
 
@@ -211,3 +211,121 @@ def test_streams_to_files(spark, tmp_path):
     assert streams.run_to_files(streamed(spark, tmp_path / "a", rows), str(tmp_path / "out-a")).count() == 40
     counted = streams.run_to_files(streamed(spark, tmp_path / "b", rows).groupBy("k").count(), str(tmp_path / "out-b"), "complete")
     assert sorted(map(tuple, counted.collect())) == [(k, 10) for k in range(4)]
+
+
+# -- state of a stream's own --------------------------------------------------------------------------------------
+def feed(spark, folder, schema, *batches):
+    """A stream that takes each list of rows as a batch of its own."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / "in" / f"k={k}"))
+    import os
+    import time
+
+    for k in range(len(batches)):  # files are taken in the order of their times
+        for f in (folder / "in" / f"k={k}").iterdir():
+            os.utime(f, (time.time() - 1000 + 10 * k,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in" / "k=*"))
+
+
+ACCEPTED = "field string, dedup_value string, value string, source_url string, extraction_layer string"
+
+
+def test_live_findings_over_batches(spark, tmp_path):
+    """A page that comes again counts once for support; state has a row for each page and one for the counters."""
+    batches = [[("email", f"{i % 3}@e.org", f"{i % 3}@E.org" if (i + k) % 2 else f"{i % 3}@e.org", f"https://e.org/{(i * (k + 1)) % 7}", "semantic_html" if k == 1 else "text_heuristic") for i in range(40)] for k in range(3)]
+    stream = feed(spark, tmp_path, ACCEPTED, *batches)
+    got = streams.run_to_files(state.live_findings(stream), str(tmp_path / "out"), "update", ["field", "dedup_value"]).collect()
+    rows = [r for b in batches for r in b]
+    want = {}
+    for d in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == d]
+        rank = {x: i for i, x in enumerate(C.LAYERS)}
+        best = min((rank[r[4]], r[3], r[2]) for r in own)
+        want[d] = (best[2], max(C.LAYERS[r[4]] for r in own), len({r[3] for r in own}), len(own), min(r[3] for r in own))
+    assert {r["dedup_value"]: (r["value"], r["extraction_confidence"], r["page_support"], r["occurrence_count"], r["first_seen_url"]) for r in got} == want
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "out-progress")).option("stateVarName", "pages").load()
+    assert kept.count() == sum(w[2] for w in want.values())
+
+
+def test_stream_health_over_batches_equals_batch(spark, tmp_path):
+    import random
+
+    r = random.Random(3)
+    rows = [(f"r{k % 5}", k, r.choice(["ok", "http_error", "rate_limited", "skipped_robots", "transport_error"]), r.choice([None, None, 1.0, 700.0])) for k in range(200)]
+    schema = "run_id string, seq long, status string, retry_after double"
+    stream = feed(spark, tmp_path, schema, rows[:70], rows[70:71], rows[71:])
+    got = {tuple(x) for x in streams.run_to_files(state.health(stream), str(tmp_path / "out")).collect()}
+    want = {(x["run_id"], x["outcome"], x["at"]["seq"]) for x in health.first_abort(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want and want
+
+
+def test_an_idle_run_loses_its_state(spark, tmp_path):
+    import time
+
+    schema = "run_id string, seq long, status string, retry_after double"
+    bad = lambda a, b: [("r", k, "http_error", None) for k in range(a, b)]
+    for idle, pause, found in ((0.5, 2.0, 0), (600.0, 0.0, 1)):
+        folder = tmp_path / str(idle)
+        for rows in (bad(0, 6), bad(6, 12)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+            stream = state.health(spark.readStream.schema(schema).parquet(str(folder / "in")), idle)
+            # one batch: with timers of the clock a query that takes what is there has no end
+            query = stream.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "progress")).trigger(once=True).start()
+            try:
+                assert query.awaitTermination(120)
+            finally:
+                query.stop()
+            time.sleep(pause)
+        assert spark.read.schema(stream.schema).parquet(str(folder / "out")).count() == found, idle
+
+
+REQUEST = "url string, at timestamp, host_key string, status_code int, body binary, error string"
+
+
+def robots_rows(spark, tmp_path, *batches, **options):
+    """Requests (url, second) and answers (host, status, body, second) in batches; returns what the cache says, by second."""
+    at = lambda s: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(seconds=s)
+    rows = [[(x[0], at(x[1]), None, None, None, None) if len(x) == 2 else (None, at(x[3]), x[0], x[1], x[2], None) for x in b] for b in batches]
+    stream = feed(spark, tmp_path, REQUEST, *rows)
+    asked = stream.where("url IS NOT NULL").select("url", "at")
+    answers = stream.where("url IS NULL").select("host_key", "status_code", "body", "error", F.col("at").alias("fetched_at"))
+    made = streams.run_to_files(state.robots_cache(asked, answers, **options), str(tmp_path / "out"))
+    seconds = lambda r: round((r["at"].replace(tzinfo=datetime.UTC) - at(0)).total_seconds())
+    return sorted((seconds(r), r["kind"], r["url"], r["status_code"], r["error"]) for r in made.collect())
+
+
+A, B, C_ = "https://a.org", "https://b.org", "https://c.org"
+
+
+def test_robots_cache_waits_refreshes_and_refuses(spark, tmp_path):
+    got = robots_rows(
+        spark, tmp_path,
+        [(A, 200, b"", 0), (f"{A}/1", 5), (f"{B}/1", 6), (f"{B}/2", 7)],  # b.org must be asked for
+        [(B, 404, None, 8), (f"{C_}/1", 9)],  # and is; c.org never is
+        [(f"{A}/2", 3605), (f"{B}/3", 3606)],  # a.org's answer has lapsed, b.org's has not; c.org is refused
+        [(A, 403, None, 3610), (f"{A}/3", 3611)],
+        [(f"{B}/4", 9000)],
+        ttl_hours=1.0, wait=30.0,
+    )
+    assert got == sorted([
+        (5, "decide", f"{A}/1", 200, None), (6, "refresh", f"{B}/robots.txt", None, None), (8, "decide", f"{B}/1", 404, None), (8, "decide", f"{B}/2", 404, None),
+        (9, "refresh", f"{C_}/robots.txt", None, None), (39, "decide", f"{C_}/1", None, "transport"), (3605, "refresh", f"{A}/robots.txt", None, None), (3606, "decide", f"{B}/3", 404, None),
+        (3610, "decide", f"{A}/2", 403, None), (3611, "decide", f"{A}/3", 403, None), (9000, "refresh", f"{B}/robots.txt", None, None),
+    ])
+    left = spark.read.format("statestore").option("path", str(tmp_path / "out-progress")).option("stateVarName", "answer").load()
+    assert left.count() == 0, "answers are dropped when they lapse"
+
+
+def test_robots_stream_decides_as_the_batch_does(spark, tmp_path):
+    from sitelens.operators import robots
+
+    body = b"User-agent: *\nDisallow: /private\n"
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(None, at, f"https://h{k}.org", s, b, e) for k, (s, b, e) in enumerate([(200, body, None), (404, None, None), (503, None, None), (200, b"\xff", None), (None, None, "transport")])]
+    rows += [(f"https://h{k}.org/{p}", at + datetime.timedelta(seconds=1 + k), None, None, None, None) for k in range(5) for p in ("private/x", "open")]
+    stream = feed(spark, tmp_path, REQUEST, rows)
+    answers = lambda df: df.where("url IS NULL").select("host_key", "status_code", "body", "error", F.col("at").alias("fetched_at"))
+    made = streams.run_to_files(state.robots_decisions(stream.where("url IS NOT NULL").select("url", "at"), answers(stream)), str(tmp_path / "out"))
+    frame = spark.createDataFrame(rows, REQUEST)
+    want = robots.decide(frame.where("url IS NOT NULL").select("url"), answers(frame))
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr) and made.count() == 10
