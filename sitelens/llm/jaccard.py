@@ -49,7 +49,7 @@ LEAST_BUCKETS = 64
 HOT_SHARE = 1000
 #: Fewer sets than this never make a token hot.
 HOT_LEAST = 1000
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Meetings of two sets of different components at a token, for each set, that are listed at once; more are listed in slices.
 PAIRS = 50
 LEAST_PAIRS = 100_000
@@ -327,10 +327,10 @@ def links(sets: DataFrame, pairs_a_set: float = PAIRS, rounds: int = ROUNDS) ->
         return fresh, fresh.count()
 
     def merged(rows: DataFrame, fresh: DataFrame) -> DataFrame:
-        """The rows with labels joined as far as two steps along the fresh links go."""
+        """The rows with each label replaced by the least one within two links of it: a pivot and all that it links get one."""
         both = fresh.select(F.col("ca").alias("u"), F.col("cb").alias("v")).union(fresh.select(F.col("cb").alias("u"), F.col("ca").alias("v")))
-        up = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("v"))
-        up = up.join(up.select(F.col("u").alias("w"), F.col("v").alias("x")), F.col("v") == F.col("w")).select(F.col("u").alias("old"), F.least("v", "x").alias("new"))
+        least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
+        up = both.join(least.select(F.col("u").alias("v"), "m"), "v").groupBy(F.col("u").alias("old")).agg(F.min("m").alias("new"))
         return rows.join(up, F.col("c") == F.col("old"), "left").select("token", "h", "n", F.coalesce("new", "c").alias("c"))
 
     own, left = still_open(heads)
