@@ -8,6 +8,7 @@ link table in batches of the next URLs in the queue.
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -19,10 +20,10 @@ from pyspark.sql.types import StringType
 
 from sitelens import constants as C
 from sitelens.functions import urls as U
-from sitelens.functions.html import parsed as parse_udf
+from sitelens.functions.html import links_of
 from sitelens.operators.health import Tally
 from sitelens.operators.settings import Settings, Target
-from sitelens.storage import stored
+from sitelens.storage import shared_dir, stored
 
 #: URLs whose links exact() asks for at once.
 BATCH = 200
@@ -116,7 +117,7 @@ def resolve_redirects(requests: DataFrame, routes: DataFrame, target: Target, ho
 
 def link_table(pages: DataFrame, markup: str = "html", url: str = "url") -> DataFrame:
     """(src, at, raw, dst, reason, detail): every link of every page, resolved against its page's canonical URL."""
-    own = pages.select(U.canonicalize(F.col(url), F.lit(None).cast("string")).alias("_own"), parse_udf(F.col(markup))["links"].alias("_links"))
+    own = pages.select(U.canonicalize(F.col(url), F.lit(None).cast("string")).alias("_own"), links_of(F.col(markup)).alias("_links"))
     rows = own.where("_own.reason IS NULL").select(F.col("_own.url").alias("src"), F.posexplode("_links").alias("at", "raw"))
     return rows.select("src", "at", "raw", U.canonicalize(F.col("raw"), F.col("src")).alias("_to")).select("src", "at", "raw", F.col("_to.url").alias("dst"), F.col("_to.reason").alias("reason"), F.col("_to.detail").alias("detail"))
 
@@ -133,20 +134,44 @@ def gate(dst: Column, reason: Column, depth: Column, target: Target, settings: S
     )
 
 
+def by_source(links: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The links as a table in buckets of `src`, sorted there: joins with a frontier move the frontier alone, level after level.
+
+    The table is one of the session's catalog with its files in the shared folder.
+    """
+    spark = links.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"sitelens_links_{uuid.uuid4().hex}"
+    writer = links.repartition(n, "src").write.format("parquet").bucketBy(n, "src").sortBy("src").option("path", f"{shared_dir(spark)}-links")
+    writer.saveAsTable(name)
+    return spark.table(name)
+
+
+def _out(links: DataFrame, frontier: DataFrame) -> DataFrame:
+    """The links that leave a frontier (url)."""
+    return links.join(frontier.select(F.col("url").alias("src")), "src")
+
+
+def _rank() -> Column:
+    """Of several statuses of a URL the least rank counts: a link that is followed beats all that are not, whatever their names."""
+    return F.when(F.col("status") == "fetch", 0).otherwise(1).alias("rank")
+
+
 def waves(links: DataFrame, target: Target, settings: Settings, budget: int | None = None) -> DataFrame:
     """(url, depth, status): 'fetch' for every URL that the crawl reaches, and the log rows of those it does not.
 
     Within a level, URLs with high-value paths come first, then by URL; what a budget leaves is skipped_budget. A URL's
-    row is that of its least depth; being followed beats being skipped.
+    row is that of its least depth; being followed beats being skipped, within a level and between levels. links: best from by_source().
     """
     spark = links.sparkSession
     frontier = stored(spark.createDataFrame([(target.url, 0, "fetch")], "url string, depth int, status string"), "wave")
     reached, skipped = frontier, None
     left = None if budget is None else budget - 1
     for depth in range(1, settings.max_depth + 2):
-        out = links.join(frontier.where("status = 'fetch'").select(F.col("url").alias("src")), "src")
+        out = _out(links, frontier)
         rows = out.select(F.col("dst").alias("url"), F.lit(depth).alias("depth"), gate(F.col("dst"), F.col("reason"), F.lit(depth), target, settings).alias("status"))
-        rows = rows.where("status IS NULL OR status <> 'drop'").groupBy("url").agg(F.min("depth").alias("depth"), F.min(F.coalesce("status", F.lit("fetch"))).alias("status"))
+        rows = rows.where("status IS NULL OR status <> 'drop'").withColumn("status", F.coalesce("status", F.lit("fetch")))
+        rows = rows.groupBy("url").agg(F.min("depth").alias("depth"), F.min(F.struct(_rank(), "status"))["status"].alias("status"))
         wave = stored(rows.join(reached.select("url"), "url", "left_anti"), "wave")
         follow = wave.where("status = 'fetch'")
         if left is not None:
@@ -165,16 +190,16 @@ def waves(links: DataFrame, target: Target, settings: Settings, budget: int | No
         if not n:
             break
     log = reached if skipped is None else reached.unionByName(skipped)
-    order = Window.partitionBy("url").orderBy(F.when(F.col("status") == "fetch", 0).otherwise(1), "depth", "status")
-    return log.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
+    order = F.struct(_rank(), "depth", "status")
+    return log.groupBy("url").agg(F.min(order).alias("_row")).select("url", "_row.depth", "_row.status")
 
 
 def reachable(links: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """(url, depth): every URL within max_depth links of a seed, at its least depth; no scope, no budget."""
+    """(url, depth): every URL within max_depth links of a seed, at its least depth; no scope, no budget. links: best from by_source()."""
     reached = stored(seeds.select("url").distinct().withColumn("depth", F.lit(0)), "reached")
     frontier = reached
     for depth in range(1, max_depth + 1):
-        step = links.where("reason IS NULL").join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
+        step = _out(links.where("reason IS NULL"), frontier).select(F.col("dst").alias("url")).distinct()
         frontier = stored(step.join(reached.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)), "reached")
         if not frontier.limit(1).count():
             break

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from sitelens import constants as C
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
-from sitelens.functions.html import parsed
+from sitelens.functions.html import links_of, parsed
 from sitelens.operators import crawl
 from sitelens.operators.settings import Settings, Target
 from sitelens.plans.registry import query
-from sitelens.storage import stored, table
+from sitelens.storage import table
 
 DROPPED = ", ".join(f"'{p}'" for p in C.DROPPED_PARAMETERS)
 EXTENSIONS = ", ".join(f"'{e}'" for e in C.SKIPPED_EXTENSIONS)
@@ -135,7 +135,7 @@ def url_high_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT page_id, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", parsed(F.col("html"))["links"].alias("links"))
+    rows = table(spark, sf_dir, "pages").select("page_id", links_of(F.col("html")).alias("links"))
     return rows.select("page_id", F.posexplode("links").alias("pos", "href"))
 
 
@@ -146,7 +146,7 @@ def page_link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS links, len(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS distinct_links FROM pages")
 def page_outdegree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", parsed(F.col("html"))["links"].alias("links"))
+    rows = table(spark, sf_dir, "pages").select("page_id", links_of(F.col("html")).alias("links"))
     return rows.select("page_id", F.size("links").cast("long").alias("links"), F.size(F.array_distinct("links")).cast("long").alias("distinct_links"))
 
 
@@ -164,7 +164,7 @@ SELECT url, min(depth) AS depth FROM (
 ) GROUP BY url""")
 def crawl_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least depth of everything within two links of a page that has links."""
-    links = stored(crawl.link_table(table(spark, sf_dir, "pages")), "links")
+    links = crawl.by_source(crawl.link_table(table(spark, sf_dir, "pages")))
     return crawl.reachable(links, links.select(F.col("src").alias("url")), 2)
 
 
@@ -194,9 +194,29 @@ def _budget_order():
     return Window.orderBy(F.desc(U.path(F.col("url")).rlike(C.HIGH_VALUE_PATH)), "url")
 
 
-@query()
+def _level(d: int, budget: int) -> str:
+    """CTEs of a level of the crawl: its URLs (w), which of them are claimed (f), all claimed so far (r), and the log rows of the others (s)."""
+    left = f"{budget} - (SELECT count(*) FROM r{d - 1})"
+    return f"""g{d} AS (SELECT DISTINCT dst AS url, CASE WHEN list_contains([{EXTENSIONS}], regexp_extract(lower(dst), '(\\.[^./]*)$', 1)) THEN 'skipped_extension' WHEN {d} > {SETTINGS.max_depth} THEN 'skipped_depth' ELSE 'fetch' END AS status
+  FROM edges JOIN f{d - 1} ON src = url),
+w{d} AS MATERIALIZED (SELECT * FROM g{d} WHERE url NOT IN (SELECT url FROM r{d - 1})),
+k{d} AS MATERIALIZED (SELECT url, row_number() OVER (ORDER BY regexp_matches(regexp_extract(url, '^[a-z]+://[^/]*(.*)$', 1), '{C.HIGH_VALUE_PATH}') DESC, url) AS k FROM w{d} WHERE status = 'fetch'),
+f{d} AS MATERIALIZED (SELECT url FROM k{d} WHERE k <= {left}),
+r{d} AS MATERIALIZED (SELECT * FROM r{d - 1} UNION ALL SELECT url, {d} FROM f{d}),
+s{d} AS (SELECT url, {d} AS depth, status FROM w{d} WHERE status <> 'fetch' UNION ALL SELECT url, {d}, 'skipped_budget' FROM k{d} WHERE k > {left})"""
+
+
+_LEVELS = range(1, SETTINGS.max_depth + 2)
+_BUDGET = 200
+
+
+@query(f"""{LINKS}, edges AS MATERIALIZED (SELECT DISTINCT src, dst FROM links), f0 AS MATERIALIZED (SELECT min(src) AS url FROM edges WHERE src LIKE 'http%://%.example.com/%'),
+r0 AS MATERIALIZED (SELECT url, 0 AS depth FROM f0), {", ".join(_level(d, _BUDGET) for d in _LEVELS)},
+skipped AS ({" UNION ALL ".join(f"SELECT * FROM s{d}" for d in _LEVELS)})
+SELECT url, depth::INT AS depth, 'fetch' AS status FROM r{_LEVELS[-1]}
+UNION ALL SELECT url, arg_min(depth, (depth, status))::INT, arg_min(status, (depth, status)) FROM skipped WHERE url NOT IN (SELECT url FROM r{_LEVELS[-1]}) GROUP BY url""")
 def crawl_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A level-by-level crawl from one page under a budget of 200 pages; iterative, so it has no plain SQL."""
-    links = stored(crawl.link_table(table(spark, sf_dir, "pages")), "links")
+    """A level-by-level crawl from one page under a budget of 200 pages."""
+    links = crawl.by_source(crawl.link_table(table(spark, sf_dir, "pages")))
     seed = links.agg(F.min(F.when(U.in_scope(F.col("src"), SCOPE, True), F.col("src")))).first()[0]
-    return crawl.waves(links, Target(seed), SETTINGS, 200)
+    return crawl.waves(links, Target(seed), SETTINGS, _BUDGET)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens import sql
 from sitelens.operators import aggregate, extract, inline
+from sitelens.plans import runs
 from sitelens.plans.registry import ORACLE_SQL, query
 from sitelens.plans.rendered import ALL_FIELDS, SUPPLIERS, supplier_pages, suppliers
 from sitelens.sinks import corpus
@@ -100,7 +101,7 @@ def sql_validators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT s_suppkey, siren, valid_company_identifier(siren, map()) IS NOT NULL AS french, valid_company_identifier(tried, map()) IS NOT NULL AS other FROM {rows}", rows=rows)
 
 
-@query(ORACLE_SQL["abort_first"])
+@query(ORACLE_SQL[runs.abort_first.__name__])
 def sql_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first abort of each run by a table function over the run's rows in order."""
     sql.register(spark)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -231,3 +232,39 @@ def test_sitemap_limit_holds_for_each_site(spark):
     declared = spark.createDataFrame([(f"https://s{s}.example/{k}.xml", k, f"s{s}") for s in (1, 2) for k in range(7)], "url string, at int, site string")
     got = discovery.sitemap_urls(declared, documents).groupBy("site").count().collect()
     assert sorted(map(tuple, got)) == [("s1", 5), ("s2", 5)]
+
+
+LINK = "src string, at int, raw string, dst string, reason string, detail string"
+
+
+def test_a_link_that_is_followed_beats_one_with_credentials(spark):
+    """A page links one URL with and without credentials: it is fetched, whatever order the names of statuses have."""
+    home, page = "https://a.example.org/", "https://a.example.org/p"
+    rows = [(home, 0, "https://u:p@a.example.org/p", page, "credentials_in_url", None), (home, 1, "/p", page, None, None), (page, 0, "/q", "https://a.example.org/q", "credentials_in_url", None), (home, 2, "/z.zip", "https://a.example.org/z.zip", None, None)]
+    rows += [("https://a.example.org/r", 0, "/q", "https://a.example.org/q", None, None), (page, 1, "/r", "https://a.example.org/r", None, None), (home, 3, "https://b.example.net/", "https://b.example.net/", None, None)]
+    links = spark.createDataFrame(rows, LINK)
+    for table in (links, crawl.by_source(links, 3)):
+        got = {(r["url"].removeprefix("https://"), r["depth"], r["status"]) for r in crawl.waves(table, Target(home), Settings(max_depth=3)).collect()}
+        assert got == {("a.example.org/", 0, "fetch"), ("a.example.org/p", 1, "fetch"), ("a.example.org/z.zip", 1, "skipped_extension"), ("b.example.net/", 1, "skipped_off_scope"), ("a.example.org/r", 2, "fetch"), ("a.example.org/q", 3, "fetch")}
+
+
+def test_levels_move_the_frontier_and_not_the_links(spark):
+    links = crawl.by_source(spark.range(1000).selectExpr("concat('https://a.org/', id) AS src", "0 AS at", "'' AS raw", "concat('https://a.org/', id * 7 % 1000) AS dst", "CAST(NULL AS string) AS reason", "CAST(NULL AS string) AS detail"), 4)
+    frontier = spark.range(50).selectExpr("concat('https://a.org/', id) AS url")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = crawl._out(links, frontier)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    below = plan[plan.index("SortMergeJoin") :]
+    assert below.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    side = [part for part in re.split(r"\n(?=\s*:?[-+ ]*Sort )", below) if "Bucketed: true" in part]
+    assert len(side) == 1 and "Exchange" not in side[0]
+
+
+def test_links_without_a_tree_are_those_of_the_parse():
+    from sitelens.functions import html
+
+    for markup in (None, "", "<a href=' /x '>a<a HREF=\"/y&amp;z\">b</a><A href>c</a><script><a href='/no'></script><a href=/q/><p><a href='/b' href='/c'><!-- <a href='/d'> --><area href='/e'>"):
+        assert html.page_links(markup) == html.read_page(markup)[2]
