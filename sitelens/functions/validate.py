@@ -5,12 +5,16 @@ subset of what specialised libraries do:
 
 - email: ASCII, local part of 1 to 64 characters without dots at its ends or doubled, labels of 1 to 63 characters,
   at least two labels, the last not all digits, 254 characters in all;
-- phone: the regions of constants.PHONE_REGIONS, in international form (+ or 00) or in the national form of the
-  crawl's region.
+- phone: all calling codes in international form (+ or 00), and the national form of the crawl's region. Numbers of the regions in
+  constants.PHONE_REGIONS are held against the form of their plan, others against the lengths of theirs.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,28 +47,68 @@ def email(raw: Column) -> Column:
     return F.when(ok, _accepted(value, value, email_kind=email_kind(local)))
 
 
-def _by_code(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+def numbering_plan() -> dict[str, tuple[int, int]]:
+    """Calling codes with the least and most digits of their national numbers."""
+    plan = {}
+    for lengths, codes in C.CALLING_CODES.items():
+        least, most = map(int, lengths.split("-"))
+        for part in codes.split():
+            first, _, last = part.partition("-")
+            plan |= {str(code): (least, most) for code in range(int(first), int(last or first) + 1)}
+    return plan
+
+
+def prefix_pattern(words: Iterable[str]) -> str:
+    """A pattern of exactly these words as the trie of their characters: each position is decided by one character."""
+    trie: dict = {}
+    for word in words:
+        node = trie
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def of(node: dict) -> str:
+        arms = [re.escape(c) + of(below) for c, below in sorted(node.items()) if c]
+        if not arms:
+            return ""
+        return f"(?:{'|'.join(arms)}){'?' if '' in node else ''}"
+
+    return of(trie)
+
+
+def _constant(values: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
 
 
 def phone(raw: Column, region: str) -> Column:
-    """One look-up by calling code instead of an arm for each region keeps the plan small."""
+    """Look-ups by calling code instead of an arm for each keep the plan small. region: one of constants.PHONE_REGIONS, or a calling code."""
     shown = F.trim(raw)
     digits = F.regexp_replace(F.regexp_replace(shown, "[^0-9+]", ""), "^00", "+")
-    forms = {code: f"^(?:{trunk})?({form})$" if trunk else f"^({form})$" for code, trunk, form in C.PHONE_REGIONS.values()}
+    plan = numbering_plan()
+    known = {code: f"^(?:{trunk})?({form})$" if trunk else f"^({form})$" for code, trunk, form in C.PHONE_REGIONS.values()}
+    by_length = {code: rf"^({'' if code in C.LEADING_ZERO else '(?!0)'}\d{{{least},{most}}})$" for code, (least, most) in plan.items()}
     mobile = {C.PHONE_REGIONS[r][0]: f"^{start}" for r, start in C.MOBILE.items()}
-    code, trunk, form = C.PHONE_REGIONS.get(region, ("", "", "$^"))
-    abroad = F.regexp_extract(digits, rf"^\+({'|'.join(sorted(forms, key=len, reverse=True))})", 1)
+    forms = by_length | known
+    if region in C.PHONE_REGIONS:
+        code, trunk, form = C.PHONE_REGIONS[region]
+    else:
+        code, trunk = (region, "0") if region in plan else ("", "")
+        form = rf"(?!0)\d{{{plan[region][0]},{plan[region][1]}}}" if region in plan else "$^"
+    abroad = F.regexp_extract(digits, rf"^\+({prefix_pattern(plan)})", 1)
     at_home = ~digits.startswith("+")
     of = F.when(at_home, F.lit(code)).otherwise(abroad)
-    home = rf"^{trunk}({form})$" if trunk == "0" else rf"^(?:{trunk})?({form})$"
+    home = rf"^{trunk}({form})$" if trunk == "0" and region in C.PHONE_REGIONS else rf"^(?:{trunk})?({form})$"
     national = F.when(at_home, F.regexp_extract(digits, home, 1)).otherwise(
-        F.call_function("regexp_extract", F.substring(digits, F.length(abroad) + 2, F.lit(20)), F.coalesce(F.try_element_at(_by_code(forms), abroad), F.lit("($^)")), F.lit(1))
+        F.call_function("regexp_extract", F.substring(digits, F.length(abroad) + 2, F.lit(20)), F.coalesce(F.try_element_at(_constant(forms), abroad), F.lit("($^)")), F.lit(1))
     )
-    is_mobile = F.coalesce(F.regexp(national, F.try_element_at(_by_code(mobile), of)), F.lit(False))
-    kind = F.when(of == "1", "FIXED_LINE_OR_MOBILE").when(is_mobile, "MOBILE").otherwise("FIXED_LINE")
+    is_mobile = F.coalesce(F.regexp(national, F.try_element_at(_constant(mobile), of)), F.lit(False))
+    kind = F.when(of == "1", "FIXED_LINE_OR_MOBILE").when(is_mobile, "MOBILE").when(of.isin(*known), "FIXED_LINE").otherwise("UNKNOWN")
     value = F.concat(F.lit("+"), of, national)
-    return F.when(shown.rlike(r"^\(?[+0-9][0-9 \u00a0.()/\-]*$") & (national != ""), _accepted(value, value, number_type=kind))
+    return F.when(shown.rlike(r"^\(?[+0-9][0-9 \u00a0.()/\-]*$") & (national != "") & ~shown.rlike(_DATE), _accepted(value, value, number_type=kind))
+
+
+#: What is written like a number but is a date, or a date with an hour.
+_DATE = r"^(?:(?:0?[1-9]|[12]\d|3[01])([/.-])(?:0?[1-9]|1[0-2])\1(?:19|20)\d{2}|(?:19|20)\d{2}([/.-])(?:0?[1-9]|1[0-2])\2(?:0?[1-9]|[12]\d|3[01]))(?: \d{2})?$"
 
 
 def postal_address(raw: Column) -> Column:

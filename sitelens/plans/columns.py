@@ -9,6 +9,7 @@ from sitelens import constants as C
 from sitelens import views
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
+from sitelens.functions import validate
 from sitelens.functions.html import parsed
 from sitelens.operators import aggregate, crawl, extract, health, robots
 from sitelens.operators.settings import Target
@@ -279,6 +280,25 @@ def phones_in_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(as_pages(suppliers(spark, sf_dir), body), "phone")
 
 
+#: Calling codes that go by lengths, as texts, which SQL and Spark both take.
+_CODES = [[code, str(least), str(most)] for code, (least, most) in sorted(validate.numbering_plan().items()) if code not in {c for c, _, _ in C.PHONE_REGIONS.values()}]
+
+
+@query(f"""WITH {SUPPLIERS}, picked AS (SELECT s_suppkey, ({_CODES})[1 + ((s_suppkey * 20 + i) % {len(_CODES)})::INT] AS c FROM suppliers, (SELECT unnest(range(20)) AS i)),
+n AS (SELECT c[1] AS code, c[2]::INT AS least, c[3]::INT AS most, '2' || repeat((s_suppkey % 10)::VARCHAR, 14) AS digits FROM picked)
+SELECT value, 'UNKNOWN' AS number_type, count(*)::INT AS occurrence_count FROM (
+  SELECT '+' || code || substr(digits, 1, least) AS value FROM n UNION ALL SELECT '+' || code || substr(digits, 1, most) FROM n WHERE least < most) GROUP BY value""")
+def phones_of_all_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of every calling code with the fewest and the most digits, and with one more, which are none."""
+    codes = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(int(a)).alias("least"), F.lit(int(b)).alias("most")) for c, a, b in _CODES])
+    rows = suppliers(spark, sf_dir).select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("i"))
+    rows = rows.select(F.element_at(codes, ((F.col("s_suppkey") * 20 + F.col("i")) % len(_CODES) + 1).cast("int")).alias("c"), F.concat(F.lit("2"), F.repeat((F.col("s_suppkey") % 10).cast("string"), F.lit(14))).alias("digits"))
+    rows = rows.select("c.code", F.explode(F.array_distinct(F.array("c.least", "c.most", F.col("c.most") + 1))).alias("k"), "digits")
+    raw = F.concat(F.lit("+"), "code", F.lit(" "), F.substring("digits", F.lit(1), F.col("k")))
+    found = rows.select(validate.phone(raw, "FR").alias("v")).where("v IS NOT NULL").select("v.value", T.metadata_get(F.col("v.metadata"), "number_type").alias("number_type"))
+    return found.groupBy("value", "number_type").agg(F.count("*").cast("int").alias("occurrence_count"))
+
+
 @query(f"WITH {SUPPLIERS} SELECT s_suppkey, s_name || ' of ' || n_name || ' a & b' AS visible, 9::INT AS elements FROM suppliers")
 def visible_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reader sees: no scripts, styles or templates, references decoded, white space collapsed."""

@@ -101,7 +101,8 @@ def doc_company_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("value", T.metadata_get(F.col("metadata"), "scheme").alias("scheme"), "page_support", "occurrence_count", "first_seen_url")
 
 
-@query()
+@query("""SELECT value, 'FIXED_LINE_OR_MOBILE' AS number_type, count(DISTINCT doc_id)::INT AS page_support, count(*)::INT AS occurrence_count FROM (
+  SELECT doc_id, '+1' || regexp_replace(unnest(regexp_extract_all(text, '\\+1 (\\([2-9]\\d{2}\\) [2-9]\\d{2}-\\d{4})(?:[^\\p{Latin}\\p{Sc}%\\w]|$)', 1)), '[^0-9]', '', 'g') AS value FROM documents) GROUP BY value""")
 def doc_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phone numbers in prose that a region accepts in international form."""
     rows = extract.text_heuristics(prose(spark, sf_dir)).where("field = 'phone'")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +178,28 @@ def test_company_identifiers(spark):
     assert value_of(spark, ["732 829 320"], hinted) == [("732829320", "rcs:732829320", {"scheme": "rcs"})]
     assert value_of(spark, ["https://github.com/A/", "https://example.org/a"], V.social_profile) == [("https://github.com/A", "https://github.com/a", {"platform": "github"}), None]
     assert value_of(spark, ["https://www.E.org/K.asc", "k.asc"], V.pgp_key_url) == [("https://www.e.org/K.asc", "e.org/k.asc", {}), None]
+
+
+def test_phones_of_all_calling_codes(spark):
+    plan = V.numbering_plan()
+    assert len(plan) > 195 and all(len(c) + least >= 6 and len(c) + most <= 15 for c, (least, most) in plan.items())
+    assert not [(a, b) for a in plan for b in plan if a != b and b.startswith(a)], "no code begins another"
+    pattern = re.compile(V.prefix_pattern(plan))
+    assert all(pattern.fullmatch(c) for c in plan) and not any(pattern.fullmatch(str(c)) for c in range(1000) if str(c) not in plan)
+    raw = {
+        "+420 601 123 456": "+420601123456", "00420601123456": "+420601123456", "+7 (912) 345-67-89": "+79123456789", "+39 06 1234 5678": "+390612345678", "+225 07 12 34 56 78": "+2250712345678",
+        "+420 060 112 345": None, "+420 601 123": None, "+999 123456789": None, "+290 1234": "+2901234", "+290 12345": None, "+86 138 0013 8000": "+8613800138000", "01.02.2024": None, "2024-01-02": None, "2024/11/12 10": None,
+    }
+    got = each(spark, list(raw), lambda c: V.phone(c, "FR")["value"])
+    assert dict(zip(raw, got, strict=True)) == raw
+    assert each(spark, ["0601 123 456", "601123456", "+33612345678"], lambda c: V.phone(c, "420")["value"]) == ["+420601123456", "+420601123456", "+33612345678"]
+    assert each(spark, ["+420601123456", "+33612345678"], lambda c: V.phone(c, "FR")["metadata"]["number_type"]) == ["UNKNOWN", "MOBILE"]
+
+
+def test_numbers_in_prose(spark):
+    from sitelens.operators import extract
+
+    rows = spark.createDataFrame([(1, "Call +420 601 123 456, or 0041 44 668 18 00. Pay +33140000000\u20ac, $0033140000000, +81 3-1234-5678% or +33140000000x")], "i int, visible_text string")
+    rows = rows.selectExpr("'u' AS url", "CAST(NULL AS timestamp) AS fetched_at", "visible_text")
+    found = [r["raw_value"] for r in extract.text_heuristics(rows).where("field = 'phone'").orderBy("seq").collect()]
+    assert found == ["+420 601 123 456", "0041 44 668 18 00"]
