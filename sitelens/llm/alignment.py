@@ -5,11 +5,14 @@ the bytes of that side's last token that the other has not matched yet (the dang
 overlaps the leader's, which is a link, and either shortens the suffix, ends it, or leads from there with what it has beyond it. An empty suffix closes a group, at a byte
 offset where tokens of both sides end. Transitions are computed once for each (state, token) and kept; a table of over `KEPT` transitions starts anew.
 
-First pass: texts are encoded and aligned where they are read; a row for each document holds both id sequences and two bits a step, which
-give the links again without encoding. Each task sums its links by pair of ids and sends them packed by bucket. Buckets (by the
+Of neither tokenizer does a token hold a space or line feed after another character, so both end a token before each run of these: the stretch from one run to the next is
+encoded and aligned by itself, once for each worker that meets it, and a text is the sum of its stretches. Texts with other white space are encoded whole, and so are all texts if a vocabulary is
+not of that kind (`Pair.parts`).
+
+First pass: each task sums its links by pair of ids and sends them packed by bucket. Buckets (by the
 second tokenizer's id) are summed in lanes of `LANES` tasks, lanes again, until one is left, so no task receives more than
 `LANES` packed parts of one bucket; a part is bounded by the vocabularies, whatever the corpus. A bucket's task writes its pairs, counts and the highest count
-of each of its ids as sorted arrays to the shared folder. Second pass: workers map these and look each document's links up.
+of each of its ids as sorted arrays to the shared folder. Second pass: workers map these, and read the texts again: that costs less than to keep all ids.
 
 Vocabulary files are read on the driver and broadcast (a few MB); their folder is a parameter. The folder of the arrays must be mounted (`file:`).
 
@@ -21,8 +24,12 @@ other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
-from collections.abc import Iterator
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import as_bytes, chunks, mounted, save, shared_dir, ship, table
+from .shared import chunks, mounted, save, shared_dir, ship, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
 FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
 #: Transitions that a worker keeps.
 KEPT = 1_000_000
+#: Stretches that a worker keeps, twice: the last ones and those before.
+STRETCHES = 150_000
 BUCKETS = 64
 #: Packed parts of a bucket that are summed at once.
 LANES = 256
@@ -66,6 +75,11 @@ class Pair:
         n = self.first.get_vocab_size()
         self.first_bytes = [self._byte_level(self.first.id_to_token(i), table) for i in range(n)]
         self.second_bytes = [self._piece(i) for i in range(self.second.get_piece_size())]
+        # a stretch is encoded behind a letter, which takes the space that the second tokenizer puts first
+        self.lead = self.second.piece_to_id("▁x")
+        kind = json.loads(first)
+        splits = kind["normalizer"] is None and kind["pre_tokenizer"] == kind["pre_tokenizer"] | {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.parts = splits and self.second.encode("x") == [self.lead] and not any(re.search("[^▁]▁|[ \n]", self.second.id_to_piece(i)) for i in range(self.second.get_piece_size()))
 
     @staticmethod
     def _byte_level(token: str | None, table: dict[str, int]) -> bytes:
@@ -76,14 +90,29 @@ class Pair:
         piece = self.second.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both sides for each text; none where their bytes are not those of space + text."""
-        spaced = [" " + t for t in texts]
-        ours, theirs = self.first.encode_batch_fast(spaced, add_special_tokens=False), self.second.encode(texts, num_threads=1)
-        for text, a, b in zip(spaced, ours, theirs, strict=True):
-            ids, want = a.ids, text.encode()
-            same = len(want) > 1 and b"".join(map(self.first_bytes.__getitem__, ids)) == want and b"".join(map(self.second_bytes.__getitem__, b)) == want
-            yield (ids, b) if same else ([], [])
+    def stretches(self, text: str) -> list[str] | None:
+        """Of space + text, each run of spaces and line feeds with what follows it; none if it must be encoded whole."""
+        return _STRETCH.findall(f" {text}") if self.parts and not _OTHER_SPACE.search(text) else None
+
+    def encode(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """Ids of both sides for stretches; none where their bytes are not those of the stretch."""
+        ours, theirs = self.first.encode_batch_fast(stretches, add_special_tokens=False), self.second.encode([f"x{t}" for t in stretches], num_threads=1)
+        for text, a, b in zip(stretches, ours, theirs, strict=True):
+            yield (a.ids, b[1:]) if b[0] == self.lead and self._same(text.encode(), a.ids, b[1:]) else None
+
+    def encode_whole(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both sides for space + text; none where their bytes are not those, or the text is empty."""
+        a, b = self.first.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.second.encode(text)
+        return (a, b) if text and self._same(f" {text}".encode(), a, b) else None
+
+    def _same(self, want: bytes, a: list[int], b: list[int]) -> bool:
+        return b"".join(map(self.first_bytes.__getitem__, a)) == want and b"".join(map(self.second_bytes.__getitem__, b)) == want
+
+
+#: A run of spaces and line feeds and all up to the next one.
+_STRETCH = re.compile(r"[ \n]+[^ \n]*")
+#: White space that may make one token with what stands beside it.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class State(dict):
@@ -184,10 +213,10 @@ class Tally:
     def __init__(self) -> None:
         self.keys, self.counts, self.held = [], [], 0
 
-    def add(self, keys: np.ndarray) -> None:
-        k, c = np.unique(keys, return_counts=True)
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        k, c = _summed([keys], [counts])
         self.keys.append(k)
-        self.counts.append(c.astype(np.int64))
+        self.counts.append(c)
         self.held += len(k)
         if self.held > PAIRS:
             k, c = _summed(self.keys, self.counts)
@@ -206,71 +235,76 @@ class Tally:
         self.__init__()
 
 
-_DOCS = "doc_id long, a binary, b binary, steps binary, opens binary, n_groups long, groups_sha256 string"
+class Aligned:
+    """What becomes of stretches, kept as long as they are met: `of` gives a value for each pair of id sequences."""
+
+    def __init__(self, pair: Pair, of: Callable[[list[tuple[list[int], list[int]]]], list]) -> None:
+        self.pair, self.of = pair, of
+        self.now: dict[str, object] = {}
+        self.before: dict[str, object] = {}
+
+    def texts(self, texts: list[str]) -> Iterator[list]:
+        """For each text the values of its stretches, of the whole text where it must be, or nothing where it has no tokens."""
+        cut = [self.pair.stretches(t) if t else [] for t in texts]
+        wanted = set(chain.from_iterable(x for x in cut if x))
+        if len(self.now) > STRETCHES:
+            self.now, self.before = {}, self.now
+        known = {s: self.before[s] for s in wanted - self.now.keys() if s in self.before}
+        self.now |= known
+        new = [s for s in wanted if s not in self.now]
+        encoded = list(self.pair.encode(new)) if new else []
+        made = iter(self.of([x for x in encoded if x is not None]))
+        self.now |= {s: None if x is None else next(made) for s, x in zip(new, encoded, strict=True)}
+        for text, own in zip(texts, cut, strict=True):
+            values = None if own is None else list(map(self.now.__getitem__, own))
+            if values is None or None in values:
+                whole = self.pair.encode_whole(text)
+                values = [] if whole is None else self.of([whole])
+            yield values
+
+
 _PARTS = "bucket int, lane long, keys binary, counts binary"
 
 
-def encoded(docs: DataFrame, files: tuple[str, bytes], text: str = "text") -> DataFrame:
-    """A row for each document with its ids and steps, and rows of packed pair counts (bucket not null); stored."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(files)
+def _links(pair: Pair, machine: Transducer, ids: list[int], others: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of both sides, which side each step read, whether it closed a group, and the keys of all links."""
+    a, b = np.array(ids, np.int64), np.array(others, np.int64)
+    after = machine.steps(ids, others)
+    second, opens = read_before(after)
+    la, lb = linked(a, b, second, opens)
+    return a, b, second, (after >> 1).astype(bool), (lb * len(pair.first_bytes) + la).astype(np.uint64)
+
+
+def counted(docs: DataFrame, files: tuple[str, bytes], text: str = "text") -> DataFrame:
+    """Packed pair counts of each task by bucket; stored."""
+    known = docs.sparkSession.sparkContext.broadcast(files)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(*known.value)
-        machine, spelling, tally = Transducer(pair.first_bytes, pair.second_bytes), Spelling(len(pair.first_bytes), len(pair.second_bytes)), Tally()
-        first = len(pair.first_bytes)
-        kind, other = _id_type(first), _id_type(len(pair.second_bytes))
-        lane = TaskContext.get().partitionId()
+        machine, tally, lane = Transducer(pair.first_bytes, pair.second_bytes), Tally(), TaskContext.get().partitionId()
+        aligned = Aligned(pair, lambda found: [_links(pair, machine, *x)[4].tobytes() for x in found])
 
         def counts() -> pa.RecordBatch:
-            rows = list(tally.empty(first))
-            none = pa.nulls(len(rows))
-            return pa.RecordBatch.from_arrays(
-                [none.cast(t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string())]
-                + [pa.array([r[0] for r in rows], pa.int32()), pa.array([lane] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-                _NAMES,
-            )
-
-        def document(ids: list[int], others: list[int]) -> tuple:
-            if not ids:
-                return b"", b"", b"", b"", 0, "", np.zeros(0, np.uint64)
-            a, b = np.array(ids, kind), np.array(others, other)
-            after = machine.steps(ids, others)
-            second, opens = read_before(after)
-            closes = (after >> 1).astype(bool)
-            la, lb = linked(a, b, second, opens)
-            sha = hashlib.sha256(spelling.of(a, b, second, closes)).hexdigest()
-            return a.tobytes(), b.tobytes(), np.packbits(second).tobytes(), np.packbits(opens).tobytes(), int(closes.sum()), sha, lb.astype(np.uint64) * np.uint64(first) + la
+            rows = list(tally.empty(len(pair.first_bytes)))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([lane] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "lane", "keys", "counts"])
 
         for batch in batches:
-            for part, raw in chunks(batch):
-                distinct = list(dict.fromkeys(raw))
-                done = dict(zip(distinct, (document(*x) for x in pair.encode([t.decode() for t in distinct])), strict=True))
-                rows = [done[t] for t in raw]
-                keys = np.concatenate([r[6] for r in rows])
-                if len(keys):
-                    tally.add(keys)
-                none = pa.nulls(len(rows))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(4)], pa.array([r[4] for r in rows], pa.int64()), pa.array([r[5] for r in rows], pa.string())]
-                    + [none.cast(t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())],
-                    _NAMES,
-                )
+            for _, raw in chunks(batch):
+                times = Counter(raw)
+                met: Counter[bytes] = Counter()
+                for values, n in zip(aligned.texts([t.decode() for t in times]), times.values(), strict=True):
+                    if n == 1:
+                        met.update(values)
+                    else:
+                        for v in values:
+                            met[v] += n
+                if met:
+                    tally.add(np.frombuffer(b"".join(met), np.uint64), np.repeat(np.fromiter(met.values(), np.int64, len(met)), [len(v) // 8 for v in met]))
                 if tally.full():
                     yield counts()
         yield counts()
 
-    path = f"{shared_dir(spark)}-encoded"
-    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).mapInArrow(apply, f"{_DOCS}, {_PARTS}")
-    rows.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
-_NAMES = [c.split()[0] for c in f"{_DOCS}, {_PARTS}".split(", ")]
-
-
-def _id_type(size: int) -> type:
-    return np.uint16 if size <= 1 << 16 else np.uint32
+    return stored(docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(apply, _PARTS), "pairs")
 
 
 def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -303,6 +337,8 @@ def write_counts(parts: DataFrame, first: int, second: int) -> str:
         parts, lanes = spark.read.schema(_PARTS).parquet(path), lanes // LANES
     if lanes is not None:
         parts.groupBy("bucket").applyInArrow(write, "bucket int").write.format("noop").mode("overwrite").save()
+    with open(f"{folder}/done", "w", encoding="utf-8"):
+        pass  # a task that does not see this file does not see the folder
     return folder
 
 
@@ -313,16 +349,19 @@ class Counts:
         self.folder, self.first, self.open = folder, first, {}
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The count of each pair, and the highest count of any pair of its second id."""
+        """The count of each pair, and the highest count of any pair of its second id; zeros for pairs of stretches that only texts encoded whole hold."""
         distinct, at = np.unique(keys, return_inverse=True)
         count, best = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         b = (distinct // np.uint64(self.first)).astype(np.int64)
         for bucket in np.unique(b % BUCKETS):
+            if not os.path.exists(f"{self.folder}/{bucket}-keys.npy") and bucket not in self.open and os.path.exists(f"{self.folder}/done"):
+                continue  # no pair of this bucket was counted
             if bucket not in self.open:
                 self.open[bucket] = [np.load(f"{self.folder}/{bucket}-{name}.npy", mmap_mode="r") for name in ("keys", "counts", "best")]
             k, c, most = self.open[bucket]
             own = b % BUCKETS == bucket
-            count[own] = c[np.searchsorted(k, distinct[own])]
+            place = np.minimum(np.searchsorted(k, distinct[own]), len(k) - 1)
+            count[own] = np.where(k[place] == distinct[own], c[place], 0)
             best[own] = most[b[own] // BUCKETS]
         return count[at], best[at]
 
@@ -334,31 +373,36 @@ def align(docs: DataFrame, tokenizers: str = TOKENIZERS, first: str = FIRST, sec
         files = f.read(), g.read()
     pair = Pair(*files)
     sizes = len(pair.first_bytes), len(pair.second_bytes)
-    rows = encoded(docs, files, text)
-    folder = write_counts(rows.where("bucket IS NOT NULL").select("bucket", "lane", "keys", "counts"), *sizes)
+    folder = write_counts(counted(docs, files, text), *sizes)
+    known = docs.sparkSession.sparkContext.broadcast(files)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(folder, sizes[0])
-        for batch, a in (x for whole in batches for x in chunks(whole, "a")):
-            b, steps, opens = (as_bytes(batch.column(k)) for k in range(2, 5))
-            keys, figures = [], []
-            for x, y, s, o in zip(a, b, steps, opens, strict=True):
-                ids, others = np.frombuffer(x, _id_type(sizes[0])), np.frombuffer(y, _id_type(sizes[1]))
-                n = len(ids) + len(others)
-                second, open_ = (np.unpackbits(np.frombuffer(v, np.uint8), count=n).astype(bool) for v in (s, o))
-                la, lb = linked(ids, others, second, open_)
-                keys.append(lb.astype(np.uint64) * np.uint64(sizes[0]) + la)
-                figures.append((len(ids), len(others), len(la)))
-            n_a, n_b, n_links = np.array(figures, np.int64).reshape(-1, 3).T
-            count, best = counts.of(np.concatenate(keys)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            at = np.concatenate([[0], np.cumsum(n_links)])
-            total, of_best = (np.concatenate([[0], np.cumsum(x)]) for x in (count, (count == best).astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_a), pa.array(n_b), batch.column(5), pa.array(n_links), pa.array(of_best[at[1:]] - of_best[at[:-1]]), pa.array(total[at[1:]] - total[at[:-1]]), batch.column(6)],
-                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
-            )
-
-    own = rows.where("bucket IS NULL").select("doc_id", "a", "b", "steps", "opens", "n_groups", "groups_sha256")
+        pair, counts = Pair(*known.value), Counts(folder, sizes[0])
+        machine, spelling = Transducer(pair.first_bytes, pair.second_bytes), Spelling(*sizes)
+
+        def figures(found: list[tuple[list[int], list[int]]]) -> list[tuple]:
+            made = [_links(pair, machine, *x) for x in found]
+            count, best = counts.of(np.concatenate([np.zeros(0, np.uint64), *(m[4] for m in made)]))
+            at = np.cumsum([0, *(len(m[4]) for m in made)])
+            total, of_best = (np.concatenate([[0], np.cumsum(x)])[at] for x in (count, (count == best).astype(np.int64)))
+            return [(len(a), len(b), int(closes.sum()), len(keys), int(of_best[i + 1] - of_best[i]), int(total[i + 1] - total[i]), spelling.of(a, b, second, closes)) for i, (a, b, second, closes, keys) in enumerate(made)]
+
+        aligned = Aligned(pair, figures)
+
+        def document(values: list[tuple]) -> tuple:
+            if not values:
+                return 0, 0, 0, 0, 0, 0, ""
+            *columns, groups = zip(*values, strict=True)
+            return *map(sum, columns), hashlib.sha256(b";".join(groups)).hexdigest()
+
+        for batch in batches:
+            for part, raw in chunks(batch):
+                distinct = list(dict.fromkeys(raw))
+                done = dict(zip(distinct, map(document, aligned.texts([t.decode() for t in distinct])), strict=True))
+                columns = list(zip(*(done[t] for t in raw), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *[pa.array(c, pa.int64()) for c in columns[:6]], pa.array(columns[6], pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+
+    own = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
     return own.mapInArrow(apply, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 

@@ -236,17 +236,36 @@ def test_alignment_states_are_dangling_suffixes(pair):
     small = alignment.Transducer(pair.first_bytes, pair.second_bytes, kept=3)
     large = alignment.Transducer(pair.first_bytes, pair.second_bytes)
     for text in ("one two three", "four five", "Ünï five four"):
-        (a, b), = pair.encode([text])
+        a, b = pair.encode_whole(text)
         assert small.steps(a, b).tolist() == large.steps(a, b).tolist()
 
 
+def test_stretches_give_what_whole_texts_give(spark, monkeypatch, pair):
+    """Every mixture of white space and characters of all kinds, cut and whole; with a table of few stretches."""
+    r = random.Random(5)
+    parts = [" ", "  ", "\n", "\n\n", " \n", "a", "bc", "don't", "'s", "Ü", "漢字", "12", "3.5", "!?", "_", "▁", "▁▁", "<s>", "🙂", "é", "e\u0301", "\u200b", "x", "word", "<0x0A>", "\u00ad", "\x1f"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 12))) for _ in range(3000)] + ["".join(r.choice([*parts, "\t", "\u00a0", "\r\n", "\u3000"]) for _ in range(8)) for _ in range(500)]
+    assert pair.parts and pair.stretches("a\tb") is None and pair.stretches("a  b\nc ") == [" a", "  b", "\nc", " "]
+    cut = 0
+    for text in texts:
+        own = pair.stretches(text)
+        ids = None if own is None else list(pair.encode(own))
+        if ids is not None and None not in ids:
+            cut += 1
+            assert ([i for a, _ in ids for i in a], [i for _, b in ids for i in b]) == pair.encode_whole(text), repr(text)
+    assert cut > 1500
+    monkeypatch.setattr(alignment, "STRETCHES", 5)
+    rows = list(enumerate(texts[:400] + texts[-200:]))
+    assert aligned(alignment.align(frame(spark, rows))) == plain_alignment(pair, rows)
+
+
 def test_pairs_are_summed_within_bounds(monkeypatch):
     monkeypatch.setattr(alignment, "PAIRS", 50)
     tally, r, sent, want = alignment.Tally(), np.random.default_rng(1), Counter(), Counter()
     for _ in range(40):
         keys = r.integers(0, 300, 30).astype(np.uint64)
         want.update(keys.tolist())
-        tally.add(keys)
+        tally.add(keys, np.ones(len(keys), np.int64))
         if tally.full():
             for _, k, c in tally.empty(10):
                 sent.update(dict(zip(np.frombuffer(k, np.uint64).tolist(), np.frombuffer(c, np.int64).tolist(), strict=True)))
