@@ -3,8 +3,10 @@
 Expressions only; names need fold(), which callers compute once for all rows. Emails and phones accept a published
 subset of what specialised libraries do:
 
-- email: ASCII, local part of 1 to 64 characters without dots at its ends or doubled, labels of 1 to 63 characters,
-  at least two labels, the last not all digits, 254 characters in all;
+- email: local part of 1 to 64 characters without dots at its ends or doubled, labels of 1 to 63 characters,
+  at least two labels, the last ending in a letter and none of constants.SPECIAL_USE, 254 characters in all; no quoted local parts. Addresses
+  with other than ASCII characters or with encoded labels go through international_email(), which callers compute once for all rows: local part in
+  NFC, domain by the rules of IDNA 2003, shown in Unicode;
 - phone: all calling codes in international form (+ or 00), and the national form of the crawl's region. Numbers of the regions in
   constants.PHONE_REGIONS are held against the form of their plan, others against the lengths of theirs.
 """
@@ -13,10 +15,13 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sitelens import constants as C
 from sitelens.functions import text as T
@@ -38,13 +43,53 @@ def email_kind(local: Column) -> Column:
     return F.when(F.array_contains(roles, local) | F.arrays_overlap(tokens, roles), "role").otherwise("other")
 
 
-def email(raw: Column) -> Column:
+_ATOM = "[a-z0-9!#$%&'*+/=?^_`{|}~-]+"
+_LABEL = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+#: What needs international_email().
+BEYOND_ASCII = r"[^\x00-\x7f]|(?i:@(?:.*\.)?xn--)"
+
+
+def email(raw: Column, international: Column | None = None) -> Column:
+    """international: what international_email() says of the row's value."""
     value = F.lower(F.trim(raw))
     local, domain = F.split_part(value, F.lit("@"), F.lit(1)), F.split_part(value, F.lit("@"), F.lit(2))
-    label = "[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
-    ok = value.rlike(rf"^[a-z0-9!#$%&'*+/=?^_`{{|}}~-]+(?:\.[a-z0-9!#$%&'*+/=?^_`{{|}}~-]+)*@{label}(?:\.{label})+$")
-    ok = ok & (F.length(local) <= 64) & (F.length(value) <= 254) & ~domain.rlike(r"\.[0-9]+$")
-    return F.when(ok, _accepted(value, value, email_kind=email_kind(local)))
+    ok = value.rlike(rf"^{_ATOM}(?:\.{_ATOM})*@{_LABEL}(?:\.{_LABEL})+$") & ~value.rlike(BEYOND_ASCII)
+    special = "|".join(C.SPECIAL_USE)
+    ok = ok & (F.length(local) <= 64) & (F.length(value) <= 254) & domain.rlike("[a-z]$") & ~domain.rlike(rf"(?:^|\.)(?:{special})$") & ~domain.rlike(r"(?:^|\.)..--")
+    ascii_only = F.when(ok, _accepted(value, value, email_kind=email_kind(local)))
+    if international is None:
+        return ascii_only
+    shown = F.when(international.isNotNull(), _accepted(international, international, email_kind=email_kind(F.split_part(international, F.lit("@"), F.lit(1)))))
+    return F.coalesce(shown, ascii_only)
+
+
+_PLAIN_LABEL = re.compile(r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?", re.ASCII)
+_INTERNATIONAL_ATOM = re.compile(r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~\u0080-\U0010ffff-]+")
+_DOTS = re.compile("[.\u3002\uff0e\uff61]")
+
+
+def international_address(raw: str | None) -> str | None:
+    """The address as it is shown, or none."""
+    local, at, domain = unicodedata.normalize("NFC", (raw or "").strip()).rpartition("@")
+    atoms, labels = local.split("."), _DOTS.split(domain)
+    unsafe = any(unicodedata.category(c)[0] in "CZ" for c in local + domain) or any(unicodedata.category(a[0])[0] == "M" for a in atoms if a)
+    if not at or unsafe or len(local) > 64 or len(labels) < 2 or not all(map(_INTERNATIONAL_ATOM.fullmatch, atoms)):
+        return None
+    try:
+        encoded = [label.encode("idna").decode().lower() for label in labels]
+        decoded = [label.encode().decode("idna") for label in encoded]
+    except UnicodeError:
+        return None
+    if not all(_PLAIN_LABEL.fullmatch(x) and (x[2:4] != "--" or x.startswith("xn--") and x != y) and y.strip("-") == y and y[2:4] != "--" for x, y in zip(encoded, decoded, strict=True)):
+        return None
+    shown = f"{local}@{'.'.join(decoded)}".lower()
+    long = len(f"{local}@{'.'.join(encoded)}".encode()) > 254 or len(".".join(encoded)) > 253
+    return None if long or encoded[-1] in C.SPECIAL_USE or not encoded[-1][-1].isalpha() and not encoded[-1].startswith("xn--") else shown
+
+
+@F.pandas_udf(StringType())
+def international_email(raw: pd.Series) -> pd.Series:
+    return raw.map(international_address)
 
 
 def numbering_plan() -> dict[str, tuple[int, int]]:
@@ -167,10 +212,10 @@ def technology(raw: Column) -> Column:
     return F.when(F.length(value).between(1, 100), _accepted(value, F.lower(value)))
 
 
-def validated(field: Column, raw: Column, metadata: Column, folded: Column, region: str) -> Column:
+def validated(field: Column, raw: Column, metadata: Column, folded: Column, region: str, international: Column | None = None) -> Column:
     """The validator of each row's field; null for a field without one."""
     return (
-        F.when(field == "email", email(raw))
+        F.when(field == "email", email(raw, international))
         .when(field == "phone", phone(raw, region))
         .when(field == "postal_address", postal_address(raw))
         .when(field == "person_name", person_name(raw, folded))

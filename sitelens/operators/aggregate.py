@@ -23,16 +23,17 @@ def layer_policy(candidates: DataFrame) -> DataFrame:
 
 
 def validate(candidates: DataFrame, region: str = C.DEFAULT_REGION, more: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """Adds struct `validated`, null where the value is rejected; only names pass through fold().
+    """Adds struct `validated`, null where the value is rejected; only names pass through fold(), and only addresses beyond ASCII through international_email().
 
     more: validators of other fields or in place of the built-in ones, from the raw value to validate.VALIDATED.
     """
     names = F.when(F.col("field").isin("person_name", "organization_name"), F.col("raw_value"))
-    rows = candidates.withColumn("_folded", T.fold(names))
-    result = V.validated(F.col("field"), F.col("raw_value"), F.col("metadata"), F.col("_folded"), region)
+    beyond = F.when((F.col("field") == "email") & F.col("raw_value").rlike(V.BEYOND_ASCII), F.col("raw_value"))
+    rows = candidates.withColumn("_folded", T.fold(names)).withColumn("_international", V.international_email(beyond))
+    result = V.validated(F.col("field"), F.col("raw_value"), F.col("metadata"), F.col("_folded"), region, F.col("_international"))
     for field, validator in (more or {}).items():
         result = F.when(F.col("field") == field, validator(F.col("raw_value"))).otherwise(result)
-    return rows.withColumn("validated", result).drop("_folded")
+    return rows.withColumn("validated", result).drop("_folded", "_international")
 
 
 def accepted(candidates: DataFrame, region: str = C.DEFAULT_REGION, more: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:

@@ -92,6 +92,19 @@ def semantic_links_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _values(as_pages(suppliers(spark, sf_dir), body), "email", "phone")
 
 
+@query(_flat("""SELECT 'email' AS field, 'büro' || s_suppkey || '@' || host AS value, 0.75 AS confidence, 1 AS n, host FROM suppliers
+UNION ALL SELECT 'email', 'k' || s_suppkey || '@münchen.' || host, 0.75, 2, host FROM suppliers
+UNION ALL SELECT 'email', '窓口' || s_suppkey || '@例え.example.com', 0.75, 1, host FROM suppliers
+UNION ALL SELECT 'email', 'o''neil+' || s_suppkey || '@' || host, 0.75, 1, host FROM suppliers"""))
+def emails_of_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mailboxes and domains in any script: an encoded domain and its Unicode form are one; quoted, doubled and special-use ones are none."""
+    key, host = F.col("s_suppkey").cast("string"), F.col("host")
+    link = lambda *parts: [F.lit('<a href="mailto:'), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit('">m</a>')]
+    good = [*link("Bu\u0308ro", key, "@", F.upper(host)), *link("k", key, "@M\u00dcNCHEN.", host), *link("K", key, "@xn--mnchen-3ya.", host), *link("窓口", key, "@例え。example.com"), *link("O'Neil+", key, "@", host)]
+    bad = [*link("&quot;a b&quot;@", host), *link("a..b@", host), *link(".a@", host), *link("a@b_c.example.com"), *link("a@", host, ".test"), *link("a@localhost"), *link("a@xn--zzzzzz.example.1"), *link("a@-ü.example.com"), *link("a\u200b@", host)]
+    return _values(as_pages(suppliers(spark, sf_dir), _html("<p>", *good, *bad, "</p>")), "email")
+
+
 @query(_flat("SELECT 'person_name' AS field, person AS value, 0.75 AS confidence, 1 AS n, host FROM suppliers UNION ALL SELECT 'organization_name', s_name, 0.75, 2, host FROM suppliers"))
 def hcard_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = _html('<meta property="og:site_name" content=" ', F.col("s_name"), '"><div class="x VCard"><span class="fn">', F.col("person"), '</span> <span class="org other">', F.col("s_name"), "</span></div><span class='fn'>Outside</span>")
@@ -193,3 +206,13 @@ def security_txt_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey").cast("string")
     body = _html("# comment\nContact: mailto:sec@", F.col("host"), "\r\ncontact : tel:+331", F.lpad(key, 8, "40000000"), "\nContact: https://x.com/S", key, "\nContact: https://", F.col("host"), "/form\nEncryption: https://", F.col("host"), "/key.asc\nExpires: never\n")
     return discovery.security_txt(as_pages(suppliers(spark, sf_dir), body)).select("field", "raw_value", "source_url")
+
+
+@query(_flat("SELECT 'person_name' AS field, person AS value, 0.75 AS confidence, 1 AS n, host FROM suppliers UNION ALL SELECT 'organization_name', s_name, 0.75, 1, host FROM suppliers UNION ALL SELECT 'postal_address', s_suppkey || ' Main Street ' || n_name, 0.75, 1, host FROM suppliers UNION ALL SELECT 'email', 'a@' || host, 0.75, 2, host FROM suppliers"))
+def broken_pages_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that end in the middle, with stray and crossed end tags, bare attributes, comments that stay open and references without an end."""
+    body = _html(
+        "</p></div><ul><li class=vcard><b class=fn>", F.col("person"), "</i></b><li><em><strong>x</em></strong><!-- <a href='mailto:no@", F.col("host"), "'> --><address>", F.col("s_suppkey").cast("string"), "\n Main Street<br>", F.col("n_name"),
+        "</section></address><meta property=og:site_name content='", F.col("s_name"), "'><td><a href=mailto:a@", F.col("host"), ">a&#64;", F.col("host"), "<p>open<a href='/x' <p <!-- never closed <b class=vcard>",
+    )
+    return _values(as_pages(suppliers(spark, sf_dir), body), "person_name", "organization_name", "postal_address", "email")

@@ -78,6 +78,7 @@ def register(spark: SparkSession, region: str = C.DEFAULT_REGION) -> None:
 
     spark.udf.register("parse_page", parse_page)
     spark.udf.register("fold", T.fold)
+    spark.udf.register("international_email", V.international_email)
     for field, (parameters, body) in validators(region).items():
         scalar(f"valid_{field}", parameters, V.VALIDATED, body)
     scalar("validated", f"field STRING, raw STRING, metadata {_MAP}, folded STRING", V.VALIDATED, V.validated(F.col("field"), F.col("raw"), F.col("metadata"), F.col("folded"), region))

@@ -203,3 +203,18 @@ def test_numbers_in_prose(spark):
     rows = rows.selectExpr("'u' AS url", "CAST(NULL AS timestamp) AS fetched_at", "visible_text")
     found = [r["raw_value"] for r in extract.text_heuristics(rows).where("field = 'phone'").orderBy("seq").collect()]
     assert found == ["+420 601 123 456", "0041 44 668 18 00"]
+
+
+def test_addresses_beyond_ascii():
+    kept = {
+        "Bu\u0308ro@e.org": "b\u00fcro@e.org", "a@xn--mnchen-3ya.de": "a@m\u00fcnchen.de", "a@M\u00dcNCHEN.de": "a@m\u00fcnchen.de", "\u7a93\u53e3@\u4f8b\u3048\u3002jp": "\u7a93\u53e3@\u4f8b\u3048.jp", "\u0438\u0432\u0430\u043d@\u043f\u043e\u0447\u0442\u0430.\u0440\u0444": "\u0438\u0432\u0430\u043d@\u043f\u043e\u0447\u0442\u0430.\u0440\u0444",
+    }
+    for raw, want in kept.items():
+        assert V.international_address(raw) == want
+    for raw in ("\u00fc@", "@\u00fc.de", "\u00fc@de", "\u00fc..a@e.org", "\u00fc@e.test", "\u00fc@-e.org", "\u00fc@e.123", "\u00fc\u200b@e.org", "\u00fc a@e.org", "a@-\u00fc.org", "\u0301a@e.org", "\u00fc" * 65 + "@e.org", "\u00fc@" + "a" * 64 + ".org", "\u00fc@" + ".".join(["a" * 60] * 5) + ".org", "a@xn--abc.org" + "\u00fc" * 0, None, ""):
+        assert V.international_address(raw) is None, raw
+
+
+def test_ascii_addresses(spark):
+    raw = {"A.B@E.org": "a.b@e.org", "a@e.test": None, "a@e.local": None, "a@ab--c.org": None, "a@e.c0": None, "\"a\"@e.org": None, "a@xn--mnchen-3ya.de": None, "a@sub.test.org": "a@sub.test.org", "a" * 65 + "@e.org": None}
+    assert dict(zip(raw, each(spark, list(raw), lambda c: V.email(c)["value"]), strict=True)) == raw
