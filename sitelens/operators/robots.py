@@ -65,6 +65,31 @@ def sitemaps(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1))
 
 
+def answers(hosts: DataFrame, routes: DataFrame, hops: int = C.MAX_REDIRECTS, url: str = "url") -> DataFrame:
+    """What each host of `hosts` answers for its robots.txt (schemas.ROBOTS), over stored responses (schemas.ROUTE).
+
+    Redirects are followed wherever they lead, `hops` of them at most, a join with the routes for each; no response, or a redirect without a place to go,
+    is a transport error. Of a body one byte more than may be read is kept, so one that is too large is known as such.
+    """
+    dated = F.col("fetched_at") if "fetched_at" in routes.columns else F.lit(None).cast("timestamp")
+    table = routes.select(F.col("url").alias("_at"), F.col("status").alias("_status"), F.col("location").alias("_to"), F.substring("body", F.lit(1), F.lit(C.MAX_ROBOTS + 1)).alias("_body"), dated.alias("_time"))
+    rows = hosts.select(host_key(F.col(url)).alias("host_key"), U.robots_url(F.col(url)).alias("at")).distinct()
+    rows = rows.select("host_key", "at", *[F.lit(None).cast(t).alias(c) for c, t in (("status_code", "int"), ("body", "binary"), ("error", "string"), ("fetched_at", "timestamp"))])
+    for hop in range(hops + 1):
+        open_ = F.col("status_code").isNull() & F.col("error").isNull()
+        moved = F.col("_status").isin(*C.REDIRECT_CODES)
+        to = U.canonicalize(F.when(open_ & moved, F.col("_to")), F.col("at"))["url"]
+        rows = rows.join(table, open_ & (F.col("at") == F.col("_at")), "left").withColumn("_next", to)
+        lost = F.col("_at").isNull() | moved & (F.coalesce(F.trim("_to"), F.lit("")) == "") | moved & F.col("_next").isNull()
+        error = F.when(lost, "transport").when(moved & F.lit(hop == hops), "too_many_redirects")
+        ends = open_ & ~F.coalesce(moved, F.lit(False)) & F.col("_at").isNotNull()
+        rows = rows.select(
+            "host_key", F.when(open_ & moved & error.isNull(), F.col("_next")).otherwise(F.col("at")).alias("at"), F.when(ends, F.col("_status")).otherwise(F.col("status_code")).alias("status_code"),
+            F.when(ends, F.col("_body")).otherwise(F.col("body")).alias("body"), F.when(open_, error).otherwise(F.col("error")).alias("error"), F.when(open_, F.coalesce("_time", "fetched_at")).otherwise(F.col("fetched_at")).alias("fetched_at"),
+        )
+    return rows.drop("at")
+
+
 def decide(urls: DataFrame, robots: DataFrame, token: str = C.PRODUCT_TOKEN, url: str = "url", now: Column | None = None) -> DataFrame:
     """urls with robots_allowed, robots_reason, robots_delay and robots_url.
 

@@ -15,6 +15,7 @@ from sitelens.operators import aggregate, crawl, extract, health, robots
 from sitelens.operators.settings import Target
 from sitelens.plans.registry import query
 from sitelens.plans.rendered import SUPPLIERS, _flat, _html, _values, as_pages, suppliers
+from sitelens.sinks import ledger
 from sitelens.sources import discovery, snapshot
 from sitelens.storage import table
 
@@ -94,6 +95,57 @@ def retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", crawl.retry_after(value, now).alias("wait"), snapshot.last_attempt(attempts)["status"].alias("status"))
 
 
+@query("""WITH a AS (SELECT event_id, (event_id % 5)::INT AS bad, CASE WHEN event_id % 7 = 0 THEN (event_id % 20)::DOUBLE END AS asked FROM events)
+SELECT event_id, CASE WHEN bad <= 3 THEN 200 ELSE 503 END::INT AS status, least(bad + 1, 4)::INT AS tries,
+  CASE WHEN asked IS NOT NULL THEN asked * least(bad, 3) ELSE CASE least(bad, 3) WHEN 2 THEN 2 WHEN 3 THEN 6 ELSE 0 END END::DOUBLE AS waited FROM a""")
+def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a client would have tried again after up to four failures, and how long it would have waited in all."""
+    k = F.col("event_id")
+    asked = F.when(k % 7 == 0, (k % 20).cast("double"))
+    attempt = lambda code: F.struct(F.lit(code).alias("status"), asked.alias("retry_after"))
+    attempts = F.concat(F.array_repeat(attempt(503), (k % 5).cast("int")), F.array(F.struct(F.lit(200).alias("status"), F.lit(None).cast("double").alias("retry_after"))))
+    rows = table(spark, sf_dir, "events").select("event_id", snapshot.retried(attempts).alias("r"))
+    return rows.select("event_id", "r.status", "r.tries", "r.waited")
+
+
+@query("""WITH p AS (SELECT page_id, 'https://h' || page_id || '.example.com' AS host, (page_id % 9)::INT AS k FROM pages)
+SELECT host AS host_key, CASE WHEN k <= 5 THEN 404 END::INT AS status_code, CASE WHEN k = 6 THEN 'too_many_redirects' WHEN k > 6 THEN 'transport' END AS error FROM p""")
+def robots_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """robots.txt behind up to five redirects is found, behind six it is not; a redirect to nowhere and a host without response are transport errors."""
+    host = F.concat(F.lit("https://h"), F.col("page_id").cast("string"), F.lit(".example.com"))
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 9).cast("int").alias("k"), host.alias("host"))
+    place = lambda i: F.when(i == 0, F.concat("host", F.lit("/robots.txt"))).otherwise(F.concat(F.lit("https://cdn.example.net/"), F.substring("host", 9, 99), F.lit("/"), i.cast("string")))
+    hops = pages.where("k <= 6").select("host", "k", F.explode(F.sequence(F.lit(0), F.col("k"))).alias("i"))
+    routes = hops.select(place(F.col("i")).alias("url"), F.lit(b"").alias("body"), F.when(F.col("i") < F.col("k"), 302).otherwise(404).alias("status"), F.when(F.col("i") < F.col("k"), place(F.col("i") + 1)).alias("location"))
+    nowhere = pages.where("k = 7").select(place(F.lit(0)).alias("url"), F.lit(b"").alias("body"), F.lit(301).alias("status"), F.lit(" ").alias("location"))
+    found = robots.answers(pages.select(F.concat("host", F.lit("/x")).alias("url")), routes.unionByName(nowhere))
+    return found.select("host_key", "status_code", "error")
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 3 OR page_id % 3 = 0 THEN 'parse_error' END AS status FROM pages""")
+def html_assertion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are no HTML by their type, or hold no element, are parse errors."""
+    k = F.col("page_id")
+    kind = F.when(k % 5 == 0, "TEXT/HTML; charset=utf-8").when(k % 5 == 1, " application/xhtml+xml ").when(k % 5 == 2, "").when(k % 5 == 3, "application/json; x=text/html")
+    rows = table(spark, sf_dir, "pages").select("page_id", kind.alias("content_type"), F.when(k % 3 == 0, "{\"a\": 1}").otherwise(F.col("html")).alias("text"))
+    return extract.page_status(extract.parse_pages(rows)).select("page_id", "status")
+
+
+@query("SELECT o_orderkey::VARCHAR AS run_id, o_orderdate AS created, (o_orderdate + to_days(30) <= TIMESTAMP '1998-01-01') AS expired FROM orders ORDER BY o_orderdate DESC, o_orderkey::VARCHAR DESC LIMIT 50")
+def runs_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty newest runs of a ledger."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"), F.lit(30).alias("retention_days"), F.lit("x").alias("directory"))
+    return ledger.summaries(rows, None, "1998-01-01 00:00:00").limit(50).select("run_id", F.col("created_at").cast("timestamp_ntz").alias("created"), "expired")
+
+
+@query("SELECT c_custkey, name FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN upper(c_mktsegment) ELSE lower(c_mktsegment) END || c_custkey % 10 AS name FROM customer) ORDER BY lower(name) DESC, name, c_custkey LIMIT 40")
+def rows_sorted_by_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty rows of a table that is sorted by a column of text, falling and without case."""
+    segment = F.when(F.col("c_custkey") % 2 == 0, F.upper("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat(segment, (F.col("c_custkey") % 10).cast("string")).alias("name"))
+    return views.sorted_by(rows, "name", True, ["c_custkey"]).limit(40)
+
+
 _ROUTE_STATUS = """CASE WHEN page_id % 11 = 0 THEN 'transport_error' WHEN page_id % 11 = 1 THEN 'rate_limited' WHEN page_id % 11 IN (2, 3) THEN 'http_error' WHEN page_id % 11 = 4 THEN 'skipped_content_type'
   WHEN octet_length(encode(html)) > 20000 THEN 'too_large' END"""
 

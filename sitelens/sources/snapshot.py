@@ -61,4 +61,20 @@ def last_attempt(attempts: Column) -> Column:
     return F.coalesce(F.try_element_at(done, F.lit(1)), F.element_at(attempts, -1))
 
 
+def retried(attempts: Column, retries: int = C.RETRIES, jitter: Column | None = None) -> Column:
+    """struct(status, tries, waited) of recorded attempts (status, retry_after in seconds), as a client that retries sees them.
+
+    An attempt with one of `RETRIED_CODES`, or one of `ASKING_CODES` that says how long to wait, is followed by another while any is left of `retries` and recorded; before it the
+    client waits as long as the response asks, else nothing after the first failure and then 2, 4, 8 seconds and so on, `BACKOFF_MOST` at most. jitter: 0 to 1, of `RETRY_JITTER` seconds for each of these.
+    """
+    shift = F.lit(0.0) if jitter is None else jitter * C.RETRY_JITTER
+    seen = F.slice(attempts, 1, retries + 1)
+    again = lambda a: a["status"].isin(*C.RETRIED_CODES) | a["status"].isin(*C.ASKING_CODES) & a["retry_after"].isNotNull()
+    first = F.array_position(F.transform(seen, lambda a: ~again(a)), True)
+    tries = F.when(first > 0, first).otherwise(F.size(seen)).cast("int")
+    step = lambda i: F.when(i < 1, 0.0).otherwise(F.least(F.pow(F.lit(2.0), i.cast("double")) + shift, F.lit(C.BACKOFF_MOST)))
+    waits = F.transform(F.slice(seen, 1, F.greatest(tries - 1, F.lit(0))), lambda a, i: F.coalesce(a["retry_after"], step(i)))
+    return F.struct(F.try_element_at(seen, tries)["status"].alias("status"), tries.alias("tries"), F.aggregate(waits, F.lit(0.0), lambda x, y: x + y).alias("waited"))
+
+
 PAGE = schemas.FETCHED_PAGE

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,11 +81,11 @@ def summary(log: DataFrame, run_id: str, findings: int, requests: int) -> DataFr
     return counts.select(text.alias("summary"))
 
 
-def sorted_by(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """By one column: text without case, numbers as numbers, the total order left to the rest."""
+def sorted_by(rows: DataFrame, column: str, descending: bool = False, then: Sequence[str] = ()) -> DataFrame:
+    """By one column: text without case, numbers as numbers; rows that are equal there by their text and the columns of `then`."""
     kind = rows.schema[column].dataType.simpleString()
     key = F.lower(column) if kind == "string" else F.col(column)
-    return rows.orderBy(key.desc() if descending else key.asc(), column)
+    return rows.orderBy(key.desc() if descending else key.asc(), column, *then)
 
 
 def statuses_seen(log: DataFrame) -> DataFrame:
