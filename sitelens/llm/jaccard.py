@@ -12,12 +12,12 @@ each as a 64-bit hash; fewer words: the whole sequence as one. Documents with eq
 3. The global order of tokens is (how many sets hold it, in steps of half a power of two; hash). It is cut into `FRAGMENTS` of about
    equal weight, and a set into its segments, one row each.
 4. Linked sets share a token among the first n - ceil(0.8 n) + 1 of the order. In rounds, every set is tried against one pivot of those
-   that it shares such tokens with, and linked sets get one label. When a round finds little that is new, all pairs of sets with different
-   labels that share such a token are tried, in slices of about `PAIRS` meetings a set; a pair of one label is linked already, if by others.
-5. A pair is tried by counting the partial overlaps of its segments, fragment by fragment, and summing them: exact. Pairs whose overlap within
-   the first tokens leaves too little are not tried.
+   that it shares such tokens with, and linked sets get one label; a pair of one label is linked already, if by others. After `ROUNDS` rounds, or when one finds little that is new, all
+   sets of different labels that share such a token are compared where they meet, in blocks, by sketches of 16 bits a token that miss no link; only the pairs that are close leave the task.
+5. A pair is tried by counting the partial overlaps of its segments, fragment by fragment, and summing them: exact.
 
-So a group of near copies costs a few pivots for each of its sets, not all pairs, unless it falls into many components that share rare tokens.
+So a group of near copies costs a few pivots for each of its sets, and no list of its pairs is ever made. What is quadratic is the comparison, within tasks, of a group whose sets share
+rare tokens and yet are no links: bits, some hundred bytes a pair.
 Two different sets are taken for one if their 64-bit hashes are equal, and tokens are told apart by up to 57 bits within a set's partners.
 A block of text has few tokens for each of many buckets beyond some 10 TB; then raise `CHUNK` or `BUCKET_TOKENS`.
 
@@ -50,10 +50,10 @@ HOT_SHARE = 1000
 #: Fewer sets than this never make a token hot.
 HOT_LEAST = 1000
 FRAGMENTS = 4
-#: Meetings of two sets of different components at a token, for each set, that are listed at once; more are listed in slices.
-PAIRS = 50
-LEAST_PAIRS = 100_000
-ROUNDS = 6
+#: Sets that share a token that are compared with each other at once, and sets that a task of these comparisons has, about.
+BLOCK = 1000
+SETS_A_TASK = 1000
+ROUNDS = 3
 #: Bits of a token in the global order; above them stands its frequency.
 TOKEN_BITS = 57
 
@@ -298,7 +298,74 @@ def verified(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     return partial.groupBy("a", "b", "na", "nb", "ca", "cb").agg(F.sum("shared").alias("shared")).where("180 * shared >= 80 * (na + nb)").select("a", "b", "ca", "cb")
 
 
-def links(sets: DataFrame, pairs_a_set: float = PAIRS, rounds: int = ROUNDS) -> DataFrame:
+def sketches(sets: DataFrame) -> DataFrame:
+    """(h, sketch, lost): a set's tokens as sorted distinct numbers of 16 bits, and how many of its tokens fell on another's number."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, ends = batch.column(1).flatten().to_numpy().view(np.uint64), batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
+            short = ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16)
+            own = [np.unique(short[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+            lost = np.diff(ends) - np.array([len(x) for x in own], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(lost)], ["h", "sketch", "lost"])
+
+    return sets.select("h", "tokens").mapInArrow(apply, "h long, sketch binary, lost long")
+
+
+def close_pairs(sketch: list[np.ndarray], n: np.ndarray, lost: np.ndarray, label: np.ndarray, fragments: int = FRAGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs of sets of different labels that may be links. Overlaps of the sketches are counted for each fragment of the numbers and summed.
+
+    Sets share at most as many tokens as numbers, and those that one of them lost; so no link is missed.
+    """
+    numbers, at = np.unique(np.concatenate(sketch), return_inverse=True)
+    owner = np.repeat(np.arange(len(sketch)), [len(x) for x in sketch])
+    shared = np.zeros((len(sketch), len(sketch)), np.float32)
+    for k in range(fragments):
+        low, high = len(numbers) * k // fragments, len(numbers) * (k + 1) // fragments
+        own = (at >= low) & (at < high)
+        holds = np.zeros((len(sketch), high - low), np.float32)
+        holds[owner[own], at[own] - low] = 1
+        shared += holds @ holds.T
+    needed = (4 * (n[:, None] + n[None, :]) + 8) // 9
+    near = (shared + np.minimum(lost[:, None], lost[None, :]) >= needed) & (label[:, None] != label[None, :])
+    near &= 5 * np.minimum(n[:, None], n[None, :]) >= 4 * np.maximum(n[:, None], n[None, :])
+    return np.nonzero(np.triu(near, 1))
+
+
+def meetings(own: DataFrame, sketch: DataFrame, count: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, na, nb, ca, cb): pairs of sets of different labels that share one of the first tokens and whose sketches are close enough for a link.
+
+    A token's sets are compared where they are, in blocks of about `block` sets against each other; only close pairs leave the task.
+    """
+    sizes = own.groupBy("token").agg(F.count("*").alias("k")).select(F.col("token").alias("of"), F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+    rows = own.join(sizes, F.col("token") == F.col("of")).withColumn("i", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    rows = rows.select("token", "h", "n", "c", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).join(sketch, "h")
+    rows = rows.select("token", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "h", "n", "c", "lost", "sketch")
+    dealt = rows.repartition(max(16, -(-count // SETS_A_TASK)), "token", "i", "j")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        whole = pa.Table.from_batches(parts)
+        token, i, j, h, n, c, lost = (whole.column(k).to_numpy() for k in range(7))
+        sketch = [np.frombuffer(x, np.uint16) for x in whole.column(7).to_pylist()]
+        order = np.lexsort((h, j, i, token))
+        new = np.flatnonzero((np.diff(token[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)) + 1
+        found = [np.zeros((0, 2), np.int64)]
+        for group in np.split(order, new):
+            if len(group) > 1 and (c[group] != c[group[0]]).any():
+                x, y = close_pairs([sketch[g] for g in group], n[group], lost[group], c[group])
+                found.append(np.stack([group[x], group[y]], 1))
+        pairs = np.concatenate(found)
+        pairs = pairs[np.unique(np.stack([h[pairs[:, 0]], h[pairs[:, 1]]], 1), axis=0, return_index=True)[1]] if len(pairs) else pairs
+        a, b = pairs.T
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[a], h[b], n[a], n[b], c[a], c[b])], ["a", "b", "na", "nb", "ca", "cb"])
+
+    return dealt.mapInArrow(apply, "a long, b long, na long, nb long, ca long, cb long")
+
+
+def links(sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(h, root) for all sets with a link: the component of each.
 
     While pairs are tried, a set's label `c` only says that it is linked with all sets of that label; components are made of all links at the end.
@@ -310,7 +377,6 @@ def links(sets: DataFrame, pairs_a_set: float = PAIRS, rounds: int = ROUNDS) ->
     cut = stored(segments(sets), "segments")
     first = "size(tokens) - (4 * n + 4) div 5 + 1"
     heads = sets.selectExpr("h", "n", "h AS c", f"explode(slice(tokens, 1, CAST({first} AS INT))) AS token")
-    limit = max(LEAST_PAIRS, int(pairs_a_set * count))
     found: list[DataFrame] = []
 
     def still_open(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -345,17 +411,9 @@ def links(sets: DataFrame, pairs_a_set: float = PAIRS, rounds: int = ROUNDS) ->
         fruitful = n * 100 > count
         if n:
             own, left = still_open(merged(own, fresh))
-    # what is left, all of it: in slices by the set that looks for partners
-    slices = -(-left // limit)
-    for i in range(slices):
-        a = own.where(F.pmod(F.xxhash64("token", "h"), F.lit(slices)) == i)
-        met = a.alias("a").join(own.alias("b"), F.expr("a.token = b.token AND a.c <> b.c AND a.h < b.h AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)"))
-        met = met.selectExpr("a.h AS a", "b.h AS b", "a.n AS na", "b.n AS nb", "a.c AS ca", "b.c AS cb").groupBy("a", "b", "na", "nb", "ca", "cb").count()
-        if slices == 1:  # one of several slices knows only some of the first tokens that a pair shares, so it tries all of its pairs
-            met = met.where("count + greatest((4 * na + 4) div 5, (4 * nb + 4) div 5) - 1 >= (4 * (na + nb) + 8) div 9")
-        fresh, n = take(met.drop("count"))
-        if n and i + 1 < slices:
-            own = stored(merged(own, fresh), "open")
+    if left:
+        near = stored(meetings(own, sketches(sets), count).distinct(), "near")
+        take(near)
     if not found:
         return spark.createDataFrame([], "h long, root long")
     edges = found[0]
@@ -364,11 +422,11 @@ def links(sets: DataFrame, pairs_a_set: float = PAIRS, rounds: int = ROUNDS) ->
     return components(edges).select(F.col("node").alias("h"), "root")
 
 
-def jaccard_components(docs: DataFrame, pairs_a_set: float = PAIRS, rounds: int = ROUNDS, hot_share: int = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
+def jaccard_components(docs: DataFrame, rounds: int = ROUNDS, hot_share: int = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     ship(docs.sparkSession)
     marks = stored(_marks(docs), "marks")
-    roots = links(linkable(docs, marks, hot_share, hot_least), pairs_a_set, rounds)
+    roots = links(linkable(docs, marks, hot_share, hot_least), rounds)
     own = marks.where("h IS NOT NULL").select("doc_id", "n", "h")
     least = own.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least"))
     of = least.join(roots, "h", "left").select("h", "least", F.coalesce("root", "h").alias("root"))

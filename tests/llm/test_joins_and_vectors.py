@@ -74,15 +74,32 @@ def test_jaccard_join_of_the_documents(spark, sf_dir):
     assert found(jaccard.op11_ngram_jaccard_join(spark, sf_dir)) == plain_components(rows)
 
 
-@pytest.mark.parametrize("pairs, rounds, hot", [(50, 6, 1000), (0, 6, 4), (0, 0, 4)])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, pairs, rounds, hot):
-    """In one go; with pivots first; and in slices of everything, with hot tokens dealt by set."""
+@pytest.mark.parametrize("rounds, hot, block", [(3, 1000, 1000), (0, 4, 7)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, rounds, hot, block):
+    """With pivots first; and all by blocks of a few sets, with hot tokens dealt by set."""
     monkeypatch.setattr(jaccard, "BUCKET_TOKENS", 2000)
+    monkeypatch.setattr(jaccard.meetings, "__defaults__", (block,))
     texts = copies(1, 12, 14, 60) + copies(2, 3, 30, 20) + copies(3, 1, 60, 100)
     rows = list(enumerate(texts + texts[:40]))
-    if pairs == 0:
-        monkeypatch.setattr(jaccard, "LEAST_PAIRS", 2500)
-    assert found(jaccard.jaccard_components(frame(spark, rows), pairs, rounds, hot, 20 if hot == 4 else 1000)) == plain_components(rows)
+    assert found(jaccard.jaccard_components(frame(spark, rows), rounds, hot, 20 if hot == 4 else 1000)) == plain_components(rows)
+
+
+def test_sketches_miss_no_link():
+    """Sets at and around the threshold, large enough that numbers of 16 bits meet by chance."""
+    r = np.random.default_rng(4)
+    for n in (3, 40, 900, 9000):
+        base = r.integers(0, 1 << 62, n).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[r.random(n) > x], r.integers(0, 1 << 62, int(n * x)).astype(np.uint64)])) for x in (0, 0.05, 0.1, 0.11, 0.12, 0.2)]
+        short = [((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16) for x in sets]
+        own = [np.unique(x) for x in short]
+        size = np.array([len(x) for x in sets])
+        got = set(zip(*map(np.ndarray.tolist, jaccard.close_pairs(own, size, size - np.array([len(x) for x in own]), np.arange(len(sets)))), strict=True))
+        for i in range(len(sets)):
+            for j in range(i + 1, len(sets)):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both * 100 >= 80 * (size[i] + size[j] - both):
+                    assert (i, j) in got
+        assert len(got) < 15 or n < 40
 
 
 def test_jaccard_join_defined_cases(spark):
