@@ -29,6 +29,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -44,8 +45,9 @@ FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
 #: Transitions that a worker keeps.
 KEPT = 1_000_000
-#: Stretches that a worker keeps, twice: the last ones and those before.
+#: Stretches that a worker keeps, twice: the last ones and those before; and those that it encodes at once.
 STRETCHES = 150_000
+AT_ONCE = 10_000
 BUCKETS = 64
 #: Packed parts of a bucket that are summed at once.
 LANES = 256
@@ -75,6 +77,7 @@ class Pair:
         n = self.first.get_vocab_size()
         self.first_bytes = [self._byte_level(self.first.id_to_token(i), table) for i in range(n)]
         self.second_bytes = [self._piece(i) for i in range(self.second.get_piece_size())]
+        self.first_sizes, self.second_sizes = (np.array([len(t) for t in x], np.int64) for x in (self.first_bytes, self.second_bytes))
         # a stretch is encoded behind a letter, which takes the space that the second tokenizer puts first
         self.lead = self.second.piece_to_id("▁x")
         kind = json.loads(first)
@@ -94,21 +97,52 @@ class Pair:
         """Of space + text, each run of spaces and line feeds with what follows it; none if it must be encoded whole."""
         return _STRETCH.findall(f" {text}") if self.parts and not _OTHER_SPACE.search(text) else None
 
-    def encode(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """Ids of both sides for stretches; none where their bytes are not those of the stretch."""
-        ours, theirs = self.first.encode_batch_fast(stretches, add_special_tokens=False), self.second.encode([f"x{t}" for t in stretches], num_threads=1)
-        for text, a, b in zip(stretches, ours, theirs, strict=True):
-            yield (a.ids, b[1:]) if b[0] == self.lead and self._same(text.encode(), a.ids, b[1:]) else None
-
-    def encode_whole(self, text: str) -> tuple[list[int], list[int]] | None:
-        """Ids of both sides for space + text; none where their bytes are not those, or the text is empty."""
+    def encode(self, stretches: list[str]) -> tuple[Streams, np.ndarray]:
+        """Both streams of the stretches whose token bytes on both sides are theirs, and which these are."""
+        ours = [e.ids for e in self.first.encode_batch_fast(stretches, add_special_tokens=False)]
+        theirs = self.second.encode([f"x{t}" for t in stretches], num_threads=1)
+        raw = [t.encode() for t in stretches]
+        good = np.array([b[0] == self.lead for b in theirs], bool)
+        streams = Streams.of(ours, [b[1:] for b in theirs])
+        sizes = np.array([len(t) for t in raw], np.int64)
+        good &= (_sums(self.first_sizes[streams.a], streams.n_a) == sizes) & (_sums(self.second_sizes[streams.b], streams.n_b) == sizes)
+        if not good.all() or not self._same(b"".join(raw), streams.a.tolist(), streams.b.tolist()):
+            good &= np.array([self._same(t, a, b[1:]) for t, a, b in zip(raw, ours, theirs, strict=True)], bool)
+            kept = np.flatnonzero(good)
+            streams = Streams.of([ours[i] for i in kept], [theirs[i][1:] for i in kept])
+        return streams, good
+
+    def encode_whole(self, text: str) -> Streams | None:
+        """Both streams of space + text; none where their bytes are not those, or the text is empty."""
         a, b = self.first.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.second.encode(text)
-        return (a, b) if text and self._same(f" {text}".encode(), a, b) else None
+        return Streams.of([a], [b]) if text and self._same(f" {text}".encode(), a, b) else None
 
     def _same(self, want: bytes, a: list[int], b: list[int]) -> bool:
         return b"".join(map(self.first_bytes.__getitem__, a)) == want and b"".join(map(self.second_bytes.__getitem__, b)) == want
 
 
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The sum of each stretch of values."""
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+@dataclass(frozen=True)
+class Streams:
+    """The ids of several stretches one after the other, and how many each has."""
+
+    a: np.ndarray
+    b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+
+    @classmethod
+    def of(cls, ours: list[list[int]], theirs: list[list[int]]) -> Streams:
+        flat = [np.fromiter(chain.from_iterable(x), np.int64) for x in (ours, theirs)]
+        return cls(*flat, *[np.fromiter(map(len, x), np.int64, len(x)) for x in (ours, theirs)])
+
+
 #: A run of spaces and line feeds and all up to the next one.
 _STRETCH = re.compile(r"[ \n]+[^ \n]*")
 #: White space that may make one token with what stands beside it.
@@ -190,13 +224,31 @@ class Spelling:
         self.text = np.array([b"%d%c" % (i, c) for c, n in ((44, first), (124, first), (44, second), (59, second)) for i in range(n)], object)
         self.second = second
 
-    def of(self, a: np.ndarray, b: np.ndarray, second: np.ndarray, closes: np.ndarray) -> bytes:
-        group = np.cumsum(closes) - closes
-        of_a, of_b = group[~second], group[second]
-        last_a, last_b = np.append(of_a[1:] != of_a[:-1], True), np.append(of_b[1:] != of_b[:-1], True)
-        words = np.concatenate([a.astype(np.int64) + self.first * last_a, b.astype(np.int64) + 2 * self.first + self.second * last_b])
+    def of(self, own: Links) -> list[bytes]:
+        """The groups of each stretch."""
+        a, b = own.streams.a, own.streams.b
+        group = np.cumsum(own.closes) - own.closes
+        of_a, of_b = group[~own.second], group[own.second]
+        last_a, last_b = (np.append(x[1:] != x[:-1], True)[: len(x)] for x in (of_a, of_b))
+        words = np.concatenate([a + self.first * last_a, b + 2 * self.first + self.second * last_b])
         order = np.argsort(np.concatenate([2 * of_a, 2 * of_b + 1]), kind="stable")
-        return b"".join(self.text[words[order]].tolist())[:-1]
+        texts = self.text[words[order]].tolist()
+        ends = np.cumsum(own.streams.n_a + own.streams.n_b).tolist()
+        return [b"".join(texts[i:j])[:-1] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+class Links:
+    """What the transducer says of streams: which side each step read, whether it closed a group, the keys of all links, and the links of each stretch."""
+
+    def __init__(self, machine: Transducer, streams: Streams) -> None:
+        after = machine.steps(streams.a.tolist(), streams.b.tolist())
+        self.streams = streams
+        self.second, opens = read_before(after)
+        self.closes = (after >> 1).astype(bool)
+        la, lb = linked(streams.a, streams.b, self.second, opens)
+        self.keys = (lb * len(machine.bytes[0]) + la).astype(np.uint64)
+        steps = streams.n_a + streams.n_b
+        self.n_groups, self.n_links = _sums(self.closes, steps), _sums(~opens, steps)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -236,10 +288,11 @@ class Tally:
 
 
 class Aligned:
-    """What becomes of stretches, kept as long as they are met: `of` gives a value for each pair of id sequences."""
+    """What becomes of stretches, kept as long as they are met: `of` gives a value for each stretch of streams."""
 
-    def __init__(self, pair: Pair, of: Callable[[list[tuple[list[int], list[int]]]], list]) -> None:
+    def __init__(self, pair: Pair, of: Callable[[Links], list]) -> None:
         self.pair, self.of = pair, of
+        self.machine = Transducer(pair.first_bytes, pair.second_bytes)
         self.now: dict[str, object] = {}
         self.before: dict[str, object] = {}
 
@@ -249,30 +302,28 @@ class Aligned:
         wanted = set(chain.from_iterable(x for x in cut if x))
         if len(self.now) > STRETCHES:
             self.now, self.before = {}, self.now
-        known = {s: self.before[s] for s in wanted - self.now.keys() if s in self.before}
-        self.now |= known
+        self.now |= {s: self.before[s] for s in wanted - self.now.keys() if s in self.before}
         new = [s for s in wanted if s not in self.now]
-        encoded = list(self.pair.encode(new)) if new else []
-        made = iter(self.of([x for x in encoded if x is not None]))
-        self.now |= {s: None if x is None else next(made) for s, x in zip(new, encoded, strict=True)}
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            streams, good = self.pair.encode(part)
+            made = iter(self.of(Links(self.machine, streams)))
+            self.now |= {s: next(made) if ok else None for s, ok in zip(part, good.tolist(), strict=True)}
         for text, own in zip(texts, cut, strict=True):
             values = None if own is None else list(map(self.now.__getitem__, own))
             if values is None or None in values:
                 whole = self.pair.encode_whole(text)
-                values = [] if whole is None else self.of([whole])
+                values = [] if whole is None else self.of(Links(self.machine, whole))
             yield values
 
 
 _PARTS = "bucket int, lane long, keys binary, counts binary"
 
 
-def _links(pair: Pair, machine: Transducer, ids: list[int], others: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of both sides, which side each step read, whether it closed a group, and the keys of all links."""
-    a, b = np.array(ids, np.int64), np.array(others, np.int64)
-    after = machine.steps(ids, others)
-    second, opens = read_before(after)
-    la, lb = linked(a, b, second, opens)
-    return a, b, second, (after >> 1).astype(bool), (lb * len(pair.first_bytes) + la).astype(np.uint64)
+def _keys(own: Links) -> list[bytes]:
+    """The keys of each stretch's links."""
+    raw, ends = own.keys.tobytes(), (8 * np.cumsum(own.n_links)).tolist()
+    return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def counted(docs: DataFrame, files: tuple[str, bytes], text: str = "text") -> DataFrame:
@@ -281,8 +332,7 @@ def counted(docs: DataFrame, files: tuple[str, bytes], text: str = "text") -> Da
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(*known.value)
-        machine, tally, lane = Transducer(pair.first_bytes, pair.second_bytes), Tally(), TaskContext.get().partitionId()
-        aligned = Aligned(pair, lambda found: [_links(pair, machine, *x)[4].tobytes() for x in found])
+        tally, lane, aligned = Tally(), TaskContext.get().partitionId(), Aligned(pair, _keys)
 
         def counts() -> pa.RecordBatch:
             rows = list(tally.empty(len(pair.first_bytes)))
@@ -377,17 +427,14 @@ def align(docs: DataFrame, tokenizers: str = TOKENIZERS, first: str = FIRST, sec
     known = docs.sparkSession.sparkContext.broadcast(files)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, counts = Pair(*known.value), Counts(folder, sizes[0])
-        machine, spelling = Transducer(pair.first_bytes, pair.second_bytes), Spelling(*sizes)
+        counts, spelling = Counts(folder, sizes[0]), Spelling(*sizes)
 
-        def figures(found: list[tuple[list[int], list[int]]]) -> list[tuple]:
-            made = [_links(pair, machine, *x) for x in found]
-            count, best = counts.of(np.concatenate([np.zeros(0, np.uint64), *(m[4] for m in made)]))
-            at = np.cumsum([0, *(len(m[4]) for m in made)])
-            total, of_best = (np.concatenate([[0], np.cumsum(x)])[at] for x in (count, (count == best).astype(np.int64)))
-            return [(len(a), len(b), int(closes.sum()), len(keys), int(of_best[i + 1] - of_best[i]), int(total[i + 1] - total[i]), spelling.of(a, b, second, closes)) for i, (a, b, second, closes, keys) in enumerate(made)]
+        def figures(own: Links) -> list[tuple]:
+            count, best = counts.of(own.keys)
+            columns = own.streams.n_a, own.streams.n_b, own.n_groups, own.n_links, _sums(count == best, own.n_links), _sums(count, own.n_links)
+            return list(zip(*(c.tolist() for c in columns), spelling.of(own), strict=True))
 
-        aligned = Aligned(pair, figures)
+        aligned = Aligned(Pair(*known.value), figures)
 
         def document(values: list[tuple]) -> tuple:
             if not values:
