@@ -9,10 +9,11 @@ Of neither tokenizer does a token hold a space or line feed after another charac
 encoded and aligned by itself, once for each worker that meets it, and a text is the sum of its stretches. Texts with other white space are encoded whole, and so are all texts if a vocabulary is
 not of that kind (`Pair.parts`).
 
-First pass: each task sums its links by pair of ids and sends them packed by bucket. Buckets (by the
+First pass: a row for each document holds its groups' digest, both id sequences and two bits a step, which
+give the links again without encoding. Each task sums its links by pair of ids and sends them packed by bucket. Buckets (by the
 second tokenizer's id) are summed in lanes of `LANES` tasks, lanes again, until one is left, so no task receives more than
 `LANES` packed parts of one bucket; a part is bounded by the vocabularies, whatever the corpus. A bucket's task writes its pairs, counts and the highest count
-of each of its ids as sorted arrays to the shared folder. Second pass: workers map these, and read the texts again: that costs less than to keep all ids.
+of each of its ids as sorted arrays to the shared folder. Second pass: workers map these and look each document's links up.
 
 Vocabulary files are read on the driver and broadcast (a few MB); their folder is a parameter. The folder of the arrays must be mounted (`file:`).
 
@@ -33,12 +34,13 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import chunks, mounted, save, shared_dir, ship, stored, table
+from .shared import as_bytes, chunks, mounted, save, shared_dir, ship, table
 
 TOKENIZERS = "/opt/tokenizers"
 FIRST = "byte_bpe_50k.json"
@@ -48,6 +50,8 @@ KEPT = 1_000_000
 #: Stretches that a worker keeps, twice: the last ones and those before; and those that it encodes at once.
 STRETCHES = 150_000
 AT_ONCE = 10_000
+#: Bytes of the first side's ids whose links are looked up at once.
+PACKED = 1 << 20
 BUCKETS = 64
 #: Packed parts of a bucket that are summed at once.
 LANES = 256
@@ -242,7 +246,7 @@ class Links:
 
     def __init__(self, machine: Transducer, streams: Streams) -> None:
         after = machine.steps(streams.a.tolist(), streams.b.tolist())
-        self.streams = streams
+        self.streams, self.after = streams, after
         self.second, opens = read_before(after)
         self.closes = (after >> 1).astype(bool)
         la, lb = linked(streams.a, streams.b, self.second, opens)
@@ -317,44 +321,78 @@ class Aligned:
             yield values
 
 
+_DOCS = "doc_id long, a binary, b binary, steps binary, opens binary, n_groups long, groups_sha256 string"
 _PARTS = "bucket int, lane long, keys binary, counts binary"
+_NAMES = [c.split()[0] for c in f"{_DOCS}, {_PARTS}".split(", ")]
 
 
-def _keys(own: Links) -> list[bytes]:
-    """The keys of each stretch's links."""
-    raw, ends = own.keys.tobytes(), (8 * np.cumsum(own.n_links)).tolist()
+def _id_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def _cut(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """The bytes of each stretch of values."""
+    raw, ends = values.tobytes(), (values.itemsize * np.cumsum(counts)).tolist()
     return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
-def counted(docs: DataFrame, files: tuple[str, bytes], text: str = "text") -> DataFrame:
-    """Packed pair counts of each task by bucket; stored."""
-    known = docs.sparkSession.sparkContext.broadcast(files)
+def encoded(docs: DataFrame, files: tuple[str, bytes], text: str = "text") -> DataFrame:
+    """A row for each document with its ids and steps, and rows of packed pair counts (bucket not null); stored."""
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(files)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(*known.value)
-        tally, lane, aligned = Tally(), TaskContext.get().partitionId(), Aligned(pair, _keys)
+        sizes = len(pair.first_bytes), len(pair.second_bytes)
+        spelling, tally, lane = Spelling(*sizes), Tally(), TaskContext.get().partitionId()
+
+        def of(own: Links) -> list[tuple]:
+            """Ids of both sides, steps, groups as text and their number, keys of the links: of each stretch."""
+            n_a, n_b = own.streams.n_a, own.streams.n_b
+            ids = _cut(own.streams.a.astype(_id_type(sizes[0])), n_a), _cut(own.streams.b.astype(_id_type(sizes[1])), n_b)
+            return list(zip(*ids, _cut(own.after, n_a + n_b), spelling.of(own), own.n_groups.tolist(), _cut(own.keys, own.n_links), strict=True))
+
+        aligned = Aligned(pair, of)
+
+        def document(values: list[tuple]) -> tuple:
+            if not values:
+                return b"", b"", b"", b"", 0, ""
+            a, b, steps, groups, n_groups, _ = zip(*values, strict=True)
+            second, opens = read_before(np.frombuffer(b"".join(steps), np.uint8))
+            return b"".join(a), b"".join(b), np.packbits(second).tobytes(), np.packbits(opens).tobytes(), sum(n_groups), hashlib.sha256(b";".join(groups)).hexdigest()
 
         def counts() -> pa.RecordBatch:
-            rows = list(tally.empty(len(pair.first_bytes)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([lane] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "lane", "keys", "counts"])
+            rows = list(tally.empty(sizes[0]))
+            none = pa.nulls(len(rows))
+            return pa.RecordBatch.from_arrays(
+                [none.cast(t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string())]
+                + [pa.array([r[0] for r in rows], pa.int32()), pa.array([lane] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+                _NAMES,
+            )
 
         for batch in batches:
-            for _, raw in chunks(batch):
-                times = Counter(raw)
-                met: Counter[bytes] = Counter()
-                for values, n in zip(aligned.texts([t.decode() for t in times]), times.values(), strict=True):
-                    if n == 1:
-                        met.update(values)
-                    else:
-                        for v in values:
-                            met[v] += n
+            for part, raw in chunks(batch):
+                times, done, met = Counter(raw), {}, Counter()
+                for (t, n), values in zip(times.items(), aligned.texts([t.decode() for t in times]), strict=True):
+                    done[t] = document(values)
+                    for v in values:
+                        met[v[5]] += n
                 if met:
                     tally.add(np.frombuffer(b"".join(met), np.uint64), np.repeat(np.fromiter(met.values(), np.int64, len(met)), [len(v) // 8 for v in met]))
+                columns = list(zip(*(done[t] for t in raw), strict=True))
+                none = pa.nulls(len(raw))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).cast(pa.int64()), *[pa.array(c, pa.binary()) for c in columns[:4]], pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.string()), *[none.cast(t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())]],
+                    _NAMES,
+                )
                 if tally.full():
                     yield counts()
         yield counts()
 
-    return stored(docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(apply, _PARTS), "pairs")
+    path = f"{shared_dir(spark)}-encoded"
+    rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).mapInArrow(apply, f"{_DOCS}, {_PARTS}")
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -387,8 +425,6 @@ def write_counts(parts: DataFrame, first: int, second: int) -> str:
         parts, lanes = spark.read.schema(_PARTS).parquet(path), lanes // LANES
     if lanes is not None:
         parts.groupBy("bucket").applyInArrow(write, "bucket int").write.format("noop").mode("overwrite").save()
-    with open(f"{folder}/done", "w", encoding="utf-8"):
-        pass  # a task that does not see this file does not see the folder
     return folder
 
 
@@ -399,19 +435,16 @@ class Counts:
         self.folder, self.first, self.open = folder, first, {}
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The count of each pair, and the highest count of any pair of its second id; zeros for pairs of stretches that only texts encoded whole hold."""
-        distinct, at = np.unique(keys, return_inverse=True)
+        """The count of each pair, and the highest count of any pair of its second id."""
+        at, distinct = pd.factorize(keys)
         count, best = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         b = (distinct // np.uint64(self.first)).astype(np.int64)
         for bucket in np.unique(b % BUCKETS):
-            if not os.path.exists(f"{self.folder}/{bucket}-keys.npy") and bucket not in self.open and os.path.exists(f"{self.folder}/done"):
-                continue  # no pair of this bucket was counted
             if bucket not in self.open:
                 self.open[bucket] = [np.load(f"{self.folder}/{bucket}-{name}.npy", mmap_mode="r") for name in ("keys", "counts", "best")]
             k, c, most = self.open[bucket]
             own = b % BUCKETS == bucket
-            place = np.minimum(np.searchsorted(k, distinct[own]), len(k) - 1)
-            count[own] = np.where(k[place] == distinct[own], c[place], 0)
+            count[own] = c[np.searchsorted(k, distinct[own])]
             best[own] = most[b[own] // BUCKETS]
         return count[at], best[at]
 
@@ -423,33 +456,25 @@ def align(docs: DataFrame, tokenizers: str = TOKENIZERS, first: str = FIRST, sec
         files = f.read(), g.read()
     pair = Pair(*files)
     sizes = len(pair.first_bytes), len(pair.second_bytes)
-    folder = write_counts(counted(docs, files, text), *sizes)
-    known = docs.sparkSession.sparkContext.broadcast(files)
+    rows = encoded(docs, files, text)
+    folder = write_counts(rows.where("bucket IS NOT NULL").select("bucket", "lane", "keys", "counts"), *sizes)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, spelling = Counts(folder, sizes[0]), Spelling(*sizes)
-
-        def figures(own: Links) -> list[tuple]:
-            count, best = counts.of(own.keys)
-            columns = own.streams.n_a, own.streams.n_b, own.n_groups, own.n_links, _sums(count == best, own.n_links), _sums(count, own.n_links)
-            return list(zip(*(c.tolist() for c in columns), spelling.of(own), strict=True))
-
-        aligned = Aligned(Pair(*known.value), figures)
-
-        def document(values: list[tuple]) -> tuple:
-            if not values:
-                return 0, 0, 0, 0, 0, 0, ""
-            *columns, groups = zip(*values, strict=True)
-            return *map(sum, columns), hashlib.sha256(b";".join(groups)).hexdigest()
-
-        for batch in batches:
-            for part, raw in chunks(batch):
-                distinct = list(dict.fromkeys(raw))
-                done = dict(zip(distinct, map(document, aligned.texts([t.decode() for t in distinct])), strict=True))
-                columns = list(zip(*(done[t] for t in raw), strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *[pa.array(c, pa.int64()) for c in columns[:6]], pa.array(columns[6], pa.string())], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    own = docs.select("doc_id", F.col(f"`{text}`").alias("text"))
+        counts = Counts(folder, sizes[0])
+        for batch, a in (x for whole in batches for x in chunks(whole, "a", most=PACKED)):
+            b, steps, opens = (as_bytes(batch.column(k)) for k in range(2, 5))
+            n_a, n_b = (np.array([len(x) for x in ids], np.int64) // np.dtype(_id_type(size)).itemsize for ids, size in zip((a, b), sizes, strict=True))
+            bits = [[np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(packed, (n_a + n_b).tolist(), strict=True)] for packed in (steps, opens)]
+            second, open_ = (np.concatenate([np.zeros(0, np.uint8), *x]).astype(bool) for x in bits)
+            la, lb = linked(*[np.frombuffer(b"".join(ids), _id_type(size)).astype(np.int64) for ids, size in zip((a, b), sizes, strict=True)], second, open_)
+            count, best = counts.of((lb * sizes[0] + la).astype(np.uint64))
+            n_links = _sums(~open_, n_a + n_b)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n_a), pa.array(n_b), batch.column(5), pa.array(n_links), pa.array(_sums(count == best, n_links)), pa.array(_sums(count, n_links)), batch.column(6)],
+                ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+            )
+
+    own = rows.where("bucket IS NULL").select("doc_id", "a", "b", "steps", "opens", "n_groups", "groups_sha256")
     return own.mapInArrow(apply, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
