@@ -13,7 +13,8 @@ each as a 64-bit hash; fewer words: the whole sequence as one. Documents with eq
    equal weight, and a set into its segments, one row each.
 4. Linked sets share a token among the first n - ceil(0.8 n) + 1 of the order. In rounds, every set is tried against one pivot of those
    that it shares such tokens with, and linked sets get one label; a pair of one label is linked already, if by others. After `ROUNDS` rounds, or when one finds little that is new, all
-   sets of different labels that share such a token are compared where they meet, in blocks, by sketches of 16 bits a token that miss no link; only the pairs that are close leave the task.
+   sets of different labels that share such a token are compared where they meet, in blocks, by sketches of 16 bits a token that miss no link; as many of the close pairs leave the task
+   as connect what all of them do. These are tried, labels become components, and the comparison is made once more for what is left, where every close pair leaves: so none is missed that a sketch hid.
 5. A pair is tried by counting the partial overlaps of its segments, fragment by fragment, and summing them: exact.
 
 So a group of near copies costs a few pivots for each of its sets, and no list of its pairs is ever made. What is quadratic is the comparison, within tasks, of a group whose sets share
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import LOWER, WordHashes, chunks, flat_words, shingle_hashes, ship, stored, table
-from .simhash import components
+from .simhash import components as connected
 
 WORDS = 5
 #: Bytes of text whose tokens are packed together.
@@ -53,7 +54,7 @@ FRAGMENTS = 4
 #: Sets that share a token that are compared with each other at once, and sets that a task of these comparisons has, about.
 BLOCK = 1000
 SETS_A_TASK = 1000
-ROUNDS = 3
+ROUNDS = 2
 #: Bits of a token in the global order; above them stands its frequency.
 TOKEN_BITS = 57
 
@@ -332,10 +333,29 @@ def close_pairs(sketch: list[np.ndarray], n: np.ndarray, lost: np.ndarray, label
     return np.nonzero(np.triu(near, 1))
 
 
-def meetings(own: DataFrame, sketch: DataFrame, count: int, block: int = BLOCK) -> DataFrame:
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which of the pairs (a, b) of n nodes are enough to connect what all of them do."""
+    parent, kept = list(range(n)), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def meetings(own: DataFrame, sketch: DataFrame, count: int, every: bool, block: int = BLOCK) -> DataFrame:
     """(a, b, na, nb, ca, cb): pairs of sets of different labels that share one of the first tokens and whose sketches are close enough for a link.
 
-    A token's sets are compared where they are, in blocks of about `block` sets against each other; only close pairs leave the task.
+    A token's sets are compared where they are, in blocks of about `block` sets against each other; only close pairs leave the task: every one, or as many as connect the
+    labels that they do.
     """
     sizes = own.groupBy("token").agg(F.count("*").alias("k")).select(F.col("token").alias("of"), F.ceil(F.col("k") / block).cast("int").alias("blocks"))
     rows = own.join(sizes, F.col("token") == F.col("of")).withColumn("i", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
@@ -356,10 +376,18 @@ def meetings(own: DataFrame, sketch: DataFrame, count: int, block: int = BLOCK)
         for group in np.split(order, new):
             if len(group) > 1 and (c[group] != c[group[0]]).any():
                 x, y = close_pairs([sketch[g] for g in group], n[group], lost[group], c[group])
+                if not every:
+                    labels, own = np.unique(c[group], return_inverse=True)
+                    kept = forest(own[x], own[y], len(labels))
+                    x, y = x[kept], y[kept]
                 found.append(np.stack([group[x], group[y]], 1))
         pairs = np.concatenate(found)
         pairs = pairs[np.unique(np.stack([h[pairs[:, 0]], h[pairs[:, 1]]], 1), axis=0, return_index=True)[1]] if len(pairs) else pairs
         a, b = pairs.T
+        if not every:
+            labels, own = np.unique(c, return_inverse=True)
+            kept = forest(own[a], own[b], len(labels))
+            a, b = a[kept], b[kept]
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (h[a], h[b], n[a], n[b], c[a], c[b])], ["a", "b", "na", "nb", "ca", "cb"])
 
     return dealt.mapInArrow(apply, "a long, b long, na long, nb long, ca long, cb long")
@@ -392,6 +420,16 @@ def links(sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         found.append(fresh.select("a", "b"))
         return fresh, fresh.count()
 
+    def edges() -> DataFrame:
+        """All links so far."""
+        out = found[0]
+        for more in found[1:]:
+            out = out.union(more)
+        return out
+
+    def components(links: DataFrame) -> DataFrame:
+        return connected(links).select(F.col("node").alias("h"), "root")
+
     def merged(rows: DataFrame, fresh: DataFrame) -> DataFrame:
         """The rows with each label replaced by the least one within two links of it: a pivot and all that it links get one."""
         both = fresh.select(F.col("ca").alias("u"), F.col("cb").alias("v")).union(fresh.select(F.col("cb").alias("u"), F.col("ca").alias("v")))
@@ -411,15 +449,17 @@ def links(sets: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         fruitful = n * 100 > count
         if n:
             own, left = still_open(merged(own, fresh))
-    if left:
-        near = stored(meetings(own, sketches(sets), count).distinct(), "near")
-        take(near)
-    if not found:
-        return spark.createDataFrame([], "h long, root long")
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.union(more)
-    return components(edges).select(F.col("node").alias("h"), "root")
+    if not left:
+        return components(edges()) if found else spark.createDataFrame([], "h long, root long")
+    sketch = stored(sketches(sets), "sketches")
+    take(stored(meetings(own, sketch, count, False).distinct(), "near"))
+    roots = components(edges())
+    own, left = still_open(own.drop("c").join(roots, "h", "left").select("token", "h", "n", F.coalesce("root", "h").alias("c")))
+    # what is left after that are sets that are no links, and close ones whose sketches said more than their tokens: every pair of these
+    if left and take(stored(meetings(own, sketch, count, True).distinct(), "near"))[1]:
+        found[:] = [roots.select(F.col("h").alias("a"), F.col("root").alias("b")), found[-1]]
+        roots = components(edges())
+    return roots
 
 
 def jaccard_components(docs: DataFrame, rounds: int = ROUNDS, hot_share: int = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
