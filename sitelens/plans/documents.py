@@ -34,7 +34,10 @@ found AS (
 def prose(spark: SparkSession, sf_dir: str, where: Column | None = None) -> DataFrame:
     """Documents as parsed pages: url, fetched_at, visible_text."""
     docs = table(spark, sf_dir, "documents")
-    docs = docs if where is None else docs.where(where)
+    return as_prose(docs if where is None else docs.where(where))
+
+
+def as_prose(docs: DataFrame) -> DataFrame:
     url = F.concat(F.lit("doc:"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
     return docs.select(url.alias("url"), F.expr(COLLECTED).alias("fetched_at"), T.collapse(F.col("text")).alias("visible_text"))
 
@@ -93,11 +96,22 @@ def doc_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.length("digits").cast("long").alias("length")).agg(F.count("*").alias("candidates"), F.count_if(F.call_function("luhn_check", F.col("digits"))).alias("valid"))
 
 
-@query()
+_TWICE = "+".join(f"(substr(b, {i}, 1)::INT * {2 if i % 2 == 0 else 1}) % 10 + (substr(b, {i}, 1)::INT * {2 if i % 2 == 0 else 1}) // 10" for i in range(1, 9))
+
+
+@query(f"""WITH d AS (SELECT 'doc:' || lpad(doc_id::VARCHAR, 12, '0') AS url, (10000000 + doc_id % 210 * 7919)::VARCHAR AS b FROM documents WHERE doc_id % 7 = 0),
+s AS (SELECT url, b || ((10 - ({_TWICE}) % 10) % 10)::VARCHAR AS siren FROM d), ids AS (SELECT url, siren AS value, 'siren' AS scheme FROM s
+  UNION ALL SELECT url, 'FR' || lpad(((12 + 3 * (siren::BIGINT % 97)) % 97)::VARCHAR, 2, '0') || siren, 'vat_eu' FROM s)
+SELECT value, scheme, count(DISTINCT url)::INT AS page_support, count(*)::INT AS occurrence_count, min(url) AS first_seen_url FROM ids GROUP BY value, scheme""")
 def doc_company_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validated company identifiers of all schemes in prose. Word edges differ between regex engines: no SQL."""
-    rows = extract.text_heuristics(prose(spark, sf_dir)).where("field = 'company_identifier'")
-    found = aggregate.findings(aggregate.accepted(rows))
+    """Company identifiers in all prose: every seventh document gets two at its end, a number without its check digit, and a key that does not hold."""
+    base = (10_000_000 + F.col("doc_id") % 210 * 7919).cast("string")
+    siren = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(base, c.cast("string"))), lambda x: F.call_function("luhn_check", x)), 1)
+    wrong = F.element_at(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: F.concat(base, c.cast("string"))), lambda x: ~F.call_function("luhn_check", x)), 1)
+    key = lambda k: F.lpad(((k + 3 * (siren.cast("long") % 97)) % 97).cast("string"), 2, "0")
+    stated = F.concat(F.lit(". SIREN "), siren, F.lit(" (not "), wrong, F.lit("), VAT FR"), key(F.lit(12)), siren, F.lit(" and FR"), key(F.lit(13)), siren, F.lit("."))
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 7 == 0, stated).otherwise("")))
+    found = aggregate.findings(aggregate.accepted(extract.text_heuristics(as_prose(docs)).where("field = 'company_identifier'")))
     return found.select("value", T.metadata_get(F.col("metadata"), "scheme").alias("scheme"), "page_support", "occurrence_count", "first_seen_url")
 
 
