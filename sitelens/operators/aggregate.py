@@ -83,7 +83,7 @@ def findings(accepted_rows: DataFrame, store: bool = True) -> DataFrame:
     entry = F.struct("source_url", "collected_at", "extraction_layer", "raw_value")
     ranked = F.array_sort(F.collect_list(F.struct("_rank", entry.alias("entry"))))
     top = top.groupBy(keys).agg(F.transform(ranked, lambda x: x["entry"]).alias("provenance"))
-    return counted.join(top, keys)
+    return counted.join(top.hint("merge"), keys)  # both are dealt by the keys already; provenance is never broadcast
 
 
 def total_order(found: DataFrame) -> DataFrame:

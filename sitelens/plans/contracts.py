@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
-import zipfile
 from datetime import UTC, datetime
 from pathlib import Path
-from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,16 +109,14 @@ def report_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings sheet of the workbook, read back; numbers are numbers."""
     folder = _folder(spark)
     report.export(_report(spark, sf_dir), folder, ["xlsx"])
-    with zipfile.ZipFile(folder / "report.xlsx") as z:
-        sheet = ElementTree.fromstring(z.read("xl/worksheets/sheet2.xml"))
-    rows = []
-    for row in sheet.findall(".//{*}row"):
-        cells = {re.sub(r"\d", "", c.get("r")): ("".join(c.itertext()), c.get("t")) for c in row}
-        rows.append([cells.get(report._column(k), ("", None)) for k in range(len(C.FINDING_COLUMNS))])
+    rows = report.sheet_rows(folder / "report.xlsx", 2)
+    assert [x for x, _ in next(rows)] == C.FINDING_COLUMNS
     at = {n: i for i, n in enumerate(C.FINDING_COLUMNS)}
-    assert [x for x, _ in rows[0]] == C.FINDING_COLUMNS and all(r[at["extraction_confidence"]][1] is None for r in rows[1:])
-    found = [(r[at["field"]][0], r[at["value"]][0], float(r[at["extraction_confidence"]][0]), r[at["first_seen_url"]][0]) for r in rows[1:]]
-    return _rows(spark, found, "field string, value string, extraction_confidence double, first_seen_url string")
+    with (folder / "sheet.jsonl").open("w", encoding="utf-8") as f:
+        for r in rows:
+            assert r[at["extraction_confidence"]][1] is None
+            f.write(json.dumps({"field": r[at["field"]][0], "value": r[at["value"]][0], "extraction_confidence": float(r[at["extraction_confidence"]][0]), "first_seen_url": r[at["first_seen_url"]][0]}) + "\n")
+    return spark.read.schema("field string, value string, extraction_confidence double, first_seen_url string").json(str(folder / "sheet.jsonl"))
 
 
 @query("""SELECT * FROM (VALUES ('json', 'report.json', 2), ('md', 'report.md', 2), ('csv', 'report.findings.csv', 2), ('csv', 'report.pages.csv', 2), ('again', 'report.jsonl', 1)) AS t(format, name, places)""".replace(", 2)", ", 2::BIGINT)").replace(", 1)", ", 1::BIGINT)"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import datetime
 import json
+import tracemalloc
 import zipfile
 
 import pytest
@@ -61,6 +62,31 @@ def test_all_formats(spark, made, tmp_path):
         assert "<v>0.9</v>" in sheet and "&apos;=cmd" not in sheet and "'=cmd|[x](y) &lt;b&gt;" in sheet
 
 
+def test_exports_hold_a_row_at_a_time(spark, made, tmp_path):
+    report.export(made, tmp_path, ["xlsx"])
+    assert (tmp_path / "report.json").read_text("utf-8") == json.dumps(report.document(made), ensure_ascii=False, indent=2) + "\n"
+    assert [r[C.FINDING_COLUMNS.index("value")][0] for r in report.sheet_rows(tmp_path / "report.xlsx", 2)] == ["value", "a@e.org", "a@e.org", "info@e.org", "'=cmd|[x](y) <b>"]
+    none = report.Report(dict(RUN), made.findings.limit(0), made.pages)
+    report.export(none, tmp_path / "none", [])
+    assert (tmp_path / "none/report.json").read_text("utf-8") == json.dumps(report.document(none), ensure_ascii=False, indent=2) + "\n"
+
+    taken = []
+    rows = (taken.append(k) or (f"a\x01{k}", k) for k in range(5000))
+    parts = report._sheet(["name", "n"], rows)
+    assert "".join([next(parts) for _ in range(4)]).endswith('<row r="3"><c r="A3" t="inlineStr"><is><t xml:space="preserve">a1</t></is></c><c r="B3"><v>1</v></c></row>') and len(taken) == 2
+
+    def peak(n):
+        with zipfile.ZipFile(tmp_path / f"{n}.xlsx", "w") as z, z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.writelines(p.encode() for p in report._sheet(["name", "n"], ((f"value {k}", k) for k in range(n))))
+        tracemalloc.start()
+        assert sum(1 for _ in report.sheet_rows(tmp_path / f"{n}.xlsx", 1)) == n + 1
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(20000) < 2 * peak(2000)
+
+
 def test_re_export_is_byte_stable(spark, made, tmp_path):
     report.export(made, tmp_path, ["csv"])
     before = {p.name: p.read_bytes() for p in tmp_path.iterdir()}
