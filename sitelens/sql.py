@@ -92,9 +92,11 @@ def register(spark: SparkSession, region: str = C.DEFAULT_REGION) -> None:
     scalar("email_kind", "local STRING", "STRING", V.email_kind(F.col("local")))
     scalar("candidates_of", f"parsed {_sql_type(PARSED)}, headers {_MAP}", inline.CANDIDATES, inline.candidates_of(F.col("parsed"), F.col("headers")))
     columns = inline.CANDIDATES.removeprefix("array<struct<").removesuffix(">>")
+    # a generator over nothing but the arguments: any select below it makes a lateral call join the pages to themselves by their text
+    found = text_of(inline.candidates_of(F.expr("parse_page(html)"), F.expr("map_from_entries(headers)")))
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION extracted(html STRING, headers ARRAY<STRUCT<key STRING, value STRING>>) RETURNS TABLE({columns}) "
-        "RETURN SELECT c.field, c.raw_value, c.extraction_layer, c.metadata, c.seq FROM (SELECT candidates_of(parse_page(html), map_from_entries(headers)) AS all_of_page) LATERAL VIEW explode(all_of_page) AS c"
+        f"RETURN SELECT field, raw_value, extraction_layer, metadata, seq FROM inline({found})"
     )
     spark.udtf.register("run_health", F.udtf(RunHealth, returnType="run_id string, outcome string, seq long, attempted long"))
 

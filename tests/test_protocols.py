@@ -11,7 +11,7 @@ import shutil
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens import schemas
+from sitelens import schemas, sql
 from sitelens.sinks import committed, corpus
 from sitelens.sources import archive
 
@@ -175,3 +175,13 @@ def test_what_no_commit_lists_is_not_read(spark, findings, tmp_path):
     assert [json.loads((tmp_path / "f/_commits" / n).read_text())["overwrite"] for n in sorted(os.listdir(tmp_path / "f/_commits"))] == [False, False]
     with pytest.raises(ValueError, match="mounted"):
         committed.local("hdfs://x/y")
+
+
+def test_lateral_extraction_does_not_join_pages_to_themselves(spark):
+    sql.register(spark)
+    headers = F.expr("array(named_struct('key', 'Server', 'value', 'nginx'))")
+    pages = spark.createDataFrame([("https://e.org/", "<p>a@e.org"), ("https://e.org/b", "<p>a@e.org"), ("https://e.org/n", None)], "url string, html string").withColumn("headers", headers)
+    rows = spark.sql("SELECT p.url, x.field, x.raw_value FROM {pages} AS p, LATERAL extracted(p.html, p.headers) AS x", pages=pages)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert sorted(map(tuple, rows.where("url <> 'https://e.org/n'").collect())) == [(u, f, v) for u in ("https://e.org/", "https://e.org/b") for f, v in (("email", "a@e.org"), ("technology", "nginx"))]
