@@ -71,6 +71,17 @@ def test_technology_and_text(spark):
     assert [g[:2] for g in got if g[2] == "text_heuristic_deobfuscated"] == [("email", "x@e.org")]
 
 
+def found_in_text(spark, field, texts):
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "url string, visible_text string").withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    got = aggregate.accepted(extract.text_heuristics(rows).where(F.col("field") == field), "US").select("source_url", "value", "extraction_layer").collect()
+    return [sorted(r["value"] for r in got if r["source_url"] == str(i)) for i in range(len(texts))]
+
+
+def test_octets_are_no_company_identifiers(spark):
+    texts = ["from 17.252.227.210 vioution", "228.100.194.7", "at 101.228.100.194.", "9.8.228.100 194.7.6.5", "SIREN 228.100.194.", "2.732.829.320", "SIRET 732.829.320.00074 and 732 829 320"]
+    assert found_in_text(spark, "company_identifier", texts) == [[], [], [], [], ["228100194"], ["732829320"], ["732829320", "732829320", "73282932000074"]]
+
+
 def test_page_status(spark):
     rows = spark.createDataFrame([("a", "text/html; charset=x", "<p>x"), ("b", "application/json", "<p>x"), ("c", None, "plain"), ("d", "", "<p>x")], "url string, content_type string, text string")
     got = {r["url"]: r["status"] for r in extract.page_status(extract.parse_pages(rows)).collect()}
