@@ -82,6 +82,11 @@ def test_octets_are_no_company_identifiers(spark):
     assert found_in_text(spark, "company_identifier", texts) == [[], [], [], [], ["228100194"], ["732829320"], ["732829320", "732829320", "73282932000074"]]
 
 
+def test_a_phone_ends_before_the_next_number(spark):
+    texts = ["call +1 (908) 555-5112 3. Neither", "+1 (908) 555-5112\n4.0.", "+1 (908) 555-5112 99.225.144.112", "+1 (120) 555-3652 3.", "+1 (908) 555-51123", "+1 (908) 555-5112€", "+1 908 555 5112"]
+    assert found_in_text(spark, "phone", texts) == [["+19085555112"]] * 3 + [[], [], [], ["+19085555112"]]
+
+
 def test_page_status(spark):
     rows = spark.createDataFrame([("a", "text/html; charset=x", "<p>x"), ("b", "application/json", "<p>x"), ("c", None, "plain"), ("d", "", "<p>x")], "url string, content_type string, text string")
     got = {r["url"]: r["status"] for r in extract.page_status(extract.parse_pages(rows)).collect()}
