@@ -6,8 +6,8 @@ overlaps the leader's, which is a link, and either shortens the suffix, ends it,
 offset where tokens of both sides end. Transitions are computed once for each (state, token) and kept; a table of over `KEPT` transitions starts anew.
 
 Of neither tokenizer does a token hold a space or line feed after another character, so both end a token before each run of these: the stretch from one run to the next is
-encoded and aligned by itself, once for each worker that meets it, and a text is the sum of its stretches. Texts with other white space are encoded whole, and so are all texts if a vocabulary is
-not of that kind (`Pair.parts`).
+encoded and aligned by itself, and a text is the sum of its stretches. New stretches are encoded joined to groups, which are cut again at their ends; a worker keeps
+those it meets most for all tasks of a run. Texts with other white space are encoded whole, and so are all texts if a vocabulary is not of that kind (`Pair.parts`).
 
 First pass: a row for each document holds its groups' digest, both id sequences and two bits a step, which
 give the links again without encoding. Each task sums its links by pair of ids and sends them packed by bucket. Buckets (by the
@@ -30,9 +30,9 @@ import json
 import os
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -48,10 +48,16 @@ FIRST = "byte_bpe_50k.json"
 SECOND = "piece_bpe_32k.model"
 #: Transitions that a worker keeps.
 KEPT = 1_000_000
-#: Stretches that a worker keeps, twice: the last ones and those before; and those that it encodes at once.
-STRETCHES = 150_000
+#: Stretches that a worker keeps (half of them, the most met ones, when there are more), steps for each of these at most on average, and stretches
+#: that it encodes at once, in groups of so many joined.
+STRETCHES = 300_000
+STEPS = 16
 AT_ONCE = 10_000
-#: Bytes of the first side's ids whose links are looked up at once.
+GROUP = 50
+#: Stretches whose links are listed at once.
+LISTED = 100_000
+#: Bytes of text that are aligned at once, and bytes of the first side's ids whose links are looked up at once.
+TEXTS = 1 << 20
 PACKED = 1 << 20
 BUCKETS = 64
 #: Packed parts of a bucket that are summed at once.
@@ -104,8 +110,7 @@ class Pair:
 
     def encode(self, stretches: list[str]) -> tuple[Streams, np.ndarray]:
         """Both streams of the stretches whose token bytes on both sides are theirs, and which these are."""
-        ours = [e.ids for e in self.first.encode_batch_fast(stretches, add_special_tokens=False)]
-        theirs = self.second.encode([f"x{t}" for t in stretches], num_threads=1)
+        ours, theirs = self._ids(stretches)
         raw = [t.encode() for t in stretches]
         good = np.array([b[0] == self.lead for b in theirs], bool)
         streams = Streams.of(ours, [b[1:] for b in theirs])
@@ -117,6 +122,31 @@ class Pair:
             streams = Streams.of([ours[i] for i in kept], [theirs[i][1:] for i in kept])
         return streams, good
 
+    def encode_joined(self, stretches: list[str]) -> Iterator[tuple[list[str], Streams, np.ndarray]]:
+        """As `encode`, for parts of the stretches: those in groups whose tokens end where they end, and the others each by itself."""
+        filled = [t for t in stretches if t.strip(" \n")]  # white space alone would become one with what follows
+        groups = [filled[i : i + GROUP] for i in range(0, len(filled), GROUP)]
+        ours, theirs = self._ids(["".join(g) for g in groups])
+        same = [b[0] == self.lead and self._same("".join(g).encode(), a, b[1:]) for g, a, b in zip(groups, ours, theirs, strict=True)]
+        kept = [i for i, ok in enumerate(same) if ok]
+        joined = Streams.of([ours[i] for i in kept], [theirs[i][1:] for i in kept])
+        part = [t for i in kept for t in groups[i]]
+        ends = np.cumsum(np.fromiter((len(t.encode()) for t in part), np.int64, len(part)))
+        cut = [np.cumsum(sizes[ids]) for ids, sizes in ((joined.a, self.first_sizes), (joined.b, self.second_sizes))]
+        to_a, to_b = (np.searchsorted(x, ends, "right") for x in cut)
+        if part and all((x[to - 1] == ends).all() for x, to in zip(cut, (to_a, to_b), strict=True)):
+            yield part, Streams(joined.a, joined.b, np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)), np.ones(len(part), bool)
+        else:
+            same = [False] * len(groups)
+        rest = [t for t in stretches if not t.strip(" \n")] + [t for g, ok in zip(groups, same, strict=True) if not ok for t in g]
+        if rest:
+            yield rest, *self.encode(rest)
+
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of both tokenizers, of the second behind a letter."""
+        ours = [e.ids for e in self.first.encode_batch_fast(texts, add_special_tokens=False)]
+        return ours, self.second.encode([f"x{t}" for t in texts], num_threads=1)
+
     def encode_whole(self, text: str) -> Streams | None:
         """Both streams of space + text; none where their bytes are not those, or the text is empty."""
         a, b = self.first.encode_batch_fast([f" {text}"], add_special_tokens=False)[0].ids, self.second.encode(text)
@@ -244,17 +274,14 @@ class Spelling:
 
 
 class Links:
-    """What the transducer says of streams: which side each step read, whether it closed a group, the keys of all links, and the links of each stretch."""
+    """What the transducer says of streams: which side each step read, whether it closed a group, and how many groups each stretch has."""
 
     def __init__(self, machine: Transducer, streams: Streams) -> None:
         after = machine.steps(streams.a.tolist(), streams.b.tolist())
         self.streams, self.after = streams, after
-        self.second, opens = read_before(after)
+        self.second, _ = read_before(after)
         self.closes = (after >> 1).astype(bool)
-        la, lb = linked(streams.a, streams.b, self.second, opens)
-        self.keys = (lb * len(machine.bytes[0]) + la).astype(np.uint64)
-        steps = streams.n_a + streams.n_b
-        self.n_groups, self.n_links = _sums(self.closes, steps), _sums(~opens, steps)
+        self.n_groups = _sums(self.closes, streams.n_a + streams.n_b)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -294,33 +321,126 @@ class Tally:
 
 
 class Aligned:
-    """What becomes of stretches, kept as long as they are met: `of` gives a value for each stretch of streams."""
+    """Stretches with their ids, steps and groups, each under a number; how often they were met since their links were listed (`uses`), and of late (`weight`)."""
 
-    def __init__(self, pair: Pair, of: Callable[[Links], list]) -> None:
-        self.pair, self.of = pair, of
+    #: Instead of a number: not met yet, and not to be aligned by itself.
+    NEW, BAD = -1, -2
+
+    def __init__(self, pair: Pair, kept: int = STRETCHES) -> None:
+        self.pair, self.kept = pair, kept
+        self.sizes = len(pair.first_bytes), len(pair.second_bytes)
         self.machine = Transducer(pair.first_bytes, pair.second_bytes)
-        self.now: dict[str, object] = {}
-        self.before: dict[str, object] = {}
+        self.spelling = Spelling(*self.sizes)
+        self.numbers: dict[str, int] = {}
+        self.groups: list[bytes] = []
+        types = {"a": _id_type(self.sizes[0]), "b": _id_type(self.sizes[1]), "after": np.uint8}
+        self.columns = {c: [np.zeros(0, types.get(c, np.int64))] for c in ("a", "b", "after", "n_a", "n_b", "n_groups", "uses", "weight")}
+
+    def column(self, name: str) -> np.ndarray:
+        parts = self.columns[name]
+        if len(parts) > 1:
+            parts[:] = [np.concatenate(parts)]
+        return parts[0]
+
+    def begin(self) -> None:
+        """A task begins: what another met is not its own."""
+        self.column("uses")[:] = 0
 
-    def texts(self, texts: list[str]) -> Iterator[list]:
-        """For each text the values of its stretches, of the whole text where it must be, or nothing where it has no tokens."""
-        cut = [self.pair.stretches(t) if t else [] for t in texts]
-        wanted = set(chain.from_iterable(x for x in cut if x))
-        if len(self.now) > STRETCHES:
-            self.now, self.before = {}, self.now
-        self.now |= {s: self.before[s] for s in wanted - self.now.keys() if s in self.before}
-        new = [s for s in wanted if s not in self.now]
+    def full(self) -> bool:
+        return max(len(self.numbers), len(self.groups)) > self.kept or len(self.column("after")) > STEPS * self.kept
+
+    def _add(self, streams: Streams) -> range:
+        """The numbers that the stretches of streams get."""
+        own, n, first = Links(self.machine, streams), len(streams.n_a), len(self.groups)
+        none = np.zeros(n, np.int64)
+        new = {"a": streams.a, "b": streams.b, "after": own.after, "n_a": streams.n_a, "n_b": streams.n_b, "n_groups": own.n_groups, "uses": none, "weight": none}
+        for c, values in new.items():
+            self.columns[c].append(values.astype(self.columns[c][0].dtype))
+        self.groups += self.spelling.of(own)
+        return range(first, first + n)
+
+    def _learn(self, new: list[str]) -> None:
         for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
-            streams, good = self.pair.encode(part)
-            made = iter(self.of(Links(self.machine, streams)))
-            self.now |= {s: next(made) if ok else None for s, ok in zip(part, good.tolist(), strict=True)}
-        for text, own in zip(texts, cut, strict=True):
-            values = None if own is None else list(map(self.now.__getitem__, own))
-            if values is None or None in values:
-                whole = self.pair.encode_whole(text)
-                values = [] if whole is None else self.of(Links(self.machine, whole))
-            yield values
+            for part, streams, good in self.pair.encode_joined(new[i : i + AT_ONCE]):
+                made = iter(self._add(streams))
+                self.numbers |= {s: next(made) if ok else self.BAD for s, ok in zip(part, good.tolist(), strict=True)}
+
+    def _numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all stretches of all texts, and how many each text has: those of its parts, one of the whole where it must be, or none."""
+        cut = [self.pair.stretches(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(x for x in cut if x))
+        at = np.fromiter(map(self.numbers.get, flat, repeat(self.NEW)), np.int64, len(flat))
+        missing = np.flatnonzero(at == self.NEW).tolist()
+        if missing:
+            self._learn(list(dict.fromkeys(map(flat.__getitem__, missing))))
+            at[missing] = np.fromiter((self.numbers[flat[i]] for i in missing), np.int64, len(missing))
+        n = np.array([len(x or ()) for x in cut], np.int64)
+        text = np.repeat(np.arange(len(texts)), n)
+        whole = np.union1d(text[at == self.BAD], [i for i, x in enumerate(cut) if x is None]).astype(np.int64)
+        if len(whole):
+            made = [(i, streams) for i in whole.tolist() if (streams := self.pair.encode_whole(texts[i])) is not None]
+            own = np.array([self._add(streams)[0] for _, streams in made], np.int64)
+            parts = ~np.isin(text, whole)
+            text, at = np.concatenate([text[parts], np.array([i for i, _ in made], np.int64)]), np.concatenate([at[parts], own])
+            order = np.argsort(text, kind="stable")
+            at, n = at[order], np.bincount(text, minlength=len(texts))
+        return at, n
+
+    def texts(self, texts: list[str], times: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes], list[bytes], list[int], list[str]]:
+        """Ids of both sides, bits of the steps, number of groups and their digest of each text, which is met so many times."""
+        at, n = self._numbers(texts)
+        met = np.bincount(at, np.repeat(times, n), len(self.groups)).astype(np.int64)
+        for c in ("uses", "weight"):
+            self.column(c)[:] += met
+        n_a, n_b = self.column("n_a"), self.column("n_b")
+        of_a, of_b = _sums(n_a[at], n), _sums(n_b[at], n)
+        ids = [_cut(_taken(self.column(c), of, at), own) for c, of, own in (("a", n_a, of_a), ("b", n_b, of_b))]
+        # nothing dangles at a stretch's end
+        read = read_before(_taken(self.column("after"), n_a + n_b, at))
+        ends = np.cumsum(of_a + of_b).tolist()
+        bits = [[np.packbits(x[i:j]).tobytes() for i, j in zip([0, *ends], ends, strict=False)] for x in read]
+        ends, spelt = np.cumsum(n).tolist(), list(map(self.groups.__getitem__, at.tolist()))
+        digests = [hashlib.sha256(b";".join(spelt[i:j])).hexdigest() if j > i else "" for i, j in zip([0, *ends], ends, strict=False)]
+        return *ids, *bits, _sums(self.column("n_groups")[at], n).tolist(), digests
+
+    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of ids by stretch and how often they were met since the last time."""
+        uses, n_a, n_b = self.column("uses"), self.column("n_a"), self.column("n_b")
+        met = np.flatnonzero(uses)
+        for i in range(0, len(met), LISTED):
+            at = met[i : i + LISTED]
+            second, opens = read_before(_taken(self.column("after"), n_a + n_b, at))
+            la, lb = linked(*[_taken(self.column(c), of, at).astype(np.int64) for c, of in (("a", n_a), ("b", n_b))], second, opens)
+            yield (lb * self.sizes[0] + la).astype(np.uint64), np.repeat(uses[at], _sums(~opens, n_a[at] + n_b[at]))
+        uses[:] = 0
+
+    def forget(self) -> None:
+        """Keep at most half of what a worker may keep, the stretches that were met most; their links must have been listed."""
+        named = np.fromiter((i for i in self.numbers.values() if i >= 0), np.int64)
+        weight, n_a, n_b = self.column("weight"), self.column("n_a"), self.column("n_b")
+        most = named[np.argsort(-weight[named], kind="stable")][: self.kept // 2]
+        at = np.sort(most[np.cumsum((n_a + n_b)[most]) <= STEPS * self.kept // 2])
+        for c, of in (("a", n_a), ("b", n_b), ("after", n_a + n_b)):
+            self.columns[c] = [_taken(self.column(c), of, at)]
+        for c in ("n_a", "n_b", "n_groups", "uses", "weight"):
+            self.columns[c] = [self.column(c)[at]]
+        self.columns["weight"][0] //= 2
+        self.groups = [self.groups[i] for i in at.tolist()]
+        new = dict(zip(at.tolist(), range(len(at)), strict=True))
+        self.numbers = {s: new[i] for s, i in self.numbers.items() if i in new}
+
+
+_OF_WORKER: dict[str, Aligned] = {}
+
+
+def of_worker(run: str, files: tuple[str, bytes]) -> Aligned:
+    """What this worker keeps for the tasks of a run; that of another run goes."""
+    if run not in _OF_WORKER:
+        _OF_WORKER.clear()
+        _OF_WORKER[run] = Aligned(Pair(*files))
+    own = _OF_WORKER[run]
+    own.begin()
+    return own
 
 
 _DOCS = "doc_id long, a binary, b binary, steps binary, opens binary, n_groups long, groups_sha256 string"
@@ -332,6 +452,13 @@ def _id_type(size: int) -> type:
     return np.uint16 if size <= 1 << 16 else np.uint32
 
 
+def _taken(values: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of stretches of values, those with these numbers, one after the other."""
+    n = counts[at]
+    ends = np.cumsum(n)
+    return values[np.repeat((np.cumsum(counts) - counts)[at] - ends + n, n) + np.arange(n.sum())]
+
+
 def _cut(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """The bytes of each stretch of values."""
     raw, ends = values.tobytes(), (values.itemsize * np.cumsum(counts)).tolist()
@@ -341,7 +468,7 @@ def _cut(values: np.ndarray, counts: np.ndarray) -> list[bytes]:
 def encoded(docs: DataFrame, files: tuple[str, bytes], text: str = "text") -> DataFrame:
     """A row for each document with its ids and steps, and rows of packed pair counts (bucket not null); stored."""
     spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(files)
+    known, path = spark.sparkContext.broadcast(files), f"{shared_dir(spark)}-encoded"
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the stretches that are kept make no cycles, and looking for them takes a quarter of the time
@@ -351,27 +478,15 @@ def encoded(docs: DataFrame, files: tuple[str, bytes], text: str = "text") -> Da
             gc.enable()
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = Pair(*known.value)
-        sizes = len(pair.first_bytes), len(pair.second_bytes)
-        spelling, tally, lane = Spelling(*sizes), Tally(), TaskContext.get().partitionId()
-
-        def of(own: Links) -> list[tuple]:
-            """Ids of both sides, steps, groups as text and their number, keys of the links: of each stretch."""
-            n_a, n_b = own.streams.n_a, own.streams.n_b
-            ids = _cut(own.streams.a.astype(_id_type(sizes[0])), n_a), _cut(own.streams.b.astype(_id_type(sizes[1])), n_b)
-            return list(zip(*ids, _cut(own.after, n_a + n_b), spelling.of(own), own.n_groups.tolist(), _cut(own.keys, own.n_links), strict=True))
-
-        aligned = Aligned(pair, of)
+        aligned = of_worker(path, known.value)
+        tally, lane = Tally(), TaskContext.get().partitionId()
 
-        def document(values: list[tuple]) -> tuple:
-            if not values:
-                return b"", b"", b"", b"", 0, ""
-            a, b, steps, groups, n_groups, _ = zip(*values, strict=True)
-            second, opens = read_before(np.frombuffer(b"".join(steps), np.uint8))
-            return b"".join(a), b"".join(b), np.packbits(second).tobytes(), np.packbits(opens).tobytes(), sum(n_groups), hashlib.sha256(b";".join(groups)).hexdigest()
+        def tell() -> None:
+            for keys, n in aligned.links():
+                tally.add(keys, n)
 
         def counts() -> pa.RecordBatch:
-            rows = list(tally.empty(sizes[0]))
+            rows = list(tally.empty(aligned.sizes[0]))
             none = pa.nulls(len(rows))
             return pa.RecordBatch.from_arrays(
                 [none.cast(t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.string())]
@@ -380,15 +495,15 @@ def encoded(docs: DataFrame, files: tuple[str, bytes], text: str = "text") -> Da
             )
 
         for batch in batches:
-            for part, raw in chunks(batch):
-                times, done, met = Counter(raw), {}, Counter()
-                for (t, n), values in zip(times.items(), aligned.texts([t.decode() for t in times]), strict=True):
-                    done[t] = document(values)
-                    for v in values:
-                        met[v[5]] += n
-                if met:
-                    tally.add(np.frombuffer(b"".join(met), np.uint64), np.repeat(np.fromiter(met.values(), np.int64, len(met)), [len(v) // 8 for v in met]))
-                columns = list(zip(*(done[t] for t in raw), strict=True))
+            for part, raw in chunks(batch, most=TEXTS):
+                times = Counter(raw)
+                if aligned.full():
+                    tell()
+                    aligned.forget()
+                made = aligned.texts([t.decode() for t in times], np.fromiter(times.values(), np.int64, len(times)))
+                place = dict(zip(times, range(len(times)), strict=True))
+                own = [place[t] for t in raw]
+                columns = [[c[i] for i in own] for c in made]
                 none = pa.nulls(len(raw))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).cast(pa.int64()), *[pa.array(c, pa.binary()) for c in columns[:4]], pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.string()), *[none.cast(t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary())]],
@@ -396,9 +511,9 @@ def encoded(docs: DataFrame, files: tuple[str, bytes], text: str = "text") -> Da
                 )
                 if tally.full():
                     yield counts()
+        tell()
         yield counts()
 
-    path = f"{shared_dir(spark)}-encoded"
     rows = docs.select("doc_id", F.col(f"`{text}`").alias("text")).mapInArrow(apply, f"{_DOCS}, {_PARTS}")
     rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

@@ -292,3 +292,69 @@ def test_pairs_are_summed_within_bounds(monkeypatch):
     for _, k, c in tally.empty(10):
         sent.update(dict(zip(np.frombuffer(k, np.uint64).tolist(), np.frombuffer(c, np.int64).tolist(), strict=True)))
     assert sent == want
+
+
+def test_stretches_reach_the_tokenizers_in_groups_and_once(monkeypatch, pair):
+    """Joined to groups they give what each gives by itself, also beside some that no token spells; what a worker has met is not encoded again."""
+    r = random.Random(6)
+    odd = [" ", "\n \n", "  ﬁ½", " é", " a\x00", " ­", " ", " �▁", "\n🙂"]
+    texts = [" " + "".join(r.choice("abcdeéÜ漢1!") for _ in range(r.randint(1, 9))) for _ in range(1000)]
+    stretches = list(dict.fromkeys(texts + odd))
+    r.shuffle(stretches)
+
+    def of(parts) -> dict:
+        made = {}
+        for own, streams, good in parts:
+            at, n_a, n_b = -1, np.append(0, np.cumsum(streams.n_a)), np.append(0, np.cumsum(streams.n_b))
+            for s, ok in zip(own, good.tolist(), strict=True):
+                at += ok
+                made[s] = (streams.a[n_a[at] : n_a[at + 1]].tolist(), streams.b[n_b[at] : n_b[at + 1]].tolist()) if ok else None
+        return made
+
+    single = of([(stretches, *pair.encode(stretches))])
+    assert of(pair.encode_joined(stretches)) == single and list(pair.encode_joined([])) == [] and of(pair.encode_joined(odd)) == {s: single[s] for s in odd}
+    given, ids = [], alignment.Pair._ids
+    monkeypatch.setattr(alignment.Pair, "_ids", lambda self, x: given.extend(x) or ids(self, x))
+    own, once = alignment.Aligned(pair), np.ones(1, np.int64)
+    text = "".join(texts)[1:]
+    first = own.texts([text], once)
+    assert 0 < len(given) <= len(set(texts)) // alignment.GROUP + 1
+    given.clear()
+    assert own.texts([text], once) == first and not given
+
+
+def test_a_worker_keeps_the_stretches_it_meets_most(pair):
+    """With room for few stretches, texts and counts of pairs stay whole, also those of texts that are encoded whole and of a task after another."""
+    r = random.Random(7)
+    words = ["often", "rare", "Ünï", "x\ty", "q▁r", *[f"w{k}" for k in range(40)]]
+    small, large = alignment.Aligned(pair, kept=12), alignment.Aligned(pair)
+
+    def listed(own) -> Counter:
+        met = Counter()
+        for keys, n in own.links():
+            for k, m in zip(keys.tolist(), n.tolist(), strict=True):
+                met[k] += m
+        return met
+
+    for _ in range(2):
+        small.begin(), large.begin()
+        counts, forgot = Counter(), 0
+        for _ in range(60):
+            texts, times = [" ".join(["often", *r.choices(words, k=4)]) for _ in range(3)] + ["", "often often "], np.array([1, 2, 1, 5, 3])
+            if small.full():
+                counts += listed(small)
+                small.forget()
+                forgot += 1
+                assert " often" in small.numbers and len(small.groups) == len(small.numbers) <= 6
+            assert small.texts(texts, times) == large.texts(texts, times)
+        assert counts + listed(small) == listed(large) and forgot > 10
+
+
+def test_tasks_of_a_run_share_what_a_worker_keeps(pair, monkeypatch):
+    monkeypatch.setattr(alignment, "_OF_WORKER", {})
+    monkeypatch.setattr(alignment, "Pair", lambda *files: pair)
+    own = alignment.of_worker("one", ("", b""))
+    own.texts(["a b"], np.ones(1, np.int64))
+    assert alignment.of_worker("one", ("", b"")) is own and not own.column("uses").any() and len(own.numbers) == 2
+    other = alignment.of_worker("two", ("", b""))
+    assert other is not own and not other.numbers and list(alignment._OF_WORKER) == ["two"]
